@@ -16,6 +16,7 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caregap.functions import clean, scores
 from caregap.operators import gaps, ingest
@@ -258,7 +259,7 @@ def score_with_function(candidates: DataFrame, features: list[str], predict: Cal
     Runs per Arrow batch inside the tasks; missing feature columns are passed as nulls.
     """
     columns = candidates.columns
-    schema = candidates.schema.add("probability", "array<double>")
+    schema = T.StructType([*candidates.schema.fields, T.StructField("probability", T.ArrayType(T.DoubleType()))])
 
     def score(batches: Iterator) -> Iterator:
         for pdf in batches:

@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caregap.plans import catalog_core  # noqa: F401
+from caregap.plans import (  # noqa: F401
+    catalog_batch,
+    catalog_clean,
+    catalog_core,
+    catalog_ml,
+    catalog_review,
+    catalog_validation,
+)
 from caregap.plans.registry import CATALOG, runner, with_tables
 
 

@@ -258,7 +258,7 @@ class Fixtures:
             key.alias("row_idx"),
             F.when(defect == 7, " ").when(defect == 17, F.concat(F.lit("X"), user.cast("string")))
             .otherwise(member_id(user)).alias("bene_id"),
-            F.when(defect == 11, key - 4).when(defect == 23, F.lit(None)).otherwise(key).cast("string").alias("claim_id"),
+            F.when(defect == 11, key - 1).when(defect == 23, F.lit(None)).otherwise(key).cast("string").alias("claim_id"),
             F.when(defect == 13, "2024-13-45").when(defect == 29, "").otherwise(F.date_format("ts", "yyyy-MM-dd"))
             .alias("claim_date"),
             code_id(F.regexp_extract("props", r'"k": (\d+)', 1).cast("bigint")).alias("diagnosis_code"),

@@ -265,7 +265,7 @@ TABLES["batch_rows"] = """
 SELECT event_id AS row_idx,
        CASE event_id % 50 WHEN 7 THEN ' ' WHEN 17 THEN 'X' || user_id
             ELSE 'B' || printf('%08d', user_id) END AS bene_id,
-       CAST(CASE event_id % 50 WHEN 11 THEN event_id - 4 WHEN 23 THEN NULL ELSE event_id END AS VARCHAR) AS claim_id,
+       CAST(CASE event_id % 50 WHEN 11 THEN event_id - 1 WHEN 23 THEN NULL ELSE event_id END AS VARCHAR) AS claim_id,
        CASE event_id % 50 WHEN 13 THEN '2024-13-45' WHEN 29 THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS claim_date,
        'D' || printf('%06d', CAST(regexp_extract(props, '"k": (\\d+)', 1) AS BIGINT)) AS diagnosis_code,
        event_type AS source, CASE WHEN event_id % 3 = 0 THEN 'Y' ELSE 'no' END AS is_principal
@@ -367,6 +367,14 @@ TABLES["labelled"] = """
 SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'LOW' WHEN p1 >= p2 THEN 'MEDIUM' ELSE 'HIGH' END AS predicted
 FROM predictions"""
 
+TABLES["reported"] = """
+SELECT c, tp, pred, sup, CASE WHEN pred > 0 THEN tp / CAST(pred AS DOUBLE) ELSE 0.0e0 END AS p,
+       CASE WHEN sup > 0 THEN tp / CAST(sup AS DOUBLE) ELSE 0.0e0 END AS r,
+       CASE WHEN pred + sup > 0 THEN 2 * tp / CAST(pred + sup AS DOUBLE) ELSE 0.0e0 END AS f
+FROM (SELECT c, count(*) FILTER (actual = c AND predicted = c) AS tp, count(*) FILTER (predicted = c) AS pred,
+             count(*) FILTER (actual = c) AS sup
+      FROM labelled, (SELECT unnest(['LOW', 'MEDIUM', 'HIGH']) AS c) GROUP BY c)"""
+
 TABLES["training_events"] = "SELECT DISTINCT ON (event_id) * FROM mapped ORDER BY event_id, bene_id, event_date, hcc_v28, code, claim_id, source, is_principal"
 
 TABLES["training_features"] = """
