@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caregap.functions import clean, scores
 from caregap.operators import evidence, gaps, intervals, lookup, ranking
-from caregap.operators.evidence import distinct_small, joined_set
+from caregap.operators.evidence import joined_set
 from caregap.operators.gaps import PAIR
 from caregap.schemas import EMERGING, RECAPTURE, TIERS, Periods
 
@@ -30,7 +30,8 @@ def _pair_table(timeline: DataFrame, periods: Periods, as_of: int | None = None)
         F.count_if(curr).alias("evidence_count"),
         F.max(F.when(curr, day)).alias("_last"),
         joined_set(F.when(curr, F.col("source"))).alias("sources"),
-        distinct_small(year).alias("_years"),
+        F.min(year).alias("_first_year"),
+        F.max(year).alias("_last_year"),
     )
 
 
@@ -39,7 +40,8 @@ def presence(timeline: DataFrame, periods: Periods) -> DataFrame:
 
 
 def _persistence():
-    return F.when(F.col("_years") >= 2, 1.0).otherwise(0.5)
+    """At least two distinct years: the first and the last one differ."""
+    return F.when(F.col("_first_year") < F.col("_last_year"), 1.0).otherwise(0.5)
 
 
 def emerging(timeline: DataFrame, periods: Periods, as_of: int | None = None) -> DataFrame:
@@ -106,34 +108,41 @@ def top_confirmed(suspects: DataFrame, mapping: DataFrame, k: int = 10) -> DataF
 
 
 def evidence_backtest(timeline: DataFrame, prescriptions: DataFrame, periods: Periods) -> DataFrame:
-    """Eight-signal back-test: scored emerging pairs plus recapture pairs with constant zero."""
+    """Eight-signal back-test: scored emerging pairs plus recapture pairs with constant zero.
+
+    One pass gives presence flags and current-year features per pair; the fills
+    are matched on day arrays, so the events are not read again.
+    """
     day = F.col("event_date")
-    flags = presence(timeline, periods)
-    found = flags.filter("in_current AND NOT in_historical")
-    events = gaps.diagnoses(timeline).filter(clean.in_years(day, [periods.current]))
-    events = events.join(found.select(*PAIR), PAIR, "left_semi").withColumn("source", F.upper("source"))
-    features = evidence.evidence_features(events, PAIR, blanks_count=True)
-    rx = prescriptions.filter(clean.in_years(day, [periods.current]))
-    support = intervals.prescription_row_counts(events.select(*PAIR, "event_date").distinct(), rx)
-    scored = (
-        found.select(*PAIR, "in_validation").join(features, PAIR).join(support, PAIR, "left")
-        .withColumn("prescription_support_count", F.coalesce("rx_support_count", F.lit(0).cast("bigint")))
+    current = clean.in_years(day, [periods.current])
+    pairs = evidence.with_day_counts(
+        gaps.diagnoses(timeline)
+        .filter(clean.in_years(day, periods.loaded_years))
+        .withColumn("source", F.upper("source"))
+        .groupBy(*PAIR)
+        .agg(
+            F.max(clean.in_years(day, periods.historical)).alias("in_historical"),
+            F.max(current).alias("in_current"),
+            F.max(clean.in_years(day, [periods.latest])).alias("in_validation"),
+            *evidence.feature_columns(current, blanks_count=True),
+        )
+    ).filter("in_current <> in_historical")
+    fills = intervals.member_fill_days(prescriptions.filter(current))
+    rows = pairs.join(fills, "bene_id", "left").withColumn(
+        "prescription_support_count",
+        intervals.fill_rows(intervals.near_fill_days(F.col("evidence_days"), F.col("fill_days"))),
     )
     score = F.round(scores.weighted_sum(scores.component_scores(periods.reference_date), scores.BACKTEST_ORDER), 4)
-    shown = ["diagnosis_count", "distinct_evidence_dates", "distinct_evidence_months", "distinct_sources",
-             "principal_diagnosis_count"]
-    up = scored.withColumn("priority_score", score).select(
-        *PAIR, F.lit(EMERGING).alias("suspect_type"), "priority_score",
-        scores.tier(F.col("priority_score")).alias("priority"), *shown,
-        F.col("in_validation").alias("confirmed"),
-    )
-    zero = F.lit(0).cast("bigint")
-    down = flags.filter("in_historical AND NOT in_current").select(
-        *PAIR, F.lit(RECAPTURE).alias("suspect_type"), F.lit(0.0).alias("priority_score"),
-        F.lit("LOW").alias("priority"), *[zero.alias(c) for c in shown],
+    up = F.col("in_current")
+    return rows.withColumn("priority_score", F.when(up, score).otherwise(0.0)).select(
+        *PAIR,
+        F.when(up, EMERGING).otherwise(RECAPTURE).alias("suspect_type"),
+        "priority_score",
+        scores.tier(F.col("priority_score")).alias("priority"),
+        "diagnosis_count", "distinct_evidence_dates", "distinct_evidence_months", "distinct_sources",
+        "principal_diagnosis_count",
         F.col("in_validation").alias("confirmed"),
     )
-    return up.unionByName(down)
 
 
 def reconcile(profile_rows: DataFrame, profile: DataFrame) -> DataFrame:

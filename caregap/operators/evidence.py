@@ -16,6 +16,7 @@ from caregap.functions import clean, scores, text
 from caregap.operators import gaps, intervals, lookup, ranking
 from caregap.operators.gaps import PAIR
 from caregap.schemas import EMERGING, RECAPTURE, Periods
+from caregap.session import materialize
 
 GAP = [*PAIR, "gap_type"]
 PAGE_SIZE = 1000
@@ -120,11 +121,6 @@ def years_seen(timeline: DataFrame) -> DataFrame:
 # --- four-signal suspects (v1) ------------------------------------------------
 
 
-def _evidence_days(timeline: DataFrame, years) -> DataFrame:
-    events = gaps.diagnoses(timeline).filter(clean.in_years(F.col("event_date"), years))
-    return events.select(*PAIR, "event_date").distinct()
-
-
 def suspects_v1(
     timeline: DataFrame, prescriptions: DataFrame, members: DataFrame, mapping: DataFrame, periods: Periods
 ) -> DataFrame:
@@ -147,25 +143,28 @@ def suspects_v1(
             F.min(F.when(used, day)).alias("first_evidence_date"),
             F.max(F.when(used, day)).alias("last_evidence_date"),
             joined_set(F.when(used, F.nullif("source", F.lit("")))).alias("sources"),
-            distinct_small(F.year(day)).alias("years_seen"),
+            F.year(F.min(day)).alias("_first_year"),
+            F.year(F.max(day)).alias("_last_year"),
+            F.collect_set(F.when(curr, day)).alias("_days"),
         )
         .filter("_hist <> _curr")
         .join(members.select("bene_id"), "bene_id", "left_semi")
     )
     emerging = F.col("_curr")
     current_rx = prescriptions.filter(clean.in_years(day, [periods.current]))
-    supported = intervals.pairs_with_prescription(_evidence_days(timeline, [periods.current]), current_rx)
-    scored = pairs.join(supported.withColumn("_rx", F.lit(True)), PAIR, "left").withColumns(
+    near = intervals.near_fill_days(F.col("_days"), F.col("fill_days"))
+    scored = pairs.join(intervals.member_fill_days(current_rx), "bene_id", "left").withColumns(
         {
             "suspect_type": F.when(emerging, EMERGING).otherwise(RECAPTURE),
-            "has_prescription_support": emerging & F.coalesce("_rx", F.lit(False)),
+            "has_prescription_support": emerging & (F.size(near) > 0),
             "recency_score": F.when(
                 emerging, scores.half_year_recency(F.col("last_evidence_date"), periods.current, (1.0, 0.7, 0.3))
             ).otherwise(
                 scores.half_year_recency(F.col("last_evidence_date"), max(periods.historical), (0.8, 0.6, 0.4))
             ),
             "frequency_score": scores.saturate(F.col("evidence_count"), 5),
-            "persistence_score": F.when(F.col("years_seen") >= 2, 1.0).otherwise(0.5),
+            # At least two distinct years: the first and the last one differ.
+            "persistence_score": F.when(F.col("_first_year") < F.col("_last_year"), 1.0).otherwise(0.5),
         }
     )
     scored = scored.withColumn("diversity_score", F.when(F.col("has_prescription_support"), 1.0).otherwise(0.5))
@@ -224,29 +223,39 @@ FEATURES = (
 )
 
 
-def evidence_features(events: DataFrame, keys: list[str] = PAIR, blanks_count: bool = False) -> DataFrame:
-    """Evidence features per key.
+def feature_columns(where: Column | None = None, blanks_count: bool = False) -> list[Column]:
+    """Aggregates of the evidence features, over all rows or those that meet ``where``.
 
     Claims and events have no bound per key, so they are true distinct counts
     (spread by value before they are added up); days, months and sources are few.
     With ``blanks_count`` a missing value counts as one value.
     """
     def value(c: str) -> Column:
-        return F.coalesce(F.col(c), F.lit("")) if blanks_count else F.col(c)
+        column = F.coalesce(F.col(c), F.lit("")) if blanks_count else F.col(c)
+        return column if where is None else F.when(where, column)
 
-    day = F.col("event_date")
-    return events.groupBy(*keys).agg(
-        F.count("*").alias("diagnosis_count"),
+    counted = F.lit(True) if where is None else where
+    day = F.when(counted, F.col("event_date"))
+    return [
+        F.count_if(counted).alias("diagnosis_count"),
         F.count_distinct(value("claim_id")).alias("unique_claim_count"),
         F.count_distinct(value("event_id")).alias("unique_event_count"),
         F.min(day).alias("first_evidence_date"),
         F.max(day).alias("last_evidence_date"),
-        distinct_small(day).alias("distinct_evidence_dates"),
         distinct_small(F.trunc(day, "MM")).alias("distinct_evidence_months"),
         distinct_small(value("source")).alias("distinct_sources"),
-        F.count_if(F.col("is_principal")).alias("principal_diagnosis_count"),
-        F.array_sort(F.collect_set("code")).alias("supporting_diagnosis_codes"),
-    )
+        F.count_if(counted & F.col("is_principal")).alias("principal_diagnosis_count"),
+        F.array_sort(F.collect_set(value("code"))).alias("supporting_diagnosis_codes"),
+        F.array_sort(F.collect_set(day)).alias("evidence_days"),
+    ]
+
+
+def with_day_counts(features: DataFrame) -> DataFrame:
+    return features.withColumn("distinct_evidence_dates", F.size("evidence_days").cast("bigint"))
+
+
+def evidence_features(events: DataFrame, keys: list[str] = PAIR, blanks_count: bool = False) -> DataFrame:
+    return with_day_counts(events.groupBy(*keys).agg(*feature_columns(blanks_count=blanks_count)))
 
 
 def gap_events(timeline: DataFrame, found: DataFrame, periods: Periods) -> DataFrame:
@@ -258,12 +267,36 @@ def gap_events(timeline: DataFrame, found: DataFrame, periods: Periods) -> DataF
     return wanted.join(found.select(*GAP), GAP, "left_semi")
 
 
-def score_gaps(found: DataFrame, events: DataFrame, prescriptions: DataFrame, reference_date) -> DataFrame:
+def period_features(timeline: DataFrame, periods: Periods) -> DataFrame:
+    """Features of every pair and window (as the gap side it would support) from one pass over the timeline.
+
+    Also computes pairs that turn out to be no gap: that costs less than finding
+    the gaps first and joining all events to them. Checkpointed, because presence,
+    scores and the prescription match all start from it.
+    """
+    day = F.col("event_date")
+    side = F.when(clean.in_years(day, [periods.current]), EMERGING).when(
+        clean.in_years(day, periods.historical), RECAPTURE
+    ).otherwise("LATEST")
+    events = gaps.diagnoses(timeline).filter(clean.in_years(day, periods.loaded_years))
+    return materialize(evidence_features(deduplicate_events(events).withColumn("gap_type", side), GAP))
+
+
+def presence_from_features(features: DataFrame) -> DataFrame:
+    def seen(side: str) -> Column:
+        return F.max(F.col("gap_type") == side)
+
+    return features.groupBy(*PAIR).agg(
+        seen(RECAPTURE).alias("in_historical"), seen(EMERGING).alias("in_current"), seen("LATEST").alias("in_latest")
+    )
+
+
+def score_gaps(found: DataFrame, features: DataFrame, prescriptions: DataFrame, reference_date) -> DataFrame:
     """Gaps with features and the eight component scores; a gap without evidence rows scores zero."""
-    features = evidence_features(events, GAP)
-    days = events.select(*GAP, "event_date").distinct()
+    own = found.select(*GAP).join(features, GAP)
+    days = own.select(*GAP, F.explode("evidence_days").alias("event_date"))
     support = intervals.prescription_support(days, prescriptions, GAP)
-    rows = found.join(features, GAP, "left").join(support, GAP, "left")
+    rows = found.join(features, GAP, "left").join(support, GAP, "left").drop("evidence_days")
     counts = {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in (*FEATURES, "prescription_support_count")}
     rows = rows.withColumns(counts).withColumn(
         "supporting_diagnosis_codes", F.coalesce("supporting_diagnosis_codes", F.array().cast("array<string>"))
@@ -283,16 +316,16 @@ def explain_gaps(scored: DataFrame) -> DataFrame:
 
 
 def suspects_v2(
-    timeline: DataFrame, prescriptions: DataFrame, baseline: DataFrame, mapping: DataFrame, periods: Periods,
+    timeline: DataFrame, prescriptions: DataFrame, baseline: DataFrame | None, mapping: DataFrame, periods: Periods,
     latest_is_current: bool = False,
 ) -> DataFrame:
     """Gaps against a baseline with evidence features, scores, context, flags and summary."""
-    found = gaps.gaps_v2(timeline, baseline, periods, latest_is_current)
-    events = gap_events(timeline, found, periods)
+    features = period_features(timeline, periods)
+    found = gaps.gaps_from_presence(presence_from_features(features), baseline, latest_is_current)
     rx = prescriptions if latest_is_current else prescriptions.filter(
         clean.in_years(F.col("event_date"), periods.loaded_years)
     )
-    scored = explain_gaps(score_gaps(found, events, rx, periods.reference_date))
+    scored = explain_gaps(score_gaps(found, features, rx, periods.reference_date))
     return lookup.with_description(scored, mapping).withColumn("suspect_type", F.col("gap_type"))
 
 

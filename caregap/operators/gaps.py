@@ -7,7 +7,7 @@ so nothing after it can be skewed, and no anti joins are needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caregap import schemas
@@ -56,29 +56,43 @@ def gaps_v1(timeline: DataFrame, members: DataFrame, periods: Periods) -> DataFr
     )
 
 
-def gaps_v2(timeline: DataFrame, baseline: DataFrame, periods: Periods, latest_is_current: bool = False) -> DataFrame:
-    """Both directions against a given baseline table, only for members that have a baseline row.
+def gaps_v2(
+    timeline: DataFrame, baseline: DataFrame | None, periods: Periods, latest_is_current: bool = False
+) -> DataFrame:
+    """Both directions against a baseline, only for members that have a baseline row.
 
+    Without a baseline table the historical pairs of the timeline are the baseline.
     ``latest_is_current`` is the batch-run rule, where no later year exists yet.
     """
-    seen = pair_presence(timeline, periods).filter("in_current OR in_latest")
-    base = baseline.select(*PAIR).filter(F.col("bene_id").isNotNull() & F.col("hcc_v28").isNotNull()).distinct()
-    off = F.lit(False)
-    pairs = (
-        seen.select(*PAIR, off.alias("in_base"), "in_current", "in_latest")
-        .unionByName(base.select(*PAIR, F.lit(True).alias("in_base"), off.alias("in_current"), off.alias("in_latest")))
-        .groupBy(*PAIR)
-        .agg(*[F.max(c).alias(c) for c in ("in_base", "in_current", "in_latest")])
-        .filter("in_base <> in_current")
-        .join(base.select("bene_id").distinct(), "bene_id", "left_semi")
-    )
+    return gaps_from_presence(pair_presence(timeline, periods), baseline, latest_is_current)
+
+
+def gaps_from_presence(presence: DataFrame, baseline: DataFrame | None, latest_is_current: bool = False) -> DataFrame:
+    flags = ("in_base", "in_current", "in_latest")
+    if baseline is None:
+        pairs = presence.withColumnRenamed("in_historical", "in_base").select(*PAIR, *flags)
+    else:
+        off, on = F.lit(False), F.lit(True)
+        base = baseline.filter(F.col("bene_id").isNotNull() & F.col("hcc_v28").isNotNull())
+        pairs = (
+            presence.select(*PAIR, off.alias("in_base"), "in_current", "in_latest")
+            .unionByName(base.select(*PAIR, on.alias("in_base"), off.alias("in_current"), off.alias("in_latest")))
+            .groupBy(*PAIR)
+            .agg(*[F.max(c).alias(c) for c in flags])
+        )
+    # One row per category here, so a member's window stays small whatever its event count.
+    has_base = F.max("in_base").over(Window.partitionBy("bene_id"))
     gap_type = F.when(F.col("in_current"), schemas.EMERGING).otherwise(schemas.RECAPTURE)
     seen_latest = F.col("in_current") if latest_is_current else F.col("in_latest")
-    return pairs.select(
-        *PAIR,
-        gap_type.alias("gap_type"),
-        F.lit(schemas.PENDING).alias("status"),
-        text.latest_context(gap_type, seen_latest).alias("latest_context"),
+    return (
+        pairs.withColumn("_has_base", has_base)
+        .filter("_has_base AND in_base <> in_current")
+        .select(
+            *PAIR,
+            gap_type.alias("gap_type"),
+            F.lit(schemas.PENDING).alias("status"),
+            text.latest_context(gap_type, seen_latest).alias("latest_context"),
+        )
     )
 
 

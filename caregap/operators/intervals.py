@@ -7,7 +7,7 @@ most one row per day (and per set of equal fill dates).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW_DAYS = 30
@@ -108,3 +108,28 @@ def prescription_drugs(evidence_days: DataFrame, prescriptions: DataFrame, keys=
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_set("drug_code")).alias("prescription_drug_codes"))
     )
+
+
+# --- the same test on day arrays --------------------------------------------------
+
+
+def member_fill_days(prescriptions: DataFrame) -> DataFrame:
+    """Per member the days with fills and the fill rows on each (at most one entry per calendar day)."""
+    per_day = _fill_days(prescriptions).groupBy("bene_id", "rx_date").agg(F.count("*").alias("n"))
+    return per_day.groupBy("bene_id").agg(F.collect_list(F.struct("rx_date", "n")).alias("fill_days"))
+
+
+def near_fill_days(evidence_days: Column, fill_days: Column, days: int = WINDOW_DAYS) -> Column:
+    """Entries of ``fill_days`` inside the window of any day in ``evidence_days``.
+
+    Where evidence is already one row per pair with its (bounded) set of days,
+    this compares the two arrays in place and needs no exploding join.
+    """
+    return F.filter(
+        F.coalesce(fill_days, F.array().cast("array<struct<rx_date: date, n: bigint>>")),
+        lambda fill: F.exists(evidence_days, lambda day: F.abs(F.datediff(day, fill["rx_date"])) <= days),
+    )
+
+
+def fill_rows(fills: Column) -> Column:
+    return F.aggregate(fills, F.lit(0).cast("bigint"), lambda total, fill: total + fill["n"])

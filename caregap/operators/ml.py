@@ -24,7 +24,7 @@ from caregap.operators.evidence import distinct_small
 from caregap.operators.gaps import PAIR
 from caregap.operators.ranking import global_rank
 from caregap.schemas import PRIORITY_LABELS
-from caregap.session import ensure_checkpoint_dir
+from caregap.session import materialize
 
 RECAPTURE_FEATURES = (
     "diagnosis_count", "unique_icd_count", "active_years", "days_since_last_diagnosis", "unique_claim_count",
@@ -39,12 +39,6 @@ PRIORITY_CATEGORICAL = ("hcc_v28", "gap_type", "suspect_type", "status", "latest
 MODEL_VERSION = "hcc_priority_v1"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage before iterative fitting; the checkpoint survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 # --- data sets -------------------------------------------------------------------
 
 

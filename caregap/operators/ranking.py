@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caregap import schemas
 from caregap.functions import clean, scores
-from caregap.session import ensure_checkpoint_dir
+from caregap.session import materialize
 
 QUEUE_SIZE = 100
 
@@ -21,11 +21,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     partition, so the broadcast does not grow with the data. ``order`` must end
     in a unique key.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .checkpoint()
+        materialize(df.repartitionByRange(*order).sortWithinPartitions(*order))
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )

@@ -218,7 +218,7 @@ _FEATURES_SQL = """count(*) AS diagnosis_count, count(DISTINCT claim_id) AS uniq
 
 @query("a5_evidence_features", f"SELECT bene_id, hcc_v28, gap_type, {_FEATURES_SQL} FROM gap_events GROUP BY bene_id, hcc_v28, gap_type")
 def _(f):
-    return evidence.evidence_features(f.gap_events, GAP).withColumn(
+    return evidence.evidence_features(f.gap_events, GAP).drop("evidence_days").withColumn(
         "supporting_diagnosis_codes", F.concat_ws("|", "supporting_diagnosis_codes")
     )
 
@@ -226,7 +226,7 @@ def _(f):
 @query("a6_evidence_features_raw", f"SELECT bene_id, hcc_v28, {_FEATURES_SQL} FROM mapped WHERE yr = 2000 GROUP BY bene_id, hcc_v28")
 def _(f):
     rows = gaps.diagnoses(f.dx_timeline).filter(clean.in_years(F.col("event_date"), [PERIODS.current]))
-    return evidence.evidence_features(rows, PAIR, blanks_count=True).withColumn(
+    return evidence.evidence_features(rows, PAIR, blanks_count=True).drop("evidence_days").withColumn(
         "supporting_diagnosis_codes", F.concat_ws("|", "supporting_diagnosis_codes")
     )
 
@@ -308,7 +308,7 @@ def _(f):
 
 @query("g4_gaps_v2", "SELECT bene_id, hcc_v28, gap_type, status, latest_context FROM gaps_v2")
 def _(f):
-    return f.gaps_v2
+    return gaps.gaps_v2(f.dx_timeline, f.baseline, PERIODS)
 
 
 @query("g5_member_hcc_pairs", "SELECT DISTINCT bene_id, hcc_v28 FROM mapped WHERE yr = 2000")

@@ -25,6 +25,10 @@ COHORT = 100
 WIDE_SLOTS = 6
 
 
+# Schemas already read from file footers, by path.
+_SCHEMAS: dict = {}
+
+
 def member_id(key: Column) -> Column:
     return clean.numbered_id("B", key, 8)
 
@@ -42,7 +46,10 @@ class Fixtures:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def members(self) -> DataFrame:
@@ -134,7 +141,7 @@ class Fixtures:
 
     @cached_property
     def gaps_v2(self) -> DataFrame:
-        return gaps.gaps_v2(self.dx_timeline, self.baseline, PERIODS)
+        return gaps.gaps_v2(self.dx_timeline, None, PERIODS)
 
     @cached_property
     def gap_events(self) -> DataFrame:
@@ -142,7 +149,7 @@ class Fixtures:
 
     @cached_property
     def suspects_v2(self) -> DataFrame:
-        return evidence.suspects_v2(self.dx_timeline, self.rx, self.baseline, self.mapping, PERIODS)
+        return evidence.suspects_v2(self.dx_timeline, self.rx, None, self.mapping, PERIODS)
 
     # --- review workspace -----------------------------------------------------
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings that fit the plans in this package. Each is set only where
 # the session still has Spark's default, so cluster settings win.
@@ -43,6 +43,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage; the checkpoint survives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def local_session(cpus: int | str = "*", app: str = "caregap", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the bench."""
     spark = (

@@ -13,7 +13,7 @@ from caregap import schemas
 from caregap.functions import clean
 from caregap.operators import evidence, ingest, lookup, review
 from caregap.operators import timeline as timeline_ops
-from caregap.operators.ml import materialize
+from caregap.session import materialize
 from caregap.streaming.store import TableStore
 
 RUNNING, COMPLETED, FAILED = "RUNNING", "COMPLETED", "FAILED"
