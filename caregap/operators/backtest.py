@@ -9,6 +9,7 @@ from caregap.functions import clean, scores
 from caregap.operators import evidence, gaps, intervals, lookup, ranking
 from caregap.operators.evidence import joined_set
 from caregap.operators.gaps import PAIR
+from caregap.operators.quality import side_by_side
 from caregap.schemas import EMERGING, RECAPTURE, TIERS, Periods
 
 
@@ -167,4 +168,4 @@ def join_integrity(events: DataFrame, mapping: DataFrame) -> DataFrame:
         F.count_distinct("diagnosis_code").alias("unique_codes"),
         F.count_distinct(F.when(hcc.isNotNull(), F.struct("diagnosis_code", "hcc_v28"))).alias("unique_code_hcc_pairs"),
     )
-    return before.crossJoin(after).withColumn("fan_out", F.col("rows_after") - F.col("rows_before"))
+    return side_by_side(before, after).withColumn("fan_out", F.col("rows_after") - F.col("rows_before"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from caregap import schemas
 from caregap.functions import clean, scores, text
 from caregap.operators import gaps, intervals, lookup, ranking
+from caregap.operators import timeline as timeline_ops
 from caregap.operators.gaps import PAIR
 from caregap.schemas import EMERGING, RECAPTURE, Periods
 from caregap.session import materialize
@@ -348,9 +349,7 @@ def run_batch_engine(
     def scoped(df: DataFrame) -> DataFrame:
         return df.join(batch_members, "bene_id", "left_semi")
 
-    from caregap.operators.timeline import with_batch
-
-    combined = with_batch(scoped(timeline), claims, mapping)
+    combined = timeline_ops.with_batch(scoped(timeline), claims, mapping)
     return batch_priority(
         suspects_v2(combined, scoped(prescriptions), scoped(baseline), mapping, periods, latest_is_current=True)
     )
@@ -383,6 +382,31 @@ def reference_pages(references: DataFrame, keys: list[str] = GAP) -> DataFrame:
     return list_pages(references, keys, item, "evidence_references")
 
 
+OUTPUT_V2 = (
+    *PAIR, "hcc_description", "gap_type", "suspect_type", "status", "latest_context", *FEATURES, "first_evidence_date",
+    "last_evidence_date", "supporting_diagnosis_codes", "supporting_claim_ids", "prescription_support_count",
+    "prescription_drug_codes", *scores.EVIDENCE_WEIGHTS, "reason_flags", "evidence_summary", "evidence_references",
+    "page", "pages",
+)
+
+
+def suspect_rows_v2(scored: DataFrame, references: DataFrame, prescriptions: DataFrame) -> DataFrame:
+    """Full output layout with claim ids, drug codes and references nested (one row per reference page)."""
+    days = references.select(*GAP, F.col("evidence_date").alias("event_date")).distinct()
+    drugs = intervals.prescription_drugs(days, prescriptions, GAP)
+    empty = F.array().cast("array<string>")
+    claim_ids = F.array_sort(F.array_distinct(F.transform("evidence_references", lambda r: r["claim_id"])))
+    rows = scored.join(drugs, GAP, "left").join(reference_pages(references), GAP, "left")
+    return rows.withColumns(
+        {
+            "prescription_drug_codes": F.coalesce("prescription_drug_codes", empty),
+            "supporting_claim_ids": F.coalesce(claim_ids, empty),
+            "page": F.coalesce("page", F.lit(1).cast("bigint")),
+            "pages": F.coalesce("pages", F.lit(1).cast("bigint")),
+        }
+    ).select(*OUTPUT_V2)
+
+
 def gap_sources(references: DataFrame, keys: list[str] = GAP) -> DataFrame:
     return references.groupBy(*keys).agg(joined_set("source").alias("sources"))
 
@@ -414,7 +438,7 @@ def payload(pages: bool = True) -> Column:
            .alias("claim_ids"), F.col("evidence_references").alias("references")] if pages else []),
     )
     return F.struct(
-        "bene_id", F.col("hcc_v28").cast("int").alias("hcc_v28"), "hcc_description", "gap_type", "latest_context",
+        "bene_id", F.col("hcc_v28").try_cast("int").alias("hcc_v28"), "hcc_description", "gap_type", "latest_context",
         F.col("reason_flags").alias("evidence_flags"), evidence.alias("evidence"),
         F.col("evidence_summary").alias("summary"), F.lit(text.REVIEW_INSTRUCTION).alias("review_instruction"),
     )

@@ -64,7 +64,7 @@ def prescription_row_counts(evidence_days: DataFrame, prescriptions: DataFrame,
 
 
 def _fill_groups(prescriptions: DataFrame) -> DataFrame:
-    """Fills grouped by member and by the sorted set of dates their id occurs on.
+    """Fill ids counted per member and sorted set of dates they occur on.
 
     An id normally has one date; grouping by the date set keeps ids that were
     recorded on several dates countable exactly once.
@@ -72,15 +72,14 @@ def _fill_groups(prescriptions: DataFrame) -> DataFrame:
     per_id = (
         _fill_days(prescriptions)
         .groupBy("bene_id", "event_id")
-        .agg(F.array_sort(F.collect_set("rx_date")).alias("rx_dates"), F.min("drug_code").alias("drug_code"))
+        .agg(F.array_sort(F.collect_set("rx_date")).alias("rx_dates"))
     )
-    return per_id
+    return per_id.groupBy("bene_id", "rx_dates").agg(F.count("*").alias("_ids"))
 
 
 def prescription_hits(evidence_days: DataFrame, prescriptions: DataFrame, keys=("bene_id", "hcc_v28")) -> DataFrame:
     """Distinct (pair, date set) matches with the number of distinct fill ids behind each."""
-    groups = _fill_groups(prescriptions).groupBy("bene_id", "rx_dates").agg(F.count("*").alias("_ids"))
-    days = groups.withColumn("rx_date", F.explode("rx_dates"))
+    days = _fill_groups(prescriptions).withColumn("rx_date", F.explode("rx_dates"))
     return (
         interval_join(evidence_days, days, "bene_id", "event_date", "rx_date")
         .select(*keys, "rx_dates", "_ids")
@@ -98,11 +97,15 @@ def prescription_support(evidence_days: DataFrame, prescriptions: DataFrame, key
 
 
 def prescription_drugs(evidence_days: DataFrame, prescriptions: DataFrame, keys=("bene_id", "hcc_v28")) -> DataFrame:
-    """Sorted distinct drug codes of the matching fills (bounded by the drug vocabulary)."""
-    hits = prescription_hits(evidence_days, prescriptions, keys).drop("_ids")
-    drugs = _fill_groups(prescriptions).select("bene_id", "rx_dates", "drug_code").distinct()
+    """Sorted distinct drug codes of the matching fill rows (bounded by the drug vocabulary)."""
+    drugs = _fill_days(prescriptions).select("bene_id", "rx_date", "drug_code").distinct()
+    days = interval_join(
+        evidence_days, drugs.select("bene_id", "rx_date").distinct(), "bene_id", "event_date", "rx_date"
+    )
     return (
-        hits.join(drugs, ["bene_id", "rx_dates"])
+        days.select(*keys, "rx_date")
+        .distinct()
+        .join(drugs, ["bene_id", "rx_date"])
         .select(*keys, "drug_code")
         .distinct()
         .groupBy(*keys)

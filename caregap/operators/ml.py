@@ -123,8 +123,8 @@ def stratified_folds(rows: DataFrame, label: str = "target", folds: int = 5) ->
 def class_weights(rows: DataFrame, label: str = "target", name: str = "class_weight") -> DataFrame:
     """Balanced weight ``n / (classes * n_class)`` beside each row (one side row per class)."""
     per_class = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    totals = per_class.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
-    weights = per_class.crossJoin(F.broadcast(totals)).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias(name))
+    share = per_class.agg(F.sum("_n") / F.count("*")).scalar()
+    weights = per_class.select(label, (share / F.col("_n")).alias(name))
     return rows.join(F.broadcast(weights), label)
 
 
@@ -211,10 +211,10 @@ def preprocess_stages(numeric: list[str], categorical: list[str]) -> list:
 
 
 def fill_categories(rows: DataFrame, categorical: list[str]) -> DataFrame:
-    """Missing categories get the column's most frequent value (lowest value on ties); one side row."""
-    modes = rows.agg(*[F.mode(c, True).alias(f"_mode_{c}") for c in categorical])
-    joined = rows.crossJoin(F.broadcast(modes))
-    return joined.withColumns({c: F.coalesce(c, f"_mode_{c}") for c in categorical}).drop(*modes.columns)
+    """Missing categories get the column's most frequent value (lowest value on ties)."""
+    modes = rows.agg(F.struct(*[F.mode(c, True).alias(c) for c in categorical])).scalar()
+    filled = rows.withColumn("_modes", modes)
+    return filled.withColumns({c: F.coalesce(F.col(c), F.col(f"_modes.{c}")) for c in categorical}).drop("_modes")
 
 
 def _numeric(rows: DataFrame, columns) -> DataFrame:

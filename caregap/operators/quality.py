@@ -16,6 +16,12 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One-row frames as one row: stacked with nulls, then folded by ``max`` (no cross join)."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return _stack([df.agg(F.count("*").alias("row_count")).withColumn("table_name", F.lit(n)) for n, df in tables.items()])
 
@@ -97,7 +103,7 @@ def candidate_quality(timeline: DataFrame, candidates: DataFrame, periods: Perio
         F.count_distinct("bene_id").alias("members_with_candidates"),
         F.count_if(F.col("evidence_count") >= 2).alias("multi_support"),
     )
-    return rows.crossJoin(pairs).crossJoin(found)
+    return side_by_side(rows, pairs, found)
 
 
 def suspect_quality(members: DataFrame, baseline: DataFrame, suspects: DataFrame) -> DataFrame:
@@ -109,7 +115,7 @@ def suspect_quality(members: DataFrame, baseline: DataFrame, suspects: DataFrame
         *[F.count_if(t == x).alias(x.lower()) for x in TIERS],
     )
     b = baseline.agg(F.count("*").alias("baseline_records"), F.count_distinct("bene_id").alias("members_with_baseline"))
-    row = members.agg(F.count("*").alias("members")).crossJoin(b).crossJoin(s)
+    row = side_by_side(members.agg(F.count("*").alias("members")), b, s)
     return row.withColumns(
         {f"{x.lower()}_pct": F.round(clean.percent(F.col(x.lower()), F.col("suspects")), 4) for x in TIERS}
     )

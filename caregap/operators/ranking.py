@@ -104,10 +104,11 @@ def review_scores(candidates: DataFrame, severity: DataFrame | None = None, use_
     else:
         levels = severity.select("hcc_v28", "severity_level")
         joined = ranked.join(levels, "hcc_v28", "left")
-        # One row: the largest level that occurs among the candidates.
-        largest = joined.agg(F.max("severity_level").alias("_largest"))
+        # Scalar subquery: the largest level that occurs among the candidates.
+        occurring = levels.join(candidates.select("hcc_v28"), "hcc_v28", "left_semi")
+        largest = occurring.agg(F.max("severity_level")).scalar()
         ranked = (
-            joined.crossJoin(F.broadcast(largest))
+            joined.withColumn("_largest", largest)
             .withColumn(
                 "severity_score",
                 F.when(F.col("_largest") > 0, scores.unit_clip(F.col("severity_level") / F.col("_largest"))).otherwise(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caregap import schemas
 from caregap.functions import clean, scores
 from caregap.operators import ranking
+from caregap.operators.quality import side_by_side
 from caregap.schemas import DECISIONS, EMERGING, PENDING, RECAPTURE, REVIEWED
 
 SUPPORTING_EVENTS = 50
@@ -235,7 +236,7 @@ def member_detail(members: DataFrame, baseline: DataFrame, suspects: DataFrame,
 
 
 def dashboard(members: DataFrame, baseline: DataFrame, suspects: DataFrame) -> DataFrame:
-    """Eight headline numbers in one row (three one-row aggregates side by side)."""
+    """Eight headline numbers in one row."""
     m = members.agg(F.count("bene_id").alias("total_members"))
     b = baseline.agg(F.count_distinct("bene_id").alias("members_with_baseline"))
     kind = F.upper("suspect_type")
@@ -247,7 +248,7 @@ def dashboard(members: DataFrame, baseline: DataFrame, suspects: DataFrame) -> D
         F.count_if(F.col("status") == REVIEWED).alias("reviewed_count"),
         F.count_if(F.col("status") == PENDING).alias("pending_count"),
     )
-    return m.crossJoin(b).crossJoin(s)
+    return side_by_side(m, b, s)
 
 
 def hcc_pivot(suspects: DataFrame) -> DataFrame:
@@ -261,17 +262,25 @@ def hcc_pivot(suspects: DataFrame) -> DataFrame:
     )
 
 
-def score_histogram(suspects: DataFrame) -> DataFrame:
+def _tier_counts() -> list[Column]:
     s = F.col("priority_score")
-    return suspects.agg(
+    return [
         F.count_if(s >= scores.HIGH_FROM).alias("high"),
         F.count_if((s >= scores.MEDIUM_FROM) & (s < scores.HIGH_FROM)).alias("medium"),
         F.count_if(s < scores.MEDIUM_FROM).alias("low"),
-    )
+    ]
+
+
+def _decision_counts() -> list[Column]:
+    return [F.count_if(F.col("decision") == d).alias(d.lower()) for d in DECISIONS]
+
+
+def score_histogram(suspects: DataFrame) -> DataFrame:
+    return suspects.agg(*_tier_counts())
 
 
 def decision_counts(reviews: DataFrame) -> DataFrame:
-    return reviews.agg(*[F.count_if(F.col("decision") == d).alias(d.lower()) for d in DECISIONS])
+    return reviews.agg(*_decision_counts())
 
 
 def overview(members: DataFrame, baseline: DataFrame, suspects: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -285,10 +294,10 @@ def overview(members: DataFrame, baseline: DataFrame, suspects: DataFrame, decis
         F.count("*").alias("total"),
         F.count_if(F.col("suspect_type") == EMERGING).alias("emerging"),
         F.count_if(F.col("suspect_type") == RECAPTURE).alias("recapture"),
+        *_tier_counts(),
     )
-    d = decided.agg(F.count("*").alias("reviewed")).crossJoin(decision_counts(decided))
-    row = members.agg(F.count("*").alias("members")).crossJoin(b).crossJoin(s).crossJoin(score_histogram(suspects))
-    row = row.crossJoin(d)
+    d = decided.agg(F.count("*").alias("reviewed"), *_decision_counts())
+    row = side_by_side(members.agg(F.count("*").alias("members")), b, s, d)
     shares = {f"{t}_pct": F.round(clean.percent(F.col(t), F.col("total")), 4) for t in ("high", "medium", "low")}
     return row.withColumns(shares).withColumn("pending", F.col("total") - F.col("reviewed"))
 

@@ -484,6 +484,23 @@ def _(f):
     )
 
 
+@query(
+    "s11_suspect_rows_v2",
+    """SELECT s.bene_id, s.hcc_v28, s.gap_type, s.supporting_diagnosis_codes, c.supporting_claim_ids,
+              coalesce(s.prescription_drug_codes, '') AS prescription_drug_codes, c.refs, CAST(1 AS BIGINT) AS pages
+       FROM suspects_v2 s JOIN (SELECT bene_id, hcc_v28, gap_type, string_agg(DISTINCT claim_id, '|' ORDER BY claim_id) AS supporting_claim_ids,
+                                       count(*) AS refs FROM gap_events GROUP BY bene_id, hcc_v28, gap_type) c
+         ON c.bene_id = s.bene_id AND c.hcc_v28 = s.hcc_v28 AND c.gap_type = s.gap_type""",
+)
+def _(f):
+    rx = f.rx.filter(clean.in_years(F.col("event_date"), PERIODS.loaded_years))
+    rows = evidence.suspect_rows_v2(f.suspects_v2, evidence.evidence_references(f.gap_events), rx)
+    return rows.select(
+        *GAP, flat("supporting_diagnosis_codes"), flat("supporting_claim_ids"), flat("prescription_drug_codes"),
+        F.size("evidence_references").cast("bigint").alias("refs"), "pages",
+    )
+
+
 @query(
     "s13_payload_records",
     """SELECT bene_id, hcc_v28, gap_type, latest_context, evidence_summary AS summary, diagnosis_count AS evidence_rows,

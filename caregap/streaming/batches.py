@@ -201,7 +201,9 @@ class ClaimsPipeline:
 
     def add_prescriptions(self, fills: DataFrame, run_id: str) -> int:
         """Append fills of known members that are not stored yet."""
-        fresh = ingest.insert_prescriptions(fills, self.history.prescriptions, self.history.members)
+        added = self.store.read("events_prescription", schemas.EVENTS_PRESCRIPTION)
+        stored = self.history.prescriptions.select("event_id").unionByName(added.select("event_id"))
+        fresh = ingest.insert_prescriptions(fills, stored, self.history.members)
         self.store.write_partition(fresh, "events_prescription", run_id=run_id)
         return self.store.read_partition("events_prescription", run_id=run_id).count()
 

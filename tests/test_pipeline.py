@@ -104,3 +104,4 @@ def test_prescriptions_are_added_once(spark, pipeline):
         [("A", "PDE_1", "1", None, "N1"), ("A", "PDE_2", "2", None, "N1"), ("A", "PDE_2", "2", None, "N1"), ("X", "PDE_3", "3", None, "N1")],
         schemas.EVENTS_PRESCRIPTION)
     assert pipeline.add_prescriptions(fills, "R1") == 1
+    assert pipeline.add_prescriptions(fills, "R2") == 0
