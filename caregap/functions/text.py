@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from caregap.functions.clean import fixed_decimals
 
-# Fixed wording of the review texts.
+# --- fixed values: wording of the review texts, which readers and stored records rely on ---
+
 NO_EVIDENCE = "No current evidence; review data completeness before acting"
 REVIEW_INSTRUCTION = (
     "Review the associated medical record and encounter documentation. "
@@ -21,12 +24,65 @@ ENVELOPE = {
         "conclusions. Recommend human record review."
     ),
 }
+SUMMARY_PARTS = {
+    "diagnosis_count": "{n} supporting diagnosis event(s)",
+    "distinct_sources": "{n} source type(s)",
+    "distinct_evidence_months": "evidence across {n} month(s)",
+    "unique_claim_count": "{n} claim(s)",
+    "principal_diagnosis_count": "includes principal diagnosis evidence",
+    "prescription_support_count": "{n} prescription event(s) within +/-30 days",
+}
+SUMMARY_LATEST = "latest diagnosis evidence {day}"
 DEFAULT_SOURCES = "Carrier / Outpatient Claims"
 DEFAULT_CODES = "ICD-10 clinical diagnosis"
+LABEL = "{description} (HCC {hcc})"
+TITLE = "{gap_type} Gap: {label}"
+EMERGING_TEXT = (
+    "Beneficiary {bene_id} presents with an Emerging Documentation Gap for {label}. "
+    "This condition was not documented in the historical 2-year baseline profile and has newly emerged in current claims."
+)
+RECAPTURE_TEXT = (
+    "Beneficiary {bene_id} has a documented historical baseline for {label} that requires annual recapture. "
+    "Current claims evidence shows active persistence supporting continued risk adjustment documentation."
+)
+RANK_TEXT = " (Global Reviewer Rank #{rank})"
+NARRATIVE = (
+    "{explanation} Evaluated with {priority} priority (Score: {score}){rank}. Atomic evidence includes {diagnoses} "
+    "diagnosis event(s) (ICD-10: {codes}) from {first} to {last} via {sources}.{fills}"
+)
+FILLS_TEXT = " Part D therapy is actively aligned with {fills} fill(s)."
+POINT_DIAGNOSES = (
+    "Documented across {diagnoses} diagnosis event(s) across {claims} unique claim(s) between {first} and {last}."
+)
+POINT_SOURCES = "Encounters identified across clinical care settings: {sources}."
+POINT_PRINCIPAL = (
+    "Recorded as Principal Inpatient Diagnosis in {principal} encounter(s), indicating high clinical acuity."
+)
+POINT_FILLS = "Supported by {fills} matching Part D pharmacy fill(s) demonstrating active medical management."
+POINT_NO_FILLS = "No concurrent Part D pharmacy fills detected for direct disease management."
+CHECKLIST = (
+    "Verify clinical encounter notes signed by a qualified provider for ICD-10 code(s): {codes}.",
+    "Confirm active management, evaluation, assessment, or treatment (MEAT criteria) during encounters dated "
+    "{first} to {last}.",
+    "Check face-to-face provider documentation status for CMS-HCC V28 risk adjustment compliance.",
+)
 RECOMMENDATION = (
     "Review associated medical record documentation to confirm MEAT compliance before risk adjustment submission."
 )
 
+# --- end of fixed values -----------------------------------------------------------------------
+
+
+def fill(template: str, **values: Column) -> Column:
+    """Template with ``{name}`` places as one concatenated column; null if any used value is null."""
+    pieces: list[Column] = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            pieces.append(F.lit(literal))
+        if name:
+            pieces.append(values[name].cast("string"))
+    return F.concat(*pieces)
+
 
 def latest_context(gap_type: Column, seen_latest: Column) -> Column:
     return (
@@ -38,38 +94,29 @@ def latest_context(gap_type: Column, seen_latest: Column) -> Column:
 
 
 def reason_flags() -> Column:
-    return F.array_compact(
-        F.array(
-            F.when(F.col("recency_score") >= 0.75, "RECENT_EVIDENCE"),
-            F.when(F.col("frequency_score") >= 0.75, "FREQUENT_EVIDENCE"),
-            F.when(F.col("persistence_score") >= 0.75, "PERSISTENT_EVIDENCE"),
-            F.when(F.col("source_diversity_score") >= 1.0, "MULTIPLE_SOURCE_TYPES"),
-            F.when(F.col("principal_diagnosis_count") > 0, "PRINCIPAL_DIAGNOSIS_PRESENT"),
-            F.when(F.col("prescription_support_count") > 0, "PRESCRIPTION_SUPPORTED"),
-            F.col("latest_context"),
-        )
-    )
-
-
-def _counted(column: str, suffix: str, prefix: str = "") -> Column:
-    n = F.col(column)
-    return F.when(n > 0, F.concat(F.lit(prefix), n.cast("string"), F.lit(suffix)))
+    """Flags in fixed order, the latest context last."""
+    rules = {
+        "RECENT_EVIDENCE": F.col("recency_score") >= 0.75,
+        "FREQUENT_EVIDENCE": F.col("frequency_score") >= 0.75,
+        "PERSISTENT_EVIDENCE": F.col("persistence_score") >= 0.75,
+        "MULTIPLE_SOURCE_TYPES": F.col("source_diversity_score") >= 1.0,
+        "PRINCIPAL_DIAGNOSIS_PRESENT": F.col("principal_diagnosis_count") > 0,
+        "PRESCRIPTION_SUPPORTED": F.col("prescription_support_count") > 0,
+    }
+    flags = [F.when(rule, flag) for flag, rule in rules.items()]
+    return F.array_compact(F.array(*flags, F.col("latest_context")))
 
 
 def evidence_summary() -> Column:
-    sentence = F.concat_ws(
-        "; ",
-        _counted("diagnosis_count", " supporting diagnosis event(s)"),
-        _counted("distinct_sources", " source type(s)"),
-        _counted("distinct_evidence_months", " month(s)", "evidence across "),
-        _counted("unique_claim_count", " claim(s)"),
-        F.when(F.col("principal_diagnosis_count") > 0, "includes principal diagnosis evidence"),
-        _counted("prescription_support_count", " prescription event(s) within +/-30 days"),
-        F.concat(F.lit("latest diagnosis evidence "), F.col("last_evidence_date").cast("string")),
-    )
+    parts = [F.when(F.col(c) > 0, fill(t, n=F.col(c))) for c, t in SUMMARY_PARTS.items()]
+    sentence = F.concat_ws("; ", *parts, fill(SUMMARY_LATEST, day=F.col("last_evidence_date")))
     return F.when(sentence == "", NO_EVIDENCE).otherwise(sentence)
 
 
+def _or_default(c: Column, default: str | Column) -> Column:
+    return F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit(default) if isinstance(default, str) else default)
+
+
 def narrative_columns() -> dict[str, Column]:
     """Title, narrative, evidence points and checklist for a scored candidate row.
 
@@ -77,82 +124,44 @@ def narrative_columns() -> dict[str, Column]:
     diagnosis_count, unique_claim_count, principal_diagnosis_count, prescription_support_count,
     first_evidence_date, last_evidence_date, sources, diagnosis_codes`` (codes as an array).
     """
-    col = F.col
-    hcc = col("hcc_v28").cast("string")
-    described = F.coalesce(F.nullif(col("hcc_description"), F.lit("")), F.concat(F.lit("HCC "), hcc))
-    label = F.concat(described, F.lit(" (HCC "), hcc, F.lit(")"))
-    first = F.coalesce(col("first_evidence_date").cast("string"), F.lit("N/A"))
-    last = F.coalesce(col("last_evidence_date").cast("string"), F.lit("N/A"))
-    codes = F.coalesce(F.nullif(F.concat_ws(", ", col("diagnosis_codes")), F.lit("")), F.lit(DEFAULT_CODES))
-    sources = F.coalesce(F.nullif(col("sources"), F.lit("")), F.lit(DEFAULT_SOURCES))
-    n_dx, n_claims = col("diagnosis_count").cast("string"), col("unique_claim_count").cast("string")
-    n_rx, n_principal = col("prescription_support_count"), col("principal_diagnosis_count")
-    explanation = F.when(
-        col("gap_type") == "EMERGING",
-        F.concat(
-            F.lit("Beneficiary "), col("bene_id"), F.lit(" presents with an Emerging Documentation Gap for "), label,
-            F.lit(". This condition was not documented in the historical 2-year baseline profile and has newly "
-                  "emerged in current claims."),
+    hcc, gap_type = F.col("hcc_v28"), F.col("gap_type")
+    label = fill(LABEL, description=_or_default(F.col("hcc_description"), fill("HCC {hcc}", hcc=hcc)), hcc=hcc)
+    values = {
+        "bene_id": F.col("bene_id"),
+        "gap_type": gap_type,
+        "label": label,
+        "priority": F.col("priority"),
+        "score": fixed_decimals(F.col("priority_score"), 2),
+        "diagnoses": F.col("diagnosis_count"),
+        "claims": F.col("unique_claim_count"),
+        "principal": F.col("principal_diagnosis_count"),
+        "first": _or_default(F.col("first_evidence_date"), "N/A"),
+        "last": _or_default(F.col("last_evidence_date"), "N/A"),
+        "codes": _or_default(F.concat_ws(", ", "diagnosis_codes"), DEFAULT_CODES),
+        "sources": _or_default(F.col("sources"), DEFAULT_SOURCES),
+    }
+    n_fills, n_rank = F.col("prescription_support_count"), F.col("review_rank")
+    narrative = fill(
+        NARRATIVE,
+        **values,
+        explanation=F.when(gap_type == "EMERGING", fill(EMERGING_TEXT, **values)).otherwise(
+            fill(RECAPTURE_TEXT, **values)
         ),
-    ).otherwise(
-        F.concat(
-            F.lit("Beneficiary "), col("bene_id"), F.lit(" has a documented historical baseline for "), label,
-            F.lit(" that requires annual recapture. Current claims evidence shows active persistence supporting "
-                  "continued risk adjustment documentation."),
-        )
-    )
-    rank = F.when(
-        col("review_rank") > 0,
-        F.concat(F.lit(" (Global Reviewer Rank #"), col("review_rank").cast("string"), F.lit(")")),
-    ).otherwise("")
-    narrative = F.concat(
-        explanation, F.lit(" Evaluated with "), col("priority"), F.lit(" priority (Score: "),
-        fixed_decimals(col("priority_score"), 2), F.lit(")"), rank, F.lit(". Atomic evidence includes "),
-        n_dx, F.lit(" diagnosis event(s) (ICD-10: "), codes, F.lit(") from "), first, F.lit(" to "), last,
-        F.lit(" via "), sources, F.lit("."),
-        F.when(
-            n_rx > 0,
-            F.concat(F.lit(" Part D therapy is actively aligned with "), n_rx.cast("string"), F.lit(" fill(s).")),
-        ).otherwise(""),
+        rank=F.when(n_rank > 0, fill(RANK_TEXT, rank=n_rank)).otherwise(""),
+        fills=F.when(n_fills > 0, fill(FILLS_TEXT, fills=n_fills)).otherwise(""),
     )
     points = F.array_compact(
         F.array(
-            F.concat(
-                F.lit("Documented across "), n_dx, F.lit(" diagnosis event(s) across "), n_claims,
-                F.lit(" unique claim(s) between "), first, F.lit(" and "), last, F.lit("."),
-            ),
-            F.concat(F.lit("Encounters identified across clinical care settings: "), sources, F.lit(".")),
-            F.when(
-                n_principal > 0,
-                F.concat(
-                    F.lit("Recorded as Principal Inpatient Diagnosis in "), n_principal.cast("string"),
-                    F.lit(" encounter(s), indicating high clinical acuity."),
-                ),
-            ),
-            F.when(
-                n_rx > 0,
-                F.concat(
-                    F.lit("Supported by "), n_rx.cast("string"),
-                    F.lit(" matching Part D pharmacy fill(s) demonstrating active medical management."),
-                ),
-            ).otherwise("No concurrent Part D pharmacy fills detected for direct disease management."),
+            fill(POINT_DIAGNOSES, **values),
+            fill(POINT_SOURCES, **values),
+            F.when(F.col("principal_diagnosis_count") > 0, fill(POINT_PRINCIPAL, **values)),
+            F.when(n_fills > 0, fill(POINT_FILLS, fills=n_fills)).otherwise(POINT_NO_FILLS),
         )
     )
-    checklist = F.array(
-        F.concat(
-            F.lit("Verify clinical encounter notes signed by a qualified provider for ICD-10 code(s): "), codes,
-            F.lit("."),
-        ),
-        F.concat(
-            F.lit("Confirm active management, evaluation, assessment, or treatment (MEAT criteria) during "
-                  "encounters dated "), first, F.lit(" to "), last, F.lit("."),
-        ),
-        F.lit("Check face-to-face provider documentation status for CMS-HCC V28 risk adjustment compliance."),
-    )
     return {
-        "summary_title": F.concat(col("gap_type"), F.lit(" Gap: "), label),
+        "summary_title": fill(TITLE, **values),
         "clinical_narrative": narrative,
         "evidence_breakdown": points,
-        "verification_checklist": checklist,
+        "verification_checklist": F.array(*[fill(item, **values) for item in CHECKLIST]),
         "recommendation": F.lit(RECOMMENDATION),
     }

@@ -151,7 +151,7 @@ def _(f):
 
 
 @query(
-    "x13_x15_year_month_and_days",
+    "x13_x14_x15_year_month_and_days",
     """SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS yr, strftime(o_orderdate, '%Y-%m') AS month,
               CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-12-31') AS INTEGER) AS days FROM orders""",
 )
@@ -175,7 +175,7 @@ def _(f):
 
 
 @query(
-    "x17_x21_score_shapes",
+    "x17_x18_x20_x21_score_shapes",
     """SELECT bene_id, hcc_v28, round(least(n / 5.0e0, 1.0e0), 4) AS saturated, round(1.0e0 - exp(-n / 15.0e0), 4) AS curve,
               round(exp(-d / 365.0e0), 4) AS decay, round(greatest(0.0e0, least(1.0e0, n / 2.0e0 - 0.4e0)), 4) AS clipped,
               CASE WHEN n / 8.0e0 >= 0.75 THEN 'HIGH' WHEN n / 8.0e0 >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS tier

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from caregap import schemas
@@ -183,7 +184,8 @@ class ClaimsPipeline:
         its own partitions, and one that had completed is skipped.
         """
         columns = [f for f in schemas.CLAIMS_BATCH.fields if f.name != "extra"]
-        stream = self.spark.readStream.schema(schemas.T.StructType(columns)).csv(directory, header=True)
+        # Header names are checked against the schema, so files with another column order fail instead of shifting.
+        stream = self.spark.readStream.schema(T.StructType(columns)).csv(directory, header=True, enforceSchema=False)
 
         def process(rows: DataFrame, number: int) -> None:
             batch_id, run_id = f"{prefix}-{number:08d}", f"RUN-{prefix}-{number:08d}"
