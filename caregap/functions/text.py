@@ -164,4 +164,8 @@ def narrative_columns() -> dict[str, Column]:
         "evidence_breakdown": points,
         "verification_checklist": F.array(*[fill(item, **values) for item in CHECKLIST]),
         "recommendation": F.lit(RECOMMENDATION),
+        "ml_assessment": F.struct(
+            F.col("priority").alias("priority"), F.round("priority_score", 4).alias("priority_score"),
+            n_rank.alias("review_rank"),
+        ),
     }

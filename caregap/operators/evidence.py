@@ -454,11 +454,22 @@ def payload_rows(scored: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def narratives(scored: DataFrame) -> DataFrame:
-    """Reviewer narrative columns for scored gaps; ``sources`` and ``review_rank`` are optional."""
-    rows = scored
-    for name, default in (("sources", F.lit(None).cast("string")), ("review_rank", F.lit(None).cast("bigint"))):
-        if name not in rows.columns:
-            rows = rows.withColumn(name, default)
-    return rows.withColumn("diagnosis_codes", F.col("supporting_diagnosis_codes")).withColumns(
-        text.narrative_columns()
-    )
+    """Reviewer narrative columns for scored gaps.
+
+    Model priority, score and rank are told where a model scored the gap, else
+    the rule-based ones; ``sources`` is optional.
+    """
+    text_null, number_null = F.lit(None).cast("string"), F.lit(None).cast("double")
+    optional = {
+        "sources": text_null, "ml_priority": text_null, "ml_priority_score": number_null,
+        "ml_review_rank": F.lit(None).cast("bigint"),
+    }
+    rows = scored.withColumns({c: v for c, v in optional.items() if c not in scored.columns})
+    told = {
+        "priority": F.upper(F.coalesce("ml_priority", "priority")),
+        # A model score of zero falls back to the rule score, as an absent one does.
+        "priority_score": F.coalesce(F.nullif("ml_priority_score", F.lit(0.0)), "priority_score"),
+        "review_rank": F.col("ml_review_rank"),
+        "diagnosis_codes": F.col("supporting_diagnosis_codes"),
+    }
+    return rows.withColumns(told).withColumns(text.narrative_columns())

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caregap.functions import clean
 
@@ -45,6 +46,33 @@ def reject_missing(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("reason", F.when(blank, F.lit(f"Missing {key}")))
 
 
+def bulk_load(raw: DataFrame, schema: T.StructType, key: str | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+    """Text rows of a stored table as typed columns with a ``reason`` for rejected rows.
+
+    With ``key`` the first row per key is kept; ``required`` names further columns
+    that must not be blank. Absent columns read as null, blanks become null,
+    unparsable dates become null, unparsable numbers 0.
+    """
+    rows = raw if "row_idx" in raw.columns else raw.withColumn("row_idx", F.monotonically_increasing_id() + 1)
+    absent = {f.name: F.lit(None).cast("string") for f in schema if f.name not in rows.columns}
+    rows = rows.withColumns(absent) if absent else rows
+    checked = reject_duplicates(rows, key, also_required=required) if key else reject_missing(rows, required[0])
+    parse = {"date": clean.iso_date, "boolean": _bool_or_null, "double": clean.parse_float, "bigint": clean.parse_int}
+    typed = [parse.get(f.dataType.simpleString(), clean.blank_to_null)(F.col(f.name)).alias(f.name) for f in schema]
+    return checked.select("row_idx", *typed, "reason")
+
+
+def _bool_or_null(c: Column) -> Column:
+    return F.when(clean.blank_to_null(c).isNotNull(), clean.parse_bool(c))
+
+
+def load_counters(loaded: DataFrame) -> DataFrame:
+    return loaded.agg(
+        F.count("*").alias("processed"), F.count_if(F.col("reason").isNull()).alias("inserted"),
+        F.count("reason").alias("rejected"),
+    )
+
+
 def validate_batch(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Batch claims with a ``reason`` per rejected row and the typed columns for accepted ones.
 

@@ -10,6 +10,25 @@ from caregap.functions import clean
 from caregap.operators import lookup
 
 
+def normalized(timeline: DataFrame) -> DataFrame:
+    """Timeline text as the engines expect it: trimmed ids, lower-case types, upper-case sources, integer categories."""
+    def text(c: str):
+        return clean.blank_to_null(F.col(c))
+
+    hcc = clean.to_number(text("hcc_v28")).cast("bigint").cast("string")
+    return timeline.select(
+        text("bene_id").alias("bene_id"),
+        clean.iso_date(F.col("event_date")).alias("event_date"),
+        F.lower(text("event_type")).alias("event_type"),
+        text("code").alias("code"),
+        hcc.alias("hcc_v28"),
+        F.upper(text("source")).alias("source"),
+        text("claim_id").alias("claim_id"),
+        text("event_id").alias("event_id"),
+        clean.parse_bool(F.col("is_principal"), accept_y=True).alias("is_principal"),
+    )
+
+
 def diagnosis_rows(events: DataFrame, mapping: DataFrame) -> DataFrame:
     coded = events.withColumn("code", F.upper(clean.strip(F.col("diagnosis_code"))))
     return lookup.with_hcc(coded, mapping, "code").select(
@@ -35,7 +54,10 @@ def build_timeline(events: DataFrame, prescriptions: DataFrame, mapping: DataFra
 
 
 def claim_rows(claims: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Batch claims as timeline rows, mapped on the fly; the event id carries the batch."""
+    """Batch claims as timeline rows, mapped on the fly; the event id carries the batch and the claim or row."""
+    own_id = F.col("claim_id")
+    if "row_idx" in claims.columns:
+        own_id = F.coalesce(own_id, F.col("row_idx").cast("string"))
     coded = claims.withColumn("code", clean.strip(F.col("diagnosis_code")))
     return lookup.with_hcc(coded, mapping, "code").select(
         "bene_id",
@@ -45,7 +67,7 @@ def claim_rows(claims: DataFrame, mapping: DataFrame) -> DataFrame:
         "hcc_v28",
         F.upper("source").alias("source"),
         "claim_id",
-        F.concat_ws(":", "batch_id", "claim_id").alias("event_id"),
+        F.concat_ws(":", F.col("batch_id"), own_id).alias("event_id"),
         F.coalesce("is_principal", F.lit(False)).alias("is_principal"),
     )
 

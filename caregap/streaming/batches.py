@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from caregap import schemas
 from caregap.functions import clean
-from caregap.operators import evidence, ingest, lookup, review
+from caregap.operators import evidence, ingest, intervals, lookup, ml, ranking, review
 from caregap.operators import timeline as timeline_ops
 from caregap.session import materialize
 from caregap.streaming.store import TableStore
@@ -47,9 +48,18 @@ def suspect_table(scored: DataFrame, references: DataFrame, run_id: str) -> Data
         "source_diversity_score", "principal_score", "prescription_score", "priority_score", "reason_flags",
         "evidence_summary",
     ]
+    optional = [
+        c for c in ("prescription_drug_codes", "ml_priority", "ml_priority_score", "ml_low_probability",
+                    "ml_medium_probability", "ml_high_probability", "ml_model_version", "ml_review_rank", "ml_top_100")
+        if c in rows.columns
+    ]
     return rows.select(
         clean.suspect_key(F.col("bene_id"), F.col("hcc_v28"), F.col("gap_type")).alias("suspect_id"),
         *pairs,
+        *optional,
+        F.col("diagnosis_count").alias("evidence_count"),
+        F.col("source_diversity_score").alias("diversity_score"),
+        F.col("priority").alias("priority_level"),
         F.concat_ws("|", "supporting_diagnosis_codes").alias("supporting_diagnosis_codes"),
         (F.col("prescription_support_count") > 0).alias("has_prescription_support"),
         F.lit(run_id).alias("run_id"),
@@ -60,7 +70,8 @@ def review_payloads(scored: DataFrame, references: DataFrame) -> DataFrame:
     """Reviewer records of a run: JSON input, deterministic narrative and its structured output."""
     narrated = evidence.narratives(scored.join(evidence.gap_sources(references), evidence.GAP, "left"))
     output = F.to_json(
-        F.struct("summary_title", "clinical_narrative", "evidence_breakdown", "verification_checklist", "recommendation")
+        F.struct("summary_title", "clinical_narrative", "evidence_breakdown", "verification_checklist", "ml_assessment",
+                 "recommendation")
     )
     texts = narrated.select(*evidence.GAP, F.col("clinical_narrative").alias("reviewer_summary"), output.alias("output_payload"))
     return evidence.payload_rows(scored, references).join(texts, evidence.GAP).select(
@@ -73,8 +84,8 @@ def review_payloads(scored: DataFrame, references: DataFrame) -> DataFrame:
 class ClaimsPipeline:
     """Runs claims batches against a table store."""
 
-    def __init__(self, spark: SparkSession, store: TableStore, history: History):
-        self.spark, self.store, self.history = spark, store, history
+    def __init__(self, spark: SparkSession, store: TableStore, history: History, model: PipelineModel | None = None):
+        self.spark, self.store, self.history, self.model = spark, store, history, model
 
     # --- run log ----------------------------------------------------------------
 
@@ -104,7 +115,7 @@ class ClaimsPipeline:
         staged = self.store.read_partition("staged_claims", run_id=run_id)
         checked = materialize(ingest.validate_batch(staged, self.history.members))
         accepted = checked.filter(F.col("reason").isNull()).select(
-            "claim_id", "bene_id", "claim_date", clean.blank_to_null(F.col("diagnosis_code")).alias("diagnosis_code"),
+            "row_idx", "claim_id", "bene_id", "claim_date", clean.blank_to_null(F.col("diagnosis_code")).alias("diagnosis_code"),
             clean.blank_to_null(F.col("source")).alias("source"),
             clean.parse_bool(F.col("is_principal"), accept_y=True).alias("is_principal"), "raw_payload",
         )
@@ -129,9 +140,11 @@ class ClaimsPipeline:
         if claims.isEmpty():
             raise ValueError(f"Claim batch contains no claims: {batch_id}")
         periods = evidence.batch_periods(claims, current_year)
-        scored = materialize(
-            evidence.run_batch_engine(h.timeline, claims, h.prescriptions, h.baseline, h.mapping, periods)
-        )
+        scored = evidence.run_batch_engine(h.timeline, claims, h.prescriptions, h.baseline, h.mapping, periods)
+        if self.model is not None:
+            # Ranks are positions inside this batch; the model never adds or removes gaps.
+            scored = ranking.rank_by_expected_priority(ml.score_priority(scored, self.model))
+        scored = materialize(scored)
         unknown = lookup.orphans(scored.select("bene_id"), h.members).first()
         if unknown is not None:
             raise ValueError(f"Engine output references unknown bene_id: {unknown['bene_id']}")
@@ -139,7 +152,9 @@ class ClaimsPipeline:
         combined = timeline_ops.with_batch(scoped, claims, h.mapping)
         references = materialize(evidence.evidence_references(evidence.gap_events(combined, scored, periods)))
         payloads = materialize(review_payloads(scored, references))
-        keyed = scored.withColumn("suspect_id", clean.suspect_key(F.col("bene_id"), F.col("hcc_v28"), F.col("gap_type")))
+        evidence_days = references.select(*evidence.GAP, F.col("evidence_date").alias("event_date")).distinct()
+        drugs = intervals.prescription_drugs(evidence_days, h.prescriptions, evidence.GAP)
+        keyed = scored.join(drugs, evidence.GAP, "left").withColumn("suspect_id", clean.suspect_key(F.col("bene_id"), F.col("hcc_v28"), F.col("gap_type")))
         summaries = payloads.filter("page = 1").select("suspect_id", "reviewer_summary")
         told = keyed.join(summaries, "suspect_id", "left")
         self.store.write_partition(evidence.evidence_rows(references, told, run_id), "suspect_evidence", run_id=run_id)

@@ -39,6 +39,7 @@ def test_batch_run_and_replay(spark, pipeline):
     assert set(suspects) == {"SUS-A-226-EMERGING", "SUS-A-37-RECAPTURE"}
     emerging = suspects["SUS-A-226-EMERGING"]
     assert emerging.latest_context == "CONTINUED" and emerging.prescription_support_count == 1
+    assert emerging.prescription_drug_codes == ["N1"] and emerging.evidence_count == 1
     assert emerging.sources == "INPATIENT" and emerging.hcc_description == "Heart failure"
     assert suspects["SUS-A-37-RECAPTURE"].latest_context == "STILL_ABSENT"
     with pytest.raises(ValueError, match="Claim batch already exists"):
@@ -105,3 +106,23 @@ def test_prescriptions_are_added_once(spark, pipeline):
         schemas.EVENTS_PRESCRIPTION)
     assert pipeline.add_prescriptions(fills, "R1") == 1
     assert pipeline.add_prescriptions(fills, "R2") == 0
+
+
+def test_claims_without_id_stay_apart(spark, pipeline):
+    rows = spark.createDataFrame(
+        [("A", None, "2023-01-05", "I509", "CARRIER", "no"), ("A", None, "2023-01-05", "I509", "CARRIER", "no")], CLAIMS)
+    assert pipeline.run_batch(rows, "B1", "R1")["evidence"] == 2 + 2
+
+
+def test_model_priority_and_rank_are_stored(spark, pipeline):
+    from caregap.operators import evidence, ml
+    from caregap.plans.fixtures import Fixtures
+
+    f = Fixtures(spark, "/root/testdata/sf0.001")
+    rows = evidence.batch_priority(f.suspects_v2)
+    rows = rows.withColumn("disease_priority", F.when(F.col("recency_score") > 0.8, "HIGH").otherwise(F.col("priority")))
+    pipeline.model = ml.fit_priority(rows)
+    pipeline.run_batch(batch(spark), "B1", "R1")
+    stored = pipeline.store.snapshot("suspects").collect()
+    assert sorted(r.ml_review_rank for r in stored) == [1, 2] and all(r.ml_top_100 for r in stored)
+    assert all(f"Global Reviewer Rank #{r.ml_review_rank}" in r.evidence_summary for r in stored)

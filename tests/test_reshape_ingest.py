@@ -2,7 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from caregap.operators import ingest, lookup, reshape
+from caregap import schemas
+from caregap.operators import ingest, lookup, reshape, timeline
 
 
 def claims(spark, rows):
@@ -112,3 +113,32 @@ def test_insert_ignore_keeps_one_row_per_key(spark):
     new = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1)], "k string, v int")
     old = spark.createDataFrame([("b", 9)], "k string, v int")
     assert [tuple(r) for r in ingest.insert_ignore(new, old, "k").collect()] == [("a", 1)]
+
+
+def test_bulk_load_types_and_rejections(spark):
+    raw = spark.createDataFrame(
+        [(1, "P1", " M1 ", "2023-01-05x"), (2, "P1", "M1", "2023-01-06"), (3, "P2", "", "2023-01-06"), (4, "P3", "M2", "soon")],
+        "row_idx int, event_id string, bene_id string, event_date string",
+    )
+    loaded = ingest.bulk_load(raw, schemas.EVENTS_PRESCRIPTION, "event_id", ("bene_id",))
+    got = {r.row_idx: (r.bene_id, r.event_date and str(r.event_date), r.drug_code, r.reason) for r in loaded.collect()}
+    assert got == {
+        1: ("M1", "2023-01-05", None, None),
+        2: ("M1", "2023-01-06", None, "Duplicate event_id: P1"),
+        3: (None, "2023-01-06", None, "Missing event_id or bene_id"),
+        4: ("M2", None, None, None),
+    }
+    assert ingest.load_counters(loaded).first().asDict() == {"processed": 4, "inserted": 2, "rejected": 2}
+
+
+def test_normalized_timeline(spark):
+    raw = spark.createDataFrame(
+        [(" A ", "2000-01-02 00:00", " Diagnosis", "X ", "37.0", "carrier", "c", "", "Y"), ("B", "x", "prescription", "N", "", "PDE", "", "e", "")],
+        "bene_id string, event_date string, event_type string, code string, hcc_v28 string, source string, claim_id string, "
+        "event_id string, is_principal string",
+    )
+    got = [tuple(str(v) for v in r) for r in timeline.normalized(raw).collect()]
+    assert got == [
+        ("A", "2000-01-02", "diagnosis", "X", "37", "CARRIER", "c", "None", "True"),
+        ("B", "None", "prescription", "N", "None", "PDE", "None", "e", "False"),
+    ]
