@@ -272,7 +272,7 @@ def period_features(timeline: DataFrame, periods: Periods) -> DataFrame:
     """Features of every pair and window (as the gap side it would support) from one pass over the timeline.
 
     Also computes pairs that turn out to be no gap: that costs less than finding
-    the gaps first and joining all events to them. Checkpointed, because presence,
+    the gaps first and joining all events to them. Stored, because presence,
     scores and the prescription match all start from it.
     """
     day = F.col("event_date")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caregap import schemas
 from caregap.functions import clean, scores
-from caregap.session import materialize
+from caregap.session import checkpointed
 
 QUEUE_SIZE = 100
 
@@ -22,7 +22,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     in a unique key.
     """
     placed = (
-        materialize(df.repartitionByRange(*order).sortWithinPartitions(*order))
+        checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order))
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
