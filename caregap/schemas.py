@@ -30,40 +30,40 @@ _TYPES = {
 }
 
 
-def _struct(spec: str) -> T.StructType:
+def struct_of(spec: str) -> T.StructType:
     """Schema from ``name type`` pairs; works without a session, unlike DDL parsing."""
     pairs = (column.split(" ") for column in spec.split(", "))
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
-MEMBERS = _struct(
+MEMBERS = struct_of(
     "bene_id string, birth_date date, sex string, race string, state string, county string, "
     "zip string, esrd_indicator string, death_date date, enrollment_years string"
 )
-HCC_MAPPING = _struct("diagnosis_code string, description string, hcc_v28 string, payment_2026 boolean")
-EVENTS_DIAGNOSIS = _struct(
+HCC_MAPPING = struct_of("diagnosis_code string, description string, hcc_v28 string, payment_2026 boolean")
+EVENTS_DIAGNOSIS = struct_of(
     "bene_id string, event_id string, claim_id string, event_date date, source string, "
     "diagnosis_code string, is_principal boolean"
 )
-EVENTS_PRESCRIPTION = _struct("bene_id string, event_id string, pde_id string, event_date date, drug_code string")
-MEMBER_TIMELINE = _struct(
+EVENTS_PRESCRIPTION = struct_of("bene_id string, event_id string, pde_id string, event_date date, drug_code string")
+MEMBER_TIMELINE = struct_of(
     "bene_id string, event_date date, event_type string, code string, hcc_v28 string, source string, "
     "claim_id string, event_id string, is_principal boolean"
 )
-MEMBER_HCC_BASELINE = _struct(
+MEMBER_HCC_BASELINE = struct_of(
     "bene_id string, hcc_v28 string, hcc_description string, baseline_diagnosis_codes string, "
     "baseline_claim_count bigint, first_baseline_date date, last_baseline_date date, sources string"
 )
-CLAIMS_BATCH = _struct(
+CLAIMS_BATCH = struct_of(
     "bene_id string, claim_id string, claim_date string, diagnosis_code string, source string, "
     "is_principal string, extra map<string,string>"
 )
-CLAIMS = _struct(
+CLAIMS = struct_of(
     "batch_id string, claim_id string, bene_id string, claim_date date, diagnosis_code string, "
     "source string, is_principal boolean, raw_payload string"
 )
-REJECTIONS = _struct("source_file string, row_index bigint, raw_data string, reason string")
-REVIEW_DECISIONS = _struct(
+REJECTIONS = struct_of("source_file string, row_index bigint, raw_data string, reason string")
+REVIEW_DECISIONS = struct_of(
     "review_id string, suspect_id string, bene_id string, hcc_v28 string, suspect_type string, "
     "priority_score double, decision string, notes string, reviewer_timestamp timestamp"
 )

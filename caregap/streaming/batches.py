@@ -20,7 +20,7 @@ from caregap.streaming.store import TableStore
 
 RUNNING, COMPLETED, FAILED = "RUNNING", "COMPLETED", "FAILED"
 PROMPT_VERSION = "1.0"
-RUN_SCHEMA = schemas._struct(
+RUN_SCHEMA = schemas.struct_of(
     "run_id string, status string, batch_id string, source_file string, input_rows bigint, valid_rows bigint, "
     "rejected_rows bigint, inserted_rows bigint, suspects bigint, evidence bigint, payloads bigint, "
     "error_message string, logged_at timestamp"
@@ -128,7 +128,7 @@ class ClaimsPipeline:
         counters = ingest.batch_counters(checked).first().asDict()
         batch = self.spark.createDataFrame(
             [(run_id, source_file, counters["inserted_rows"], "PROCESSED")],
-            schemas._struct("run_id string, source_file string, row_count bigint, status string"),
+            schemas.struct_of("run_id string, source_file string, row_count bigint, status string"),
         )
         self.store.write_partition(batch.coalesce(1), "claim_batches", batch_id=batch_id)
         return counters
