@@ -53,10 +53,11 @@ def shard_by_bytes(
     pieces between equal cuts, so each is a contiguous piece of the layout.
 
     Equal texts stay together: the copies of a text form a unit that is never cut.
-    A group above half a shard is first split into units of about that size. Units
-    are laid out and cut first; the single documents then fill each shard up to
-    the common level, again by prefix sum and cuts. Shards therefore differ by
-    about one document, unless more than half of all bytes are copies.
+    A group larger than a shard cannot; it is split into units of about an eighth
+    of a shard. A document above a thirty-second of a shard is a unit too. Units
+    are laid out and cut first; the other documents then fill each shard up to the
+    common level, again by prefix sum and cuts. Shards therefore differ by about
+    one small document, unless units alone exceed the level.
 
     Only ids, sizes and hashes are shuffled, and texts are read once. The driver
     receives one number per shard.
@@ -79,12 +80,16 @@ def shard_by_bytes(
     )
     key = ["h", "text_crc32", "size"]
     total = rows.agg(F.sum("size")).first()[0] or 0
-    unit_limit = max(1, total // shards // 2)
+    target = max(1, total // shards)
     groups = (
         rows.groupBy(*key)
         .count()
-        .filter("count > 1")
-        .select(*key, F.ceil(F.col("count") * F.col("size") / F.lit(unit_limit)).alias("units"))
+        .filter((F.col("count") > 1) | (F.col("size") * 32 > target))
+        .withColumn("bytes", F.col("count") * F.col("size"))
+        .select(
+            *key,
+            F.when(F.col("bytes") <= target, F.lit(1)).otherwise(F.ceil(F.col("bytes") * 8 / F.lit(target))).cast("bigint").alias("units"),
+        )
     )
     dealt = rows.join(groups, key, "left").withColumn(
         "unit", F.when(F.col("units").isNotNull(), F.pmod(F.xxhash64("doc_id", "h"), F.col("units")))
