@@ -114,17 +114,10 @@ def hits(
     Spans are ``item_id, first_word, end_word, first_byte, end_byte`` (ends
     exclusive), one for each item and unbroken stretch.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-size // broadcast_bytes))
     rows = texts_only(docs, id_col, text_col)
-    for k in range(slices):
-        part = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        # Bounded: a slice holds about broadcast_bytes of text.
-        held = [(r.item_id, (r.text or "").encode()) for r in part.collect()]
-        grams = spark.sparkContext.broadcast(NGrams.of(held, n))
-        last = k == slices - 1
+    slices = _slices(benchmark, n, broadcast_bytes)
+    for k, grams in enumerate(slices):
+        last = k == len(slices) - 1
         rows = rows.mapInArrow(
             _scanner(grams, not last),
             f"doc_id bigint, {'' if last else 'text string, '}n_words bigint, spans array<{_SPAN}>",
@@ -134,6 +127,20 @@ def hits(
     return rows
 
 
+def _slices(benchmark: DataFrame, n: int, broadcast_bytes: int) -> list:
+    """Broadcast n-grams of the whole benchmark, or of several slices of it where it is larger than ``broadcast_bytes``."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(1, -(-size // broadcast_bytes))
+    slices = []
+    for k in range(count):
+        part = items if count == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
+        held = [(r.item_id, (r.text or "").encode()) for r in part.collect()]  # about broadcast_bytes of text
+        slices.append(spark.sparkContext.broadcast(NGrams.of(held, n)))
+    return slices
+
+
 def _scanner(grams, keep_text: bool):
     kind = pa.list_(
         pa.struct([("item_id", pa.int64()), *((c, pa.int32()) for c in ("first_word", "end_word", "first_byte", "end_byte"))])
@@ -195,10 +202,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, **name
     return report(hits(docs, benchmark, n, **names))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM) -> DataFrame:
-    """The documents without any hit, all columns kept. Rows are told apart by id and text."""
-    bad = hits(docs.select("doc_id", "text"), benchmark, n).filter(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """The documents (text and any other columns) without any hit, judged row by row in place."""
+
+    def only_clean(grams):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: NGrams = grams.value
+            for batch in batches:
+                texts = batch.column("text")
+                clean = []
+                for k in range(batch.num_rows):
+                    words = words_of((texts[k].as_py() or "").encode())
+                    numbers = np.fromiter(map(own.vocabulary.get, words, repeat(0)), np.int64, len(words))
+                    clean.append(not (len(words) and own.find(numbers)))
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for grams in _slices(benchmark, n, broadcast_bytes):
+        docs = docs.mapInArrow(only_clean(grams), docs.schema)
+    return docs
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM) -> DataFrame:

@@ -183,3 +183,21 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return map_texts(texts_only(docs, id_col, text_col), work, "doc_id bigint, lang_pred string, score double").withColumn(
         "accepted", (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= model.reject_below)
     )
+
+
+def keep_accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The documents (doc_id, text and any other columns) whose language is accepted, judged row by row in place."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            texts = batch.column("text")
+            accepted = []
+            for k in range(batch.num_rows):
+                text = texts[k].as_py()
+                language, score = own.predict(None if text is None else text.encode())
+                accepted.append(language != UNKNOWN and score >= own.reject_below)
+            yield batch.filter(pa.array(accepted, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
