@@ -21,12 +21,17 @@ BANDS, ROWS = 20, 5
 HASHES = 128
 # Equal bits of two one-bit signatures below which a pair at the limit would be more than five deviations off.
 LEAST_EQUAL_BITS = 102
+# The members of buckets that stay mixed get longer signatures; the same five and a half deviations.
+FINE_HASHES = 1024
+LEAST_EQUAL_FINE_BITS = 901
+_FINE = [f"fine{k}" for k in range(FINE_HASHES // 64)]
 # Pivot rounds go on while the pairs left to compare exceed this multiple of the bucket members.
 LINEAR = 8
 _BLOCK = 1 << 16
+_CACHE_BYTES = 64 << 20
 _RNG = np.random.default_rng(20_241)
-_A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_A, _FINE_A = (_RNG.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (HASHES, FINE_HASHES))
+_B, _FINE_B = (_RNG.integers(0, 1 << 63, n, dtype=np.uint64) for n in (HASHES, FINE_HASHES))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SIGNATURE = "doc_id bigint, n_shingles bigint, words binary, bands array<bigint>, bits0 bigint, bits1 bigint"
 
@@ -53,9 +58,9 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """Smallest value of each universal hash over each non-empty set: len(sets) x HASHES."""
-    out = np.full((len(sets), HASHES), np.iinfo(np.uint32).max, np.uint32)
+def minima(sets: list[np.ndarray], factors: np.ndarray = _A, shifts: np.ndarray = _B) -> np.ndarray:
+    """Smallest value of each universal hash over each non-empty set: len(sets) x hashes."""
+    out = np.full((len(sets), len(factors)), np.iinfo(np.uint32).max, np.uint32)
     first = 0
     while first < len(sets):
         last, total = first, 0
@@ -67,8 +72,8 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
         for low in range(0, len(flat), _BLOCK):  # more than one turn only for a single large set
             part = flat[low : low + _BLOCK]
             at = starts if last - first > 1 else np.zeros(1, np.int64)
-            for j in range(HASHES):
-                found = np.minimum.reduceat((part * _A[j] + _B[j]) >> np.uint64(32), at)
+            for j in range(len(factors)):
+                found = np.minimum.reduceat((part * factors[j] + shifts[j]) >> np.uint64(32), at)
                 out[first:last, j] = np.minimum(out[first:last, j], found.astype(np.uint32))
         first = last
     return out
@@ -84,7 +89,7 @@ def _signatures(ids: pa.Array, texts: list[bytes | None]):
         bands = (bands + low[:, r : BANDS * ROWS : ROWS]) * _FACTOR
         bands ^= bands >> np.uint64(29)
     bands = (bands + np.arange(BANDS, dtype=np.uint64)) * _FACTOR
-    bits = np.packbits((low & 1).astype(np.uint8), axis=1).view(np.int64)
+    bits = _one_bit(low)
     keys: list = [None] * len(sets)
     for k in some:
         keys[k] = xxhash.xxh3_128_digest(b" ".join(words[k]))
@@ -104,44 +109,78 @@ def _signatures(ids: pa.Array, texts: list[bytes | None]):
     }
 
 
+def _one_bit(low: np.ndarray) -> np.ndarray:
+    """Lowest bit of every minimum, 64 to a number."""
+    return np.packbits((low & 1).astype(np.uint8), axis=1).view(np.int64)
+
+
+def _fine_signatures(ids: pa.Array, texts: list[bytes | None]):
+    bits = _one_bit(minima([shingle_set(words_of(t)) for t in texts], _FINE_A, _FINE_B))
+    yield {"doc_id": ids, **{c: pa.array(np.ascontiguousarray(bits[:, k])) for k, c in enumerate(_FINE)}}
+
+
+class _Sets(dict):
+    """Shingle sets of recently seen texts, at most ``_CACHE_BYTES``; texts meet again in the pairs of a group."""
+
+    held = 0
+
+    def __missing__(self, text: bytes) -> np.ndarray:
+        found = shingle_set(words_of(text))
+        size = len(text) + found.nbytes
+        if self.held + size > _CACHE_BYTES:
+            self.clear()
+            self.held = 0
+        if size <= _CACHE_BYTES:
+            self[text] = found
+            self.held += size
+        return found
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the pairs whose full shingle sets are similar enough."""
-    last_text, last_set = None, None
+    sets = _Sets()
     for batch in batches:
         left = batch.column("text_a").cast(pa.binary())
         right = batch.column("text_b").cast(pa.binary())
         keep = np.zeros(batch.num_rows, bool)
         for k in range(batch.num_rows):
-            text = left[k].as_py()
-            if text != last_text:  # rows of one pivot come together
-                last_text, last_set = text, shingle_set(words_of(text))
-            other = shingle_set(words_of(right[k].as_py()))
-            common = len(np.intersect1d(last_set, other, assume_unique=True))
-            keep[k] = 100 * common >= PERCENT * (len(last_set) + len(other) - common)
+            one, other = sets[left[k].as_py()], sets[right[k].as_py()]
+            both = np.concatenate((one, other))
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            keep[k] = 100 * common >= PERCENT * (len(both) - common)
         yield pa.RecordBatch.from_arrays(
             [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"]
         )
 
 
+def _equal_bits(x: str, y: str, columns: list[str]):
+    return 64 * len(columns) - sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns)
+
+
 def _near(x: str, y: str):
     """Pairs that the sizes and the signatures leave open (``x`` and ``y`` are column prefixes)."""
     nx, ny = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    equal = 128 - sum(
-        F.bit_count(F.col(f"{x}.bits{k}").bitwiseXOR(F.col(f"{y}.bits{k}"))) for k in (0, 1)
-    )
-    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * PERCENT) & (equal >= LEAST_EQUAL_BITS)
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * PERCENT) & (_equal_bits(x, y, ["bits0", "bits1"]) >= LEAST_EQUAL_BITS)
 
 
 class _Linker:
     """Links between class representatives, found bucket by bucket without listing all pairs of a bucket."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.docs = docs
+        self.docs, self.classes = docs, classes
         members = classes.select("rep", "n_shingles", "bits0", "bits1", F.explode("bands").alias("bucket"))
-        ends = members.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).filter("pivot < top")
-        # Members of buckets with company, each with the bucket's first pivot.
-        self.members = materialize(members.join(ends.select("bucket", "pivot"), "bucket"))
-        self.texts = materialize(docs.join(self.members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+        shared = (
+            members.groupBy("bucket")
+            .agg(F.min("rep").alias("low"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("size"))
+            .filter("low < top")
+            .select("bucket", "size")
+        )
+        held = materialize(members.join(shared, "bucket"))
+        # The text that most others were made from meets the most of them: it is the best pivot of its buckets.
+        company = held.groupBy("rep").agg(F.sum("size").alias("company"))
+        self.members = materialize(held.drop("size").join(company, "rep"))
+        self.texts = materialize(docs.join(company.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b), those whose whole texts confirm the link."""
@@ -150,64 +189,70 @@ class _Linker:
         both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint"))
 
-    def to_pivots(self, members: DataFrame) -> DataFrame:
+    def pivots(self, candidates: DataFrame) -> DataFrame:
+        """For each bucket the candidate with the most company, the smallest of equal ones."""
+        best = F.max(F.struct("company", (-F.col("rep")).alias("minus")))
+        return candidates.groupBy("bucket").agg(best.alias("best")).select("bucket", (-F.col("best.minus")).alias("pivot"))
+
+    def to_pivots(self, members: DataFrame, pivots: DataFrame) -> DataFrame:
         """Open pairs of each member with the pivot of its bucket: one row per membership at most."""
-        heads = self.members.select(F.col("rep").alias("pivot"), "n_shingles", "bits0", "bits1").dropDuplicates(["pivot"])
+        heads = self.classes.select(F.col("rep").alias("pivot"), "n_shingles", "bits0", "bits1")
         return (
-            members.filter("pivot <> rep").alias("m").join(heads.alias("p"), "pivot").filter(_near("m", "p"))
+            members.drop("pivot").join(pivots, "bucket").filter("pivot <> rep").alias("m")
+            .join(heads.alias("p"), "pivot").filter(_near("m", "p"))
             .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
         )
 
-    def labelled(self, links: DataFrame) -> DataFrame:
-        """Members of the buckets that still hold more than one component, each with its component."""
+    def mixed(self, links: DataFrame, first: DataFrame) -> DataFrame:
+        """Members of the buckets that still hold several components: label, the pivot and its label (home), bucket size."""
         labels = connected_components(links)
         marked = self.members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
             "label", F.coalesce("component", "rep")
-        )
-        mixed = (
+        ).drop("component")
+        several = (
             marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
             .filter("lo < hi AND size > 2").select("bucket", "size")
         )
-        home = marked.filter("rep = pivot").select("bucket", F.col("label").alias("home"))
-        return materialize(
-            marked.select("bucket", "rep", "n_shingles", "bits0", "bits1", "pivot", "label").join(mixed, "bucket").join(home, "bucket")
-        )
+        homes = first.join(marked.select("bucket", F.col("rep").alias("pivot"), F.col("label").alias("home")), ["bucket", "pivot"])
+        return materialize(marked.join(several.join(homes, "bucket"), "bucket"))
 
     def links(self) -> DataFrame:
         """All confirmed links that decide the components.
 
-        Every member is compared with the smallest of its bucket. A bucket whose
-        members are then in one component is done. In the others, the members
-        outside the first pivot's component (strays) must still be compared with
-        all members of other components. While that is much more than linear, a
-        round with another pivot among the strays comes first, which is linear;
-        then the rest is compared in full, cut by size and signature inside the
-        join, so that only open pairs come out of it.
+        Every member is compared with the pivot of its bucket. A bucket whose members
+        are then in one component is done. In the others, the members outside the
+        pivot's component (strays) must still be compared with all members of other
+        components. While that is much more than linear and pivots help, a round with
+        another pivot among the strays comes first, which is linear. Then the rest is
+        compared in full; sizes and signatures are looked at inside the join, so only
+        open pairs come out of it, each in one bucket only.
         """
-        links = self.confirmed(self.to_pivots(self.members))
-        turn = 0
+        first = materialize(self.pivots(self.members))
+        links = self.confirmed(self.to_pivots(self.members, first))
+        before = None
         while True:
-            mixed = self.labelled(links)
+            mixed = self.mixed(links, first)
             strays = mixed.filter("label <> home")
-            work = strays.agg(F.sum("size"), F.count(F.lit(1))).first()
-            if not work[1]:
+            work = strays.agg(F.sum("size")).first()[0]
+            if not work:
                 return links
-            if work[0] <= LINEAR * mixed.count():
-                break
-            lot = F.xxhash64("rep", F.lit(turn))
-            pick = strays.groupBy("bucket").agg(F.min_by("rep", lot).alias("next"))
-            pairs = self.to_pivots(mixed.join(pick, "bucket").drop("pivot").withColumnRenamed("next", "pivot"))
-            more = self.confirmed(pairs)
-            turn += 1
-            if more.isEmpty():
+            if work <= LINEAR * mixed.count() or (before and work > before / 2):
                 break
-            links = links.unionByName(more)
+            before = work
+            links = links.unionByName(self.confirmed(self.to_pivots(mixed, self.pivots(strays))))
+        texts = self.texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        fine = map_texts(texts, _fine_signatures, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in _FINE))
+        fine = materialize(fine.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]).join(self.classes.select("rep", "bands"), "rep"))
+        strays = strays.join(fine, "rep")
+        mixed = mixed.join(fine, "rep")
         x, y = strays.alias("x"), mixed.alias("y")
-        # A pair of strays meets twice, a pair with the first pivot was compared before.
+        # A pair of strays would meet twice, and a pair with the pivot was compared before.
         rest = x.join(
             y,
             (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.pivot") != F.col("y.rep"))
-            & ((F.col("y.label") == F.col("y.home")) | (F.col("x.rep") < F.col("y.rep"))) & _near("x", "y"),
+            & ((F.col("y.label") == F.col("y.home")) | (F.col("x.rep") < F.col("y.rep"))) & _near("x", "y")
+            & (_equal_bits("x", "y", _FINE) >= LEAST_EQUAL_FINE_BITS)
+            & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")),
         ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         return links.unionByName(self.confirmed(rest))
 
@@ -223,8 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with the same word sequence form a class first; only the smallest id
     of a class is hashed into bands. ``BANDS`` bands of ``ROWS`` minima find a pair
     at the limit with a chance of 1 - 8e-6, closer pairs with more. Candidates go
-    through sizes and one-bit signatures (128 bits; a pair at the limit is lost
-    with a chance below 1e-7), then whole texts confirm them.
+    through sizes and one-bit signatures (128 bits, in mixed buckets also 1024; a
+    pair at the limit is lost with a chance below 1e-6), then whole texts confirm them.
 
     Defined cases: null texts and texts without words are linked with nothing; a
     row with a null id is linked with nothing, its component is null and it is
