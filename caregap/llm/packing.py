@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ PIECE = 512
 BATCH_WINDOWS = 256
 MEMO_WORDS = 500_000
 MEMO_CHARS = 64
+_LATIN_END = 0x250
 
 
 class WordIds(dict):
@@ -30,7 +32,9 @@ class WordIds(dict):
     The tokenizer drops white space and never merges across it, so the ids of a
     text are those of its words in order. Two further splits are exact for its
     pre-tokenizer: a comma or full stop behind letters is a pre-token of its own,
-    and letters are lower-cased.
+    and letters are lower-cased. A word of Latin letters is one pre-token, so the
+    library's merge model takes it directly, without normaliser and pre-tokenizer;
+    ``__init__`` compares both ways on samples.
     """
 
     def __init__(self, path: str):
@@ -43,21 +47,38 @@ class WordIds(dict):
         parts = [i for w in sample.split() for i in self.library.encode(w, add_special_tokens=False).ids]
         if whole != parts:
             raise ValueError("this tokenizer does not treat white space as a border")
+        self.merge = self.library.model.tokenize
+        # The byte-level alphabet: visible Latin-1 characters stand for their byte, the others for 256, 257, ...
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        samples = [f"{x}{y}{x}thed" for x in map(chr, range(97, _LATIN_END)) for y in "eé" if (x * 2).isalpha() and x == x.lower()]
+        for word in samples:
+            if self._letters(word) != self._library(word):
+                raise ValueError(f"the merge model alone does not give the ids of {word!r}")
 
     def __missing__(self, word: str) -> bytes:
         stem = word[:-1]
         if word[-1:] in (",", ".") and stem.isalpha():
             ids = self[stem] + self[word[-1]]
-        elif word.isascii() and not word.islower() and word.isalpha():
-            ids = self[word.lower()]
+        elif word.isalpha() and ord(max(word)) < _LATIN_END and is_normalized("NFC", word):
+            lower = word.lower()
+            ids = self._letters(word) if lower == word else self[lower] if lower.isalpha() else self._library(word)
         else:
-            ids = np.asarray(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self._library(word)
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
+    def _library(self, word: str) -> bytes:
+        return np.asarray(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        plain = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return np.asarray([t.id for t in self.merge(plain)], "<u4").tobytes()
+
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 

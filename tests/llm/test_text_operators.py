@@ -140,6 +140,16 @@ def test_token_memo_stays_bounded(monkeypatch):
     assert counter.count(text) == len(counter.library.encode(text)) and len(counter) <= len(counter.proven) + 11
 
 
+def test_word_ids_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    library, words = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
+    odd = "Été, ÉTÉ. İx ſs ßẞ ŉa Ǆa ǅa ªº e\u0301t\u00e9 Σς ΑΣ it's IT'S a,b a.. x! 12 1a a1 _ - 'll é' ½".split(" ")
+    latin = [chr(a) + chr(b) + "x" for a in range(33, 0x250) for b in (97, 233, 0x301)]
+    for w in [*odd, *latin]:
+        assert np.frombuffer(words[w], "<u4").tolist() == library.encode(w, add_special_tokens=False).ids, w
+
+
 def check_packing(rows, texts, exact_ids=True):
     from tokenizers import Tokenizer
 
