@@ -2,8 +2,9 @@
 
 Lists whose length has a bound (codes of a category, sources, drug codes, days)
 are arrays on the pair row. Lists without a bound (claim ids, event references)
-stay in long form, one row each; ``list_pages`` nests them in arrays of at most
-a page for readers who want the nested layout.
+are tables of their own in every size: one row per item with its position inside
+the pair, while the pair row carries counts. ``nested`` builds full arrays for
+groups that are known to be small.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from caregap.schemas import EMERGING, RECAPTURE, Periods
 from caregap.session import materialize
 
 GAP = [*PAIR, "gap_type"]
-PAGE_SIZE = 1000
-CLAIM_SAMPLE = 10
 
 
 def joined_set(c: Column | str) -> Column:
@@ -34,20 +33,20 @@ def distinct_small(c: Column) -> Column:
     return F.size(F.collect_set(c)).cast("bigint")
 
 
-def list_pages(df: DataFrame, keys: list[str], value: Column, name: str, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Distinct values per key as sorted arrays, one row per page.
+def numbered(items: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Add ``position`` 1, 2, ... inside each key, without bringing a key's rows into one task.
 
-    Keys with up to ``page_size`` values get one page, as a plain nested column
-    would; larger ones are split by hash so that no task holds a whole hot group.
+    Positions are those of one global order minus the first of the key; ``order``
+    must be total inside a key.
     """
-    items = df.select(*keys, value.alias("_item")).filter(F.col("_item").isNotNull()).distinct()
-    sizes = items.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(page_size)).cast("bigint").alias("pages"))
-    return (
-        items.join(sizes, keys)
-        .withColumn("page", F.pmod(F.xxhash64("_item"), F.col("pages")) + 1)
-        .groupBy(*keys, "pages", "page")
-        .agg(F.array_sort(F.collect_list("_item")).alias(name))
-    )
+    ranked = ranking.global_rank(items, [*[F.col(k) for k in keys], *order], "_rank")
+    first = ranked.groupBy(*keys).agg(F.min("_rank").alias("_first"))
+    return ranked.join(first, keys).withColumn("position", F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first")
+
+
+def nested(items: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """All distinct values of each key as one sorted array; for keys that are known to have few."""
+    return items.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias(name))
 
 
 # --- profiles ---------------------------------------------------------------
@@ -90,10 +89,12 @@ def candidates_v0(timeline: DataFrame, periods: Periods) -> DataFrame:
 
 
 def claim_lists(timeline: DataFrame, candidates: DataFrame, periods: Periods) -> DataFrame:
-    """Current-year claim ids behind v0 candidates, in pages."""
-    events = gaps.diagnoses(timeline).filter(clean.in_years(F.col("event_date"), [periods.current]))
-    wanted = events.join(candidates.select(*PAIR), PAIR, "left_semi")
-    return list_pages(wanted, PAIR, F.nullif("claim_id", F.lit("")), "supporting_claim_ids")
+    """Current-year claim ids behind v0 candidates: one row per pair and claim, with its position."""
+    events = gaps.diagnoses(timeline).filter(
+        clean.in_years(F.col("event_date"), [periods.current]) & (F.coalesce("claim_id", F.lit("")) != "")
+    )
+    claims = events.join(candidates.select(*PAIR), PAIR, "left_semi").select(*PAIR, "claim_id").distinct()
+    return numbered(claims, PAIR, [F.col("claim_id")])
 
 
 def period_evidence(timeline: DataFrame, periods: Periods) -> DataFrame:
@@ -181,14 +182,18 @@ def suspects_v1(
     )
 
 
-def claim_samples(timeline: DataFrame, suspects: DataFrame, periods: Periods) -> DataFrame:
-    """First ten sorted claim ids per suspect."""
+def suspect_claims(timeline: DataFrame, suspects: DataFrame, periods: Periods) -> DataFrame:
+    """Claim ids behind v1 suspects, all of them: one row per suspect and claim."""
     day = F.col("event_date")
     events = gaps.diagnoses(timeline).filter(
         clean.in_years(day, (*periods.historical, periods.current)) & (F.coalesce("claim_id", F.lit("")) != "")
     )
-    claims = events.select(*PAIR, "claim_id").distinct().join(suspects.select(*PAIR), PAIR, "left_semi")
-    first = ranking.top_k_per_group(claims, PAIR, [F.col("claim_id")], CLAIM_SAMPLE, "_n")
+    return events.select(*PAIR, "claim_id").distinct().join(suspects.select(*PAIR), PAIR, "left_semi")
+
+
+def claim_samples(timeline: DataFrame, suspects: DataFrame, periods: Periods, size: int) -> DataFrame:
+    """The first ``size`` sorted claim ids of each suspect as text, for the flat v1 layout."""
+    first = ranking.top_k_per_group(suspect_claims(timeline, suspects, periods), PAIR, [F.col("claim_id")], size, "_n")
     return first.groupBy(*PAIR).agg(joined_set("claim_id").alias("supporting_claim_ids"))
 
 
@@ -374,37 +379,42 @@ def evidence_references(events: DataFrame, keys: list[str] = GAP) -> DataFrame:
     )
 
 
-def reference_pages(references: DataFrame, keys: list[str] = GAP) -> DataFrame:
-    """Reference arrays in date order, nested per gap in pages."""
-    item = F.struct(
+def numbered_references(references: DataFrame, keys: list[str] = GAP) -> DataFrame:
+    """References with their position in date order inside each gap."""
+    order = ["evidence_date", "event_id", "claim_id", "diagnosis_code", "source", "is_principal"]
+    return numbered(references, keys, [F.col(c) for c in order])
+
+
+def reference_struct() -> Column:
+    return F.struct(
         F.col("evidence_date").alias("date"), "event_id", "claim_id", "diagnosis_code", "source", "is_principal"
     )
-    return list_pages(references, keys, item, "evidence_references")
+
+
+def gap_claims(references: DataFrame, keys: list[str] = GAP) -> DataFrame:
+    """Claim ids behind each gap: one row per gap and claim, with its position."""
+    claims = references.filter(F.col("claim_id").isNotNull()).select(*keys, "claim_id").distinct()
+    return numbered(claims, keys, [F.col("claim_id")])
 
 
 OUTPUT_V2 = (
     *PAIR, "hcc_description", "gap_type", "suspect_type", "status", "latest_context", *FEATURES, "first_evidence_date",
-    "last_evidence_date", "supporting_diagnosis_codes", "supporting_claim_ids", "prescription_support_count",
-    "prescription_drug_codes", *scores.EVIDENCE_WEIGHTS, "reason_flags", "evidence_summary", "evidence_references",
-    "page", "pages",
+    "last_evidence_date", "supporting_diagnosis_codes", "claim_count", "reference_count", "prescription_support_count",
+    "prescription_drug_codes", *scores.EVIDENCE_WEIGHTS, "reason_flags", "evidence_summary",
 )
 
 
 def suspect_rows_v2(scored: DataFrame, references: DataFrame, prescriptions: DataFrame) -> DataFrame:
-    """Full output layout with claim ids, drug codes and references nested (one row per reference page)."""
+    """Output layout, one row per suspect; its claims and references are ``gap_claims`` and ``numbered_references``."""
     days = references.select(*GAP, F.col("evidence_date").alias("event_date")).distinct()
     drugs = intervals.prescription_drugs(days, prescriptions, GAP)
-    empty = F.array().cast("array<string>")
-    claim_ids = F.array_sort(F.array_distinct(F.transform("evidence_references", lambda r: r["claim_id"])))
-    rows = scored.join(drugs, GAP, "left").join(reference_pages(references), GAP, "left")
-    return rows.withColumns(
-        {
-            "prescription_drug_codes": F.coalesce("prescription_drug_codes", empty),
-            "supporting_claim_ids": F.coalesce(claim_ids, empty),
-            "page": F.coalesce("page", F.lit(1).cast("bigint")),
-            "pages": F.coalesce("pages", F.lit(1).cast("bigint")),
-        }
-    ).select(*OUTPUT_V2)
+    counts = references.groupBy(*GAP).agg(
+        F.count_distinct("claim_id").alias("claim_count"), F.count("*").alias("reference_count")
+    )
+    rows = scored.join(drugs, GAP, "left").join(counts, GAP, "left")
+    return rows.withColumn(
+        "prescription_drug_codes", F.coalesce("prescription_drug_codes", F.array().cast("array<string>"))
+    ).na.fill(0, ["claim_count", "reference_count"]).select(*OUTPUT_V2)
 
 
 def gap_sources(references: DataFrame, keys: list[str] = GAP) -> DataFrame:
@@ -422,20 +432,17 @@ def evidence_rows(references: DataFrame, suspects: DataFrame, run_id: str) -> Da
         clean.suspect_key(F.col("bene_id"), F.col("hcc_v28"), F.col("gap_type")).alias("suspect_id"),
         F.lit(run_id).alias("run_id"), "bene_id", F.lit("DIAGNOSIS").alias("evidence_type"), "evidence_date",
         "diagnosis_code", "claim_id", "source", "evidence_text", "evidence_strength",
-        F.to_json(F.struct("event_id", "claim_id", F.col("evidence_date").alias("date"), "diagnosis_code", "source",
-                           "is_principal")).alias("evidence_metadata"),
+        F.to_json(reference_struct()).alias("evidence_metadata"),
     )
 
 
-def payload(pages: bool = True) -> Column:
-    """Nested reviewer record of a scored gap (with ``claim_ids`` and ``evidence_references`` page columns)."""
+def payload() -> Column:
+    """Reviewer record of a scored gap; its references are records of their own."""
     evidence = F.struct(
         "diagnosis_count", "unique_claim_count", F.col("distinct_evidence_dates").alias("unique_evidence_dates"),
         F.col("distinct_evidence_months").alias("evidence_months"), "distinct_sources", "principal_diagnosis_count",
         "prescription_support_count", "first_evidence_date", "last_evidence_date",
         F.col("supporting_diagnosis_codes").alias("diagnosis_codes"),
-        *([F.array_sort(F.array_distinct(F.transform("evidence_references", lambda r: r["claim_id"])))
-           .alias("claim_ids"), F.col("evidence_references").alias("references")] if pages else []),
     )
     return F.struct(
         "bene_id", F.col("hcc_v28").try_cast("int").alias("hcc_v28"), "hcc_description", "gap_type", "latest_context",
@@ -445,12 +452,11 @@ def payload(pages: bool = True) -> Column:
 
 
 def payload_rows(scored: DataFrame, references: DataFrame) -> DataFrame:
-    """One JSON record per gap and reference page; gaps without references get one record."""
-    pages = reference_pages(references)
-    return scored.join(pages, GAP, "left").select(
-        *GAP, F.coalesce("page", F.lit(1)).alias("page"), F.coalesce("pages", F.lit(1)).alias("pages"),
-        F.to_json(payload()).alias("input_payload"),
-    )
+    """JSON records, the same layout for every size: one per gap (position 0) and one per reference (1, 2, ...)."""
+    gaps_part = scored.select(*GAP, F.lit(0).cast("bigint").alias("position"), F.to_json(payload()).alias("input_payload"))
+    reference = F.struct(*GAP, reference_struct().alias("reference"))
+    listed = numbered_references(references).join(scored.select(*GAP), GAP, "left_semi")
+    return gaps_part.unionByName(listed.select(*GAP, "position", F.to_json(reference).alias("input_payload")))
 
 
 def narratives(scored: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ which is unique and therefore never skewed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,15 +136,8 @@ def source_stats(claims: DataFrame, exploded: DataFrame) -> DataFrame:
     return raw.join(rows, "source", "left").na.fill(0, ["diagnosis_rows"])
 
 
-def fold_extra(rows: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Keep the whole input row, extra fields merged in, as the raw payload; JSON batches have 1..50,000 claims."""
-    n = rows.limit(max_rows + 1).count()
-    if not 1 <= n <= max_rows:
-        raise ValueError(f"A claims batch holds 1 to {max_rows} claims")
-    return with_payload(rows)
-
-
 def with_payload(rows: DataFrame) -> DataFrame:
+    """Keep the whole input row as the raw payload, with the fields of an ``extra`` map merged in."""
     fixed = [c for c in rows.columns if c not in ("extra", "row_idx")]
     base = F.map_from_arrays(
         F.array(*[F.lit(c) for c in fixed]), F.array(*[F.col(c).cast("string") for c in fixed])
@@ -157,9 +150,13 @@ def with_payload(rows: DataFrame) -> DataFrame:
 
 
 def insert_ignore(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """New rows whose key is not stored yet, one row per key; the caller appends them."""
+    """New rows whose key is not stored yet, one row per key; the caller appends them.
+
+    Of several rows one whole row is kept: the one with the fewest nulls, then the smallest.
+    """
     rest = [c for c in new.columns if c != key]
-    fresh = new.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(
+    blanks = sum(F.col(c).isNull().cast("int") for c in rest)
+    fresh = new.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(blanks, *rest)).alias("_row")).select(
         key, *[F.col(f"_row.{c}").alias(c) for c in rest]
     )
     return fresh.join(existing.select(key), key, "left_anti")
@@ -174,7 +171,7 @@ def insert_prescriptions(new: DataFrame, existing: DataFrame, members: DataFrame
 def dedup_training_events(events: DataFrame) -> DataFrame:
     """Two-key deduplication: by event id where given, else by the seven describing columns.
 
-    The smallest row of each group is kept, so the result does not depend on file order.
+    Of each group the row with the fewest nulls, then the smallest, is kept, so the result does not depend on file order.
     """
     described = F.sha2(
         F.concat_ws(
@@ -189,6 +186,23 @@ def dedup_training_events(events: DataFrame) -> DataFrame:
     cols = ["bene_id", "event_date", "hcc_v28", "code", "claim_id", "source", "is_principal", "event_id"]
     return (
         events.groupBy(key.alias("_key"))
-        .agg(F.min(F.struct(*cols)).alias("_row"))
+        .agg(F.min_by(F.struct(*cols), F.struct(sum(F.col(c).isNull().cast("int") for c in cols), *cols)).alias("_row"))
         .select(*[F.col(f"_row.{c}").alias(c) for c in cols])
     )
+
+
+def file_row_numbers(staged: DataFrame, serial: str, name: str = "row_idx") -> DataFrame:
+    """1, 2, ... in file order from a stored ``monotonically_increasing_id``.
+
+    That id counts inside each partition and jumps between them; the rows of the
+    earlier partitions (one number per partition) close the gaps.
+    """
+    part = F.shiftright(serial, 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = staged.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return (
+        staged.withColumn("_part", part)
+        .join(F.broadcast(starts), "_part")  # one row per partition
+        .withColumn(name, F.col("_start") + F.col(serial).bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+        .drop("_part", "_start", serial)
+    )

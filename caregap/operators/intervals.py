@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caregap.session import materialize
+
 WINDOW_DAYS = 30
 
 
@@ -96,6 +98,22 @@ def prescription_support(evidence_days: DataFrame, prescriptions: DataFrame, key
     )
 
 
+def support_and_drugs(evidence_days: DataFrame, prescriptions: DataFrame, keys=("bene_id", "hcc_v28")) -> DataFrame:
+    """Support count and drug codes of each pair from one interval join: its matched days are stored and read twice."""
+    fills = _fill_days(prescriptions)
+    on_days = interval_join(evidence_days, fills.select("bene_id", "rx_date").distinct(), "bene_id", "event_date", "rx_date")
+    days = materialize(on_days.select(*keys, "rx_date").distinct())
+    groups = _fill_groups(prescriptions).withColumn("rx_date", F.explode("rx_dates"))
+    counts = (
+        days.join(groups, ["bene_id", "rx_date"]).select(*keys, "rx_dates", "_ids").distinct()
+        .groupBy(*keys).agg(F.sum("_ids").alias("prescription_support_count"))
+    )
+    drugs = days.join(fills.select("bene_id", "rx_date", "drug_code").distinct(), ["bene_id", "rx_date"]).groupBy(*keys).agg(
+        F.array_sort(F.collect_set("drug_code")).alias("prescription_drug_codes")
+    )
+    return counts.join(drugs, list(keys))
+
+
 def prescription_drugs(evidence_days: DataFrame, prescriptions: DataFrame, keys=("bene_id", "hcc_v28")) -> DataFrame:
     """Sorted distinct drug codes of the matching fill rows (bounded by the drug vocabulary)."""
     drugs = _fill_days(prescriptions).select("bene_id", "rx_date", "drug_code").distinct()

@@ -11,8 +11,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from caregap.functions import clean, scores
 from caregap.operators import gaps, ingest
 from caregap.operators.evidence import distinct_small
 from caregap.operators.gaps import PAIR
-from caregap.operators.ranking import global_rank
+from caregap.operators.ranking import global_rank, running_totals
 from caregap.schemas import PRIORITY_LABELS
 from caregap.session import materialize
 
@@ -131,18 +130,27 @@ def class_weights(rows: DataFrame, label: str = "target", name: str = "class_wei
 # --- models ---------------------------------------------------------------------------
 
 
-def recapture_pipeline(label: str = "target") -> Pipeline:
+def recapture_pipeline(label: str = "target", penalty: float = 0.0) -> Pipeline:
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=list(RECAPTURE_FEATURES), outputCol="raw_features"),
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-            LogisticRegression(labelCol=label, weightCol="class_weight", maxIter=100, regParam=0.0),
+            LogisticRegression(
+                labelCol=label, weightCol="class_weight", maxIter=3000, regParam=penalty, standardization=False
+            ),
         ]
     )
 
 
-def fit_recapture(rows: DataFrame, label: str = "target") -> PipelineModel:
-    return recapture_pipeline(label).fit(class_weights(rows, label))
+def fit_recapture(rows: DataFrame, label: str = "target", c: float = 1.0) -> PipelineModel:
+    """Class-weighted logistic regression with an L2 term of inverse strength ``c``.
+
+    The penalty is divided by the sum of weights, because the loss here is a mean.
+    One difference stays: the intercept is not penalised.
+    """
+    weighted = materialize(class_weights(rows, label))
+    total = weighted.agg(F.sum("class_weight")).first()[0]
+    return recapture_pipeline(label, 1.0 / (c * total)).fit(weighted)
 
 
 def positive_probability(scored: DataFrame, name: str = "recapture_probability") -> DataFrame:
@@ -185,17 +193,33 @@ def threshold_metrics(scored: DataFrame, label: str, probability: str, threshold
     )
 
 
-def area_metrics(scored: DataFrame, label: str, probability: str) -> dict[str, float]:
-    def area(metric: str) -> float:
-        return BinaryClassificationEvaluator(
-            rawPredictionCol=probability, labelCol=label, metricName=metric
-        ).evaluate(scored)
+def area_metrics(scored: DataFrame, label: str, probability: str) -> DataFrame:
+    """Exact ROC AUC (trapezoids) and average precision (sum of recall steps times precision), one row.
+
+    Equal scores are one threshold. Running sums over the distinct scores come from
+    per-partition totals, so nothing is thinned and no task holds all scores.
+    """
+    y = F.col(label) == 1
+    steps = scored.groupBy(F.col(probability).alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    curve = running_totals(steps, [F.desc("score")], {"tp": "pos", "fp": "neg"})
+    sums = curve.agg(
+        F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_ap"),
+        F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("_area"),
+        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
+    )
+    return sums.select(
+        "positives", "negatives",
+        F.round(F.try_divide("_area", F.col("positives") * F.col("negatives")), 6).alias("roc_auc"),
+        F.round(F.try_divide("_ap", "positives"), 6).alias("average_precision"),
+    )
 
-    return {"roc_auc": area("areaUnderROC"), "average_precision": area("areaUnderPR")}
 
+def preprocess_stages(numeric: list[str], categorical: list[str], modes: dict[str, str] | None = None) -> list:
+    """Median and most-frequent imputation, scaling, and one-hot coding that ignores unseen values.
 
-def preprocess_stages(numeric: list[str], categorical: list[str]) -> list:
-    """Median and most-frequent imputation, scaling, and one-hot coding that ignores unseen values."""
+    ``modes`` are the training rows' most frequent categories; as a stage of the
+    pipeline they fill missing values in training and in scoring alike.
+    """
     filled, indexed, hot = ([f"{c}{s}" for c in cols] for cols, s in ((numeric, "_f"), (categorical, "_i"), (categorical, "_h")))
     stages: list = [
         Imputer(inputCols=numeric, outputCols=filled, strategy="median"),
@@ -203,18 +227,20 @@ def preprocess_stages(numeric: list[str], categorical: list[str]) -> list:
         StandardScaler(inputCol="_numeric", outputCol="_scaled", withMean=True, withStd=True),
     ]
     if categorical:
+        known = [f"{c}_k" for c in categorical]
+        text = {c: str((modes or {}).get(c) or "").replace("\\", "\\\\").replace("'", "\\'") for c in categorical}
+        filling = ", ".join(f"coalesce({c}, '{text[c]}') AS {k}" for c, k in zip(categorical, known, strict=True))
         stages += [
-            StringIndexer(inputCols=categorical, outputCols=indexed, handleInvalid="keep"),
+            SQLTransformer(statement=f"SELECT *, {filling} FROM __THIS__"),
+            StringIndexer(inputCols=known, outputCols=indexed, handleInvalid="keep"),
             OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
         ]
     return [*stages, VectorAssembler(inputCols=["_scaled", *hot], outputCol="features")]
 
 
-def fill_categories(rows: DataFrame, categorical: list[str]) -> DataFrame:
-    """Missing categories get the column's most frequent value (lowest value on ties)."""
-    modes = rows.agg(F.struct(*[F.mode(c, True).alias(c) for c in categorical])).scalar()
-    filled = rows.withColumn("_modes", modes)
-    return filled.withColumns({c: F.coalesce(F.col(c), F.col(f"_modes.{c}")) for c in categorical}).drop("_modes")
+def category_modes(rows: DataFrame, categorical: list[str]) -> dict[str, str]:
+    """Most frequent value of each column (lowest value on ties)."""
+    return rows.agg(*[F.mode(c, True).alias(c) for c in categorical]).first().asDict()
 
 
 def _numeric(rows: DataFrame, columns) -> DataFrame:
@@ -230,10 +256,10 @@ def _label(rows: DataFrame, column: str = "disease_priority") -> DataFrame:
 
 def fit_priority(rows: DataFrame, label_column: str = "disease_priority") -> PipelineModel:
     """Three-class priority model on mixed features, class-weighted."""
-    data = _numeric(fill_categories(_label(rows, label_column), list(PRIORITY_CATEGORICAL)), PRIORITY_NUMERIC)
-    data = materialize(class_weights(data))
-    classifier = LogisticRegression(labelCol="target", weightCol="class_weight", family="multinomial", maxIter=50)
-    return Pipeline(stages=[*preprocess_stages(list(PRIORITY_NUMERIC), list(PRIORITY_CATEGORICAL)), classifier]).fit(data)
+    data = materialize(class_weights(_numeric(_label(rows, label_column), PRIORITY_NUMERIC)))
+    modes = category_modes(data, list(PRIORITY_CATEGORICAL))
+    classifier = LogisticRegression(labelCol="target", weightCol="class_weight", family="multinomial", maxIter=2000)
+    return Pipeline(stages=[*preprocess_stages(list(PRIORITY_NUMERIC), list(PRIORITY_CATEGORICAL), modes), classifier]).fit(data)
 
 
 def score_priority(candidates: DataFrame, model: PipelineModel | None) -> DataFrame:
@@ -242,7 +268,7 @@ def score_priority(candidates: DataFrame, model: PipelineModel | None) -> DataFr
         return candidates
     data = _numeric(candidates, PRIORITY_NUMERIC)
     for c in PRIORITY_CATEGORICAL:
-        data = data.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("")) if c in data.columns else F.lit(""))
+        data = data.withColumn(c, (F.col(c) if c in data.columns else F.lit(None)).cast("string"))
     scored = model.transform(data).withColumn("probability", vector_to_array("probability"))
     return priority_columns(scored.select(*candidates.columns, "probability"))
 

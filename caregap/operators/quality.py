@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caregap.functions import clean, scores
 from caregap.operators import gaps, lookup, ranking
 from caregap.schemas import EMERGING, RECAPTURE, TIERS, Periods
+from caregap.session import materialize
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
@@ -77,7 +78,7 @@ def overall(tables: dict[str, DataFrame], keys: dict[str, tuple[DataFrame, str]]
         orphan_counts(dependents, members).agg(F.sum("orphans").alias("value")).select(
             F.lit("orphans").alias("check_name"), "value", (F.col("value") == 0).alias("passed")),
     ]
-    each = _stack(checks)
+    each = materialize(_stack(checks))
     total = each.agg(F.count_if(~F.col("passed")).alias("value"), F.bool_and("passed").alias("passed")).select(
         F.lit("overall").alias("check_name"), "value", "passed"
     )

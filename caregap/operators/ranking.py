@@ -39,6 +39,25 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
 
 
+def running_totals(df: DataFrame, order: list[Column], values: dict[str, str]) -> DataFrame:
+    """Sum of each column up to and including the row, in a total order, without one task for all rows.
+
+    ``values`` maps new names to columns. Range-partitioned and stored, summed
+    inside each partition, and shifted by the totals of the earlier partitions.
+    """
+    placed = checkpointed(df.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in values.items()])
+    starts = totals.select("_part", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in values])
+    return (
+        placed.withColumns({n: F.sum(c).over(inside) for n, c in values.items()})
+        .join(F.broadcast(starts), "_part")  # one row per partition
+        .withColumns({n: F.col(n) + F.col(f"_{n}") for n in values})
+        .drop("_part", *[f"_{n}" for n in values])
+    )
+
+
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """First ``k`` rows: each task keeps its own ``k``, then they are merged."""
     return df.orderBy(*order).limit(k)

@@ -28,6 +28,24 @@ def _explode_slots(df: DataFrame, keep) -> DataFrame:
     return df.select("*", F.inline(kept)).drop("_codes")
 
 
+def service_date(claims: DataFrame) -> Column:
+    """From-date of a claim, else its through-date."""
+    raw = F.col("CLM_FROM_DT")
+    if "CLM_THRU_DT" in claims.columns:
+        raw = F.coalesce(clean.blank_to_null(raw), F.col("CLM_THRU_DT"))
+    return clean.claim_date(raw)
+
+
+def claim_rows(claims: DataFrame, claim_type: Column | str) -> DataFrame:
+    """One row per claim: member, claim, type and service date."""
+    return claims.select(
+        clean.strip(F.col("BENE_ID")).alias("member_id"),
+        clean.strip(F.col("CLM_ID")).alias("claim_id"),
+        (F.lit(claim_type) if isinstance(claim_type, str) else claim_type).alias("claim_type"),
+        service_date(claims).alias("service_date"),
+    )
+
+
 def long_diagnoses(claims: DataFrame, source: Column | str, slots: int, null_tokens=clean.NULL_CODES) -> DataFrame:
     """Principal plus ``slots`` secondary codes to one row per distinct code of a claim, lowest slot kept."""
     source = F.lit(source) if isinstance(source, str) else source
@@ -41,15 +59,12 @@ def long_diagnoses(claims: DataFrame, source: Column | str, slots: int, null_tok
     rows = _explode_slots(
         wide, lambda s: F.array_position(F.col("_codes"), s["diagnosis_code"]) == s["slot"] + 1
     )
-    raw_date = F.col("CLM_FROM_DT")
-    if "CLM_THRU_DT" in claims.columns:
-        raw_date = F.coalesce(clean.blank_to_null(raw_date), F.col("CLM_THRU_DT"))
     claim_id = clean.strip(F.col("CLM_ID"))
     return rows.select(
         clean.strip(F.col("BENE_ID")).alias("bene_id"),
         clean.slot_event_id(source, claim_id, F.col("slot")).alias("event_id"),
         claim_id.alias("claim_id"),
-        clean.claim_date(raw_date).alias("event_date"),
+        service_date(claims).alias("event_date"),
         source.alias("source"),
         "diagnosis_code",
         (F.col("slot") == 0).alias("is_principal"),
@@ -71,6 +86,7 @@ def long_diagnoses_keep_repeats(claims: DataFrame, slots: int) -> DataFrame:
         clean.strip(F.col("CLM_ID")).alias("claim_id"),
         "slot",
         "diagnosis_code",
+        service_date(claims).alias("diagnosis_date"),
         (F.col("slot") == 0).alias("is_principal"),
     )
 

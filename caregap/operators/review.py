@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caregap import schemas
 from caregap.functions import clean, scores
 from caregap.operators import ranking
 from caregap.operators.quality import side_by_side
 from caregap.schemas import DECISIONS, EMERGING, PENDING, RECAPTURE, REVIEWED
+from caregap.session import materialize
 
 SUPPORTING_EVENTS = 50
 CONSOLE_PAGE = 15
@@ -101,7 +103,28 @@ def sort_order(columns: list[str], sort: str = "ml_review_rank", order: str = "a
 
 
 def page_of(df: DataFrame, order: list[Column], page: int = 1, size: int = 20) -> DataFrame:
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+    """Rows of a page in a total order. Later pages are cut by global position, so no task merges all earlier pages."""
+    if page == 1:
+        return df.orderBy(*order).limit(size)
+    ranked = ranking.global_rank(df, order, "_place").filter(F.col("_place").between((page - 1) * size + 1, page * size))
+    return ranked.orderBy("_place").drop("_place")
+
+
+def page_after(df: DataFrame, keys: list[tuple[str, bool]], last: dict, size: int = 20) -> DataFrame:
+    """The page behind the row ``last`` in the order of ``keys`` (column, ascending); only ``size`` rows a task are merged.
+
+    Nulls come last in ascending and first in descending order.
+    """
+    after = F.lit(False)
+    for name, ascending in reversed(keys):
+        column, value = F.col(name), last[name]
+        if ascending:
+            beyond = F.lit(False) if value is None else column.isNull() | (column > F.lit(value))
+        else:
+            beyond = column.isNotNull() if value is None else F.coalesce(column < F.lit(value), F.lit(False))
+        after = beyond | (column.eqNullSafe(F.lit(value)) & after)
+    order = [F.asc_nulls_last(name) if ascending else F.desc_nulls_first(name) for name, ascending in keys]
+    return df.filter(after).orderBy(*order).limit(size)
 
 
 def page_info(df: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
@@ -159,38 +182,35 @@ def members_by_suspects(members: DataFrame, suspects: DataFrame, has_suspects: b
     return members.join(suspects.select("bene_id"), "bene_id", how)
 
 
-def matching_events(timeline: DataFrame, suspects: DataFrame) -> DataFrame:
+def matching_events(timeline: DataFrame, suspects: DataFrame, claims: DataFrame) -> DataFrame:
     """Events of a suspect's member with the same category, a supporting code or a supporting claim.
 
-    A category, a code list and a claim list are three equi-joins on
-    (member, value); their union without repeats equals the OR and never pairs
-    all suspects of a member with all its events.
+    ``suspects`` has suspect_id, bene_id, hcc_v28 and diagnosis_codes (a bounded
+    list); ``claims`` has one row per suspect_id and claim_id. The timeline is cut
+    to members with suspects first. Each of the three conditions is an equi-join
+    on (member, value); rows that meet several of them appear once, while rows of
+    the timeline that are equal in every column stay apart, by a row number.
     """
-    own = suspects.select("suspect_id", "bene_id", "hcc_v28", "diagnosis_codes", "claim_ids")
-    keys = own.select("suspect_id", "bene_id", F.lit("h").alias("kind"), F.col("hcc_v28").alias("value"))
-    for kind, column in (("c", "diagnosis_codes"), ("m", "claim_ids")):
-        keys = keys.unionByName(
-            own.select("suspect_id", "bene_id", F.lit(kind).alias("kind"), F.explode(column).alias("value"))
-        )
-    keys = keys.distinct()
+    own = suspects.select("suspect_id", "bene_id", "hcc_v28", "diagnosis_codes")
     columns = list(schemas.TIMELINE_COLUMNS)
-    offers = timeline.select(
-        *columns,
-        F.explode(
-            F.array(
-                F.struct(F.lit("h").alias("kind"), F.col("hcc_v28").alias("value")),
-                F.struct(F.lit("c").alias("kind"), F.col("code").alias("value")),
-                F.struct(F.lit("m").alias("kind"), F.col("claim_id").alias("value")),
-            )
-        ).alias("_k"),
-    ).select(*columns, "_k.kind", "_k.value")
-    return offers.join(keys, ["bene_id", "kind", "value"]).select("suspect_id", *columns).distinct()
-
-
-def supporting_events(timeline: DataFrame, suspects: DataFrame, limit: int = SUPPORTING_EVENTS) -> DataFrame:
+    wanted = timeline.join(own.select("bene_id"), "bene_id", "left_semi").select(*columns)
+    # Equal rows are counted, so that the joins see each once, and repeated at the end.
+    events = materialize(wanted.groupBy(*columns).agg(F.count(F.lit(1)).cast("int").alias("_copies")))
+    keys = {
+        "hcc_v28": own.select("suspect_id", "bene_id", "hcc_v28"),
+        "code": own.select("suspect_id", "bene_id", F.explode("diagnosis_codes").alias("code")),
+        "claim_id": own.select("suspect_id", "bene_id").join(claims.select("suspect_id", "claim_id"), "suspect_id"),
+    }
+    parts = [events.join(k.distinct(), ["bene_id", c]).select("suspect_id", *columns, "_copies") for c, k in keys.items()]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+    copies = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    return found.select("suspect_id", *columns, copies.alias("copy"))
+
+
+def supporting_events(timeline: DataFrame, suspects: DataFrame, claims: DataFrame, limit: int = SUPPORTING_EVENTS) -> DataFrame:
     """Most recent matching events per suspect."""
-    found = matching_events(timeline, suspects)
-    order = [F.desc("event_date"), F.col("event_type"), F.col("event_id"), F.col("code"), F.col("claim_id")]
+    found = matching_events(timeline, suspects, claims)
+    order = [F.desc("event_date"), F.col("event_type"), F.col("event_id"), F.col("code"), F.col("claim_id"), F.col("copy")]
     return ranking.top_k_per_group(found, ["suspect_id"], order, limit)
 
 
@@ -208,6 +228,18 @@ def suspect_detail(suspects: DataFrame, members: DataFrame, baseline: DataFrame,
     )
 
 
+def suspect_baseline(suspects: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Baseline rows of each suspect's member, for the detail view."""
+    own = suspects.select("suspect_id", "bene_id")
+    return own.join(baseline, "bene_id")
+
+
+def member_suspects(suspects: DataFrame) -> DataFrame:
+    """Suspects of each member, best score first, with their place. A member has at most one per category and type."""
+    order = Window.partitionBy("bene_id").orderBy(F.desc("priority_score"), "suspect_id")
+    return suspects.withColumn("place", F.row_number().over(order).cast("bigint"))
+
+
 def member_stats(timeline: DataFrame) -> DataFrame:
     return timeline.groupBy("bene_id").agg(
         F.count_distinct("claim_id").alias("total_claims"),
@@ -342,16 +374,24 @@ def set_status(suspects: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
-def upsert_suspects(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Fresh values win, but a stored review status stays; suspects absent from the run are kept."""
-    old = stored.select("suspect_id", *[F.col(c).alias(f"_old_{c}") for c in fresh.columns if c != "suspect_id"])
-    joined = fresh.withColumn("_fresh", F.lit(True)).join(old, "suspect_id", "full_outer")
-    is_fresh = F.col("_fresh").isNotNull()
-    columns = [
-        F.when(is_fresh, F.col(c)).otherwise(F.col(f"_old_{c}")).alias(c)
-        if c != "status"
-        else F.coalesce("_old_status", "status").alias("status")
-        for c in fresh.columns
-        if c != "suspect_id"
-    ]
-    return joined.select("suspect_id", *columns)
+def aligned(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows with exactly the columns of ``schema``; columns they lack are null."""
+    return rows.select(
+        *[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    )
+
+
+def upsert_suspects(stored: DataFrame, fresh: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+    """Fresh rows win as a whole, but a stored review status stays; suspects absent from the run are kept.
+
+    Both sides are aligned to one schema (given, or all columns of either), so a run
+    with or without model columns neither fails nor drops what other suspects have.
+    """
+    if schema is None:
+        schema = T.StructType([*fresh.schema, *(f for f in stored.schema if f.name not in fresh.columns)])
+    new, old = (aligned(rows, schema).select("suspect_id", F.struct("*").alias(name)) for rows, name in ((fresh, "new"), (stored, "old")))
+    joined = new.join(old, "suspect_id", "full_outer")
+    winner = F.coalesce("new", "old")
+    return joined.select(
+        *[(F.coalesce("old.status", "new.status") if f.name == "status" else winner[f.name]).alias(f.name) for f in schema]
+    )

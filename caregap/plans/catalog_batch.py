@@ -43,7 +43,7 @@ def _(f):
               evidence_summary AS summary FROM batch_suspects""",
 )
 def _(f):
-    rows = evidence.payload_rows(f.batch_suspects, _references(f))
+    rows = evidence.payload_rows(f.batch_suspects, _references(f)).filter("position = 0")
     parsed = F.from_json(
         "input_payload",
         "hcc_v28 int, latest_context string, summary string, evidence struct<diagnosis_count: bigint, last_evidence_date: date>",
@@ -56,37 +56,53 @@ def _(f):
 
 _E13 = """SELECT 'SUS-' || s.bene_id || '-' || s.hcc_v28 || '-' || s.gap_type AS suspect_id, e.event_date AS evidence_date,
        e.code AS diagnosis_code, e.claim_id, e.source, s.evidence_summary AS evidence_text, s.priority_score AS evidence_strength,
-       'RUN-1' AS run_id, 'DIAGNOSIS' AS evidence_type
+       'RUN-1' AS run_id, 'DIAGNOSIS' AS evidence_type, e.bene_id, e.event_id, e.is_principal
 FROM batch_suspects s JOIN batch_events e USING (bene_id, hcc_v28, gap_type)"""
 
 
 @query("e13_u4_evidence_rows", _E13)
 def _(f):
-    return evidence.evidence_rows(_references(f), f.batch_suspects, "RUN-1").drop("bene_id", "evidence_metadata")
+    told = F.from_json("evidence_metadata", "event_id string, is_principal boolean")
+    rows = evidence.evidence_rows(_references(f), f.batch_suspects, "RUN-1").withColumn("m", told)
+    return rows.select(*[c for c in rows.columns if c not in ("m", "evidence_metadata")], "m.event_id", "m.is_principal")
+
+
+_U3_FRESH = """SELECT 'SUS-' || bene_id || '-' || hcc_v28 || '-' || gap_type AS suspect_id, bene_id, hcc_v28, gap_type, priority, priority_score,
+       diagnosis_count, first_evidence_date, last_evidence_date, supporting_diagnosis_codes, 'RUN-2' AS run_id, CAST(NULL AS VARCHAR) AS ml_priority,
+       'PENDING_REVIEW' AS status FROM batch_suspects"""
+_U3_STORED = """SELECT suspect_id, bene_id, hcc_v28, suspect_type AS gap_type, CAST(NULL AS VARCHAR) AS priority, priority_score,
+       CAST(NULL AS BIGINT) AS diagnosis_count, first_evidence_date, last_evidence_date, supporting_diagnosis_codes, 'RUN-1' AS run_id, ml_priority,
+       status FROM suspects"""
+_U3_COLUMNS = (
+    "bene_id", "hcc_v28", "gap_type", "priority", "priority_score", "diagnosis_count", "first_evidence_date", "last_evidence_date",
+    "supporting_diagnosis_codes", "run_id", "ml_priority",
+)
 
 
 @query(
     "u3_upsert_suspects",
-    """SELECT coalesce(n.suspect_id, o.suspect_id) AS suspect_id, coalesce(n.priority_score, o.priority_score) AS priority_score,
-              coalesce(o.status, 'PENDING_REVIEW') AS status, coalesce(n.run_id, o.run_id) AS run_id
-       FROM (SELECT 'SUS-' || bene_id || '-' || hcc_v28 || '-' || gap_type AS suspect_id, priority_score, 'RUN-2' AS run_id FROM batch_suspects) n
-       FULL OUTER JOIN (SELECT suspect_id, priority_score, status, 'RUN-1' AS run_id FROM suspects) o USING (suspect_id)""",
+    f"""SELECT coalesce(n.suspect_id, o.suspect_id) AS suspect_id, coalesce(o.status, n.status) AS status,
+               {", ".join(f"CASE WHEN n.suspect_id IS NULL THEN o.{c} ELSE n.{c} END AS {c}" for c in _U3_COLUMNS)}
+        FROM ({_U3_FRESH}) n FULL OUTER JOIN ({_U3_STORED}) o ON n.suspect_id = o.suspect_id""",
 )
 def _(f):
-    fresh = suspect_table(f.batch_suspects, _references(f), "RUN-2").select("suspect_id", "priority_score", "status", "run_id")
-    stored = f.suspects.select("suspect_id", "priority_score", "status", F.lit("RUN-1").alias("run_id"))
-    return review.upsert_suspects(stored, fresh)
+    """A run without model columns over stored suspects that have them."""
+    fresh = suspect_table(f.batch_suspects, _references(f), "RUN-2")
+    stored = f.suspects.withColumn("run_id", F.lit("RUN-1")).withColumn("gap_type", F.col("suspect_type"))
+    return review.upsert_suspects(stored, fresh).select("suspect_id", "status", *_U3_COLUMNS)
 
 
 @query(
     "u4_payload_records",
-    """SELECT 'SUS-' || bene_id || '-' || hcc_v28 || '-' || gap_type AS suspect_id, CAST(1 AS BIGINT) AS page, CAST(1 AS BIGINT) AS pages
-       FROM batch_suspects""",
+    """SELECT 'SUS-' || bene_id || '-' || hcc_v28 || '-' || gap_type AS suspect_id, 'COMPLETED' AS status, '1.0' AS prompt_version,
+              evidence_summary AS summary FROM batch_suspects""",
 )
 def _(f):
     from caregap.streaming.batches import review_payloads
 
-    return review_payloads(f.batch_suspects, _references(f)).select("suspect_id", "page", "pages")
+    return review_payloads(f.batch_suspects, _references(f)).select(
+        "suspect_id", "status", "prompt_version", F.get_json_object("input_payload", "$.summary").alias("summary")
+    )
 
 
 @query(

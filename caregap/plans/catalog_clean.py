@@ -8,6 +8,7 @@ from caregap.functions import clean, scores
 from caregap.operators import evidence, gaps, ingest, profile, reshape, review
 from caregap.operators import timeline as tl
 from caregap.plans.fixtures import COHORT, PERIODS, WIDE_SLOTS, code_id
+from caregap.schemas import SOURCE_SLOTS
 from caregap.plans.registry import query
 from caregap.schemas import Periods
 
@@ -431,11 +432,11 @@ def _(f):
 
 @query(
     "r2_long_keep_repeats",
-    """SELECT bene_id, claim_id, CAST(slot AS INTEGER) AS slot, code AS diagnosis_code, slot = 0 AS is_principal
-       FROM (SELECT trim(w.BENE_ID) AS bene_id, CLM_ID AS claim_id, slot,
+    """SELECT bene_id, claim_id, CAST(slot AS INTEGER) AS slot, code AS diagnosis_code, diagnosis_date, slot = 0 AS is_principal
+       FROM (SELECT trim(w.BENE_ID) AS bene_id, CLM_ID AS claim_id, order_date AS diagnosis_date, slot,
                     CASE WHEN slot = 0 THEN coalesce(codes[1], ADMTG_DGNS_CD) ELSE codes[slot + 1] END AS code,
                     coalesce(codes[1], ADMTG_DGNS_CD) AS principal
-             FROM wide_claims w, (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS slot))
+             FROM wide_claims w, (SELECT unnest(range(26)) AS slot))
        WHERE code IS NOT NULL AND (slot = 0 OR principal IS NULL OR code <> principal)""",
 )
 def _(f):
@@ -443,16 +444,24 @@ def _(f):
     return reshape.long_diagnoses_keep_repeats(f.wide_claims.withColumns(undotted), WIDE_SLOTS)
 
 
+@query(
+    "r2_claim_rows",
+    """SELECT trim(BENE_ID) AS member_id, CLM_ID AS claim_id, source AS claim_type, order_date AS service_date FROM wide_claims""",
+)
+def _(f):
+    return reshape.claim_rows(f.wide_claims, F.col("source"))
+
+
 @query(
     "r3_slots_per_source",
     """SELECT source, count(*) AS diagnosis_rows FROM long_claims
-       WHERE trim(bene_id) <> '' AND list_position((SELECT codes FROM wide_claims w WHERE w.CLM_ID = claim_id)[1:CASE source WHEN 'CARRIER' THEN 3 ELSE 7 END], code) = slot + 1
+       WHERE trim(bene_id) <> '' AND list_position((SELECT codes FROM wide_claims w WHERE w.CLM_ID = claim_id)[1:CASE source WHEN 'CARRIER' THEN 13 ELSE 26 END], code) = slot + 1
        GROUP BY source""",
 )
 def _(f):
     narrow = f.wide_claims.filter("source = 'CARRIER'")
     wide = f.wide_claims.filter("source <> 'CARRIER'")
-    rows = reshape.long_diagnoses(narrow, "CARRIER", 2).unionByName(reshape.long_diagnoses(wide, F.col("source"), WIDE_SLOTS))
+    rows = reshape.long_diagnoses(narrow, "CARRIER", SOURCE_SLOTS["CARRIER"]).unionByName(reshape.long_diagnoses(wide, F.col("source"), WIDE_SLOTS))
     return rows.groupBy("source").agg(F.count("*").alias("diagnosis_rows"))
 
 

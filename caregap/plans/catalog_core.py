@@ -94,10 +94,10 @@ def _(f):
     "SELECT bene_id, hcc_v28, gap_type, prescription_support_count, prescription_drug_codes FROM v2_support",
 )
 def _(f):
+    f.stored("dx_timeline")
     days = f.gap_events.select(*GAP, "event_date").distinct()
     rx = f.rx.filter(clean.in_years(F.col("event_date"), PERIODS.loaded_years))
-    counts = intervals.prescription_support(days, rx, GAP)
-    return counts.join(intervals.prescription_drugs(days, rx, GAP), GAP).select(
+    return intervals.support_and_drugs(days, rx, GAP).select(
         *GAP, "prescription_support_count", flat("prescription_drug_codes")
     )
 
@@ -287,13 +287,11 @@ def _(f):
 
 @query(
     "g1_candidate_claim_lists",
-    """SELECT bene_id, hcc_v28, CAST(1 AS BIGINT) AS pages, CAST(1 AS BIGINT) AS page,
-              string_agg(DISTINCT claim_id, '|' ORDER BY claim_id) AS supporting_claim_ids
-       FROM mapped JOIN gaps_v0 USING (bene_id, hcc_v28) WHERE yr = 2000 GROUP BY bene_id, hcc_v28""",
+    """SELECT bene_id, hcc_v28, claim_id, row_number() OVER (PARTITION BY bene_id, hcc_v28 ORDER BY claim_id) AS position
+       FROM (SELECT DISTINCT bene_id, hcc_v28, claim_id FROM mapped JOIN gaps_v0 USING (bene_id, hcc_v28) WHERE yr = 2000)""",
 )
 def _(f):
-    pages = evidence.claim_lists(f.dx_timeline, gaps.emerging_v0(f.dx_timeline, PERIODS), PERIODS)
-    return pages.select(*PAIR, "pages", "page", flat("supporting_claim_ids"))
+    return evidence.claim_lists(f.dx_timeline, gaps.emerging_v0(f.dx_timeline, PERIODS), PERIODS)
 
 
 @query("g2_emerging_v1", "SELECT bene_id, hcc_v28 FROM suspects_v1 WHERE suspect_type = 'EMERGING'")
@@ -399,7 +397,7 @@ FROM suspects_v1 s JOIN (
 
 @query("e3_suspect_rows_v1", _E3_ROWS)
 def _(f):
-    samples = evidence.claim_samples(f.dx_timeline, f.suspects_v1, PERIODS)
+    samples = evidence.claim_samples(f.dx_timeline, f.suspects_v1, PERIODS, 10)
     return evidence.suspect_rows_v1(f.suspects_v1, samples).drop(
         "hcc_description", "first_evidence_date", "last_evidence_date", "sources"
     )
@@ -471,50 +469,84 @@ def _(f):
     return evidence.evidence_references(f.gap_events)
 
 
+_REFERENCES = """SELECT DISTINCT bene_id, hcc_v28, gap_type, event_id, claim_id, event_date AS evidence_date, code AS diagnosis_code,
+       source, is_principal FROM gap_events"""
+_ORDER = "evidence_date, event_id, claim_id, diagnosis_code, source, is_principal"
+
+
 @query(
-    "e10_reference_pages",
-    """SELECT bene_id, hcc_v28, gap_type, CAST(1 AS BIGINT) AS pages, CAST(1 AS BIGINT) AS page,
-              count(*) AS refs, string_agg(event_id, '|' ORDER BY event_date, event_id, claim_id, code) AS event_ids
+    "e10_numbered_references",
+    f"SELECT *, row_number() OVER (PARTITION BY bene_id, hcc_v28, gap_type ORDER BY {_ORDER}) AS position FROM ({_REFERENCES})",
+)
+def _(f):
+    return evidence.numbered_references(evidence.evidence_references(f.gap_events))
+
+
+@query(
+    "e10_references_of_hot_gaps",
+    f"""SELECT *, row_number() OVER (PARTITION BY region ORDER BY {_ORDER}) AS position
+        FROM (SELECT DISTINCT right(bene_id, 1) AS region, * EXCLUDE (bene_id, hcc_v28, gap_type) FROM ({_REFERENCES}))""",
+)
+def _(f):
+    """All references under ten ids, so that every group is far above any page: the layout and order stay the same."""
+    rows = evidence.evidence_references(f.gap_events).withColumn("region", F.right("bene_id", F.lit(1))).drop(*GAP).distinct()
+    return evidence.numbered_references(rows, ["region"])
+
+
+@query(
+    "e10_nested_references",
+    """SELECT bene_id, hcc_v28, gap_type, count(*) AS refs, string_agg(event_id, '|' ORDER BY event_date, event_id, claim_id, code) AS event_ids
        FROM gap_events GROUP BY bene_id, hcc_v28, gap_type""",
 )
 def _(f):
-    return evidence.reference_pages(evidence.evidence_references(f.gap_events)).select(
-        *GAP, "pages", "page", F.size("evidence_references").cast("bigint").alias("refs"),
+    rows = evidence.nested(evidence.evidence_references(f.gap_events), GAP, evidence.reference_struct(), "evidence_references")
+    return rows.select(
+        *GAP, F.size("evidence_references").cast("bigint").alias("refs"),
         F.concat_ws("|", F.transform("evidence_references", lambda r: r["event_id"])).alias("event_ids"),
     )
 
 
 @query(
     "s11_suspect_rows_v2",
-    """SELECT s.bene_id, s.hcc_v28, s.gap_type, s.supporting_diagnosis_codes, c.supporting_claim_ids,
-              coalesce(s.prescription_drug_codes, '') AS prescription_drug_codes, c.refs, CAST(1 AS BIGINT) AS pages
-       FROM suspects_v2 s JOIN (SELECT bene_id, hcc_v28, gap_type, string_agg(DISTINCT claim_id, '|' ORDER BY claim_id) AS supporting_claim_ids,
-                                       count(*) AS refs FROM gap_events GROUP BY bene_id, hcc_v28, gap_type) c
+    f"""SELECT s.bene_id, s.hcc_v28, s.hcc_description, s.gap_type, s.gap_type AS suspect_type, s.status, s.latest_context,
+               {", ".join(f"s.{c}" for c in COUNTS)}, s.first_evidence_date, s.last_evidence_date, s.supporting_diagnosis_codes,
+               coalesce(s.prescription_drug_codes, '') AS prescription_drug_codes, c.claim_count, c.reference_count,
+               {", ".join(f"s.{c}" for c in SCORES)}, s.reason_flags, s.evidence_summary
+       FROM suspects_v2 s JOIN (SELECT bene_id, hcc_v28, gap_type, count(DISTINCT claim_id) AS claim_count,
+                                       count(*) AS reference_count FROM gap_events GROUP BY bene_id, hcc_v28, gap_type) c
          ON c.bene_id = s.bene_id AND c.hcc_v28 = s.hcc_v28 AND c.gap_type = s.gap_type""",
 )
 def _(f):
     rx = f.rx.filter(clean.in_years(F.col("event_date"), PERIODS.loaded_years))
     rows = evidence.suspect_rows_v2(f.suspects_v2, evidence.evidence_references(f.gap_events), rx)
-    return rows.select(
-        *GAP, flat("supporting_diagnosis_codes"), flat("supporting_claim_ids"), flat("prescription_drug_codes"),
-        F.size("evidence_references").cast("bigint").alias("refs"), "pages",
-    )
+    lists = ("supporting_diagnosis_codes", "prescription_drug_codes", "reason_flags")
+    return rows.select(*[flat(c) if c in lists else c for c in rows.columns if c not in SCORES], *SCORES)
+
+
+@query(
+    "s11_suspect_claims",
+    """SELECT bene_id, hcc_v28, gap_type, claim_id, row_number() OVER (PARTITION BY bene_id, hcc_v28, gap_type ORDER BY claim_id) AS position
+       FROM (SELECT DISTINCT bene_id, hcc_v28, gap_type, claim_id FROM gap_events)""",
+)
+def _(f):
+    return evidence.gap_claims(evidence.evidence_references(f.gap_events))
 
 
 @query(
     "s13_payload_records",
-    """SELECT bene_id, hcc_v28, gap_type, latest_context, evidence_summary AS summary, diagnosis_count AS evidence_rows,
-              '1.0' AS schema_version FROM suspects_v2""",
+    f"""SELECT bene_id, hcc_v28, gap_type, CAST(0 AS BIGINT) AS position, latest_context, evidence_summary AS summary, diagnosis_count,
+               NULL AS event_id, '1.0' AS schema_version FROM suspects_v2
+        UNION ALL SELECT bene_id, hcc_v28, gap_type, row_number() OVER (PARTITION BY bene_id, hcc_v28, gap_type ORDER BY {_ORDER}), NULL, NULL,
+               NULL, event_id, '1.0' FROM ({_REFERENCES})""",
 )
 def _(f):
     rows = evidence.payload_rows(f.suspects_v2, evidence.evidence_references(f.gap_events))
     parsed = F.from_json(
         "input_payload",
-        "latest_context string, summary string, evidence struct<diagnosis_count: bigint, references: array<struct<event_id: string>>>",
+        "latest_context string, summary string, evidence struct<diagnosis_count: bigint>, reference struct<event_id: string>",
     )
     return rows.withColumn("p", parsed).select(
-        *GAP, "p.latest_context", "p.summary",
-        F.size(F.coalesce("p.evidence.references", F.array())).cast("bigint").alias("evidence_rows"),
+        *GAP, "position", "p.latest_context", "p.summary", "p.evidence.diagnosis_count", "p.reference.event_id",
         F.lit(text.ENVELOPE["schema_version"]).alias("schema_version"),
     )
 

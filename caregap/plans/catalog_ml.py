@@ -52,6 +52,17 @@ def _(f):
     return ml.out_of_fold(_training(f))
 
 
+@query(
+    "m4_every_row_scored_once",
+    """SELECT bene_id, hcc_v28, target, CAST((row_number() OVER (PARTITION BY target ORDER BY md5(bene_id || '|' || hcc_v28),
+              bene_id || '|' || hcc_v28) - 1) % 5 AS INTEGER) AS fold, TRUE AS is_probability FROM training_set""",
+)
+def _(f):
+    return ml.out_of_fold(_training(f)).select(
+        *PAIR, "target", "fold", F.col("recapture_probability").between(0, 1).alias("is_probability")
+    )
+
+
 @query(
     "m4_stratified_folds",
     """SELECT bene_id, hcc_v28, target, CAST((row_number() OVER (PARTITION BY target ORDER BY md5(bene_id || '|' || hcc_v28),
@@ -84,15 +95,19 @@ def _(f):
     return ml.threshold_metrics(scored, "target", "p")
 
 
-@query("m5_area_metrics")
+@query(
+    "m5_area_metrics",
+    """SELECT CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives,
+              round(sum(neg * (tp - pos / 2.0e0)) / (sum(pos) * sum(neg)), 6) AS roc_auc,
+              round(sum(pos * CAST(tp AS DOUBLE) / (tp + fp)) / sum(pos), 6) AS average_precision
+       FROM (SELECT pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM (
+               SELECT p, count(*) FILTER (target = 1) AS pos, count(*) FILTER (target <> 1) AS neg FROM (
+                 SELECT target, diagnosis_count / (diagnosis_count + 1.5e0) AS p FROM training_set) GROUP BY p)
+             WINDOW w AS (ORDER BY p DESC))""",
+)
 def _(f):
-    scored = ml.materialize(
-        _training(f).select("target", (F.col("diagnosis_count") / (F.col("diagnosis_count") + 1.5)).alias("p"))
-    )
-    found = ml.area_metrics(scored, "target", "p")
-    return ml.dataset_metadata(scored.withColumn("holdout_target", F.lit(0))).select(
-        "training_rows", *[F.lit(v).alias(k) for k, v in found.items()]
-    )
+    scored = _training(f).select("target", (F.col("diagnosis_count") / (F.col("diagnosis_count") + 1.5)).alias("p"))
+    return ml.area_metrics(scored, "target", "p")
 
 
 _MODE_SQL = """(SELECT bene_id, arg_min(target, struct_pack(k := -n, t := target)) AS target FROM (
@@ -129,6 +144,21 @@ def _(f):
     )
 
 
+@query(
+    "m7_every_suspect_scored_once",
+    """SELECT bene_id, hcc_v28, gap_type, TRUE AS label_is_largest, TRUE AS probabilities_add_up FROM suspects_v2""",
+)
+def _(f):
+    """What is fixed about the fitted model: one row per suspect, label of the largest probability, a sum of one."""
+    rows = ml.materialize(_labelled_suspects(f))
+    p = {x: F.col(f"ml_{x.lower()}_probability") for x in ("LOW", "MEDIUM", "HIGH")}
+    own = F.coalesce(*[F.when(F.col("ml_priority") == x, c) for x, c in p.items()])
+    return ml.score_priority(rows, ml.fit_priority(rows)).select(
+        *PAIR, "gap_type", (own >= F.greatest(*p.values()) - 0.0001).alias("label_is_largest"),
+        (F.abs(sum(p.values()) - 1) < 0.001).alias("probabilities_add_up"),
+    )
+
+
 @query("m9_model_comparison")
 def _(f):
     return ml.compare_models(_labelled_suspects(f))
@@ -176,7 +206,16 @@ def _(f):
     )
 
 
-@query("m12_outside_model")
+@query(
+    "m12_outside_model",
+    """SELECT bene_id, hcc_v28, gap_type, diagnosis_count, distinct_evidence_months,
+              CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'LOW' WHEN p1 >= p2 THEN 'MEDIUM' ELSE 'HIGH' END AS ml_priority,
+              round_even(10000.0e0 * (p1 * 0.5e0 + p2), 0) / 10000.0e0 AS ml_priority_score,
+              round_even(10000.0e0 * p0, 0) / 10000.0e0 AS ml_low_probability, round_even(10000.0e0 * p1, 0) / 10000.0e0 AS ml_medium_probability,
+              round_even(10000.0e0 * p2, 0) / 10000.0e0 AS ml_high_probability, 'hcc_priority_v1' AS ml_model_version
+       FROM (SELECT *, 1.0e0 / t AS p0, diagnosis_count / t AS p1, distinct_evidence_months / 2.0e0 / t AS p2
+             FROM (SELECT *, 1.0e0 + diagnosis_count + distinct_evidence_months / 2.0e0 AS t FROM suspects_v2))""",
+)
 def _(f):
     import numpy as np
 

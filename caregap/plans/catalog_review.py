@@ -55,37 +55,32 @@ _MATCH_SQL = """(SELECT s.suspect_id, t.* FROM suspects s JOIN timeline t ON t.b
                               AND e.yr BETWEEN 1998 AND 2000)))"""
 
 
-def _suspects_with_lists(f):
+def _matching(f):
+    """Suspects with their codes, and their claims in long form."""
+    f.stored("dx", "rx", "dx_timeline", "suspects")
     claims = (
         gaps.diagnoses(f.dx_timeline)
         .filter("year(event_date) BETWEEN 1998 AND 2000")
-        .groupBy(*gaps.PAIR)
-        .agg(F.collect_set("claim_id").alias("claim_ids"))
+        .select(*gaps.PAIR, "claim_id")
+        .distinct()
     )
-    codes = f.suspects.withColumn("diagnosis_codes", F.split("supporting_diagnosis_codes", r"\|"))
-    return codes.join(claims, gaps.PAIR)
+    suspects = f.suspects.withColumn("diagnosis_codes", F.split("supporting_diagnosis_codes", r"\|"))
+    return f.timeline, suspects, suspects.select(*gaps.PAIR, "suspect_id").join(claims, gaps.PAIR)
 
 
-@query(
-    "p11_matching_events",
-    f"SELECT DISTINCT suspect_id, event_id, event_type, code, claim_id, event_date FROM {_MATCH_SQL}",
-)
+@query("p11_matching_events", f"SELECT suspect_id, event_id, event_type, code, claim_id, event_date FROM {_MATCH_SQL}")
 def _(f):
-    return review.matching_events(f.timeline, _suspects_with_lists(f)).select(
-        "suspect_id", "event_id", "event_type", "code", "claim_id", "event_date"
-    ).distinct()
+    return review.matching_events(*_matching(f)).select("suspect_id", "event_id", "event_type", "code", "claim_id", "event_date")
 
 
 @query(
     "w12_recent_supporting_events",
     f"""SELECT suspect_id, event_id, code, event_date, position FROM (
           SELECT *, row_number() OVER (PARTITION BY suspect_id ORDER BY event_date DESC, event_type, event_id, code, claim_id) AS position
-          FROM (SELECT DISTINCT suspect_id, event_id, event_type, code, claim_id, event_date FROM {_MATCH_SQL})) WHERE position <= 3""",
+          FROM {_MATCH_SQL}) WHERE position <= 50""",
 )
 def _(f):
-    return review.supporting_events(f.timeline, _suspects_with_lists(f), 3).select(
-        "suspect_id", "event_id", "code", "event_date", "position"
-    )
+    return review.supporting_events(*_matching(f)).select("suspect_id", "event_id", "code", "event_date", "position")
 
 
 @query("j8_members_with_suspects", "SELECT bene_id, state FROM members WHERE bene_id IN (SELECT bene_id FROM suspects)")
@@ -164,9 +159,36 @@ def _(f):
          USING (bene_id)""",
 )
 def _(f):
+    f.stored("dx", "rx", "dx_timeline")
     return review.member_detail(f.members, f.baseline, f.suspects, f.timeline)
 
 
+@query(
+    "j13_suspect_baseline",
+    """SELECT s.suspect_id, b.bene_id, b.hcc_v28 FROM suspects s JOIN baseline b USING (bene_id)""",
+)
+def _(f):
+    return review.suspect_baseline(f.suspects, f.baseline).select("suspect_id", "bene_id", "hcc_v28")
+
+
+@query(
+    "j14_member_suspects",
+    """SELECT bene_id, suspect_id, priority_score, status, row_number() OVER (PARTITION BY bene_id ORDER BY priority_score DESC, suspect_id) AS place
+       FROM suspects""",
+)
+def _(f):
+    return review.member_suspects(f.suspects).select("bene_id", "suspect_id", "priority_score", "status", "place")
+
+
+@query(
+    "w8_page_after_a_key",
+    """SELECT bene_id, state FROM members WHERE state ILIKE '%tion_2%' AND bene_id > 'B00000077' ORDER BY bene_id LIMIT 20""",
+)
+def _(f):
+    rows = f.members.filter(review.ilike_any("tion_2", "bene_id", "state")).select("bene_id", "state")
+    return review.page_after(rows, [("bene_id", True)], {"bene_id": "B00000077"})
+
+
 @query(
     "a16_member_stats",
     """SELECT bene_id, count(DISTINCT claim_id) AS total_claims, count(*) FILTER (event_type = 'diagnosis') AS total_diagnoses
@@ -244,6 +266,7 @@ _DASH = """SELECT (SELECT count(*) FROM members) AS total_members, (SELECT count
 
 @query("a12_dashboard_metrics", _DASH)
 def _(f):
+    f.stored("dx_timeline", "suspects")
     return review.dashboard(f.members, f.baseline, f.suspects)
 
 
@@ -288,6 +311,7 @@ def _(f):
                     count(*) FILTER (decision = 'INSUFFICIENT_EVIDENCE') AS insufficient_evidence FROM reviews) r""",
 )
 def _(f):
+    f.stored("dx_timeline", "suspects")
     return review.overview(f.members, f.baseline, f.suspects, f.reviews)
 
 

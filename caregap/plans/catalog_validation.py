@@ -158,6 +158,7 @@ def _tables(f):
        UNION ALL SELECT 'suspects', count(*) FROM suspects UNION ALL SELECT 'review_decisions', count(*) FROM reviews""",
 )
 def _(f):
+    f.stored("dx", "rx", "dx_timeline", "suspects")
     return quality.row_counts(_tables(f))
 
 
@@ -226,6 +227,7 @@ def _(f):
        UNION ALL SELECT 'overall', 2, false""",
 )
 def _(f):
+    f.stored("dx", "batch_rows")
     return quality.overall(
         {"members": f.members}, {"members": (f.members, "bene_id"), "events_diagnosis": (f.dx, "event_id")},
         {"members": (f.members, "bene_id"), "events_diagnosis": (f.dx, "event_id")}, f.members, {"claims_batch": f.batch_rows},

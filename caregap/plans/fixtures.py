@@ -16,13 +16,14 @@ from caregap.operators import evidence, gaps, lookup, profile
 from caregap.operators import ingest as ingest_ops
 from caregap.operators import timeline as timeline_ops
 from caregap.schemas import Periods
+from caregap.session import materialize
 
 PERIODS = Periods(historical=(1998, 1999), current=2000, latest=2001)
 RETROSPECTIVE = Periods(historical=(1997, 1998), current=1999, latest=2000)
 BATCH = Periods.two_years_before(2001)
 BATCH_ID = "B200101"
-COHORT = 100
-WIDE_SLOTS = 6
+COHORT = 5000
+WIDE_SLOTS = 25
 
 
 # Schemas already read from file footers, by path.
@@ -151,6 +152,12 @@ class Fixtures:
     def suspects_v2(self) -> DataFrame:
         return evidence.suspects_v2(self.dx_timeline, self.rx, None, self.mapping, PERIODS)
 
+    def stored(self, *names: str) -> Fixtures:
+        """Store derived tables that a query uses more than once, so that each is computed once."""
+        for name in names:
+            self.__dict__[name] = materialize(getattr(self, name))
+        return self
+
     # --- review workspace -----------------------------------------------------
 
     @cached_property
@@ -206,9 +213,11 @@ class Fixtures:
         """One raw claim per order with dirty codes, month-name dates, blank ids and missing from-dates."""
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
         code = code_id(F.col("l_partkey"))
-        line = F.col("l_linenumber")
-        slots = [F.min(F.when(line == i + 1, code)).alias(f"c{i}") for i in range(WIDE_SLOTS + 1)]
-        per_order = self.table("lineitem").groupBy("l_orderkey").agg(*slots)
+        # Every line of an order takes the next slot; an order has few lines.
+        codes = F.array_sort(F.collect_list(F.struct("l_linenumber", code.alias("code"))))["code"]
+        per_order = self.table("lineitem").groupBy("l_orderkey").agg(codes.alias("codes")).select(
+            "l_orderkey", *[F.get("codes", F.lit(i)).alias(f"c{i}") for i in range(WIDE_SLOTS + 1)]
+        )
         key = F.col("o_orderkey")
 
         def dirty(name: str) -> Column:

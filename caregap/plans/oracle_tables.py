@@ -237,17 +237,17 @@ SELECT o_orderkey AS row_idx,
        strftime(o_orderdate, '%d-%b-%Y') AS CLM_THRU_DT, CAST(o_orderdate AS DATE) AS order_date, c1 AS ADMTG_DGNS_CD,
        CASE o_orderstatus WHEN 'F' THEN 'INPATIENT' WHEN 'O' THEN 'OUTPATIENT' ELSE 'CARRIER' END AS source, """
     + _DIRTY.format(c="c0") + " AS PRNCPAL_DGNS_CD, "
-    + ", ".join(_DIRTY.format(c=f"c{i}") + f" AS ICD_DGNS_CD{i}" for i in range(1, 7))
-    + ", [c0, c1, c2, c3, c4, c5, c6] AS codes"
-    + "\nFROM (SELECT l_orderkey, "
-    + ", ".join(f"min('D' || printf('%06d', l_partkey)) FILTER (l_linenumber = {i + 1}) AS c{i}" for i in range(7))
-    + " FROM lineitem GROUP BY l_orderkey) JOIN orders ON l_orderkey = o_orderkey"
+    + ", ".join(_DIRTY.format(c=f"c{i}") + f" AS ICD_DGNS_CD{i}" for i in range(1, 26))
+    + ", codes\nFROM (SELECT l_orderkey, codes, "
+    + ", ".join(f"codes[{i + 1}] AS c{i}" for i in range(26))
+    + " FROM (SELECT l_orderkey, list('D' || printf('%06d', l_partkey) ORDER BY l_linenumber, l_partkey) AS codes"
+    + " FROM lineitem GROUP BY l_orderkey)) JOIN orders ON l_orderkey = o_orderkey"
 )
 
 TABLES["long_claims"] = """
 SELECT w.BENE_ID AS bene_id, w.CLM_ID AS claim_id, w.source, w.order_date AS event_date, w.codes[slot + 1] AS code, slot,
        list_position(w.codes, w.codes[slot + 1]) = slot + 1 AS first_slot, w.codes[1] AS principal, w.ADMTG_DGNS_CD AS admitting
-FROM wide_claims w, (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS slot) WHERE w.codes[slot + 1] IS NOT NULL"""
+FROM wide_claims w, (SELECT unnest(range(26)) AS slot) WHERE w.codes[slot + 1] IS NOT NULL"""
 
 TABLES["pde"] = """
 SELECT CASE WHEN l_orderkey % 97 = 0 THEN ' ' ELSE 'B' || printf('%08d', o_custkey) END AS BENE_ID,

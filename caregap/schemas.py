@@ -27,6 +27,7 @@ _TYPES = {
     "double": T.DoubleType(),
     "timestamp": T.TimestampType(),
     "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+    "array<string>": T.ArrayType(T.StringType()),
 }
 
 
@@ -91,3 +92,18 @@ class Periods:
     @classmethod
     def two_years_before(cls, current: int, latest: int | None = None) -> "Periods":
         return cls(historical=(current - 2, current - 1), current=current, latest=latest)
+
+# Stored suspects. Model columns are null where no model scored the run.
+SUSPECTS = struct_of(
+    "suspect_id string, bene_id string, hcc_v28 string, hcc_description string, suspect_type string, gap_type string, "
+    "latest_context string, priority string, status string, first_evidence_date date, last_evidence_date date, sources string, "
+    "diagnosis_count bigint, unique_claim_count bigint, unique_event_count bigint, distinct_evidence_dates bigint, "
+    "distinct_evidence_months bigint, distinct_sources bigint, principal_diagnosis_count bigint, "
+    "prescription_support_count bigint, frequency_score double, recency_score double, persistence_score double, "
+    "repeated_claim_score double, repeated_date_score double, source_diversity_score double, principal_score double, "
+    "prescription_score double, priority_score double, reason_flags array<string>, evidence_summary string, "
+    "prescription_drug_codes array<string>, ml_priority string, ml_priority_score double, ml_low_probability double, "
+    "ml_medium_probability double, ml_high_probability double, ml_model_version string, ml_review_rank bigint, "
+    "ml_top_100 boolean, evidence_count bigint, diversity_score double, priority_level string, "
+    "supporting_diagnosis_codes string, has_prescription_support boolean, run_id string"
+)

@@ -48,11 +48,26 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute once and go on from the stored rows.
 
     The rows are written as a Parquet table in the checkpoint folder, which
-    survives lost executors and lets each later use read only its columns.
+    survives lost executors and lets each later use read only its columns. The
+    table is deleted when the driver ends, or earlier by ``release``.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    fs, hadoop_path = _file_system(spark, path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs.deleteOnExit(hadoop_path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that ``materialize`` stored in this session; frames that read them are no longer usable."""
+    fs, hadoop_path = _file_system(spark, f"{ensure_checkpoint_dir(spark)}/tables")
+    fs.delete(hadoop_path, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

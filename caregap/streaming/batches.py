@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ from caregap.streaming.store import TableStore
 
 RUNNING, COMPLETED, FAILED = "RUNNING", "COMPLETED", "FAILED"
 PROMPT_VERSION = "1.0"
+logger = logging.getLogger(__name__)
 RUN_SCHEMA = schemas.struct_of(
     "run_id string, status string, batch_id string, source_file string, input_rows bigint, valid_rows bigint, "
     "rejected_rows bigint, inserted_rows bigint, suspects bigint, evidence bigint, payloads bigint, "
@@ -39,44 +43,42 @@ class History:
 
 
 def suspect_table(scored: DataFrame, references: DataFrame, run_id: str) -> DataFrame:
-    """Stored suspect rows of a run under their natural key."""
-    rows = scored.join(evidence.gap_sources(references), evidence.GAP, "left")
-    pairs = [
-        "bene_id", "hcc_v28", "hcc_description", "suspect_type", "gap_type", "latest_context", "priority", "status",
-        "first_evidence_date", "last_evidence_date", "sources", *evidence.FEATURES, "prescription_support_count",
-        "frequency_score", "recency_score", "persistence_score", "repeated_claim_score", "repeated_date_score",
-        "source_diversity_score", "principal_score", "prescription_score", "priority_score", "reason_flags",
-        "evidence_summary",
-    ]
-    optional = [
-        c for c in ("prescription_drug_codes", "ml_priority", "ml_priority_score", "ml_low_probability",
-                    "ml_medium_probability", "ml_high_probability", "ml_model_version", "ml_review_rank", "ml_top_100")
-        if c in rows.columns
-    ]
-    return rows.select(
-        clean.suspect_key(F.col("bene_id"), F.col("hcc_v28"), F.col("gap_type")).alias("suspect_id"),
-        *pairs,
-        *optional,
-        F.col("diagnosis_count").alias("evidence_count"),
-        F.col("source_diversity_score").alias("diversity_score"),
-        F.col("priority").alias("priority_level"),
-        F.concat_ws("|", "supporting_diagnosis_codes").alias("supporting_diagnosis_codes"),
-        (F.col("prescription_support_count") > 0).alias("has_prescription_support"),
-        F.lit(run_id).alias("run_id"),
+    """Stored suspect rows of a run under their natural key, in the declared layout."""
+    rows = scored.join(evidence.gap_sources(references), evidence.GAP, "left").withColumns(
+        {
+            "suspect_id": clean.suspect_key(F.col("bene_id"), F.col("hcc_v28"), F.col("gap_type")),
+            "evidence_count": F.col("diagnosis_count"),
+            "diversity_score": F.col("source_diversity_score"),
+            "priority_level": F.col("priority"),
+            "supporting_diagnosis_codes": F.concat_ws("|", "supporting_diagnosis_codes"),
+            "has_prescription_support": F.col("prescription_support_count") > 0,
+            "run_id": F.lit(run_id),
+        }
     )
+    return review.aligned(rows, schemas.SUSPECTS)
+
+
+def suspect_claims(references: DataFrame) -> DataFrame:
+    """All claim ids of a run's suspects: suspect_id, claim_id and position."""
+    key = clean.suspect_key(F.col("bene_id"), F.col("hcc_v28"), F.col("gap_type")).alias("suspect_id")
+    return evidence.gap_claims(references).select(key, "claim_id", "position")
 
 
 def review_payloads(scored: DataFrame, references: DataFrame) -> DataFrame:
-    """Reviewer records of a run: JSON input, deterministic narrative and its structured output."""
+    """Reviewer records of a run, one per suspect: JSON input, deterministic narrative and its structured output.
+
+    The references of a suspect are the rows of ``suspect_evidence``.
+    """
     narrated = evidence.narratives(scored.join(evidence.gap_sources(references), evidence.GAP, "left"))
     output = F.to_json(
         F.struct("summary_title", "clinical_narrative", "evidence_breakdown", "verification_checklist", "ml_assessment",
                  "recommendation")
     )
     texts = narrated.select(*evidence.GAP, F.col("clinical_narrative").alias("reviewer_summary"), output.alias("output_payload"))
-    return evidence.payload_rows(scored, references).join(texts, evidence.GAP).select(
+    records = scored.select(*evidence.GAP, F.to_json(evidence.payload()).alias("input_payload"))
+    return records.join(texts, evidence.GAP).select(
         clean.suspect_key(F.col("bene_id"), F.col("hcc_v28"), F.col("gap_type")).alias("suspect_id"),
-        F.lit(COMPLETED).alias("status"), F.lit(PROMPT_VERSION).alias("prompt_version"), "page", "pages", "input_payload",
+        F.lit(COMPLETED).alias("status"), F.lit(PROMPT_VERSION).alias("prompt_version"), "input_payload",
         "output_payload", "reviewer_summary",
     )
 
@@ -107,12 +109,18 @@ class ClaimsPipeline:
         if self.store.exists(self.store.partition_path("claim_batches", batch_id=batch_id)):
             raise ValueError(f"Claim batch already exists: {batch_id}")
 
-    def ingest(self, rows: DataFrame, batch_id: str, run_id: str, source_file: str) -> dict[str, int]:
+    def ingest(
+        self, rows: DataFrame, batch_id: str, run_id: str, source_file: str, source_system: str = "CLAIMS"
+    ) -> dict[str, int]:
         """Validate and store one batch; accepted and rejected rows get the run's provenance."""
-        numbered = rows if "row_idx" in rows.columns else rows.withColumn("row_idx", F.monotonically_increasing_id() + 1)
         # The staged copy fixes row numbers before they decide which duplicate comes first.
-        self.store.write_partition(ingest.with_payload(numbered).select("*"), "staged_claims", run_id=run_id)
+        serial = ingest.with_payload(rows)
+        if "row_idx" not in rows.columns:
+            serial = serial.withColumn("_serial", F.monotonically_increasing_id())
+        self.store.write_partition(serial, "staged_claims", run_id=run_id)
         staged = self.store.read_partition("staged_claims", run_id=run_id)
+        if "_serial" in staged.columns:
+            staged = ingest.file_row_numbers(staged, "_serial")
         checked = materialize(ingest.validate_batch(staged, self.history.members))
         accepted = checked.filter(F.col("reason").isNull()).select(
             "row_idx", "claim_id", "bene_id", "claim_date", clean.blank_to_null(F.col("diagnosis_code")).alias("diagnosis_code"),
@@ -126,9 +134,12 @@ class ClaimsPipeline:
         self.store.write_partition(accepted, "claims", batch_id=batch_id)
         self.store.write_partition(rejected, "ingestion_rejections", run_id=run_id)
         counters = ingest.batch_counters(checked).first().asDict()
+        received = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         batch = self.spark.createDataFrame(
-            [(run_id, source_file, counters["inserted_rows"], "PROCESSED")],
-            schemas.struct_of("run_id string, source_file string, row_count bigint, status string"),
+            [(run_id, source_system, source_file, received, counters["inserted_rows"], "PROCESSED")],
+            schemas.struct_of(
+                "run_id string, source_system string, source_file string, received_at timestamp, row_count bigint, status string"
+            ),
         )
         self.store.write_partition(batch.coalesce(1), "claim_batches", batch_id=batch_id)
         return counters
@@ -140,7 +151,10 @@ class ClaimsPipeline:
         if claims.isEmpty():
             raise ValueError(f"Claim batch contains no claims: {batch_id}")
         periods = evidence.batch_periods(claims, current_year)
-        scored = evidence.run_batch_engine(h.timeline, claims, h.prescriptions, h.baseline, h.mapping, periods)
+        # Fills appended by earlier runs count like those of the history.
+        appended = self.store.read("events_prescription", schemas.EVENTS_PRESCRIPTION)
+        fills = h.prescriptions.unionByName(appended.select(*h.prescriptions.columns))
+        scored = evidence.run_batch_engine(h.timeline, claims, fills, h.baseline, h.mapping, periods)
         if self.model is not None:
             # Ranks are positions inside this batch; the model never adds or removes gaps.
             scored = ranking.rank_by_expected_priority(ml.score_priority(scored, self.model))
@@ -153,21 +167,22 @@ class ClaimsPipeline:
         references = materialize(evidence.evidence_references(evidence.gap_events(combined, scored, periods)))
         payloads = materialize(review_payloads(scored, references))
         evidence_days = references.select(*evidence.GAP, F.col("evidence_date").alias("event_date")).distinct()
-        drugs = intervals.prescription_drugs(evidence_days, h.prescriptions, evidence.GAP)
+        drugs = intervals.prescription_drugs(evidence_days, fills, evidence.GAP)
         keyed = scored.join(drugs, evidence.GAP, "left").withColumn("suspect_id", clean.suspect_key(F.col("bene_id"), F.col("hcc_v28"), F.col("gap_type")))
-        summaries = payloads.filter("page = 1").select("suspect_id", "reviewer_summary")
+        summaries = payloads.select("suspect_id", "reviewer_summary")
         told = keyed.join(summaries, "suspect_id", "left")
         self.store.write_partition(evidence.evidence_rows(references, told, run_id), "suspect_evidence", run_id=run_id)
         self.store.write_partition(payloads, "review_payloads", run_id=run_id)
+        self.store.write_partition(suspect_claims(references), "suspect_claims", run_id=run_id)
         fresh = suspect_table(
             told.withColumn("evidence_summary", F.coalesce("reviewer_summary", "evidence_summary")), references, run_id
         )
         stored = self.store.snapshot("suspects")
-        self.store.write_snapshot(fresh if stored is None else review.upsert_suspects(stored, fresh), "suspects")
+        self.store.write_snapshot(fresh if stored is None else review.upsert_suspects(stored, fresh, schemas.SUSPECTS), "suspects")
         return {
             "suspects": scored.count(),
             "evidence": references.count(),
-            "payloads": payloads.filter("page = 1").count(),
+            "payloads": payloads.count(),
         }
 
     def _run(self, rows: DataFrame, batch_id: str, run_id: str, source_file: str, current_year: int | None) -> dict:
@@ -178,7 +193,7 @@ class ClaimsPipeline:
             counters |= self.ingest(rows, batch_id, run_id, source_file)
             counters |= self.score(batch_id, run_id, current_year)
         except Exception as error:
-            self._log(run_id, FAILED, **about, **counters, error_message=str(error)[:2000])
+            self._log(run_id, FAILED, **about, **counters, error_message=str(error))
             raise
         self._log(run_id, COMPLETED, **about, **counters)
         return {"run_id": run_id, "batch_id": batch_id, "status": COMPLETED, **counters}
@@ -195,17 +210,31 @@ class ClaimsPipeline:
     def run_stream(self, directory: str, checkpoint: str, prefix: str = "STREAM", current_year: int | None = None) -> StreamingQuery:
         """Process every new batch file of a directory, then stop.
 
-        Ids come from the micro-batch number, so a retried micro-batch rewrites
-        its own partitions, and one that had completed is skipped.
+        Each file is a batch of its own. Ids come from the micro-batch number, so a
+        retried micro-batch rewrites its own partitions, and one that had completed
+        is skipped. A file whose claims are all rejected, or that fails for another
+        reason of its content, is logged as FAILED with its rejections kept, and the
+        stream goes on to the next file.
         """
         columns = [f for f in schemas.CLAIMS_BATCH.fields if f.name != "extra"]
         # Header names are checked against the schema, so files with another column order fail instead of shifting.
-        stream = self.spark.readStream.schema(T.StructType(columns)).csv(directory, header=True, enforceSchema=False)
+        stream = (
+            self.spark.readStream.schema(T.StructType(columns))
+            .option("maxFilesPerTrigger", 1)
+            .csv(directory, header=True, enforceSchema=False)
+        )
 
         def process(rows: DataFrame, number: int) -> None:
             batch_id, run_id = f"{prefix}-{number:08d}", f"RUN-{prefix}-{number:08d}"
             if not self.store.has_partition("pipeline_runs", run_id=run_id, status=COMPLETED):
-                self._run(rows, batch_id, run_id, directory, current_year)
+                try:
+                    self._run(rows, batch_id, run_id, directory, current_year)
+                except ValueError as error:
+                    logger.warning("batch %s failed: %s", batch_id, error)
+                except (PySparkException, Py4JJavaError) as error:
+                    if "CSV header does not conform" not in str(error):
+                        raise  # not the file's fault: try again at the next start
+                    logger.warning("batch %s failed: %s", batch_id, error)
 
         return (
             stream.writeStream.foreachBatch(process)

@@ -105,16 +105,14 @@ def test_interval_join_finds_each_match_once(spark):
     assert sorted((r.a, r.b) for r in got) == sorted(want)
 
 
-def test_list_pages_are_whole(spark):
+def test_lists_have_one_layout_for_every_size(spark):
     df = spark.range(5000).select(
         F.when(F.col("id") < 4000, "HOT").otherwise("cold").alias("k"), F.concat(F.lit("c"), F.col("id")).alias("v"))
-    rows = evidence.list_pages(df, ["k"], F.col("v"), "items", page_size=500).collect()
-    hot = [r for r in rows if r.k == "HOT"]
-    assert {r.pages for r in hot} == {8} and len({r.page for r in hot}) == len(hot)
-    assert sorted(x for r in hot for x in r["items"]) == sorted(f"c{i}" for i in range(4000))
-    assert all(r["items"] == sorted(r["items"]) for r in rows)
-    one = evidence.list_pages(df.filter("k = 'cold'"), ["k"], F.col("v"), "items", page_size=1000).collect()
-    assert len(one) == 1 and len(one[0]["items"]) == 1000
+    rows = evidence.numbered(df, ["k"], [F.col("v")]).collect()
+    for k, n, first in (("HOT", 4000, 0), ("cold", 1000, 4000)):
+        own = sorted((r.position, r.v) for r in rows if r.k == k)
+        assert own == list(enumerate(sorted(f"c{i}" for i in range(first, first + n)), 1))
+    assert {r.k: len(r["items"]) for r in evidence.nested(df, ["k"], F.col("v"), "items").collect()} == {"HOT": 4000, "cold": 1000}
 
 
 def test_global_rank_is_dense_with_ties(spark):

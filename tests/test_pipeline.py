@@ -100,6 +100,51 @@ def test_file_stream_runs_each_batch_once(spark, pipeline, tmp_path):
     assert sorted(r.status for r in runs.collect()) == ["COMPLETED", "RUNNING"]
 
 
+def test_a_bad_file_does_not_stop_the_stream(spark, pipeline, tmp_path):
+    """A file without any known member is logged as failed, with its rejections; the good file behind it is scored."""
+    import os
+
+    inbox, rows = tmp_path / "inbox", batch(spark)
+    inbox.mkdir()
+    for k, part in enumerate((rows.filter("bene_id = 'X'"), rows)):
+        name = inbox / f"f{k}.csv"
+        name.write_text("\n".join([",".join(part.columns), *(",".join(r) for r in part.collect())]) + "\n")
+        os.utime(name, (1_700_000_000 + k * 100,) * 2)
+    wrong = inbox / "f2.csv"
+    wrong.write_text("claim_id,bene_id,claim_date,diagnosis_code,source,is_principal\nc9,A,2023-01-05,I509,CARRIER,no\n")
+    os.utime(wrong, (1_700_000_300,) * 2)
+    pipeline.run_stream(str(inbox), str(tmp_path / "checkpoint")).awaitTermination(180)
+    runs = {r.run_id: r for r in pipeline.runs().collect()}
+    assert [runs[f"RUN-STREAM-0000000{k}"].status for k in range(3)] == ["FAILED", "COMPLETED", "FAILED"]
+    refused = pipeline.store.read_partition("ingestion_rejections", run_id="RUN-STREAM-00000000").collect()
+    assert [(r.row_index, r.reason) for r in refused] == [(1, "Unknown bene_id: X")]
+    refused = pipeline.store.read_partition("ingestion_rejections", run_id="RUN-STREAM-00000001").collect()
+    assert sorted((r.row_index, r.reason) for r in refused) == [(2, "Unknown bene_id: X"), (4, "Duplicate claim_id in batch: c1")]
+    assert pipeline.store.snapshot("suspects").count() == 2
+    claims = pipeline.store.read_partition("suspect_claims", run_id="RUN-STREAM-00000001").collect()
+    assert ("SUS-A-226-EMERGING", "c1", 1) in [tuple(r) for r in claims]
+
+
+def test_appended_fills_are_scored(spark, pipeline):
+    pipeline.run_batch(batch(spark), "B1", "R1")
+    day = dt.date.fromisoformat("2023-01-10")
+    pipeline.add_prescriptions(spark.createDataFrame([("A", "PDE_9", "9", day, "N9")], schemas.EVENTS_PRESCRIPTION), "F1")
+    pipeline.run_batch(batch(spark), "B2", "R2")
+    row = pipeline.store.snapshot("suspects").filter("suspect_id = 'SUS-A-226-EMERGING'").first()
+    assert row.prescription_support_count == 2 and row.prescription_drug_codes == ["N1", "N9"]
+
+
+def test_upsert_with_and_without_model_columns(spark):
+    from caregap.operators import review
+
+    plain = spark.createDataFrame([("s1", 1.0, "PENDING_REVIEW"), ("s2", 2.0, "PENDING_REVIEW")], "suspect_id string, priority_score double, status string")
+    scored = plain.filter("suspect_id = 's1'").withColumn("ml_priority", F.lit("HIGH")).withColumn("status", F.lit("REVIEWED"))
+    got = {r.suspect_id: (r.ml_priority, r.status) for r in review.upsert_suspects(plain, scored).collect()}
+    assert got == {"s1": ("HIGH", "PENDING_REVIEW"), "s2": (None, "PENDING_REVIEW")}
+    got = {r.suspect_id: (r.ml_priority, r.status) for r in review.upsert_suspects(scored, plain.filter("suspect_id = 's2'")).collect()}
+    assert got == {"s1": ("HIGH", "REVIEWED"), "s2": (None, "PENDING_REVIEW")}
+
+
 def test_prescriptions_are_added_once(spark, pipeline):
     fills = spark.createDataFrame(
         [("A", "PDE_1", "1", None, "N1"), ("A", "PDE_2", "2", None, "N1"), ("A", "PDE_2", "2", None, "N1"), ("X", "PDE_3", "3", None, "N1")],

@@ -100,15 +100,20 @@ def test_duplicates_of_a_hot_key(spark):
 
 def test_extra_fields_are_folded(spark):
     rows = spark.createDataFrame([("B1", {"bene_id": "over", "x": "1"})], "bene_id string, extra map<string,string>")
-    assert json.loads(ingest.fold_extra(rows).first().raw_payload) == {"bene_id": "over", "x": "1"}
-    try:
-        ingest.fold_extra(rows.limit(0))
-    except ValueError as error:
-        assert "1 to 50000" in str(error)
-    else:
-        raise AssertionError("an empty batch must be refused")
+    assert json.loads(ingest.with_payload(rows).first().raw_payload) == {"bene_id": "over", "x": "1"}
+    assert ingest.with_payload(rows.limit(0)).count() == 0
 
 
+def test_one_whole_row_is_kept(spark):
+    rows = spark.createDataFrame([("k", None, 1), ("k", "b", 2), ("k", "a", None)], "key string, x string, y int")
+    assert [tuple(r) for r in ingest.insert_ignore(rows, rows.limit(0), "key").collect()] == [("k", "b", 2)]
+
+
+def test_file_row_numbers_have_no_gaps(spark):
+    rows = spark.range(1000).repartition(7).withColumn("serial", F.monotonically_increasing_id())
+    got = ingest.file_row_numbers(rows.cache(), "serial").collect()
+    assert sorted(r.row_idx for r in got) == list(range(1, 1001))
+
 def test_insert_ignore_keeps_one_row_per_key(spark):
     new = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1)], "k string, v int")
     old = spark.createDataFrame([("b", 9)], "k string, v int")
