@@ -126,6 +126,12 @@ def rejection_summary(validated: DataFrame) -> DataFrame:
     )
 
 
+def rejection_sample(validated: DataFrame, size: int = 10) -> DataFrame:
+    """The first rejected rows in file order, beside the summary."""
+    refused = validated.filter(F.col("reason").isNotNull()).select("row_idx", "reason")
+    return refused.orderBy("row_idx").limit(size)
+
+
 def source_stats(claims: DataFrame, exploded: DataFrame) -> DataFrame:
     """Raw claims, skipped rows (no member id) and exploded diagnosis rows per source."""
     blank = F.coalesce(clean.strip(F.col("BENE_ID")), F.lit("")) == ""

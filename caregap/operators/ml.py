@@ -362,7 +362,26 @@ def class_report(rows: DataFrame, actual: str = "actual", predicted: str = "pred
     return every.select("class", *[F.round(c, 6).alias(c) for c in measures], "support")
 
 
-def compare_models(rows: DataFrame, label_column: str = "disease_priority", seed: int = 42) -> DataFrame:
+def accuracy_report(rows: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """Rows, accuracy and balanced accuracy (mean recall of the classes that occur)."""
+    a, hit = F.col(actual), F.col(actual) == F.col(predicted)
+    per_class = rows.groupBy(a.alias("_class")).agg(F.count("*").alias("_n"), F.count_if(hit).alias("_hits"))
+    return per_class.agg(
+        F.sum("_n").alias("n"),
+        F.round(F.try_divide(F.sum("_hits"), F.sum("_n")), 6).alias("accuracy"),
+        F.round(F.avg(F.col("_hits") / F.col("_n")), 6).alias("balanced_accuracy"),
+    )
+
+
+def prioritised(scored: DataFrame) -> DataFrame:
+    """The scored queue in ``priority_order`` with its position."""
+    return global_rank(materialize(scored), priority_order(), "priority_position")
+
+
+def compare_models(
+    rows: DataFrame, label_column: str = "disease_priority", seed: int = 42, trees: int = 400, rounds: int = 250,
+    iterations: int = 2000,
+) -> DataFrame:
     """Three learners on a stratified 80/20 split, sorted by macro-F1 and then HIGH precision."""
     labelled = _numeric(_label(rows, label_column), (*PRIORITY_NUMERIC, *PRIORITY_SCORES))
     placed = _rank_in_class(labelled.withColumn("_key", F.concat_ws("|", *PAIR, "gap_type")), "target", "_key")
@@ -370,9 +389,9 @@ def compare_models(rows: DataFrame, label_column: str = "disease_priority", seed
     train, test = data.filter(~F.col("is_test")), data.filter("is_test")
     stages = preprocess_stages([*PRIORITY_NUMERIC, *PRIORITY_SCORES], [])
     learners = {
-        "Logistic Regression": LogisticRegression(labelCol="target", weightCol="class_weight", maxIter=50),
-        "Random Forest": RandomForestClassifier(labelCol="target", weightCol="class_weight", numTrees=50, maxDepth=6, seed=seed),
-        "Boosted Trees": OneVsRest(classifier=GBTClassifier(maxIter=10, maxDepth=4, seed=seed), labelCol="target"),
+        "Logistic Regression": LogisticRegression(labelCol="target", weightCol="class_weight", maxIter=iterations),
+        "Random Forest": RandomForestClassifier(labelCol="target", weightCol="class_weight", numTrees=trees, maxDepth=6, seed=seed),
+        "Boosted Trees": OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=4, seed=seed), labelCol="target"),
     }
     names = F.array(*[F.lit(x) for x in PRIORITY_LABELS])
 
@@ -387,6 +406,9 @@ def compare_models(rows: DataFrame, label_column: str = "disease_priority", seed
             F.max(F.when(F.col("class") == "macro avg", F.col("f1"))).alias("macro_f1"),
             F.max(F.when(F.col("class") == "HIGH", F.col("precision"))).alias("high_precision"),
             F.max(F.when(F.col("class") == "HIGH", F.col("recall"))).alias("high_recall"),
+            F.max(F.when(F.col("class") == "macro avg", F.col("precision"))).alias("macro_precision"),
+            F.max(F.when(F.col("class") == "weighted avg", F.col("precision"))).alias("weighted_precision"),
+            F.max(F.when(F.col("class") == "weighted avg", F.col("recall"))).alias("accuracy"),
         ).select(F.lit(name).alias("model"), "*")
         result = row if result is None else result.unionByName(row)
     return result.orderBy(F.desc("macro_f1"), F.desc("high_precision"), "model")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caregap import schemas
 from caregap.functions import clean, scores
-from caregap.session import checkpointed
+from caregap.session import checkpointed, materialize
 
 QUEUE_SIZE = 100
 
@@ -167,7 +167,8 @@ def review_order() -> list[Column]:
 
 
 def rank_candidates(candidates: DataFrame, severity: DataFrame | None = None, use_severity: bool = False) -> DataFrame:
-    scored = review_scores(candidates, severity, use_severity)
+    # Stored first: the range sample and the sort would each compute the candidates again.
+    scored = materialize(review_scores(candidates, severity, use_severity))
     return global_rank(scored, review_order(), "review_rank").withColumn(
         "review_queue", F.col("review_rank") <= QUEUE_SIZE
     )

@@ -602,6 +602,14 @@ def _(f):
     return ingest.rejection_summary(f.validated)
 
 
+@query(
+    "q6_rejection_sample",
+    "SELECT row_idx, reason FROM validated WHERE reason IS NOT NULL ORDER BY row_idx LIMIT 10",
+)
+def _(f):
+    return ingest.rejection_sample(f.validated)
+
+
 @query(
     "r16_source_stats",
     """SELECT w.source, raw_claims, skipped_rows, coalesce(diagnosis_rows, 0) AS diagnosis_rows

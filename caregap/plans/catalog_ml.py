@@ -161,7 +161,8 @@ def _(f):
 
 @query("m9_model_comparison")
 def _(f):
-    return ml.compare_models(_labelled_suspects(f))
+    # The library's defaults are 400 trees and 250 rounds; that takes many minutes at any size.
+    return ml.compare_models(_labelled_suspects(f), trees=50, rounds=10, iterations=50)
 
 
 @query(
@@ -185,6 +186,16 @@ def _(f):
     return ml.class_report(ml.priority_columns(f.predictions), predicted="ml_priority")
 
 
+@query(
+    "m10_accuracy",
+    """SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(hits) / CAST(sum(n) AS DOUBLE), 6) AS accuracy,
+              round(avg(hits / CAST(n AS DOUBLE)), 6) AS balanced_accuracy
+       FROM (SELECT actual, count(*) AS n, count(*) FILTER (actual = predicted) AS hits FROM labelled GROUP BY actual)""",
+)
+def _(f):
+    return ml.accuracy_report(ml.priority_columns(f.predictions), predicted="ml_priority")
+
+
 @query(
     "m11_expected_priority",
     """SELECT bene_id, hcc_v28, gap_type, predicted AS ml_priority, round_even(10000.0e0 * (p1 * 0.5e0 + p2), 0) / 10000.0e0 AS ml_priority_score,
