@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Text that a Python worker turns into objects at once, and rows that Spark sends it at once.
+SLICE_BYTES = 2 << 20
+BATCH_ROWS = 1000
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -24,7 +27,7 @@ def map_texts(
     df: DataFrame,
     work: Callable[[pa.Array, list[bytes | None]], Iterator[dict[str, list | pa.Array]]],
     schema: str,
-    slice_bytes: int = 8 << 20,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Run ``work`` over (doc_id, text) rows in Arrow slices of about ``slice_bytes`` of text.
 
@@ -33,6 +36,7 @@ def map_texts(
     nothing else grows with it.
     """
     arrow_schema = _arrow_schema(df.sparkSession, schema)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,6 +52,17 @@ def map_texts(
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of ``BATCH_ROWS``, unless the session has a setting of its own.
+
+    Spark's default of 10,000 rows makes batches of tens of megabytes of text, once
+    in the JVM and once in each worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.Array):
         return values if values.type == kind else values.cast(kind)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caregap.llm.common import texts_only
+from caregap.llm.common import SLICE_BYTES, bounded_batches, texts_only
 from caregap.session import materialize
 
 N_GRAM = 10
@@ -115,6 +115,7 @@ def hits(
     exclusive), one for each item and unbroken stretch.
     """
     rows = texts_only(docs, id_col, text_col)
+    bounded_batches(docs.sparkSession)
     slices = _slices(benchmark, n, broadcast_bytes)
     for k, grams in enumerate(slices):
         last = k == len(slices) - 1
@@ -149,7 +150,7 @@ def _scanner(grams, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: NGrams = grams.value
         for batch in batches:
-            step = max(1, min(batch.num_rows, int((8 << 20) * batch.num_rows / max(1, batch.nbytes))))
+            step = max(1, min(batch.num_rows, int(SLICE_BYTES * batch.num_rows / max(1, batch.nbytes))))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 texts = part.column("text").cast(pa.binary()).to_pylist()
@@ -221,6 +222,7 @@ def clean_documents(
 
         return run
 
+    bounded_batches(docs.sparkSession)
     for grams in _slices(benchmark, n, broadcast_bytes):
         docs = docs.mapInArrow(only_clean(grams), docs.schema)
     return docs

@@ -28,7 +28,7 @@ _FINE = [f"fine{k}" for k in range(FINE_HASHES // 64)]
 # Pivot rounds go on while the pairs left to compare exceed this multiple of the bucket members.
 LINEAR = 8
 _BLOCK = 1 << 16
-_CACHE_BYTES = 64 << 20
+_CACHE_BYTES = 32 << 20
 _RNG = np.random.default_rng(20_241)
 _A, _FINE_A = (_RNG.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (HASHES, FINE_HASHES))
 _B, _FINE_B = (_RNG.integers(0, 1 << 63, n, dtype=np.uint64) for n in (HASHES, FINE_HASHES))
@@ -80,8 +80,12 @@ def minima(sets: list[np.ndarray], factors: np.ndarray = _A, shifts: np.ndarray
 
 
 def _signatures(ids: pa.Array, texts: list[bytes | None]):
-    words = [words_of(t) for t in texts]
-    sets = [shingle_set(w) for w in words]
+    sets: list[np.ndarray] = []
+    keys: list[bytes | None] = []
+    for text in texts:
+        words = words_of(text)
+        sets.append(shingle_set(words))
+        keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
     some = [k for k, s in enumerate(sets) if len(s)]
     low = minima([sets[k] for k in some])
     bands = np.zeros((len(some), BANDS), np.uint64)
@@ -90,9 +94,6 @@ def _signatures(ids: pa.Array, texts: list[bytes | None]):
         bands ^= bands >> np.uint64(29)
     bands = (bands + np.arange(BANDS, dtype=np.uint64)) * _FACTOR
     bits = _one_bit(low)
-    keys: list = [None] * len(sets)
-    for k in some:
-        keys[k] = xxhash.xxh3_128_digest(b" ".join(words[k]))
     ends = np.zeros(len(sets), np.int64)
     ends[some] = BANDS
     all_bits = np.zeros((len(sets), 2), np.int64)
