@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caregap.llm.common import map_texts, texts_only
+from caregap.llm.common import bounded_batches, map_texts, texts_only
 
 # Bound of the training sample, in all and per language; the driver holds its n-gram counts.
 SAMPLE_ROWS = 4000
@@ -125,10 +125,17 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     lot = F.xxhash64("doc_id", "text")
     # The key of a row is its hash, so only keys are ranked; texts are fetched for the chosen rows alone.
     keys = rows.select("label", lot.alias("lot"))
+    # Hashes are uniform: twice the wanted share of a label holds its smallest ones, so a frequent label
+    # sends about that many keys to its ranking, however many tasks read it. At most SAMPLE_ROWS labels count.
+    sizes = {r.label: r["count"] for r in keys.groupBy("label").count().orderBy(F.desc("count"), "label").limit(SAMPLE_ROWS).collect()}
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2.0 * SAMPLE_PER_LANGUAGE / n))])
+    if sizes:
+        keys = keys.filter(F.col("lot").cast("double") / 2.0**64 + 0.5 <= share[F.col("label")])
     ranked = keys.withColumn("no", F.row_number().over(Window.partitionBy("label").orderBy("lot")))
     chosen = ranked.filter(F.col("no") <= SAMPLE_PER_LANGUAGE).orderBy("no", "lot").limit(SAMPLE_ROWS).select("lot", "label")
     wanted = {(r.lot, r.label) for r in chosen.collect()}  # at most SAMPLE_ROWS pairs
     languages = sorted({label for _, label in wanted})
+    bounded_batches(labelled.sparkSession)
     shared = labelled.sparkSession.sparkContext.broadcast({x for x, _ in wanted})
     picked = rows.select("text", "label", lot.alias("lot"))
     schema = "lot bigint, label string, buckets binary, shares binary"
@@ -188,6 +195,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 def keep_accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The documents (doc_id, text and any other columns) whose language is accepted, judged row by row in place."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         own = shared.value
