@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +20,6 @@ SIZES = (1, 2, 3)
 UNKNOWN = "und"
 # Share of the rightly labelled calibration texts that may be rejected.
 REJECT_SHARE = 0.001
-_HAS_LETTER = re.compile(r"[^\W\d_]")
 # Other ASCII than letters is a gap; A-Z is lower-cased, UTF-8 bytes beyond ASCII stay.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -57,7 +55,7 @@ class LanguageModel:
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
         """Language and its probability; ``und`` with 0 for null and for texts without a letter."""
-        if not self.languages or not text or not _HAS_LETTER.search(text.decode("utf-8", "replace")):
+        if not self.languages or not text or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
             return UNKNOWN, 0.0
         p = self.probabilities(text)
         best = int(p.argmax())
@@ -69,8 +67,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(languages: list[str], rows: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float = 2.0) -> LanguageModel:
-    """Train by stochastic gradient descent on rows of averaged n-gram counts (rows x BUCKETS).
+Features = tuple[np.ndarray, np.ndarray]
+
+
+def fit(languages: list[str], rows: list[Features], labels: np.ndarray, epochs: int = 12, rate: float = 2.0) -> LanguageModel:
+    """Train by stochastic gradient descent on rows of (buckets, share of each in the text's n-grams).
 
     A tenth of the rows is left out for calibration: the temperature minimises its
     log loss, and the rejection level is the score below which ``REJECT_SHARE`` of
@@ -87,18 +88,17 @@ def fit(languages: list[str], rows: np.ndarray, labels: np.ndarray, epochs: int
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for part in np.array_split(rng.permutation(train), max(1, len(train) // 16)):
-            x = rows[part]
-            mean = x @ embedding
+            mean = np.stack([rows[k][1] @ embedding[rows[k][0]] for k in part])
             error = (_softmax(mean @ output + bias) - target[part]) / len(part)
             back = error @ output.T
             output -= step * (mean.T @ error)
             bias -= step * error.sum(axis=0)
-            used = np.flatnonzero(x.any(axis=0))
-            embedding[used] -= step * 20 * (x[:, used].T @ back)
+            for k, own in zip(part, back, strict=True):
+                embedding[rows[k][0]] -= step * 20 * np.outer(rows[k][1], own)
     weights = embedding @ output
     temperature, level = 1.0, 0.0
     if len(held):
-        z = rows[held] @ weights + bias
+        z = np.stack([rows[k][1] @ weights[rows[k][0]] for k in held]) + bias
 
         def loss(t: float) -> float:
             return float(-np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), labels[held]], 1e-12)).mean())
@@ -157,9 +157,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     found = {(r.lot, r.label): r for r in picked.mapInArrow(featurize, schema).dropDuplicates(["lot", "label"]).collect()}
     found = [found[k] for k in sorted(found) if k in wanted]
-    x = np.zeros((len(found), BUCKETS), np.float32)
-    for k, r in enumerate(found):
-        x[k, np.frombuffer(r.buckets, "<u2")] = np.frombuffer(r.shares, "<f4")
+    x = [(np.frombuffer(r.buckets, "<u2").astype(np.int64), np.frombuffer(r.shares, "<f4")) for r in found]
     labels = np.array([languages.index(r.label) for r in found], np.int64)
     if len(languages) < 2:
         return LanguageModel(languages, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages)), 1.0, 0.0)

@@ -267,6 +267,7 @@ def test_language_id_defined_cases(docs, odd):
     got = {r["doc_id"]: r for r in rows_of(language_id.identify(odd, model))}
     assert [got[i]["lang_pred"] for i in (1, 2, 3, 4, 13)] == ["und"] * 5 and got[7]["lang_pred"] == "en"
     assert not got[1]["accepted"] and got[1]["score"] == 0
+    assert model.predict("½ ² 12 _ ٣".encode()) == ("und", 0.0) and model.predict("½ x".encode())[0] != "und"
     assert language_id.identify(odd.limit(0), model).count() == 0
     empty = language_id.train(odd.limit(0))
     assert {r["lang_pred"] for r in rows_of(language_id.identify(odd, empty))} == {"und"}
