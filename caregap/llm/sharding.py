@@ -91,8 +91,11 @@ def shard_by_bytes(
             F.when(F.col("bytes") <= target, F.lit(1)).otherwise(F.ceil(F.col("bytes") * 8 / F.lit(target))).cast("bigint").alias("units"),
         )
     )
-    dealt = rows.join(groups, key, "left").withColumn(
-        "unit", F.when(F.col("units").isNotNull(), F.pmod(F.xxhash64("doc_id", "h"), F.col("units")))
+    # Stored before anything groups on the key again, so that the join can split a hot group.
+    dealt = materialize(
+        rows.join(groups, key, "left").withColumn(
+            "unit", F.when(F.col("units").isNotNull(), F.pmod(F.xxhash64("doc_id", "h"), F.col("units")))
+        )
     )
 
     copies = dealt.filter("unit IS NOT NULL")
