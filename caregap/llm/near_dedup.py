@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,23 +18,47 @@ from caregap.llm.components import connected_components
 from caregap.session import materialize
 
 SHINGLE = 5
-# Links: 100 * intersection >= 85 * union.
+# Links: 100 * intersection >= percent * union; this is the limit of op4, callers may pass another.
 PERCENT = 85
-BANDS, ROWS = 20, 5
+ROWS = 5
 HASHES = 128
-# Equal bits of two one-bit signatures below which a pair at the limit would be more than five deviations off.
-LEAST_EQUAL_BITS = 102
-# The members of buckets that stay mixed get longer signatures; the same five and a half deviations.
+# The members of buckets that stay mixed get longer signatures.
 FINE_HASHES = 1024
-LEAST_EQUAL_FINE_BITS = 901
+# Largest chance that the bands miss a pair at the limit, and how far below its mean a signature may fall.
+_MISS = 1e-6
+_DEVIATIONS = 5.5
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What follows from the percentage at which two documents are linked."""
+
+    percent: int
+    bands: int
+    # Equal bits of two one-bit signatures below which a pair at the limit would be more than five and a half deviations off.
+    least_equal_bits: int
+    least_equal_fine_bits: int
+
+    @classmethod
+    def of(cls, percent: int) -> Limits:
+        if not 0 < percent < 100:
+            raise ValueError(f"percent must lie between 0 and 100: {percent}")
+        same = (1 + percent / 100) / 2  # chance that a pair at the limit has an equal bit
+
+        def least(n: int) -> int:
+            return math.floor(n * same - _DEVIATIONS * math.sqrt(n * same * (1 - same)))
+
+        bands = math.ceil(math.log(_MISS) / math.log1p(-((percent / 100) ** ROWS)))
+        return cls(percent, bands, least(HASHES), least(FINE_HASHES))
+
+
+_OP4 = Limits.of(PERCENT)
+BANDS = _OP4.bands
 _FINE = [f"fine{k}" for k in range(FINE_HASHES // 64)]
 # Pivot rounds go on while the pairs left to compare exceed this multiple of the bucket members.
 LINEAR = 8
 _BLOCK = 1 << 16
 _CACHE_BYTES = 32 << 20
-_RNG = np.random.default_rng(20_241)
-_A, _FINE_A = (_RNG.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (HASHES, FINE_HASHES))
-_B, _FINE_B = (_RNG.integers(0, 1 << 63, n, dtype=np.uint64) for n in (HASHES, FINE_HASHES))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SIGNATURE = "doc_id bigint, n_shingles bigint, words binary, bands array<bigint>, bits0 bigint, bits1 bigint"
 
@@ -58,8 +85,17 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(sets: list[np.ndarray], factors: np.ndarray = _A, shifts: np.ndarray = _B) -> np.ndarray:
-    """Smallest value of each universal hash over each non-empty set: len(sets) x hashes."""
+@cache
+def _universal(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of ``n`` universal hashes."""
+    rng = np.random.default_rng(seed)
+    factors = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
+def minima(sets: list[np.ndarray], n: int = HASHES, seed: int = 20_241) -> np.ndarray:
+    """Smallest value of each of ``n`` universal hashes over each non-empty set: len(sets) x n."""
+    factors, shifts = _universal(n, seed)
     out = np.full((len(sets), len(factors)), np.iinfo(np.uint32).max, np.uint32)
     first = 0
     while first < len(sets):
@@ -79,7 +115,7 @@ def minima(sets: list[np.ndarray], factors: np.ndarray = _A, shifts: np.ndarray
     return out
 
 
-def _signatures(ids: pa.Array, texts: list[bytes | None]):
+def _signatures(ids: pa.Array, texts: list[bytes | None], n_bands: int = BANDS):
     sets: list[np.ndarray] = []
     keys: list[bytes | None] = []
     for text in texts:
@@ -87,15 +123,15 @@ def _signatures(ids: pa.Array, texts: list[bytes | None]):
         sets.append(shingle_set(words))
         keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
     some = [k for k, s in enumerate(sets) if len(s)]
-    low = minima([sets[k] for k in some])
-    bands = np.zeros((len(some), BANDS), np.uint64)
+    low = minima([sets[k] for k in some], max(HASHES, n_bands * ROWS))
+    bands = np.zeros((len(some), n_bands), np.uint64)
     for r in range(ROWS):
-        bands = (bands + low[:, r : BANDS * ROWS : ROWS]) * _FACTOR
+        bands = (bands + low[:, r : n_bands * ROWS : ROWS]) * _FACTOR
         bands ^= bands >> np.uint64(29)
-    bands = (bands + np.arange(BANDS, dtype=np.uint64)) * _FACTOR
-    bits = _one_bit(low)
+    bands = (bands + np.arange(n_bands, dtype=np.uint64)) * _FACTOR
+    bits = _one_bit(low[:, :HASHES])
     ends = np.zeros(len(sets), np.int64)
-    ends[some] = BANDS
+    ends[some] = n_bands
     all_bits = np.zeros((len(sets), 2), np.int64)
     all_bits[some] = bits
     yield {
@@ -116,7 +152,7 @@ def _one_bit(low: np.ndarray) -> np.ndarray:
 
 
 def _fine_signatures(ids: pa.Array, texts: list[bytes | None]):
-    bits = _one_bit(minima([shingle_set(words_of(t)) for t in texts], _FINE_A, _FINE_B))
+    bits = _one_bit(minima([shingle_set(words_of(t)) for t in texts], FINE_HASHES, 20_242))
     yield {"doc_id": ids, **{c: pa.array(np.ascontiguousarray(bits[:, k])) for k, c in enumerate(_FINE)}}
 
 
@@ -137,39 +173,44 @@ class _Sets(dict):
         return found
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs whose full shingle sets are similar enough."""
-    sets = _Sets()
-    for batch in batches:
-        left = batch.column("text_a").cast(pa.binary())
-        right = batch.column("text_b").cast(pa.binary())
-        keep = np.zeros(batch.num_rows, bool)
-        for k in range(batch.num_rows):
-            one, other = sets[left[k].as_py()], sets[right[k].as_py()]
-            both = np.concatenate((one, other))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep[k] = 100 * common >= PERCENT * (len(both) - common)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"]
-        )
+def _verifier(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keep the pairs whose full shingle sets are similar enough."""
+        sets = _Sets()
+        for batch in batches:
+            left = batch.column("text_a").cast(pa.binary())
+            right = batch.column("text_b").cast(pa.binary())
+            keep = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                one, other = sets[left[k].as_py()], sets[right[k].as_py()]
+                both = np.concatenate((one, other))
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                keep[k] = 100 * common >= percent * (len(both) - common)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"]
+            )
+
+    return verify
 
 
 def _equal_bits(x: str, y: str, columns: list[str]):
     return 64 * len(columns) - sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns)
 
 
-def _near(x: str, y: str):
+def _near(x: str, y: str, limits: Limits):
     """Pairs that the sizes and the signatures leave open (``x`` and ``y`` are column prefixes)."""
     nx, ny = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * PERCENT) & (_equal_bits(x, y, ["bits0", "bits1"]) >= LEAST_EQUAL_BITS)
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * limits.percent) & (
+        _equal_bits(x, y, ["bits0", "bits1"]) >= limits.least_equal_bits
+    )
 
 
 class _Linker:
     """Links between class representatives, found bucket by bucket without listing all pairs of a bucket."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.docs, self.classes = docs, classes
+    def __init__(self, docs: DataFrame, classes: DataFrame, limits: Limits):
+        self.docs, self.classes, self.limits = docs, classes, limits
         members = classes.select("rep", "n_shingles", "bits0", "bits1", F.explode("bands").alias("bucket"))
         shared = (
             members.groupBy("bucket")
@@ -188,7 +229,7 @@ class _Linker:
         texts = self.texts
         with_b = pairs.distinct().join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint"))
+        return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(self.limits.percent), "a bigint, b bigint"))
 
     def pivots(self, candidates: DataFrame) -> DataFrame:
         """For each bucket the candidate with the most company, the smallest of equal ones."""
@@ -200,7 +241,7 @@ class _Linker:
         heads = self.classes.select(F.col("rep").alias("pivot"), "n_shingles", "bits0", "bits1")
         return (
             members.drop("pivot").join(pivots, "bucket").filter("pivot <> rep").alias("m")
-            .join(heads.alias("p"), "pivot").filter(_near("m", "p"))
+            .join(heads.alias("p"), "pivot").filter(_near("m", "p", self.limits))
             .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
         )
 
@@ -251,26 +292,29 @@ class _Linker:
         rest = x.join(
             y,
             (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.pivot") != F.col("y.rep"))
-            & ((F.col("y.label") == F.col("y.home")) | (F.col("x.rep") < F.col("y.rep"))) & _near("x", "y")
-            & (_equal_bits("x", "y", _FINE) >= LEAST_EQUAL_FINE_BITS)
+            & ((F.col("y.label") == F.col("y.home")) | (F.col("x.rep") < F.col("y.rep"))) & _near("x", "y", self.limits)
+            & (_equal_bits("x", "y", _FINE) >= self.limits.least_equal_fine_bits)
             & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")),
         ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         return links.unionByName(self.confirmed(rest))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
+) -> DataFrame:
     """Component of near-duplicate texts for every document.
 
     Words are lower-cased (A-Z) and split at ASCII white space; a document's set
     holds its distinct five-word shingles, or its whole word sequence if shorter.
-    Two documents are linked when 100 times the common shingles are at least 85
-    times all shingles of both.
+    Two documents are linked when 100 times the common shingles are at least
+    ``percent`` times all shingles of both.
 
     Documents with the same word sequence form a class first; only the smallest id
-    of a class is hashed into bands. ``BANDS`` bands of ``ROWS`` minima find a pair
-    at the limit with a chance of 1 - 8e-6, closer pairs with more. Candidates go
-    through sizes and one-bit signatures (128 bits, in mixed buckets also 1024; a
-    pair at the limit is lost with a chance below 1e-6), then whole texts confirm them.
+    of a class is hashed into bands of ``ROWS`` minima, as many as ``Limits`` derives
+    from ``percent`` (24 at 85, 35 at 80): they miss a pair at the limit with a
+    chance of 1e-6, closer pairs with less. Candidates go through sizes and one-bit
+    signatures (128 bits, in mixed buckets also 1024), which lose a pair at the limit
+    with a chance below 1e-6; then whole texts confirm them.
 
     Defined cases: null texts and texts without words are linked with nothing; a
     row with a null id is linked with nothing, its component is null and it is
@@ -279,15 +323,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns doc_id, n_shingles, component_id, kept.
     """
+    limits = Limits.of(percent)
     texts = texts_only(docs, id_col, text_col)
-    rows = materialize(map_texts(texts, _signatures, _SIGNATURE))
+    work = _signatures if limits.bands == BANDS else partial(_signatures, n_bands=limits.bands)
+    rows = materialize(map_texts(texts, work, _SIGNATURE))
     linked = rows.filter("doc_id IS NOT NULL AND words IS NOT NULL")
     classes = materialize(
         linked.groupBy("words").agg(
             F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "bits0", "bits1"))
         )
     )
-    components = connected_components(_Linker(texts, classes).links())
+    components = connected_components(_Linker(texts, classes, limits).links())
     home = (
         classes.select("words", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
         .select("words", F.coalesce("component", "rep").alias("component"))
@@ -301,7 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents of which one stays for each component, all columns kept."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, percent=percent).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -15,6 +15,9 @@ from caregap.llm import decontamination, language_id, line_dedup, near_dedup, pa
 from caregap.llm.common import DOCUMENT_COLUMNS, table
 from caregap.session import apply_defaults, materialize
 
+# Texts whose shingle sets are alike to this percentage are near duplicates here; op4 has a limit of its own.
+NEAR_PERCENT = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those whose language the model rejects."""
@@ -30,7 +33,7 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
-    return near_dedup.one_of_each(docs.select(*DOCUMENT_COLUMNS))
+    return near_dedup.one_of_each(docs.select(*DOCUMENT_COLUMNS), NEAR_PERCENT)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
