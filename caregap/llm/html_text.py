@@ -56,13 +56,15 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
       | <(?P<raw>script|style|noscript|template|svg|math|iframe|object|select|button|textarea|canvas|title)\b
-        (?:[^>"']|"[^"]*"|'[^']*')*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))
+        (?:[^>"']|"[^"]*"|'[^']*')*+>
       | <[!?][^>]*(?:>|\Z)
       | <(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)
       | <(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)(?:>|\Z)
       | (?P<text>[^<]+|<)""",
     re.DOTALL | re.IGNORECASE | re.VERBOSE,
 )
+# Elements whose content is never markup: they have no self-closed form and run to the page's end if nothing ends them.
+_RAW_TEXT = frozenset("script style textarea title".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -143,6 +145,16 @@ def _marks(attributes: str) -> tuple[list[str], list[str], bool]:
     return words, roles, hidden
 
 
+def _behind(html: str, tag: str, at: int, unended: set[str]) -> int:
+    """Where the page goes on behind a skipped element whose start tag ends at ``at``; ``unended`` is kept over a page."""
+    if tag not in _RAW_TEXT and (tag in unended or html[at - 2] == "/"):
+        return at
+    if end := re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at):
+        return end.end()
+    unended.add(tag)
+    return len(html) if tag in _RAW_TEXT else at
+
+
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order with what the rules look at."""
     page = _Page()
@@ -150,7 +162,11 @@ def blocks_of(html: str) -> list[Block]:
     body = re.search(r"</head\s*>|<body\b", html, re.IGNORECASE)
     if body and re.match(r"\s*(<!doctype[^>]*>|<html\b[^>]*>|<!--.*?-->|\s)*<head\b", html[: body.start()], re.IGNORECASE | re.DOTALL):
         skip_to = body.start()
-    for m in _TOKEN.finditer(html, skip_to):
+    at, unended = skip_to, set()
+    while m := _TOKEN.match(html, at):
+        at = m.end()
+        if m["raw"]:
+            at = _behind(html, m["raw"].lower(), at, unended)
         text = m["text"]
         if text is not None:
             text = unescape(text)
