@@ -18,6 +18,8 @@ LONG = 200
 STOP_HIGH = 0.30
 STOP_LOW = 0.15
 LINKS_HIGH = 0.33
+# An article or main element vouches for its blocks if it holds this share of the text of the page's largest section.
+VOUCH = 0.25
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -206,38 +208,49 @@ def blocks_of(html: str) -> list[Block]:
     return page.blocks
 
 
+def _section(block: Block) -> tuple[bool, int]:
+    """Innermost article, else main, else the rest of the page."""
+    return (bool(block.article) or block.main, block.article)
+
+
+def _judge(block: Block) -> str:
+    """Label of a block that nothing vouches for, empty if ambiguous."""
+    if block.boilerplate or block.links / len(block.text) > LINKS_HIGH:
+        return "bad"
+    if len(block.text) < SHORT:
+        return "bad" if block.text[0] in "©" or block.text.lower().startswith("copyright") else ""
+    words = _LETTERS.findall(block.text.lower())
+    share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if share >= STOP_HIGH or (share >= STOP_LOW and len(block.text) > LONG):
+        return "good"
+    return "bad" if share < STOP_LOW else ""
+
+
 def classify(blocks: list[Block]) -> None:
     """Label every block good or bad.
 
     First pass, block by block: boilerplate sections and link-heavy blocks are
     bad; blocks of ``SHORT`` characters or more are good if their share of stop
-    words is high, or fair and the block is long, bad if it is low; an article
-    element vouches for its blocks whatever the share. The rest is ambiguous.
+    words is high, or fair and the block is long, bad if it is low. The rest is
+    ambiguous. An article or main element whose text outside links reaches
+    ``VOUCH`` of that of the largest section (for the rest of the page, of its
+    good blocks) vouches for its blocks, whatever their share of stop words or
+    links; smaller ones, such as teasers, are judged like the rest.
     Second pass: an ambiguous block takes the label of the nearest decided block
     of its own section; between two equally near ones a heading follows the next
     block and others are good if either is.
     """
-    has_article = any(b.article and not b.boilerplate for b in blocks)
-    has_main = any(b.main and not b.boilerplate for b in blocks)
-    inside = [bool(b.article) if has_article else b.main for b in blocks]
+    own: dict[tuple[bool, int], int] = {}
+    for block in blocks:
+        block.label = _judge(block)
+        section = _section(block)
+        if not block.boilerplate and (section[0] or block.label == "good"):
+            own[section] = own.get(section, 0) + len(block.text) - block.links
+    largest = max(own.values(), default=0)
+    inside = [_section(b)[0] and own.get(_section(b), 0) >= VOUCH * largest for b in blocks]
     for block, within in zip(blocks, inside, strict=True):
-        if block.boilerplate or ((has_article or has_main) and not within):
-            block.label = "bad"
-            continue
-        links = block.links / len(block.text)
-        if links > LINKS_HIGH:
-            block.label = "" if within and block.tag not in ("li", "td") else "bad"
-        elif within:
-            block.label = "good" if len(block.text) >= SHORT else ""
-        elif len(block.text) >= SHORT:
-            words = _LETTERS.findall(block.text.lower())
-            share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if share >= STOP_HIGH or (share >= STOP_LOW and len(block.text) > LONG):
-                block.label = "good"
-            elif share < STOP_LOW:
-                block.label = "bad"
-        elif block.text[0] in "©" or block.text.lower().startswith("copyright"):
-            block.label = "bad"
+        if within and not block.boilerplate:
+            block.label = "good" if len(block.text) >= SHORT and block.links / len(block.text) <= LINKS_HIGH else ""
     _inherit(blocks, inside)
 
 
@@ -248,7 +261,7 @@ def _inherit(blocks: list[Block], inside: list[bool]) -> None:
     for order, found in ((range(n), before), (range(n - 1, -1, -1), after)):
         last: dict[tuple[bool, int], tuple[int, str]] = {}
         for k in order:
-            section = (inside[k], blocks[k].article if inside[k] else 0)
+            section = _section(blocks[k])
             found[k] = last.get(section)
             # What a menu or an advert inside the section says is no evidence for its neighbours.
             if blocks[k].label and not (inside[k] and blocks[k].boilerplate):

@@ -19,3 +19,30 @@ def test_raw_text_is_never_markup():
 
 def test_many_elements_without_an_end():
     assert main_text("<article>" + "<button>x " * 20_000 + "</article>").count("x") == 20_000
+
+
+TEXT = "It is said that the river was high in the spring and that all of the fields by it had been under water for weeks."
+TEASERS = "".join(f'<article class="card"><h3>Teaser {k}</h3><p>Short words {k}</p></article>' for k in range(5))
+
+
+@pytest.mark.parametrize("around", ["<main>{}</main>", '<div class="content">{}</div>', "{}"])
+@pytest.mark.parametrize("order", [0, 1])
+def test_teasers_do_not_replace_the_text(around, order):
+    """Teaser cards that are articles, beside the text or inside its main element."""
+    paragraphs = [f"{TEXT} Part {k}." for k in range(6)]
+    text = "".join(f"<p>{p}</p>" for p in paragraphs)
+    parts = (around.format(text), TEASERS) if order else (TEASERS, around.format(text))
+    assert [b for b in main_text("<body>" + "".join(parts) + "</body>").split("\n") if "Part" in b] == paragraphs
+    inside = main_text("<body>" + around.format(TEASERS + text) + "</body>")
+    assert [b for b in inside.split("\n") if "Part" in b] == paragraphs
+
+
+def test_text_outside_an_article_stays():
+    page = f"<div><p>{TEXT} Lead.</p></div><article><p>{TEXT}</p><p>short</p></article>"
+    assert main_text(page) == f"{TEXT} Lead.\n{TEXT}\nshort"
+
+
+def test_link_rich_items_of_the_article_stay():
+    items = "".join(f'<li><a href="/{k}">Linked name number {k}</a> and more</li>' for k in range(4))
+    got = main_text(f"<nav><ul>{items}</ul></nav><article><p>{TEXT}</p><ul>{items}</ul><p>Short end</p></article>")
+    assert got.split("\n") == [TEXT, *(f"Linked name number {k} and more" for k in range(4)), "Short end"]
