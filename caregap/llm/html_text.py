@@ -18,23 +18,35 @@ LONG = 200
 STOP_HIGH = 0.30
 STOP_LOW = 0.15
 LINKS_HIGH = 0.33
+# Share of a page's words that one language's stop words must reach, or shares of stop words say nothing about the page.
+STOP_FITS = 0.20
 # An article or main element vouches for its blocks if it holds this share of the text of the page's largest section.
 VOUCH = 0.25
 
 # Frequent function words of English, French, German and Spanish.
-STOP_WORDS = frozenset(
-    """
-    a about after all also an and any are as at be because been but by can could did do for from had has have he her
-    his how i if in into is it its more most no not of on one only or other our out she so some such than that the
-    their them then there these they this to up was we were what when which who will with would you your
-    au aux avec ce ces cette dans de des du elle en est et eux il ils je la le les leur lui mais me nous ou par pas
-    plus pour qu que qui sa se ses son sont sur un une vous
-    aber als am auch auf aus bei bin bis das dass dem den der die doch ein eine einem einen einer es hat ich ihr im
-    ist mit nach nicht noch nur oder sich sie sind so und von vor war wie wir zu zum zur über
-    al como con del desde donde el ella ellos entre era es esta este fue ha hay las lo los muy más ni nos o para pero
-    por porque que se según si sin sobre son su sus también tiene todo una unos y ya
-    """.split()
+_STOP_LISTS = tuple(
+    frozenset(words.split())
+    for words in (
+        """
+        a about after all also an and any are as at be because been but by can could did do for from had has have he her
+        his how i if in into is it its more most no not of on one only or other our out she so some such than that the
+        their them then there these they this to up was we were what when which who will with would you your
+        """,
+        """
+        au aux avec ce ces cette dans de des du elle en est et eux il ils je la le les leur lui mais me nous on ou par
+        pas plus pour qu que qui sa se ses son sont sur un une vous
+        """,
+        """
+        aber als am an auch auf aus bei bin bis das dass dem den der die doch ein eine einem einen einer es hat ich ihr
+        im in ist mit nach nicht noch nur oder sich sie sind so und von vor war was wie wir zu zum zur über
+        """,
+        """
+        a al como con de del desde donde el ella ellos en entre era es esta este fue ha hay la las lo los muy más ni no
+        nos o para pero por porque que se según si sin sobre son su sus también tiene todo un una unos y ya
+        """,
+    )
 )
+STOP_WORDS = frozenset().union(*_STOP_LISTS)
 # Elements, roles and class or id words.
 _BLOCKS = frozenset(
     """
@@ -53,7 +65,20 @@ _BOILERPLATE_WORDS = frozenset(
     search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets
     """.split()
 ) - {"adverb"}
-_NEGATING = ("has", "no", "with", "without", "is")
+# Words that mark a class name they begin, whatever follows; the others mark it if only words of structure follow.
+_MARKING = frozenset(
+    """
+    ad ads advert advertisement adverts breadcrumb breadcrumbs comment comments cookie cookies disqus footer gdpr masthead
+    modal nav navbar navigation newsletter pager pagination popup promo sidebar signup sponsored toolbar topbar widget widgets
+    """.split()
+)
+_STRUCTURE = frozenset(
+    """
+    area articles bar block box btn button buttons col column container content footer form group header icon icons inner
+    item items left link links list main notice outer panel posts right row section stories text toggle top wrap wrapper
+    """.split()
+)
+_PLACES = frozenset("article bottom entry global left main mobile page post primary right secondary site sticky top".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -68,6 +93,7 @@ _TOKEN = re.compile(
 # Elements whose content is never markup: they have no self-closed form and run to the page's end if nothing ends them.
 _RAW_TEXT = frozenset("script style textarea title".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -101,7 +127,7 @@ class _Page:
 
     def open(self, tag: str, attributes: str) -> None:
         _, boilerplate, article, main = self.stack[-1] if self.stack else ("", False, 0, False)
-        words, roles, hidden = _marks(attributes) if attributes else ((), (), False)
+        words, roles, hidden = _marks(attributes, tag) if attributes else ((), (), False)
         if tag == "article" or "article" in roles:
             self.articles += 1
             article = self.articles
@@ -129,7 +155,26 @@ class _Page:
                 return
 
 
-def _marks(attributes: str) -> tuple[list[str], list[str], bool]:
+def _marked(name: str) -> str:
+    """The word that makes a class name or id one of boilerplate (or of a header), empty if none does."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if p]
+    whole = "".join(parts)
+    if whole in _BOILERPLATE_WORDS or whole == "header":
+        return whole
+    while len(parts) > 1 and parts[0] in _PLACES:
+        del parts[0]
+    if not parts or (parts[0] not in _BOILERPLATE_WORDS and parts[0] != "header"):
+        return ""
+    structure = all(p in _STRUCTURE or p in _BOILERPLATE_WORDS or p.isdigit() for p in parts[1:])
+    return parts[0] if structure or parts[0] in _MARKING else ""
+
+
+def _marks(attributes: str, tag: str) -> tuple[list[str], list[str], bool]:
+    """Boilerplate words of the class names and the id, roles, and whether the element is hidden.
+
+    The id of a heading or section is mostly made from its title: a heading's says
+    nothing, a section's only if it is a marking word as a whole.
+    """
     words: list[str] = []
     roles: list[str] = []
     hidden = False
@@ -139,11 +184,12 @@ def _marks(attributes: str) -> tuple[list[str], list[str], bool]:
             roles += value.lower().split()
         elif name == "hidden":
             hidden = True
-        else:
-            for one in value.split():
-                parts = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", one).lower())
-                if parts[0] not in _NEGATING:
-                    words += parts
+        elif name == "class":
+            words += filter(None, map(_marked, value.split()))
+        elif tag in ("section", "article"):
+            words += [w for w in value.lower().split() if w in _MARKING]
+        elif tag not in _HEADINGS:
+            words += filter(None, map(_marked, value.split()))
     return words, roles, hidden
 
 
@@ -201,7 +247,7 @@ def blocks_of(html: str) -> list[Block]:
                 if any(s[0] == tag for s in page.stack):
                     page.end_block(page.tag)
                     page.close(tag)
-            elif attributes and any(w in _BOILERPLATE_WORDS for w in _marks(attributes)[0]):
+            elif attributes and any(w in _BOILERPLATE_WORDS for w in _marks(attributes, tag)[0]):
                 page.end_block(page.tag)
                 page.open(tag, attributes)
     page.end_block("body")
@@ -213,12 +259,23 @@ def _section(block: Block) -> tuple[bool, int]:
     return (bool(block.article) or block.main, block.article)
 
 
-def _judge(block: Block) -> str:
+def _fits(blocks: list[Block]) -> bool:
+    """Whether the page is in a language of the stop-word lists."""
+    plain = [b for b in blocks if not b.boilerplate and b.links / len(b.text) <= LINKS_HIGH]
+    words = _LETTERS.findall(" ".join(b.text for b in plain if len(b.text) >= SHORT).lower())
+    known = [w for w in words if w in STOP_WORDS]
+    return any(sum(w in own for w in known) >= STOP_FITS * len(words) for own in _STOP_LISTS) and bool(words)
+
+
+def _judge(block: Block, fits: bool) -> str:
     """Label of a block that nothing vouches for, empty if ambiguous."""
     if block.boilerplate or block.links / len(block.text) > LINKS_HIGH:
         return "bad"
-    if len(block.text) < SHORT:
+    # A character of a script without spaces stands for about three letters.
+    if len(block.text) + (0 if fits else 2 * len(_WIDE.findall(block.text))) < SHORT:
         return "bad" if block.text[0] in "©" or block.text.lower().startswith("copyright") else ""
+    if not fits:
+        return "good"
     words = _LETTERS.findall(block.text.lower())
     share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if share >= STOP_HIGH or (share >= STOP_LOW and len(block.text) > LONG):
@@ -231,7 +288,8 @@ def classify(blocks: list[Block]) -> None:
 
     First pass, block by block: boilerplate sections and link-heavy blocks are
     bad; blocks of ``SHORT`` characters or more are good if their share of stop
-    words is high, or fair and the block is long, bad if it is low. The rest is
+    words is high, or fair and the block is long, bad if it is low. On a page in
+    none of the four languages all such blocks are good. The rest is
     ambiguous. An article or main element whose text outside links reaches
     ``VOUCH`` of that of the largest section (for the rest of the page, of its
     good blocks) vouches for its blocks, whatever their share of stop words or
@@ -241,8 +299,9 @@ def classify(blocks: list[Block]) -> None:
     block and others are good if either is.
     """
     own: dict[tuple[bool, int], int] = {}
+    fits = _fits(blocks)
     for block in blocks:
-        block.label = _judge(block)
+        block.label = _judge(block, fits)
         section = _section(block)
         if not block.boilerplate and (section[0] or block.label == "good"):
             own[section] = own.get(section, 0) + len(block.text) - block.links
