@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,11 +99,12 @@ SENTENCES: dict[str, tuple[str, ...]] = {
         " license as published by the free software foundation either version 2 of the license or at your option any later"
         " version",
     ),
-    "gpl-nowarranty": (
-        "this program is distributed in the hope that it will be useful but without any warranty without even the implied"
-        " warranty of merchantability or fitness for a particular purpose",
+    "gpl-nowarranty": tuple(
+        f"this {subject} is distributed in the hope that it will be useful but without any warranty without even the implied"
+        " warranty of merchantability or fitness for a particular purpose"
+        for subject in ("program", "library", "file", "software", "work", "package", "module", "project")
     ),
-    "gpl-see": ("see the gnu general public license for more details",),
+    "gpl-see": tuple(f"see the gnu {kind}general public license for more details" for kind in ("", "lesser ", "library ", "affero ")),
     "lgpl-3-ref": ("licensed under the gnu lesser general public license version 3",),
     "lgpl-21-ref": ("licensed under the gnu lesser general public license version 2.1",),
     "agpl-3-ref": ("licensed under the gnu affero general public license version 3",),
@@ -144,22 +146,70 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-3.0-or-later", ("gpl-3-later", "gpl-nowarranty?", "gpl-see?")),
     ("GPL-2.0-or-later", ("gpl-2-later", "gpl-nowarranty?", "gpl-see?")),
     ("GPL-3.0-only", ("gpl-3-only", "gpl-nowarranty?", "gpl-see?")),
-    ("GPL-3.0-only", ("gpl-3-ref",)),
-    ("GPL-2.0-only", ("gpl-2-ref",)),
-    ("LGPL-3.0-only", ("lgpl-3-ref",)),
-    ("LGPL-2.1-only", ("lgpl-21-ref",)),
-    ("AGPL-3.0-only", ("agpl-3-ref",)),
+    *(
+        (f"{kind}-{version}-{form}", (f"{kind.lower()}-{short}-{'later' if form == 'or-later' else 'ref'}", "gpl-nowarranty?", "gpl-see?"))
+        for kind, versions in {"GPL": ("3.0", "2.0"), "LGPL": ("3.0", "2.1", "2.0"), "AGPL": ("3.0",)}.items()
+        for version in versions
+        for short in (version.replace(".0", "").replace(".", ""),)
+        for form in ("only", "or-later")
+    ),
     ("MPL-2.0", ("mpl-2-ref", "mpl-2-copy?")),
     ("CC-BY-NC-4.0", ("cc-by-nc-4-ref",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4-ref",)),
     ("CC-BY-4.0", ("cc-by-4-ref",)),
     ("Unlicense", ("unlicense-pd",)),
+    ("ISC", ("isc-ref",)),
+    ("BSD-2-Clause", ("bsd-2-ref",)),
+    ("Unlicense", ("unlicense-ref",)),
 )
+# Names that may follow "under the (terms of the)" anywhere in a sentence, or stand in an SPDX line, and their identifiers.
+# "~" is white space, comment marks, commas, brackets and the like, but no end of a sentence.
+_GAP = r"(?:[^a-z0-9.;:!?]{1,40})"
+_V2, _V4 = r"(?:~(?:version~|v\.?~?)?)2(?:\.0)?(?!\.?[0-9])", r"~4(?:\.0)?(?!\.?[0-9])"
+_LATER = r"(?P<later>~?\+|~or~(?:at~your~option~)?(?:any~)?(?:later|newer)(?:~version)?)?"
+_NUMBER = r"(?P<number>[123](?:\.[01])?)(?!\.?[0-9])"
+_NAMES = tuple(
+    (re.compile(pattern.replace("~", _GAP), re.ASCII), name)
+    for pattern, name in (
+        (rf"apache(?:~software)?(?:~licen[cs]e)?{_V2}(?:~licen[cs]e)?", "apache-2-ref"),
+        (r"(?:mit|expat)~licen[cs]e\b", "mit-ref"),
+        (r"isc~licen[cs]e\b", "isc-ref"),
+        (r"(?:(?:3|three)~clause~|new~|modified~|revised~)bsd(?:~licen[cs]e)?\b|bsd~(?:3|three)~clause(?:~licen[cs]e)?\b", "bsd-3-ref"),
+        (r"(?:(?:2|two)~clause~|simplified~)bsd(?:~licen[cs]e)?\b|bsd~(?:2|two)~clause(?:~licen[cs]e)?\b", "bsd-2-ref"),
+        (r"bsd~licen[cs]e\b", "bsd-ref"),
+        (rf"(?:gnu~)?(?:(?P<kind>lesser|library|affero)~)?general~public~licen[cs]e(?:~[al]?gpl)?(?:~as~published~by~the~free~software~foundation[;:]?)?"
+         rf"(?:~either)?(?:~version~|~v\.?~?|~){_NUMBER}(?:~of~the~licen[cs]e)?{_LATER}", "gpl"),
+        (rf"(?:gnu~)?(?P<kind>l|a)?gpl(?:~version~|~?v\.?~?|~)?{_NUMBER}{_LATER}", "gpl"),
+        (rf"(?:mozilla~public~licen[cs]e|mpl){_V2}", "mpl-2-ref"),
+        (rf"(?:creative~commons|cc)~(?:by|attribution)~(?:nc|non~?commercial){_V4}", "cc-by-nc-4-ref"),
+        (rf"(?:creative~commons|cc)~(?:by|attribution)~(?:sa|share~?alike){_V4}", "cc-by-sa-4-ref"),
+        (rf"(?:creative~commons|cc)~(?:by|attribution){_V4}", "cc-by-4-ref"),
+        (r"unlicense\b", "unlicense-ref"),
+    )
+)
+_KINDS = {"lesser": "lgpl", "library": "lgpl", "l": "lgpl", "affero": "agpl", "a": "agpl", None: "gpl"}
+_UNDER = re.compile(r"\b(?:under|subject~to)~(?:the~)?(?:terms~(?:and~conditions~)?of~)?(?:(?:the|an?)~)?".replace("~", _GAP), re.ASCII)
+_AND = re.compile(r"~(?:and~or|and|or)~(?:(?:the|an?)~)?".replace("~", _GAP), re.ASCII)
+_NOT = re.compile(r"\b(?:not|never)\b[^.;:!?]{0,30}\Z")
+_SPDX = re.compile(r"\bspdx-license-identifier:[ \t]*([^\r\n]*)", re.ASCII)
+_SPDX_WORD = re.compile(r"[a-z0-9.+-]+", re.ASCII)
+_SPDX_NAMES = {
+    "apache-2.0": "apache-2-ref", "mit": "mit-ref", "isc": "isc-ref", "bsd-3-clause": "bsd-3-ref", "bsd-2-clause": "bsd-2-ref",
+    "mpl-2.0": "mpl-2-ref", "unlicense": "unlicense-ref", "cc-by-4.0": "cc-by-4-ref", "cc-by-sa-4.0": "cc-by-sa-4-ref",
+    "cc-by-nc-4.0": "cc-by-nc-4-ref",
+    **{
+        f"{kind}-{version}{end}": f"{kind}-{version.replace('.0', '').replace('.', '')}-{form}"
+        for kind, versions in {"gpl": ("3.0", "2.0"), "lgpl": ("3.0", "2.1", "2.0"), "agpl": ("3.0",)}.items()
+        for version in versions
+        for end, form in (("", "ref"), ("-only", "ref"), ("+", "later"), ("-or-later", "later"))
+    },
+}
 _KNOWN = {text: name for name, texts in SENTENCES.items() for text in texts}
 _MOST_WORDS = max(len(t.split()) for t in _KNOWN)
 # Words of which every known sentence holds one (checked below); a text without any of them holds no known sentence.
 _TRIGGER = re.compile(
-    rb"licen[cs]e|permission|copyright|warrant|redistribut|mozilla|public\W+domain|\bmpl\b", re.IGNORECASE
+    rb"licen[cs]e|permission|copyright|warrant|redistribut|mozilla|public\W+domain|\bmpl\b|gpl|\bapache\b|\bbsd\b|creative\W+commons|\bcc\W+by\b",
+    re.IGNORECASE
 )
 assert all(_TRIGGER.search(t.encode()) for t in _KNOWN), "every known sentence must hold a trigger"
 _WORD = re.compile(r"[a-z0-9]+(?:\.[a-z0-9]+)*", re.ASCII)
@@ -168,14 +218,50 @@ _COMMENT = re.compile(r"^[ \t]*(?://+|#+|\*+|--+|;+|/\*+)?[ \t]*", re.MULTILINE)
 _END = re.compile(r"[.;:!?]+[\"')\]]*(?=\s|\Z)|\n|\Z")
 
 
+def _name_at(lowered: str, at: int) -> tuple[str, int] | None:
+    """(identifier, end) of the licence name that starts at ``at``."""
+    for pattern, name in _NAMES:
+        m = pattern.match(lowered, at)
+        if m and name != "gpl":
+            return name, m.end()
+        if m:
+            number = m["number"].replace(".0", "").replace(".", "")
+            name = f"{_KINDS[m['kind']]}-{number}-{'later' if m['later'] else 'ref'}"
+            if name in _READ:
+                return name, m.end()
+    return None
+
+
+_READ = {step.rstrip("?") for _, rule in RULES for step in rule}
+
+
+def mentions_of(lowered: str) -> list[tuple[str, int, int]]:
+    """(identifier, start, end) of licences named behind "under the (terms of the)" and in SPDX lines, in order."""
+    found = []
+    for m in _UNDER.finditer(lowered):
+        if _NOT.search(lowered, max(0, m.start() - 60), m.start()):
+            continue
+        start, named = m.start(), _name_at(lowered, m.end())
+        while named:
+            found.append((named[0], start, named[1]))
+            more = _AND.match(lowered, named[1])
+            start, named = (more.end(), _name_at(lowered, more.end())) if more else (0, None)
+    for m in _SPDX.finditer(lowered):
+        for word in _SPDX_WORD.finditer(lowered, m.start(1), m.end(1)):
+            if word[0] in _SPDX_NAMES:
+                found.append((_SPDX_NAMES[word[0]], word.start(), word.end()))
+    return sorted(found, key=lambda x: x[1:])
+
+
 def sentences_of(text: str) -> list[tuple[str, int, int]]:
     """(identifier, start, end) of the known sentences, in order.
 
     A sentence starts behind a sentence or line end and ends at one; it may run
     over several lines, so from every start the following ends are tried, as far
-    as the longest known sentence goes. The longest match counts.
+    as the longest known sentence goes. The longest match counts. Licences named
+    elsewhere (``mentions_of``) count where no known sentence stands.
     """
-    lowered = text.lower() if len(text.lower()) == len(text) else text
+    lowered = text.encode().lower().decode()  # A-Z only: the length stays
     marks = [(m.start(), m.end()) for m in _END.finditer(lowered)]
     starts = [0, *(e for _, e in marks[:-1])]
     found: list[tuple[str, int, int]] = []
@@ -196,6 +282,12 @@ def sentences_of(text: str) -> list[tuple[str, int, int]]:
             k = best[3] + 1
         else:
             k += 1
+    ends = [end for _, _, end in found]
+    for one in mentions_of(lowered):
+        at = bisect_right(ends, one[1])
+        if at == len(ends) or found[at][1] >= one[2]:
+            found.insert(at, one)
+            ends.insert(at, one[2])
     return found
 
 
