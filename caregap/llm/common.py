@@ -25,15 +25,16 @@ def texts_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def map_texts(
     df: DataFrame,
-    work: Callable[[pa.Array, list[bytes | None]], Iterator[dict[str, list | pa.Array]]],
+    work: Callable[..., Iterator[dict[str, list | pa.Array]]],
     schema: str,
     slice_bytes: int = SLICE_BYTES,
+    keys: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """Run ``work`` over (doc_id, text) rows in Arrow slices of about ``slice_bytes`` of text.
 
-    ``work`` gets the ids and the UTF-8 texts of a slice and yields columns. A
-    slice always holds whole texts, so one long text makes one large slice and
-    nothing else grows with it.
+    ``work`` gets the columns named by ``keys`` and the UTF-8 texts of a slice and
+    yields columns. A slice always holds whole texts, so one long text makes one
+    large slice and nothing else grows with it.
     """
     arrow_schema = _arrow_schema(df.sparkSession, schema)
     bounded_batches(df.sparkSession)
@@ -43,13 +44,13 @@ def map_texts(
             step = max(1, min(batch.num_rows, int(slice_bytes * batch.num_rows / max(1, batch.nbytes))))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                texts = part.column(1).cast(pa.binary()).to_pylist()
-                for columns in work(part.column(0), texts):
+                texts = part.column(len(keys)).cast(pa.binary()).to_pylist()
+                for columns in work(*part.columns[: len(keys)], texts):
                     yield pa.RecordBatch.from_arrays(
                         [_array(columns[f.name], f.type) for f in arrow_schema], schema=arrow_schema
                     )
 
-    return df.select("doc_id", "text").mapInArrow(run, schema)
+    return df.select(*keys, "text").mapInArrow(run, schema)
 
 
 def bounded_batches(spark: SparkSession) -> None:
