@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caregap.llm import (
     decontamination,
@@ -16,6 +18,8 @@ from caregap.llm import (
     line_dedup,
     near_dedup,
     packing,
+    periodic_runs,
+    phrase_dedup,
     sharding,
     token_counts,
 )
@@ -96,3 +100,26 @@ def _language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.filter(~language_id.held_out()))
     return language_id.identify(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def _plant_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words with the periodic stretch that the query's contract puts into every tenth document."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    g = h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i if i < a else a + (i - a) % p] for i in range(n)]
+
+
+@query("op11_periodic_runs")
+def _periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(table(spark, sf_dir, "documents"), rewrite=_plant_period)
+    return periodic_runs.run_digest(found)
+
+
+@query("op12_suffix_dedup")
+def _suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
