@@ -157,19 +157,19 @@ def cut_again(docs: DataFrame, entries: DataFrame, starts: int, length: int = LE
 
 
 def ranked(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repeated places, open entries) of phrases.
+    """(repeated places, open entries) of phrases; ``pieces`` is computed twice.
 
     Rows meet per core and per entry as counts only, folded before the shuffle. One
     place stands for an open entry, also where the entry stands more than once: the
     strings of other entries may be its strings.
     """
     salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))).alias("salt")
-    pieces = materialize(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "version", "place"), F.lit(_SALTS))))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "version", "place"), F.lit(_SALTS)))
     cores = (
         pieces.groupBy("core")
-        .agg(F.count("*").alias("n"), *[f(e).alias(f"{f.__name__}_{e}") for f in (F.min, F.max) for e in ("e1", "e2")])
+        .agg(F.count("*").alias("n"), F.min("e1").alias("low"), F.max("e1").alias("high"))
         .filter("n > 1")
-        .select("core", F.expr("min_e1 = max_e1 AND min_e2 = max_e2").alias("alike"), salts)
+        .select("core", (F.col("low") == F.col("high")).alias("alike"), salts)
     )
     found = materialize(pieces.join(cores, ["core", "salt"]))
     mixed = found.filter(~F.col("alike"))
@@ -187,7 +187,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found, left = ranked(phrases(docs, length))
     parts = [found]
     for starts in CUTS:
-        found, left = ranked(cut_again(docs, left, starts, length))
+        found, left = ranked(materialize(cut_again(docs, left, starts, length)))
         parts.append(found)
     return reduce(DataFrame.unionByName, parts)
 
