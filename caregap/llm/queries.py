@@ -20,6 +20,7 @@ from caregap.llm import (
     packing,
     periodic_runs,
     phrase_dedup,
+    phrase_mining,
     sharding,
     token_counts,
 )
@@ -123,3 +124,39 @@ def _periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Python's list indices do not reach here: words are cut by DuckDB's 1-based lists, counts multiply as HUGEINT.
+_COLLOCATIONS = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\x0c\r]')) AS piece
+    FROM documents),
+worded AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces),
+phrases AS (
+    SELECT lang, m, phrase, count(*) AS n FROM (
+        SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+        FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM worded, range(1, 6) t(m)))
+    GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::HUGEINT AS n FROM phrases WHERE m = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS w FROM phrases WHERE n >= 100),
+cuts AS (
+    SELECT c.lang, c.phrase, c.m, c.n AS a, k, l.n AS l, r.n AS r, t.n AS n,
+           (1000::HUGEINT * c.n * t.n) // (l.n::HUGEINT * r.n) AS score
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM often WHERE m > 1) c
+    JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+    JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.w, k + 1, c.m), ' ')
+    JOIN totals t ON t.lang = c.lang),
+worst AS (SELECT lang, phrase, a, n, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM cuts GROUP BY ALL),
+alone AS (
+    SELECT * FROM worst p WHERE NOT EXISTS (
+        SELECT 1 FROM often o WHERE o.lang = p.lang AND 100 * o.n >= 100 * p.a AND o.phrase <> p.phrase
+          AND contains(' ' || o.phrase || ' ', ' ' || p.phrase || ' '))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alone)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM placed WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_mining", _COLLOCATIONS)
+def _phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
