@@ -7,7 +7,9 @@ count f scores above 1000 n / f, and likewise for its last word. So phrases grow
 rare words first: a round counts what starts or ends with a word of the frontier,
 longer phrases only where each known pair inside is frequent. A language is settled
 once its last place scores above the bound of all words outside the frontier, which
-leaves out no tie; the others go on with twice the words.
+leaves out no tie. Else its last score so far tells how frequent a word may be that
+can still matter, and the next round takes exactly these; a language with too few
+phrases goes on with twice the words.
 
 Words and pairs reach the tasks as bit filters of a fixed size. A wrong hit counts a
 phrase too many, which an exact join drops; nothing is missed.
@@ -21,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +33,13 @@ from caregap.session import materialize
 TOP = 2000
 MIN_COUNT = 100
 MAX_WORDS = 5
-# Share of the frequent words of a language, rarest first, that a round starts from.
-FRONTIER = (0.25, 0.5, 1.0)
+# Share of the frequent words of a language, rarest first, that a round starts from; the last is all.
+FRONTIER = (0.5, 1.0)
 # Bits of a filter: 4 MB on the driver and in every task.
 FILTER_BITS = 1 << 25
 _COUNTS = "lang string, phrase string, n bigint"
 _PHRASE = ["lang", "phrase"]
+_STEP = 31
 # A-Z become lower case, tabs blanks, and every mark that ends a piece a comma.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"," * 9)
 
@@ -57,34 +61,34 @@ def collocations(
     totals = materialize(every.groupBy("lang").agg(F.sum("n").cast("bigint").alias("total"), F.max("n").alias("most")))
     words = materialize(every.filter(F.col("n") >= min_count))
     known = _bit_filter(words)
-    left = words.select("lang").distinct()
+    limits = _first_limits(words, totals, FRONTIER[0])
     done = []
-    for share in FRONTIER:
-        limits = materialize(
-            words.join(left, "lang", "left_semi").groupBy("lang")
-            .agg(F.percentile_approx("n", share).alias("limit"))
-            .join(totals, "lang")
-            .withColumn("limit", F.when(F.lit(share) < 1, F.col("limit")).otherwise(F.col("most")))
-        )
+    for share in (*FRONTIER[1:], 1.0, 1.0):
         if limits.isEmpty():
             break
         front = materialize(words.join(limits.select("lang", "limit"), "lang").filter("n <= limit").drop("limit"))
         phrases = _frontier_phrases(texts.join(limits, "lang", "left_semi"), words, known, front, min_count, max_words)
         found = materialize(_ranked(_scored(phrases, front, limits, min_count), top))
         last = found.filter(F.col("rank") == top).select("lang", F.col("score").alias("last"))
-        settled = materialize(
-            limits.join(last, "lang", "left")
-            .filter((F.col("limit") >= F.col("most")) | (F.col("last") > F.expr("1000 * total DIV (limit + 1)")))
-            .select("lang")
-        )
-        done.append(found.join(settled, "lang", "left_semi"))
-        left = limits.select("lang").join(settled, "lang", "left_anti")
+        bound = F.expr("1000 * total DIV (limit + 1)")
+        state = materialize(limits.join(last, "lang", "left").withColumn("open", (F.col("limit") < F.col("most")) & F.coalesce(F.col("last") <= bound, F.lit(True))))
+        done.append(found.join(state.filter(~F.col("open")), "lang", "left_semi"))
+        left = state.filter("open").select("lang", "last")
+        # No word of more occurrences than 1000 n / (score of the last place) can begin or end a phrase that counts.
+        reach = F.when(F.col("last").isNull(), F.col("limit")).otherwise(F.least(F.expr("1000 * total DIV last"), F.col("most")))
+        limits = materialize(_first_limits(words.join(left, "lang", "left_semi"), totals, share).join(left, "lang").withColumn("limit", reach).drop("last"))
     columns = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     if not done:
         return _ranked(_scored(words, words, limits, min_count), top).select(*columns)
     return reduce(DataFrame.unionByName, done).select(*columns)
 
 
+def _first_limits(words: DataFrame, totals: DataFrame, share: float) -> DataFrame:
+    """(lang, limit, total, most): the count up to which the rarest words of a language are in the frontier."""
+    limits = words.groupBy("lang").agg(F.percentile_approx("n", share).alias("limit")).join(totals, "lang")
+    return materialize(limits.withColumn("limit", F.when(F.lit(share) < 1, F.col("limit")).otherwise(F.col("most"))))
+
+
 # --- counting in the tasks ------------------------------------------------------------
 
 
@@ -98,12 +102,11 @@ def _counted(texts: DataFrame, count, *shared) -> DataFrame:
                 by_lang.setdefault(lang, []).append(text.translate(_FOLD))
         for lang, own in by_lang.items():
             for part in _parts(own):
-                tokens = part.replace(b",", b" , ").split()
-                coded = pa.array(tokens, pa.binary()).dictionary_encode()
+                marked = part.replace(b",", b" , ").strip(b" ").decode()
+                coded = pc.ascii_split_whitespace(pa.array([marked])).values.dictionary_encode()
                 ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                kinds = coded.dictionary.to_pylist()
-                for phrases, counts in count(lang.encode(), tokens, ids, kinds, *(s.value for s in shared)):
-                    yield {"lang": [lang] * len(phrases), "phrase": phrases, "n": counts}
+                for phrases, counts in count(lang.encode(), ids, coded.dictionary, *(s.value for s in shared)):
+                    yield {"lang": pa.repeat(lang, len(phrases)), "phrase": phrases, "n": counts}
 
     return map_texts(texts, work, _COUNTS, keys=("lang",)).groupBy(*_PHRASE).agg(F.sum("n").cast("bigint").alias("n"))
 
@@ -120,63 +123,68 @@ def _parts(texts: list[bytes]) -> Iterator[bytes]:
         at = end
 
 
-def _words(lang: bytes, tokens: list[bytes], ids: np.ndarray, kinds: list[bytes]) -> Iterator[tuple[list, np.ndarray]]:
+def _words(lang: bytes, ids: np.ndarray, kinds: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
     counts = np.bincount(ids, minlength=len(kinds))
-    real = np.flatnonzero(np.array([k != b"," for k in kinds], dtype=bool))
-    yield [kinds[i].decode() for i in real.tolist()], counts[real]
+    real = np.flatnonzero(_hashes(lang, kinds) >= 0)
+    yield kinds.take(pa.array(real)), counts[real]
 
 
-def _pairs(lang: bytes, tokens: list[bytes], ids: np.ndarray, kinds: list[bytes], known, front) -> Iterator[tuple[list, np.ndarray]]:
+def _pairs(lang: bytes, ids: np.ndarray, kinds: pa.Array, known, front) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Pairs of frequent words, one of them at least in the frontier."""
-    frequent, begins = (_hits(f, lang, kinds) for f in (known, front))
+    hashes = _hashes(lang, kinds)
+    frequent, begins = (_hits(f, hashes) for f in (known, front))
     a, b = ids[:-1], ids[1:]
     at = np.flatnonzero(frequent[a] & frequent[b] & (begins[a] | begins[b]))
     _, first, counts = np.unique(a[at] * len(kinds) + b[at], return_index=True, return_counts=True)
-    yield [_phrase(tokens, p, 2) for p in at[first].tolist()], counts
+    yield _phrases(ids, kinds, at[first], 2), counts
 
 
 def _longer(max_words: int):
-    def count(lang: bytes, tokens: list[bytes], ids: np.ndarray, kinds: list[bytes], known, front, pairs) -> Iterator[tuple[list, np.ndarray]]:
+    def count(lang: bytes, ids: np.ndarray, kinds: pa.Array, known, front, pairs) -> Iterator[tuple[pa.Array, np.ndarray]]:
         """Phrases of three words or more that start or end in the frontier, grown word by word from their first pair."""
-        frequent, begins = (_hits(f, lang, kinds) for f in (known, front))
+        hashes = _hashes(lang, kinds)
+        frequent, begins = (_hits(f, hashes) for f in (known, front))
         a, b = ids[:-1], ids[1:]
         fits = frequent[a] & frequent[b]
         at = np.flatnonzero(fits & (begins[a] | begins[b]))
-        keys, first, name = np.unique(a[at] * len(kinds) + b[at], return_index=True, return_inverse=True)
-        fits[at] = _hits(pairs, lang, [tokens[p] + b" " + tokens[p + 1] for p in at[first].tolist()])[name]
+        fits[at] = _hits(pairs, hashes[a[at]] * _STEP + hashes[b[at]])
         grown = np.flatnonzero(fits)
-        _, name = np.unique(a[grown] * len(kinds) + b[grown], return_inverse=True)
+        name = a[grown] * len(kinds) + b[grown]
         for size in range(3, max_words + 1):
             more = np.flatnonzero(grown + size - 1 < len(ids))
             more = more[fits[grown[more] + size - 2]]
+            _, name = np.unique(name[more], return_inverse=True)
             grown = grown[more]
-            _, first, name, counts = np.unique(
-                name[more] * len(kinds) + ids[grown + size - 1], return_index=True, return_inverse=True, return_counts=True
-            )
-            at = grown[first]
-            wanted = begins[ids[at]] | begins[ids[at + size - 1]]
-            yield [_phrase(tokens, p, size) for p in at[wanted].tolist()], counts[wanted]
+            name = name * len(kinds) + ids[grown + size - 1]
+            wanted = np.flatnonzero(begins[ids[grown]] | begins[ids[grown + size - 1]])
+            _, first, counts = np.unique(name[wanted], return_index=True, return_counts=True)
+            yield _phrases(ids, kinds, grown[wanted[first]], size), counts
 
     return count
 
 
-def _phrase(tokens: list[bytes], at: int, size: int) -> str:
-    return b" ".join(tokens[at : at + size]).decode()
+def _phrases(ids: np.ndarray, kinds: pa.Array, at: np.ndarray, size: int) -> pa.Array:
+    return pc.binary_join_element_wise(*[kinds.take(pa.array(ids[at + i])) for i in range(size)], " ")
 
 
-def _hits(bits: np.ndarray, lang: bytes, phrases: list[bytes]) -> np.ndarray:
-    """Which phrases may be in a filter; the mark between pieces never is."""
+def _hashes(lang: bytes, kinds: pa.Array) -> np.ndarray:
+    """A number per word; the mark between pieces has none of a word, as it is in no filter."""
     seed = zlib.crc32(lang + b"\0")
-    place = np.array([zlib.crc32(p, seed) for p in phrases], dtype=np.int64) % FILTER_BITS
-    real = np.array([p != b"," for p in phrases], dtype=bool)
-    return (bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool) & real
+    return np.array([-1 if k == b"," else zlib.crc32(k, seed) for k in kinds.cast(pa.binary()).to_pylist()], dtype=np.int64)
+
+
+def _hits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the phrases behind the hashes may be in a filter."""
+    place = hashes % (64 * len(bits))
+    return (bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool) & (hashes >= 0)
 
 
 def _bit_filter(phrases: DataFrame):
     """Broadcast bits of all (lang, phrase) rows: at most FILTER_BITS / 64 numbers come to the driver, whatever the table holds."""
-    place = F.pmod(F.crc32(F.concat(F.col("lang"), F.lit("\0"), F.col("phrase")).cast("binary")), F.lit(FILTER_BITS))
+    word = lambda w: F.crc32(F.concat(F.col("lang"), F.lit("\0"), w).cast("binary"))
+    hashed = F.aggregate(F.split("phrase", " "), F.lit(0).cast("bigint"), lambda h, w: h * _STEP + word(w))
     rows = (
-        phrases.select(place.alias("place"))
+        phrases.select(F.pmod(hashed, F.lit(FILTER_BITS)).alias("place"))
         .groupBy(F.expr("place DIV 64").alias("slot"))
         .agg(F.bit_or(F.expr("shiftleft(1L, CAST(place % 64 AS INT))")).alias("bits"))
         .toArrow()
