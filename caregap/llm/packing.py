@@ -21,6 +21,8 @@ WINDOW = 2048
 PIECE = 512
 # Windows that one differencing run fills; runs are independent of each other.
 BATCH_WINDOWS = 256
+# Pieces that one run takes at most: each starts with two rows of numbers, one per window.
+BATCH_PIECES = 1 << 14
 MEMO_WORDS = 500_000
 MEMO_CHARS = 64
 _LATIN_END = 0x250
@@ -31,8 +33,9 @@ class WordIds(dict):
 
     The tokenizer drops white space and never merges across it, so the ids of a
     text are those of its words in order. Two further splits are exact for its
-    pre-tokenizer: a comma or full stop behind letters is a pre-token of its own,
-    and letters are lower-cased. A word of Latin letters is one pre-token, so the
+    pre-tokenizer: a comma or full stop behind letters is a pre-token of its own
+    (some letters become a letter and a mark, so the normalised word is asked), and
+    letters are lower-cased. A word of Latin letters is one pre-token, so the
     library's merge model takes it directly, without normaliser and pre-tokenizer;
     ``__init__`` compares both ways on samples.
     """
@@ -59,7 +62,7 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         stem = word[:-1]
-        if word[-1:] in (",", ".") and stem.isalpha():
+        if word[-1:] in (",", ".") and stem.isalpha() and (stem.isascii() or self._normal(stem).isalpha()):
             ids = self[stem] + self[word[-1]]
         elif word.isalpha() and ord(max(word)) < _LATIN_END and is_normalized("NFC", word):
             lower = word.lower()
@@ -72,6 +75,9 @@ class WordIds(dict):
             self[word] = ids
         return ids
 
+    def _normal(self, word: str) -> str:
+        return self.library.normalizer.normalize_str(word) if self.library.normalizer else word
+
     def _library(self, word: str) -> bytes:
         return np.asarray(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -193,13 +199,13 @@ def pack(pieces: DataFrame, window: int = WINDOW, batch_windows: int = BATCH_WIN
 
     Full windows are sequences of their own. All other pieces are dealt by a hash
     of their place in the stored table into batches of about ``batch_windows``
-    windows, so no document, source or copied text can fill a batch, and each
+    windows and ``BATCH_PIECES`` pieces at most, so no document, source or copied text can fill a batch, and each
     batch is packed on its own.
     """
     placed = pieces.withColumn("place", F.monotonically_increasing_id())
     rest = placed.filter(F.col("length") < window)
-    tokens = rest.agg(F.sum("length")).first()[0] or 0
-    batches = max(1, round(tokens / window / batch_windows))
+    tokens, count = rest.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    batches = max(1, round(tokens / window / batch_windows), -(-count // BATCH_PIECES))
     schema = rest.withColumn("sequence_id", F.lit(0).cast("bigint")).withColumn("offset", F.lit(0).cast("bigint")).drop("batch").schema
 
     def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
