@@ -92,19 +92,19 @@ def remove_repeated_lines(docs: DataFrame, mean_lines: int = MEAN_LINES) -> Data
     """
     cuts = repeated_lines(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), mean_lines)
     cuts = cuts.select(F.col("doc_id").alias("_cut_id"), F.col("version").alias("_version"), F.col("gone").alias("_gone"))
-    lines = F.split("text", "\n", -1)
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
     joined = docs.join(cuts, (F.col("doc_id") == F.col("_cut_id")) & (F.xxhash64("text") == F.col("_version")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    # The lines are a column of their own: as an expression they would be cut again for every line that stays.
+    joined = joined.withColumn("_lines", F.split("text", "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     return joined.withColumns(
         {
-            "_n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("bigint"),
+            "_n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("bigint"),
             "_n_removed": F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("bigint"),
             "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-                F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+                F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
             ),
         }
-    ).drop("_cut_id", "_version", "_gone")
+    ).drop("_cut_id", "_version", "_gone", "_lines")
 
 
 def line_report(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:

@@ -67,3 +67,19 @@ def test_defined_cases(spark):
     assert line_dedup.line_report(make(rows).limit(0)).count() == 0
     whole = line_dedup.remove_repeated_lines(make(rows))
     assert whole.columns[:5] == ["doc_id", "text", "no", "digest", "lines"] and whole.count() == len(rows)
+
+
+def test_long_text_that_keeps_its_lines(spark):
+    """32,000 lines of which a few go: the rebuild is linear in the lines."""
+    import time
+
+    passage = "\n".join(f"shared {k}" for k in range(40))
+    long = "\n".join(f"own {k}" for k in range(16_000))
+    rows = [(1, passage), (2, f"{long}\n{passage}\n{long}x"), (3, "\n".join([passage, *(f"z{k}" for k in range(32_000)), passage]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got_of(df)
+    start = time.perf_counter()
+    got = got_of(df)
+    assert time.perf_counter() - start < 10
+    assert got == brute(rows)
+    assert got[2][2] > 0
