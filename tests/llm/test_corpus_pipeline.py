@@ -21,7 +21,7 @@ def test_stages_and_run(spark):
             first[r.doc_id] = r.text
     assert len(first) >= 0.99 * docs.filter("text IS NOT NULL").count()
     second = {i: t for i, (t, _, _) in brute_lines(list(first.items())).items()}
-    near = brute_near(list(second.items()))
+    near = brute_near(list(second.items()), corpus_pipeline.NEAR_PERCENT)
     third = {i: t for i, t in second.items() if near[i][1] == i}
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     bad = {r["doc_id"] for r in brute_contamination(list(third.items()), items, 10) if r["contaminated"]}

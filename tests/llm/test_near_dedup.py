@@ -12,7 +12,7 @@ from caregap.llm.components import connected_components
 SF = "/root/testdata/sf0.001"
 
 
-def brute(rows):
+def brute(rows, percent=near_dedup.PERCENT):
     """doc_id -> (set size, component) from all pairs."""
     word = re.compile(r"[^\x20\x09-\x0D]+")
     sets = {}
@@ -32,7 +32,7 @@ def brute(rows):
             by_shingle.setdefault(x, []).append(i)
     for a, b in {p for ids in by_shingle.values() for p in combinations(sorted(ids), 2)}:
         common = len(sets[a] & sets[b])
-        if 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+        if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {i: (len(s), find(i)) for i, s in sets.items()}
