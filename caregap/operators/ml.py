@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caregap.functions import clean, scores
-from caregap.operators import gaps, ingest
+from caregap.operators import gaps, ingest, logistic
 from caregap.operators.evidence import distinct_small
 from caregap.operators.gaps import PAIR
 from caregap.operators.ranking import global_rank, running_totals
@@ -130,45 +131,45 @@ def class_weights(rows: DataFrame, label: str = "target", name: str = "class_wei
 # --- models ---------------------------------------------------------------------------
 
 
-def recapture_pipeline(label: str = "target", penalty: float = 0.0) -> Pipeline:
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(RECAPTURE_FEATURES), outputCol="raw_features"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-            LogisticRegression(
-                labelCol=label, weightCol="class_weight", maxIter=3000, regParam=penalty, standardization=False
-            ),
-        ]
-    )
+def fit_recapture(rows: DataFrame, label: str = "target", c: float = 1.0) -> logistic.LogisticFit:
+    """Class-weighted logistic regression on standardised features with an L2 term of inverse strength ``c``."""
+    return logistic.fit_logistic(materialize(_recapture_rows(rows, label)), RECAPTURE_FEATURES, label, "class_weight", c)
 
 
-def fit_recapture(rows: DataFrame, label: str = "target", c: float = 1.0) -> PipelineModel:
-    """Class-weighted logistic regression with an L2 term of inverse strength ``c``.
+def _recapture_rows(rows: DataFrame, label: str) -> DataFrame:
+    return class_weights(rows.select(*RECAPTURE_FEATURES, label), label)
 
-    The penalty is divided by the sum of weights, because the loss here is a mean.
-    One difference stays: the intercept is not penalised.
-    """
-    weighted = materialize(class_weights(rows, label))
-    total = weighted.agg(F.sum("class_weight")).first()[0]
-    return recapture_pipeline(label, 1.0 / (c * total)).fit(weighted)
+
+def recapture_optimality(rows: DataFrame, label: str = "target") -> DataFrame:
+    """Gradient of the loss at the fitted coefficients; zero everywhere is the optimum."""
+    fit = fit_recapture(rows, label)
+    scored = fit.transform(_recapture_rows(rows, label), "recapture_probability")
+    return logistic.optimality(scored, fit, label, "class_weight", "recapture_probability")
 
 
-def positive_probability(scored: DataFrame, name: str = "recapture_probability") -> DataFrame:
-    return scored.withColumn(name, F.get(vector_to_array("probability"), F.lit(1)))
+def _fold_fits(data: DataFrame, label: str, folds: int) -> list[logistic.LogisticFit]:
+    return [fit_recapture(data.filter(F.col("fold") != k), label) for k in range(folds)]
 
 
 def out_of_fold(rows: DataFrame, label: str = "target", folds: int = 5) -> DataFrame:
     """Probability of every row from the model that did not see its fold."""
     data = materialize(stratified_folds(rows, label, folds))
+    probability = None
+    for k, fit in enumerate(_fold_fits(data, label, folds)):
+        own = 1 / (1 + F.exp(-fit.decision()))
+        probability = F.when(F.col("fold") == k, own) if probability is None else probability.when(F.col("fold") == k, own)
+    return data.select(*PAIR, label, "fold", probability.alias("recapture_probability"))
+
+
+def fold_optimality(rows: DataFrame, label: str = "target", folds: int = 5) -> DataFrame:
+    """``recapture_optimality`` of the model of each fold, on the rows outside the fold."""
+    data = materialize(stratified_folds(rows, label, folds))
     parts = []
-    for k in range(folds):
-        model = fit_recapture(data.filter(F.col("fold") != k), label)
-        scored = positive_probability(model.transform(data.filter(F.col("fold") == k)))
-        parts.append(scored.select(*PAIR, label, "fold", "recapture_probability"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    for k, fit in enumerate(_fold_fits(data, label, folds)):
+        scored = fit.transform(_recapture_rows(data.filter(F.col("fold") != k), label), "recapture_probability")
+        found = logistic.optimality(scored, fit, label, "class_weight", "recapture_probability")
+        parts.append(found.select(F.lit(k).alias("fold"), "*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def threshold_metrics(scored: DataFrame, label: str, probability: str, threshold: float = 0.5) -> DataFrame:
@@ -228,7 +229,7 @@ def preprocess_stages(numeric: list[str], categorical: list[str], modes: dict[st
     ]
     if categorical:
         known = [f"{c}_k" for c in categorical]
-        text = {c: str((modes or {}).get(c) or "").replace("\\", "\\\\").replace("'", "\\'") for c in categorical}
+        text = {c: str((modes or {}).get(c) or "none").replace("\\", "\\\\").replace("'", "\\'") for c in categorical}
         filling = ", ".join(f"coalesce({c}, '{text[c]}') AS {k}" for c, k in zip(categorical, known, strict=True))
         stages += [
             SQLTransformer(statement=f"SELECT *, {filling} FROM __THIS__"),
@@ -254,6 +255,14 @@ def _label(rows: DataFrame, column: str = "disease_priority") -> DataFrame:
     return rows.withColumn("target", (index - 1).cast("double")).filter(F.col("target") >= 0)
 
 
+def prepared_priority(rows: DataFrame, label_column: str = "disease_priority") -> tuple[PipelineModel, DataFrame]:
+    """Fitted preprocessing of the mixed features and the labelled rows with features, target and class weight."""
+    data = materialize(class_weights(_numeric(_label(rows, label_column), PRIORITY_NUMERIC)))
+    modes = category_modes(data, list(PRIORITY_CATEGORICAL))
+    stages = Pipeline(stages=preprocess_stages(list(PRIORITY_NUMERIC), list(PRIORITY_CATEGORICAL), modes)).fit(data)
+    return stages, stages.transform(data)
+
+
 def fit_priority(rows: DataFrame, label_column: str = "disease_priority") -> PipelineModel:
     """Three-class priority model on mixed features, class-weighted."""
     data = materialize(class_weights(_numeric(_label(rows, label_column), PRIORITY_NUMERIC)))
@@ -262,14 +271,17 @@ def fit_priority(rows: DataFrame, label_column: str = "disease_priority") -> Pip
     return Pipeline(stages=[*preprocess_stages(list(PRIORITY_NUMERIC), list(PRIORITY_CATEGORICAL), modes), classifier]).fit(data)
 
 
+def with_priority_columns(rows: DataFrame) -> DataFrame:
+    """``rows`` with every column the priority models read; numbers as doubles, missing ones as nulls."""
+    data = _numeric(rows, PRIORITY_NUMERIC)
+    return data.withColumns({c: (F.col(c) if c in data.columns else F.lit(None)).cast("string") for c in PRIORITY_CATEGORICAL})
+
+
 def score_priority(candidates: DataFrame, model: PipelineModel | None) -> DataFrame:
     """Class probabilities from a fitted model; without a model the rows come back unchanged."""
     if model is None:
         return candidates
-    data = _numeric(candidates, PRIORITY_NUMERIC)
-    for c in PRIORITY_CATEGORICAL:
-        data = data.withColumn(c, (F.col(c) if c in data.columns else F.lit(None)).cast("string"))
-    scored = model.transform(data).withColumn("probability", vector_to_array("probability"))
+    scored = model.transform(with_priority_columns(candidates)).withColumn("probability", vector_to_array("probability"))
     return priority_columns(scored.select(*candidates.columns, "probability"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caregap.operators import gaps, ml, ranking
+from caregap.operators import gaps, kernel, ml, ranking
 from caregap.plans.registry import query
 
 PAIR = gaps.PAIR
@@ -43,10 +43,28 @@ def _(f):
 @query("m3_recapture_model")
 def _(f):
     rows = ml.materialize(_training(f))
-    scored = ml.positive_probability(ml.fit_recapture(rows).transform(rows))
+    scored = ml.fit_recapture(rows).transform(rows, "recapture_probability")
     return scored.select(*PAIR, "holdout_target", "recapture_probability")
 
 
+_COEFFICIENTS = f"unnest({[*ml.RECAPTURE_FEATURES, 'intercept']})"
+
+
+@query("m3_optimality", f"SELECT {_COEFFICIENTS} AS coefficient, TRUE AS is_optimal WHERE EXISTS (FROM training_set)")
+def _(f):
+    """Certificate of the fitted model: its loss is strictly convex and its gradient zero, so no other model fits as well."""
+    return ml.recapture_optimality(ml.materialize(_training(f))).drop("gradient")
+
+
+@query(
+    "m4_optimality",
+    f"""SELECT CAST(fold AS INTEGER) AS fold, coefficient, TRUE AS is_optimal
+        FROM (SELECT {_COEFFICIENTS} AS coefficient) CROSS JOIN range(5) t(fold) WHERE EXISTS (FROM training_set)""",
+)
+def _(f):
+    return ml.fold_optimality(_training(f)).drop("gradient")
+
+
 @query("m4_out_of_fold")
 def _(f):
     return ml.out_of_fold(_training(f))
@@ -159,6 +177,45 @@ def _(f):
     )
 
 
+_DRAW = "((('0x' || substr(md5({}), 1, 13))::BIGINT + 0.5e0) / 4503599627370496.0e0)"
+
+
+@query(
+    "m8_fourier_features",
+    f"""SELECT bene_id, hcc_v28, gap_type, CAST(j AS INTEGER) AS feature, round(sqrt(2 / 16.0e0) * cos(sum(x * w) + any_value(b)), 6) AS value
+        FROM (SELECT bene_id, hcc_v28, gap_type, unnest([{", ".join(ml.PRIORITY_SCORES)}]) AS x, unnest(range(8)) AS i FROM suspects_v2)
+        JOIN (SELECT i, j, sqrt(-2 * ln({_DRAW.format("'42|' || i || '|' || j || '|radius'")})) * cos(2 * pi() * {_DRAW.format("'42|' || i || '|' || j || '|angle'")}) AS w
+              FROM range(8) a(i), range(16) b(j)) USING (i)
+        JOIN (SELECT j, 2 * pi() * {_DRAW.format("'42|' || j || '|phase'")} AS b FROM range(16) b(j)) USING (j)
+        GROUP BY ALL""",
+)
+def _(f):
+    """The evidence scores in 16 random features at gamma 0.5."""
+    scores = F.array(*[F.col(c).cast("double") for c in ml.PRIORITY_SCORES])
+    mapped = kernel.FourierFeatures(len(ml.PRIORITY_SCORES), 0.5, 16).transform(f.suspects_v2.select(*PAIR, "gap_type", scores.alias("x")))
+    return mapped.select(*PAIR, "gap_type", F.posexplode("z").alias("feature", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "m8_duality_gap",
+    """SELECT plus, minus, TRUE AS within_bound FROM (VALUES ('LOW', 'MEDIUM'), ('LOW', 'HIGH'), ('MEDIUM', 'HIGH')) t(plus, minus)
+       WHERE EXISTS (FROM suspects_v2)""",
+)
+def _(f):
+    """Certificate of the fitted machines: a loss within one percent of the optimum, by its dual."""
+    rows = ml.materialize(_labelled_suspects(f))
+    return kernel.gap_report(rows.sparkSession, kernel.fit_kernel(rows).machines).drop("loss", "gap")
+
+
+@query("m8_kernel_classifier")
+def _(f):
+    rows = ml.materialize(_labelled_suspects(f))
+    scored = ml.priority_columns(kernel.fit_kernel(rows).transform(rows))
+    return scored.select(
+        *PAIR, "gap_type", "ml_priority", "ml_priority_score", "ml_low_probability", "ml_medium_probability", "ml_high_probability"
+    )
+
+
 @query("m9_model_comparison")
 def _(f):
     return ml.compare_models(_labelled_suspects(f))
