@@ -136,7 +136,8 @@ def _total(rows: DataFrame, work: Callable[[pd.DataFrame], Iterator[tuple[int, n
             if len(frame):
                 for key, values in work(frame):
                     sums[key] = sums[key] + values if key in sums else values
-        yield pd.DataFrame({"key": list(sums), "values": list(sums.values())})
+        if sums:
+            yield pd.DataFrame({"key": list(sums), "values": list(sums.values())})
 
     parts = rows.mapInPandas(run, "key int, values array<double>")
     total = parts.groupBy("key").agg(Summarizer.sum(array_to_vector("values")).alias("total")).collect()

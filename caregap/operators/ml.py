@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caregap.functions import clean, scores
-from caregap.operators import gaps, ingest, logistic
+from caregap.operators import extra_trees, gaps, ingest, logistic
 from caregap.operators.evidence import distinct_small
 from caregap.operators.gaps import PAIR
 from caregap.operators.ranking import global_rank, running_totals
@@ -394,10 +394,11 @@ def compare_models(
     rows: DataFrame, label_column: str = "disease_priority", seed: int = 42, trees: int = 400, rounds: int = 250,
     iterations: int = 2000,
 ) -> DataFrame:
-    """Three learners on a stratified 80/20 split, sorted by macro-F1 and then HIGH precision."""
+    """Four learners on a stratified 80/20 split, sorted by macro-F1 and then HIGH precision."""
     labelled = _numeric(_label(rows, label_column), (*PRIORITY_NUMERIC, *PRIORITY_SCORES))
     placed = _rank_in_class(labelled.withColumn("_key", F.concat_ws("|", *PAIR, "gap_type")), "target", "_key")
-    data = materialize(class_weights(placed.withColumn("is_test", F.col("_pos") / F.col("_size") >= 0.8)))
+    data = class_weights(placed.withColumn("is_test", F.col("_pos") / F.col("_size") >= 0.8))
+    data = materialize(data.withColumn("_row", F.monotonically_increasing_id()))
     train, test = data.filter(~F.col("is_test")), data.filter("is_test")
     stages = preprocess_stages([*PRIORITY_NUMERIC, *PRIORITY_SCORES], [])
     learners = {
@@ -410,9 +411,15 @@ def compare_models(
     def named(c: str):
         return F.element_at(names, (F.col(c) + 1).cast("int"))
 
+    predictions = {name: Pipeline(stages=[*stages, learner]).fit(train).transform(test) for name, learner in learners.items()}
+    prepared = Pipeline(stages=stages).fit(train)
+    points = [prepared.transform(part).withColumn("x", vector_to_array("features")) for part in (train, test)]
+    learn = points[0].select("x", F.col("target").cast("int").alias("y"), F.col("class_weight").alias("w"))
+    shares = extra_trees.class_shares(learn, points[1].select(F.col("_row").alias("id"), "x"), len(PRIORITY_LABELS), trees, seed)
+    best = (F.array_position("probability", F.array_max("probability")) - 1).cast("double")
+    predictions["Extra Trees"] = test.join(shares.select(F.col("id").alias("_row"), best.alias("prediction")), "_row")
     result = None
-    for name, learner in learners.items():
-        scored = Pipeline(stages=[*stages, learner]).fit(train).transform(test)
+    for name, scored in predictions.items():
         report = class_report(scored.select(named("target").alias("actual"), named("prediction").alias("predicted")))
         row = report.agg(
             F.max(F.when(F.col("class") == "macro avg", F.col("f1"))).alias("macro_f1"),

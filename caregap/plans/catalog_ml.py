@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caregap.operators import gaps, kernel, ml, ranking
+from caregap.operators import extra_trees, gaps, kernel, ml, ranking
 from caregap.plans.registry import query
 
 PAIR = gaps.PAIR
@@ -216,6 +216,36 @@ def _(f):
     )
 
 
+# The first cut of each tree: four of the columns by their draw, each cut between its ends, the one with the purest sides.
+_TREE_DRAW = _DRAW.format("'42|' || tree || '||' || f")
+_TREE_CUT = _DRAW.format("'42|' || tree || '||' || f || '|cut'")
+
+
+@query(
+    "m9_extra_tree_roots",
+    f"""SELECT CAST(tree AS INTEGER) AS tree, CAST(arg_max(f, (purity, -place)) AS INTEGER) AS first_column, round(arg_max(cut, (purity, -place)), 6) AS cut FROM (
+          SELECT tree, f, place, cut, sum(l * l) / sum(l) + sum(r * r) / sum(r) AS purity FROM (
+            SELECT tree, f, place, cut, y, CAST(count(*) FILTER (x <= cut) AS DOUBLE) AS l, CAST(count(*) FILTER (x > cut) AS DOUBLE) AS r
+            FROM (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY {_TREE_DRAW}) AS place, low + {_TREE_CUT} * (high - low) AS cut
+                  FROM (SELECT f, min(x) AS low, max(x) AS high FROM point GROUP BY f HAVING min(x) < max(x)) CROSS JOIN range(20) t(tree)) d
+            JOIN point USING (f) WHERE place <= 2 GROUP BY ALL) GROUP BY ALL) GROUP BY tree""".replace(
+        "FROM point", f"""FROM (SELECT unnest([{", ".join(ml.PRIORITY_SCORES)}]) AS x, unnest(range(8)) AS f FROM suspects_v2)"""
+    ).replace(
+        "JOIN point USING (f)", f"""JOIN (SELECT unnest([{", ".join(ml.PRIORITY_SCORES)}]) AS x, unnest(range(8)) AS f,
+               CASE WHEN frequency_score + recency_score > 0.7e0 THEN 2 WHEN recency_score > 0.4e0 THEN 1 ELSE 0 END AS y FROM suspects_v2) USING (f)"""
+    ),
+)
+def _(f):
+    """Column and cut at the root of 20 trees on the evidence scores, every root split by Spark."""
+    rows = _labelled_suspects(f).select(
+        F.array(*[F.col(c).cast("double") for c in ml.PRIORITY_SCORES]).alias("x"),
+        F.array_position(F.lit(["LOW", "MEDIUM", "HIGH"]), F.upper(F.trim("disease_priority"))).cast("int").alias("y"),
+    )
+    rows = rows.select("x", (F.col("y") - 1).alias("y"), F.lit(1.0).alias("w"))
+    roots = extra_trees.root_cuts(rows, 3, 20)
+    return roots.select("tree", "first_column", F.round("cut", 6).alias("cut"))
+
+
 @query("m9_model_comparison")
 def _(f):
     return ml.compare_models(_labelled_suspects(f))
