@@ -59,7 +59,7 @@ _BOILERPLATE_TAGS = frozenset("aside dialog footer form menu nav".split())
 _BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form navigation search".split())
 _BOILERPLATE_WORDS = frozenset(
     """
-    ad ads advert advertisement advertising adverts adverb banner breadcrumb breadcrumbs comment comments consent cookie
+    ad ads adsbygoogle adslot adunit advert advertisement advertising adverts adverb banner breadcrumb breadcrumbs comment comments consent cookie
     cookies copyright disclaimer disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter
     notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond
     search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets
@@ -74,10 +74,22 @@ _MARKING = frozenset(
 )
 _STRUCTURE = frozenset(
     """
-    area articles bar block box btn button buttons col column container content footer form group header icon icons inner
-    item items left link links list main notice outer panel posts right row section stories text toggle top wrap wrapper
+    area articles bar block body box btn button buttons col column container content footer form group header icon icons inner
+    item items left link links list main notice outer panel posts right row section slot stories text thread toggle top
+    unit wrap wrapper zone
     """.split()
 )
+# Words that mark a class name they end.
+_HEADS = frozenset(
+    """
+    ad ads advert adverts banner breadcrumb breadcrumbs comment comments consent cookies footer form menu modal nav navbar
+    navigation newsletter pager pagination popup promo promos share sharing sidebar signup sponsor sponsors toolbar topbar
+    widget widgets
+    """.split()
+)
+# Before such a head the name tells of a topic, and words of a title make any name a slug.
+_TOPICS = frozenset("free long short market wave fair".split())
+_TITLE = frozenset("a an and are as at by for from how in is it its of on or our that the their this to we what why with you your".split())
 _PLACES = frozenset("article bottom entry global left main mobile page post primary right secondary site sticky top".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(
@@ -138,7 +150,7 @@ class _Page:
                 or hidden
                 or tag in _BOILERPLATE_TAGS
                 or (tag == "header" and not article and not main)
-                or any(w in _BOILERPLATE_WORDS or (w == "header" and not article and not main) for w in words)
+                or any(w in _BOILERPLATE_WORDS or w in _HEADS or (w == "header" and not article and not main) for w in words)
                 or any(r in _BOILERPLATE_ROLES for r in roles)
             )
         elif tag == "article":
@@ -161,6 +173,10 @@ def _marked(name: str) -> str:
     whole = "".join(parts)
     if whole in _BOILERPLATE_WORDS or whole == "header":
         return whole
+    if any(p in _TITLE for p in parts):
+        return ""
+    if len(parts) > 1 and parts[-1] in _HEADS and parts[-2] not in _TOPICS:
+        return parts[-1]
     while len(parts) > 1 and parts[0] in _PLACES:
         del parts[0]
     if not parts or (parts[0] not in _BOILERPLATE_WORDS and parts[0] != "header"):
@@ -169,11 +185,21 @@ def _marked(name: str) -> str:
     return parts[0] if structure or parts[0] in _MARKING else ""
 
 
+def _marked_id(name: str) -> str:
+    """The marking word of a section's id: of one word, or of words of structure and boilerplate alone; else it is a title."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name.lower()) if p]
+    known = all(p in _STRUCTURE or p in _PLACES or p in _BOILERPLATE_WORDS or p.isdigit() for p in parts)
+    marking = [p for p in parts if p in _MARKING or (len(parts) > 1 and p in ("banner", "related", "share", "sponsor"))]
+    return marking[0] if known and marking else ""
+
+
 def _marks(attributes: str, tag: str) -> tuple[list[str], list[str], bool]:
     """Boilerplate words of the class names and the id, roles, and whether the element is hidden.
 
+    A class name marks by its first word, if words of structure follow or the word
+    marks whatever follows, or by its last; a name with words of a title marks nothing.
     The id of a heading or section is mostly made from its title: a heading's says
-    nothing, a section's only if it is a marking word as a whole.
+    nothing, a section's only what ``_marked_id`` finds.
     """
     words: list[str] = []
     roles: list[str] = []
@@ -187,7 +213,7 @@ def _marks(attributes: str, tag: str) -> tuple[list[str], list[str], bool]:
         elif name == "class":
             words += filter(None, map(_marked, value.split()))
         elif tag in ("section", "article"):
-            words += [w for w in value.lower().split() if w in _MARKING]
+            words += filter(None, map(_marked_id, value.split()))
         elif tag not in _HEADINGS:
             words += filter(None, map(_marked, value.split()))
     return words, roles, hidden
