@@ -7,9 +7,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -19,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caregap.functions import clean, scores
-from caregap.operators import extra_trees, gaps, ingest, logistic
+from caregap.operators import extra_trees, gaps, hist_boosting, ingest, logistic
 from caregap.operators.evidence import distinct_small
 from caregap.operators.gaps import PAIR
 from caregap.operators.ranking import global_rank, running_totals
@@ -404,7 +402,6 @@ def compare_models(
     learners = {
         "Logistic Regression": LogisticRegression(labelCol="target", weightCol="class_weight", maxIter=iterations),
         "Random Forest": RandomForestClassifier(labelCol="target", weightCol="class_weight", numTrees=trees, maxDepth=6, seed=seed),
-        "Boosted Trees": OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=4, seed=seed), labelCol="target"),
     }
     names = F.array(*[F.lit(x) for x in PRIORITY_LABELS])
 
@@ -417,6 +414,10 @@ def compare_models(
     learn = points[0].select("x", F.col("target").cast("int").alias("y"), F.col("class_weight").alias("w"))
     shares = extra_trees.class_shares(learn, points[1].select(F.col("_row").alias("id"), "x"), len(PRIORITY_LABELS), trees, seed)
     best = (F.array_position("probability", F.array_max("probability")) - 1).cast("double")
+    booster = hist_boosting.fit(points[0].select(F.col("_row").alias("id"), "x", F.col("target").cast("int").alias("y")), len(PRIORITY_LABELS), rounds)
+    boosted = points[1].select(F.col("_row").alias("id"), "x")
+    boosted = booster.transform(boosted) if booster else boosted.select("id", F.array().cast("array<double>").alias("probability")).limit(0)
+    predictions["Histogram Boosting"] = test.join(boosted.select(F.col("id").alias("_row"), best.alias("prediction")), "_row")
     predictions["Extra Trees"] = test.join(shares.select(F.col("id").alias("_row"), best.alias("prediction")), "_row")
     result = None
     for name, scored in predictions.items():

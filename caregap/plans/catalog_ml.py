@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caregap.operators import extra_trees, gaps, kernel, ml, ranking
+from caregap.operators import extra_trees, gaps, hist_boosting, kernel, ml, ranking
 from caregap.plans.registry import query
+from caregap.session import materialize
 
 PAIR = gaps.PAIR
 _FEATURES = ", ".join(ml.RECAPTURE_FEATURES)
@@ -246,6 +247,50 @@ def _(f):
     return roots.select("tree", "first_column", F.round("cut", 6).alias("cut"))
 
 
+# The first two splits of each class's first tree: sums of rounded gradients up to each value, the cut of the greatest gain,
+# then the same below both sides, of which the one with the greater gain is split.
+_CELLS = f"""SELECT row_id, y, unnest([{", ".join(ml.PRIORITY_SCORES)}]) AS v, unnest(range(8)) AS f FROM (
+    SELECT row_number() OVER () AS row_id, CASE WHEN frequency_score + recency_score > 0.7e0 THEN 2 WHEN recency_score > 0.4e0 THEN 1 ELSE 0 END AS y,
+           {", ".join(f"floor({c} * 64.0e0) AS {c}" for c in ml.PRIORITY_SCORES)} FROM suspects_v2)"""
+
+
+def _best_cuts(cells: str) -> str:
+    return f"""(SELECT k, path, f, v, gain FROM (
+        SELECT *, row_number() OVER (PARTITION BY k, path ORDER BY gain DESC, f, v) AS place FROM (
+          SELECT *, gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht AS gain FROM (
+            SELECT k, path, f, v, CAST(sum(g) OVER up AS DOUBLE) / 16777216 AS gl, CAST(sum(h) OVER up AS DOUBLE) / 16777216 AS hl, sum(n) OVER up AS nl,
+                   CAST(sum(g) OVER whole AS DOUBLE) / 16777216 AS gt, CAST(sum(h) OVER whole AS DOUBLE) / 16777216 AS ht, sum(n) OVER whole AS nt
+            FROM (SELECT k, path, f, v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {cells} GROUP BY ALL)
+            WINDOW up AS (PARTITION BY k, path, f ORDER BY v), whole AS (PARTITION BY k, path, f))
+          WHERE nl >= 20 AND nt - nl >= 20 AND hl >= 0.001e0 AND ht - hl >= 0.001e0) WHERE gain > 1e-12) WHERE place = 1)"""
+
+
+@query(
+    "m9_boosting_first_splits",
+    f"""SELECT CAST(k AS INTEGER) AS class, path, CAST(f AS INTEGER) AS first_column, (v + above) / 2 AS cut, round(gain, 4) AS gain FROM (
+          WITH cell AS MATERIALIZED ({_CELLS}),
+          share AS (SELECT k, count(*) FILTER (y = k) / CAST(count(*) AS DOUBLE) AS p FROM cell, range(3) c(k) WHERE f = 0 GROUP BY k),
+          summand AS MATERIALIZED (SELECT cell.*, k, '' AS path, CAST(round((p - (y = k)::INTEGER) * 16777216) AS BIGINT) AS g,
+                                          CAST(round(p * (1 - p) * 16777216) AS BIGINT) AS h FROM cell, share),
+          root AS MATERIALIZED {_best_cuts("summand")},
+          side AS (SELECT s.row_id, s.k, CASE WHEN s.v <= r.v THEN 'L' ELSE 'R' END AS path FROM summand s JOIN root r ON s.k = r.k AND s.f = r.f),
+          below AS MATERIALIZED {_best_cuts("(SELECT s.* REPLACE (side.path AS path) FROM summand s JOIN side USING (row_id, k))")},
+          made AS (FROM root UNION ALL SELECT k, path, f, v, gain FROM below QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, path) = 1)
+          SELECT made.*, above FROM made JOIN (SELECT f, v, lead(v) OVER (PARTITION BY f ORDER BY v) AS above FROM (SELECT DISTINCT f, v FROM cell)) USING (f, v))""",
+)
+def _(f):
+    """Splits of the first round of boosting on the evidence scores in steps of a 64th, three leaves a tree."""
+    rows = materialize(_labelled_suspects(f)).select(
+        F.monotonically_increasing_id().alias("id"),
+        F.array(*[F.floor(F.col(c) * 64.0).cast("double") for c in ml.PRIORITY_SCORES]).alias("x"),
+        (F.array_position(F.lit(["LOW", "MEDIUM", "HIGH"]), F.upper(F.trim("disease_priority"))) - 1).cast("int").alias("y"),
+    )
+    booster = hist_boosting.fit(rows, 3, rounds=1, leaves=3, stop_from=1 << 62)
+    splits = booster.split_table() if booster and booster.rounds else []
+    made = rows.sparkSession.createDataFrame(splits, "class int, path string, first_column int, cut double, gain double")
+    return made.withColumn("gain", F.round("gain", 4))
+
+
 @query("m9_model_comparison")
 def _(f):
     return ml.compare_models(_labelled_suspects(f))

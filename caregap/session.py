@@ -59,6 +59,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(stored: DataFrame) -> None:
+    """Delete one table of ``materialize`` before the session ends; frames that read it are no longer usable."""
+    for folder in {name.rsplit("/", 1)[0] for name in stored.inputFiles()}:
+        fs, hadoop_path = _file_system(stored.sparkSession, folder)
+        fs.delete(hadoop_path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that ``materialize`` stored in this session; frames that read them are no longer usable."""
     fs, hadoop_path = _file_system(spark, f"{ensure_checkpoint_dir(spark)}/tables")
