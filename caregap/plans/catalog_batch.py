@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caregap.operators import evidence, ingest, review
 from caregap.operators import timeline as tl
 from caregap.plans.fixtures import BATCH
 from caregap.plans.registry import query
+from caregap.session import ensure_checkpoint_dir, materialize
 from caregap.streaming.batches import suspect_table
+from caregap.streaming.store import TableStore
 
 GAP = evidence.GAP
 _COUNTS = [*evidence.FEATURES, "prescription_support_count"]
@@ -92,6 +97,29 @@ def _(f):
     return review.upsert_suspects(stored, fresh).select("suspect_id", "status", *_U3_COLUMNS)
 
 
+_U3_MERGED = f"""SELECT coalesce(n.suspect_id, o.suspect_id) AS suspect_id, coalesce(o.status, n.status) AS status,
+       {", ".join(f"CASE WHEN n.suspect_id IS NULL THEN o.{c} ELSE n.{c} END AS {c}" for c in _U3_COLUMNS)}
+       FROM ({_U3_FRESH}) n FULL OUTER JOIN ({_U3_STORED}) o ON n.suspect_id = o.suspect_id"""
+
+
+@query(
+    "u3_bucket_upsert",
+    f"""SELECT * REPLACE (CASE WHEN run_id = 'RUN-2' AND gap_type = 'EMERGING' AND CAST(hcc_v28 AS INTEGER) % 5 = 0 THEN 'RUN-3' ELSE run_id END AS run_id)
+        FROM ({_U3_MERGED})""",
+)
+def _(f):
+    """Three batches into a table kept by key buckets: stored suspects, a run, and a later run of some of its gaps."""
+    store = TableStore(f.spark, f"{ensure_checkpoint_dir(f.spark)}/stores/{uuid.uuid4().hex}")
+    f.stored("suspects", "batch_suspects")
+    fresh = materialize(suspect_table(f.batch_suspects, _references(f), "RUN-2"))
+    stored = f.suspects.withColumn("run_id", F.lit("RUN-1")).withColumn("gap_type", F.col("suspect_type"))
+    schema = T.StructType([*fresh.schema, *(c for c in stored.schema if c.name not in fresh.columns)])
+    later = fresh.filter((F.col("gap_type") == "EMERGING") & (F.col("hcc_v28").cast("int") % 5 == 0))
+    for batch in (stored, fresh, later.withColumn("run_id", F.lit("RUN-3"))):
+        store.upsert(review.aligned(batch, schema), "suspects", "suspect_id", review.upsert_suspects)
+    return store.snapshot("suspects").select("suspect_id", "status", *_U3_COLUMNS)
+
+
 @query(
     "u4_payload_records",
     """SELECT 'SUS-' || bene_id || '-' || hcc_v28 || '-' || gap_type AS suspect_id, 'COMPLETED' AS status, '1.0' AS prompt_version,

@@ -177,8 +177,9 @@ class ClaimsPipeline:
         fresh = suspect_table(
             told.withColumn("evidence_summary", F.coalesce("reviewer_summary", "evidence_summary")), references, run_id
         )
-        stored = self.store.snapshot("suspects")
-        self.store.write_snapshot(fresh if stored is None else review.upsert_suspects(stored, fresh, schemas.SUSPECTS), "suspects")
+        self.store.upsert(
+            fresh, "suspects", "suspect_id", lambda stored, rows: review.upsert_suspects(stored, rows, schemas.SUSPECTS)
+        )
         return {
             "suspects": scored.count(),
             "evidence": references.count(),
@@ -259,5 +260,6 @@ class ClaimsPipeline:
         checked = materialize(review.check_decisions(decisions, suspects))
         accepted = checked.filter(F.col("reason").isNull()).drop("reason")
         self.store.write_partition(accepted, "review_decisions", run_id=run_id)
-        self.store.write_snapshot(review.apply_decisions(suspects, checked), "suspects")
+        # Accepted decisions name stored suspects; only the buckets of these are rewritten.
+        self.store.upsert(checked.filter(F.col("reason").isNull()), "suspects", "suspect_id", review.apply_decisions)
         return checked.filter(F.col("reason").isNotNull())

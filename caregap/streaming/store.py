@@ -1,18 +1,36 @@
-"""Table folder of the incremental pipeline: run partitions and versioned snapshots as Parquet."""
+"""Table folder of the incremental pipeline: run partitions and keyed tables in buckets, as Parquet."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable, Iterable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caregap.session import materialize
+
+# Buckets of a new keyed table; a table of many terabytes wants some thousands.
+BUCKETS = 64
+
+
+class StaleVersion(RuntimeError):
+    """Another writer published a version of the table first."""
+
 
 class TableStore:
     """Tables below one root.
 
     Append tables are written one partition folder per run, always with
     overwrite, so a repeated attempt replaces its own rows and nothing else.
-    Snapshot tables are numbered folders; readers take the highest one that has
-    its ``_SUCCESS`` marker, so a lost job never exposes half a table.
+    Keyed tables are cut into buckets by a hash of their key. A version is one small
+    file that names the folder of each bucket; it is published only after all data are
+    written, and never over another version, so neither a lost job nor a second
+    writer exposes or loses half a table. The file system's rename must refuse an
+    existing target (HDFS and local folders do).
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -48,19 +66,82 @@ class TableStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", path).parquet(path)
 
+    # --- keyed tables -----------------------------------------------------------------
+
+    def _manifests(self, table: str) -> list[int]:
+        return [int(name[2:]) for name in self._children(f"{self.root}/{table}/versions") if name.startswith("v=")]
+
+    def _manifest(self, table: str, version: int) -> dict:
+        fs, path = self._fs(f"{self.root}/{table}/versions/v={version}")
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
     def latest_version(self, table: str) -> int:
-        done = [
-            int(name[2:])
-            for name in self._children(f"{self.root}/{table}")
-            if name.startswith("v=") and self.exists(f"{self.root}/{table}/{name}/_SUCCESS")
-        ]
-        return max(done, default=0)
+        return max(self._manifests(table), default=0)
 
     def snapshot(self, table: str) -> DataFrame | None:
         version = self.latest_version(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/v={version}") if version else None
-
-    def write_snapshot(self, df: DataFrame, table: str) -> int:
-        version = self.latest_version(table) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={version}")
-        return version
+        return self._read_buckets(self._manifest(table, version)) if version else None
+
+    def _read_buckets(self, manifest: dict, numbers: Iterable[int] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(manifest["schema"])
+        folders = [f for b, f in manifest["folders"].items() if numbers is None or int(b) in numbers]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def upsert(
+        self, changes: DataFrame, table: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+        buckets: int = BUCKETS,
+    ) -> int:
+        """Merge ``changes`` into a table kept by buckets of ``key``, and return the table's new version.
+
+        Only buckets that a key of ``changes`` falls into are read, given to
+        ``merge(stored, changes)`` and written; the others keep their files.
+        ``merge`` must keep the key of every row (a null key is a bucket's key like
+        any other); without it, or for a new table, the rows of ``changes`` are
+        written as they are. The bucket count of the first version stays. A run
+        without changes makes no version. If another writer finished a version in the
+        meantime, ``StaleVersion`` is raised and nothing changes.
+        """
+        version = self.latest_version(table)
+        old = self._manifest(table, version) if version else None
+        count = old["buckets"] if old else buckets
+        number = F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+        changes = materialize(changes)
+        # At most one number per bucket.
+        touched = {r[0] for r in changes.select(number).distinct().collect()}
+        if not touched and old:
+            return version
+        merged = merge(self._read_buckets(old, touched), changes) if old and merge else changes
+        folder = f"{self.root}/{table}/data/{uuid.uuid4().hex}"
+        # Keys spread evenly over buckets; the hint lets Spark cut a large bucket into several files and join small ones.
+        merged.withColumn("_bucket", number).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(folder)
+        left = {int(n.split("=")[1]): f"{folder}/{n}" for n in self._children(folder) if n.startswith("_bucket=")}
+        kept = {int(b): f for b, f in old["folders"].items() if int(b) not in touched} if old else {}
+        stray = set(left) - touched
+        if stray:
+            raise ValueError(f"merge moved rows of {table} into buckets that were not read: {sorted(stray)}")
+        self._commit(table, version + 1, {"buckets": count, "schema": merged.schema.jsonValue(), "folders": kept | left})
+        return version + 1
+
+    def _commit(self, table: str, version: int, manifest: dict) -> None:
+        """Publish a version: a finished file gets its name, which fails where the name is taken."""
+        fs, target = self._fs(f"{self.root}/{table}/versions/v={version}")
+        _, draft = self._fs(f"{self.root}/{table}/versions/.draft-{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
+        try:
+            stream.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            stream.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        try:
+            context.rename(fs.makeQualified(draft), fs.makeQualified(target), gateway.new_array(rename, 0))
+        except Py4JJavaError as error:
+            fs.delete(draft, False)
+            if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                raise StaleVersion(f"version {version} of {table} was written by another run") from error
+            raise
