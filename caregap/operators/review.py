@@ -187,30 +187,29 @@ def matching_events(timeline: DataFrame, suspects: DataFrame, claims: DataFrame)
 
     ``suspects`` has suspect_id, bene_id, hcc_v28 and diagnosis_codes (a bounded
     list); ``claims`` has one row per suspect_id and claim_id. The timeline is cut
-    to members with suspects first. Each of the three conditions is an equi-join
-    on (member, value); rows that meet several of them appear once, while rows of
-    the timeline that are equal in every column stay apart, by a row number.
+    to members with suspects first and stored with a narrow row number. Each of the
+    three conditions is an equi-join on (member, value) of that number alone; a row that
+    meets several of them appears once, and only then are its columns joined back. Rows
+    of the timeline that are equal in every column stay apart by their ``row``.
     """
     own = suspects.select("suspect_id", "bene_id", "hcc_v28", "diagnosis_codes")
     columns = list(schemas.TIMELINE_COLUMNS)
     wanted = timeline.join(own.select("bene_id"), "bene_id", "left_semi").select(*columns)
-    # Equal rows are counted, so that the joins see each once, and repeated at the end.
-    events = materialize(wanted.groupBy(*columns).agg(F.count(F.lit(1)).cast("int").alias("_copies")))
+    events = materialize(wanted.withColumn("row", F.monotonically_increasing_id()))
     keys = {
         "hcc_v28": own.select("suspect_id", "bene_id", "hcc_v28"),
         "code": own.select("suspect_id", "bene_id", F.explode("diagnosis_codes").alias("code")),
         "claim_id": own.select("suspect_id", "bene_id").join(claims.select("suspect_id", "claim_id"), "suspect_id"),
     }
-    parts = [events.join(k.distinct(), ["bene_id", c]).select("suspect_id", *columns, "_copies") for c, k in keys.items()]
+    parts = [events.select("bene_id", c, "row").join(k.distinct(), ["bene_id", c]).select("suspect_id", "row") for c, k in keys.items()]
     found = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
-    copies = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return found.select("suspect_id", *columns, copies.alias("copy"))
+    return found.join(events, "row").select("suspect_id", *columns, "row")
 
 
 def supporting_events(timeline: DataFrame, suspects: DataFrame, claims: DataFrame, limit: int = SUPPORTING_EVENTS) -> DataFrame:
     """Most recent matching events per suspect."""
     found = matching_events(timeline, suspects, claims)
-    order = [F.desc("event_date"), F.col("event_type"), F.col("event_id"), F.col("code"), F.col("claim_id"), F.col("copy")]
+    order = [F.desc("event_date"), F.col("event_type"), F.col("event_id"), F.col("code"), F.col("claim_id"), F.col("row")]
     return ranking.top_k_per_group(found, ["suspect_id"], order, limit)
 
 

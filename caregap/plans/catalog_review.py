@@ -57,7 +57,7 @@ _MATCH_SQL = """(SELECT s.suspect_id, t.* FROM suspects s JOIN timeline t ON t.b
 
 def _matching(f):
     """Suspects with their codes, and their claims in long form."""
-    f.stored("dx", "rx", "dx_timeline", "suspects")
+    f.stored_timeline().stored("suspects")
     claims = (
         gaps.diagnoses(f.dx_timeline)
         .filter("year(event_date) BETWEEN 1998 AND 2000")
@@ -159,7 +159,7 @@ def _(f):
          USING (bene_id)""",
 )
 def _(f):
-    f.stored("dx", "rx", "dx_timeline")
+    f.stored_timeline()
     return review.member_detail(f.members, f.baseline, f.suspects, f.timeline)
 
 

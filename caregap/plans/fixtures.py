@@ -158,6 +158,12 @@ class Fixtures:
             self.__dict__[name] = materialize(getattr(self, name))
         return self
 
+    def stored_timeline(self) -> Fixtures:
+        """Store the timeline once; its diagnosis part is read from the same table."""
+        self.__dict__["timeline"] = materialize(self.timeline)
+        self.__dict__["dx_timeline"] = self.timeline.filter(F.col("event_type") == "diagnosis")
+        return self
+
     # --- review workspace -----------------------------------------------------
 
     @cached_property
