@@ -326,7 +326,14 @@ def suspects_v2(
     latest_is_current: bool = False,
 ) -> DataFrame:
     """Gaps against a baseline with evidence features, scores, context, flags and summary."""
-    features = period_features(timeline, periods)
+    return suspects_from_features(period_features(timeline, periods), prescriptions, baseline, mapping, periods, latest_is_current)
+
+
+def suspects_from_features(
+    features: DataFrame, prescriptions: DataFrame, baseline: DataFrame | None, mapping: DataFrame, periods: Periods,
+    latest_is_current: bool = False,
+) -> DataFrame:
+    """The same from stored features of every pair and window."""
     found = gaps.gaps_from_presence(presence_from_features(features), baseline, latest_is_current)
     rx = prescriptions if latest_is_current else prescriptions.filter(
         clean.in_years(F.col("event_date"), periods.loaded_years)

@@ -13,6 +13,7 @@ from caregap.plans.fixtures import BATCH
 from caregap.plans.registry import query
 from caregap.session import ensure_checkpoint_dir, materialize
 from caregap.streaming.batches import suspect_table
+from caregap.streaming.state import EvidenceState, absorb_claims
 from caregap.streaming.store import TableStore
 
 GAP = evidence.GAP
@@ -37,6 +38,23 @@ def _(f):
     )
 
 
+@query("u2_incremental_engine", f"SELECT {_U2} FROM batch_suspects")
+def _(f):
+    """History, then the batch in three parts; each part reads and writes the buckets of its members only."""
+    state = EvidenceState(TableStore(f.spark, f"{ensure_checkpoint_dir(f.spark)}/stores/{uuid.uuid4().hex}"))
+    claims = materialize(f.batch_claims)
+    state.absorb(f.batch_history)
+    third = F.pmod(F.dayofmonth("claim_date"), F.lit(3))
+    for number in range(3):
+        absorb_claims(state, claims.filter(third == number), f.mapping)
+    scored = state.score(claims.select("bene_id"), f.rx, f.batch_baseline, f.mapping, BATCH)
+    return scored.select(
+        *GAP, "latest_context", *_COUNTS, "first_evidence_date", "last_evidence_date",
+        F.concat_ws("|", "supporting_diagnosis_codes").alias("supporting_diagnosis_codes"),
+        F.concat_ws("|", "reason_flags").alias("reason_flags"), "evidence_summary", "priority_score", "priority",
+    )
+
+
 @query("e6_batch_priority", "SELECT bene_id, hcc_v28, gap_type, priority_score, priority FROM batch_suspects")
 def _(f):
     return f.batch_suspects.select(*GAP, "priority_score", "priority")

@@ -19,6 +19,7 @@ from caregap.functions import clean
 from caregap.operators import evidence, ingest, intervals, lookup, ml, ranking, review
 from caregap.operators import timeline as timeline_ops
 from caregap.session import materialize
+from caregap.streaming.state import EvidenceState, absorb_claims
 from caregap.streaming.store import TableStore
 
 RUNNING, COMPLETED, FAILED = "RUNNING", "COMPLETED", "FAILED"
@@ -86,8 +87,12 @@ def review_payloads(scored: DataFrame, references: DataFrame) -> DataFrame:
 class ClaimsPipeline:
     """Runs claims batches against a table store."""
 
-    def __init__(self, spark: SparkSession, store: TableStore, history: History, model: PipelineModel | None = None):
-        self.spark, self.store, self.history, self.model = spark, store, history, model
+    def __init__(
+        self, spark: SparkSession, store: TableStore, history: History, model: PipelineModel | None = None,
+        state: EvidenceState | None = None,
+    ):
+        """With a ``state`` (which holds the history), a run scores over all batches absorbed so far; without, over history and its batch."""
+        self.spark, self.store, self.history, self.model, self.state = spark, store, history, model, state
 
     # --- run log ----------------------------------------------------------------
 
@@ -154,7 +159,14 @@ class ClaimsPipeline:
         # Fills appended by earlier runs count like those of the history.
         appended = self.store.read("events_prescription", schemas.EVENTS_PRESCRIPTION)
         fills = h.prescriptions.unionByName(appended.select(*h.prescriptions.columns))
-        scored = evidence.run_batch_engine(h.timeline, claims, fills, h.baseline, h.mapping, periods)
+        members = claims.select("bene_id").distinct()
+        if self.state is None:
+            scored = evidence.run_batch_engine(h.timeline, claims, fills, h.baseline, h.mapping, periods)
+            combined = timeline_ops.with_batch(h.timeline.join(members, "bene_id", "left_semi"), claims, h.mapping)
+        else:
+            absorb_claims(self.state, claims, h.mapping)
+            scored = self.state.score(members, fills, h.baseline, h.mapping, periods)
+            combined = self.state.events(members)
         if self.model is not None:
             # Ranks are positions inside this batch; the model never adds or removes gaps.
             scored = ranking.rank_by_expected_priority(ml.score_priority(scored, self.model))
@@ -162,8 +174,6 @@ class ClaimsPipeline:
         unknown = lookup.orphans(scored.select("bene_id"), h.members).first()
         if unknown is not None:
             raise ValueError(f"Engine output references unknown bene_id: {unknown['bene_id']}")
-        scoped = h.timeline.join(claims.select("bene_id").distinct(), "bene_id", "left_semi")
-        combined = timeline_ops.with_batch(scoped, claims, h.mapping)
         references = materialize(evidence.evidence_references(evidence.gap_events(combined, scored, periods)))
         payloads = materialize(review_payloads(scored, references))
         evidence_days = references.select(*evidence.GAP, F.col("evidence_date").alias("event_date")).distinct()

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,10 @@ class StaleVersion(RuntimeError):
     """Another writer published a version of the table first."""
 
 
+def _bucket(key: str, count: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+
+
 class TableStore:
     """Tables below one root.
 
@@ -91,6 +95,18 @@ class TableStore:
         folders = [f for b, f in manifest["folders"].items() if numbers is None or int(b) in numbers]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
+    @staticmethod
+    def bucket_numbers(rows: DataFrame, key: str, count: int) -> set[int]:
+        """Buckets that the rows' keys fall into: at most ``count`` numbers reach the driver."""
+        return {r[0] for r in rows.select(_bucket(key, count)).distinct().collect()}
+
+    def write_buckets(self, rows: DataFrame, table: str, key: str, count: int) -> dict[int, str]:
+        """Write rows to a new folder and return the folder of each bucket; a version must name them to make them seen."""
+        folder = f"{self.root}/{table}/data/{uuid.uuid4().hex}"
+        # Keys spread evenly over buckets; the hint lets Spark cut a large bucket into several files and join small ones.
+        rows.withColumn("_bucket", _bucket(key, count)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(folder)
+        return {int(n.split("=")[1]): f"{folder}/{n}" for n in self._children(folder) if n.startswith("_bucket=")}
+
     def upsert(
         self, changes: DataFrame, table: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
         buckets: int = BUCKETS,
@@ -108,17 +124,12 @@ class TableStore:
         version = self.latest_version(table)
         old = self._manifest(table, version) if version else None
         count = old["buckets"] if old else buckets
-        number = F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
         changes = materialize(changes)
-        # At most one number per bucket.
-        touched = {r[0] for r in changes.select(number).distinct().collect()}
+        touched = self.bucket_numbers(changes, key, count)
         if not touched and old:
             return version
         merged = merge(self._read_buckets(old, touched), changes) if old and merge else changes
-        folder = f"{self.root}/{table}/data/{uuid.uuid4().hex}"
-        # Keys spread evenly over buckets; the hint lets Spark cut a large bucket into several files and join small ones.
-        merged.withColumn("_bucket", number).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(folder)
-        left = {int(n.split("=")[1]): f"{folder}/{n}" for n in self._children(folder) if n.startswith("_bucket=")}
+        left = self.write_buckets(merged, table, key, count)
         kept = {int(b): f for b, f in old["folders"].items() if int(b) not in touched} if old else {}
         stray = set(left) - touched
         if stray:

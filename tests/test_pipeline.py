@@ -171,3 +171,25 @@ def test_model_priority_and_rank_are_stored(spark, pipeline):
     stored = pipeline.store.snapshot("suspects").collect()
     assert sorted(r.ml_review_rank for r in stored) == [1, 2] and all(r.ml_top_100 for r in stored)
     assert all(f"Global Reviewer Rank #{r.ml_review_rank}" in r.evidence_summary for r in stored)
+
+
+def test_runs_over_a_kept_state_see_earlier_batches(spark, pipeline):
+    from caregap.operators import evidence
+    from caregap.operators import timeline as timeline_ops
+    from caregap.streaming.state import EvidenceState
+
+    pipeline.state = EvidenceState(pipeline.store, buckets=4)
+    pipeline.state.absorb(pipeline.history.timeline)
+    pipeline.run_batch(batch(spark), "B1", "R1")
+    more = spark.createDataFrame([("A", "c7", "2023-02-05", "I509", "CARRIER", "no")], CLAIMS)
+    pipeline.run_batch(more, "B2", "R2")
+    row = pipeline.store.snapshot("suspects").filter("suspect_id = 'SUS-A-226-EMERGING'").first()
+    assert (row.diagnosis_count, row.run_id) == (2, "R2")
+    h = pipeline.history
+    claims = None
+    for b in ("B1", "B2"):
+        part = pipeline.store.read_partition("claims", batch_id=b).withColumn("batch_id", F.lit(b))
+        claims = part if claims is None else claims.unionByName(part)
+    want = evidence.run_batch_engine(h.timeline, claims, h.prescriptions, h.baseline, h.mapping, evidence.batch_periods(claims))
+    got = pipeline.state.score(claims, h.prescriptions, h.baseline, h.mapping, evidence.batch_periods(claims))
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
