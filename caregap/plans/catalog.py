@@ -12,6 +12,7 @@ from caregap.plans import (  # noqa: F401
     catalog_core,
     catalog_ml,
     catalog_review,
+    catalog_sinks,
     catalog_validation,
 )
 from caregap.plans.registry import CATALOG, runner, with_tables

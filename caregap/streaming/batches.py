@@ -89,10 +89,14 @@ class ClaimsPipeline:
 
     def __init__(
         self, spark: SparkSession, store: TableStore, history: History, model: PipelineModel | None = None,
-        state: EvidenceState | None = None,
+        state: EvidenceState | None = None, scoring: bool = True,
     ):
-        """With a ``state`` (which holds the history), a run scores over all batches absorbed so far; without, over history and its batch."""
+        """With a ``state`` (which holds the history), a run scores over all batches absorbed so far; without, over history and its batch.
+
+        ``scoring=False`` gives a pipeline that validates and stores batches only.
+        """
         self.spark, self.store, self.history, self.model, self.state = spark, store, history, model, state
+        self.scoring = scoring
 
     # --- run log ----------------------------------------------------------------
 
@@ -202,7 +206,8 @@ class ClaimsPipeline:
         counters: dict[str, int] = {}
         try:
             counters |= self.ingest(rows, batch_id, run_id, source_file)
-            counters |= self.score(batch_id, run_id, current_year)
+            if self.scoring:
+                counters |= self.score(batch_id, run_id, current_year)
         except Exception as error:
             self._log(run_id, FAILED, **about, **counters, error_message=str(error))
             raise
