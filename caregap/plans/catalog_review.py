@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from caregap.operators import gaps, review
+from caregap.operators.text_index import TextIndex
 from caregap.plans.fixtures import PERIODS
 from caregap.plans.registry import query
+from caregap.session import ensure_checkpoint_dir
 
 _PAGE = "suspect_id, bene_id, hcc_v28, suspect_type, priority_score"
 _SHOWN = ["suspect_id", "bene_id", "hcc_v28", "suspect_type", "priority_score"]
@@ -38,6 +42,38 @@ def _(f):
     return review.search_reviews(f.reviews, "OF HCC 1", "SUPPORTED").select("review_id", "decision", "notes")
 
 
+def _indexed(f, rows, *columns: str) -> TextIndex:
+    return TextIndex.build(rows, f"{ensure_checkpoint_dir(f.spark)}/stores/{uuid.uuid4().hex}", columns)
+
+
+@query(
+    "p5_indexed_members",
+    "SELECT bene_id, state FROM members WHERE bene_id ILIKE '%000_17%' OR state ILIKE '%000_17%'",
+)
+def _(f):
+    return _indexed(f, f.members.select("bene_id", "state"), "bene_id", "state").ilike(" 000_17 ")
+
+
+@query(
+    "p6_indexed_suspects",
+    f"""SELECT {_PAGE} FROM suspects WHERE lower(bene_id) LIKE '%anvil%' OR hcc_v28 LIKE '%anvil%'
+        OR lower(hcc_description) LIKE '%anvil%' OR lower(suspect_type) LIKE '%anvil%'""",
+)
+def _(f):
+    rows = f.suspects.select(*_SHOWN, "hcc_description")
+    return _indexed(f, rows, "bene_id", "hcc_v28", "hcc_description", "suspect_type").contains("ANVIL").select(*_SHOWN)
+
+
+@query(
+    "p7_indexed_reviews",
+    "SELECT review_id, decision, notes FROM reviews WHERE decision = 'SUPPORTED' AND lower(notes) LIKE '%of hcc 1%'",
+)
+def _(f):
+    rows = f.reviews.select("review_id", "decision", "notes", "bene_id", "hcc_v28")
+    found = _indexed(f, rows, "bene_id", "hcc_v28", "notes").contains("OF HCC 1")
+    return found.filter("decision = 'SUPPORTED'").select("review_id", "decision", "notes")
+
+
 @query(
     "p8_suspect_filters",
     f"""SELECT {_PAGE} FROM suspects WHERE suspect_type = 'EMERGING' AND priority_score >= 0.6 AND hcc_v28 = '12'
