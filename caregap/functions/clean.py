@@ -6,7 +6,7 @@ them stay inside whole-stage code generation.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,8 +17,8 @@ NULL_CODES = ("", "NAN", "NONE", "NULL")
 NULL_CODES_UPLOAD = ("", "NULL", "NONE", "NAN", "NA")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-# General date layouts tried in this order after the eight-digit form.
-MIXED_DATE_FORMATS = ("yyyy-MM-dd", "dd-MMM-yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "MMM d, yyyy", "yyyy-MM-dd HH:mm:ss")
+# Two-digit years from here on are 19xx, smaller ones 20xx.
+PIVOT = 69
 
 
 def strip(c: Column) -> Column:
@@ -89,14 +89,98 @@ def claim_date(c: Column) -> Column:
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _date_words(text: Column) -> Column:
+    """Lower-case text without its time of day, zone, weekday, ordinal endings and filler words."""
+    words = F.lower(text)
+    for pattern, put in (
+        # A time with its half of day, fraction and zone; a date and a "t" may stand right before it.
+        (r"(^|[\st])\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?\s*([ap]\.?m\.?)?\s*(z|utc|gmt)?\s*([+-]\d{2}:?\d{2})?(?=$|\s)", " "),
+        (r"^(\d{8})[t ]?\d{4}(\d{2})?z?$", "$1"),
+        (r"(?<=\d)(st|nd|rd|th)\b", ""),
+        (r"\b(mon|tue(s)?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?\b", " "),
+        (r"\b(of|on|at|and|the)\b", " "),
+    ):
+        words = F.regexp_replace(words, pattern, put)
+    return words
+
+
+def _full_year(year: Column, pivot: int) -> Column:
+    """Four digits of a year; other lengths than one, two or four give null."""
+    short = F.lpad(year, 2, "0")
+    century = F.when(short.try_cast("int") >= pivot, "19").otherwise("20")
+    return F.when(F.length(year) <= 2, F.concat(century, short)).when((F.length(year) == 4) & (year != "0000"), year)
+
+
+def _fields(words: Column, pivot: int) -> Column:
+    """Runs of digits or letters in order; months by name become ``m1`` ... ``m12``, text with other signs has no field."""
+    tokens = F.regexp_extract_all(words, F.lit(r"(\d+|\p{L}+)"), F.lit(1))
+    number = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"m{i}")])
+    name = r"^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sep(t|tember)?|oct(ober)?|nov(ember)?|dec(ember)?)$"
+    named = F.transform(tokens, lambda t: F.when(t.rlike(name), F.try_element_at(number, F.substring(t, 1, 3))).otherwise(t))
+    run = F.get(tokens, F.lit(0))
+    compact = F.when((F.size(tokens) == 1) & (F.length(run).isin(6, 8)), F.array(
+        _full_year(F.substring(run, 1, F.length(run) - 4), pivot), F.substring(run, F.length(run) - 3, F.lit(2)), F.substring(run, F.length(run) - 1, F.lit(2))))
+    return F.when(words.rlike(r"^[\p{L}\d\s,./;'-]*$"), F.coalesce(compact, named))
+
+
+def _ordered(fields: Column) -> Column:
+    """Year, month and day texts of the fields, in the order their kinds and sizes tell.
+
+    A named month is the month; a field of four digits or above 31 is the year. What
+    is left is month, then day; day first if the first one is above 12. Without
+    such a year the last number is the year, or the first if the month is last.
+    A missing day or month is the first.
+    """
+    def at(i: int) -> Column:
+        return F.get(fields, F.lit(i))
+
+    is_month = [F.coalesce(at(i).startswith("m"), F.lit(False)) for i in range(3)]
+    is_year = [F.coalesce((F.length(at(i)) == 4) | (at(i).try_cast("int") > 31), F.lit(False)) & ~is_month[i] for i in range(3)]
+    named = F.when(is_month[0], 0).when(is_month[1], 1).when(is_month[2], 2)
+    year = (F.when(is_year[0], 0).when(is_year[1], 1).when(is_year[2], 2)
+            .when(is_month[2], 0).when(F.size(fields) == 3, 2))
+    month = F.regexp_replace(F.get(fields, named), "^m", "")
+    rest = F.filter(fields, lambda t, i: (i != year) & (named.isNull() | (i != named)))
+    first, second = F.get(rest, F.lit(0)), F.get(rest, F.lit(1))
+    # Behind a leading year the order is month, day.
+    swapped = (year != 0) & (first.try_cast("int") > 12) & second.isNotNull()
+    one = F.lit("1")
+    many = F.size(F.filter(fields, lambda t: t.startswith("m"))) > 1
+    ordered = F.when(named.isNotNull(), F.array(F.get(fields, year), month, F.coalesce(first, one))).otherwise(
+        F.array(F.get(fields, year), F.when(swapped, second).otherwise(F.coalesce(first, one)),
+                F.when(swapped, first).otherwise(F.coalesce(second, one))))
+    # Fewer than three fields need a year of four digits.
+    enough = (F.size(fields) == 3) | ((F.size(fields) < 3) & F.exists(fields, lambda t: F.length(t) == 4) & year.isNotNull())
+    return F.when(enough & year.isNotNull() & ~many, ordered)
+
+
+def open_date(c: Column, pivot: int = PIVOT) -> Column:
+    """Date of a text in any usual layout, by its fields; null where the fields make no date.
+
+    Ambiguous day and month are read month first, as the established rule has it.
+    Two-digit years from ``pivot`` on are 19xx.
+    """
+    def dated(parts: Column) -> Column:
+        year, month, day = (F.get(parts, F.lit(i)) for i in range(3))
+        fits = (F.length(month) <= 2) & (F.length(day) <= 2)
+        return F.when(fits, F.try_to_timestamp(F.concat(_full_year(year, pivot), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")),
+                                               F.lit("yyyy-MM-dd")).cast("date"))
+
+    return _let(_date_words(strip(c)), lambda words: _let(_fields(words, pivot), lambda fields: _let(_ordered(fields), dated)))
+
+
 def mixed_date_text(c: Column) -> Column:
-    """Eight digits or any known layout to ISO text; text that fits no layout is kept as it is."""
+    """Eight digits or a date in any usual layout to ISO text; other text is kept as it is, null markers become null."""
     text = strip(c)
     eight_digits = F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
-    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in MIXED_DATE_FORMATS])
     return F.when(
         ~text.isin(*NULL_CODES),
-        F.when(text.rlike(r"^\d{8}$"), eight_digits).otherwise(F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), text)),
+        F.when(text.rlike(r"^\d{8}$"), eight_digits).otherwise(F.coalesce(F.date_format(open_date(text), "yyyy-MM-dd"), text)),
     )
 
 

@@ -77,6 +77,43 @@ def _(f):
     return f.table("orders").select("o_orderkey", clean.mixed_date_text(raw).alias("day"))
 
 
+# Layouts whose fields tell the date; those that put the day first, read month first where both can be months; partial dates.
+_PLAIN_LAYOUTS = (
+    "yyyyMMdd", "yyyy-MM-dd", "dd-MMM-yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "MMM d, yyyy", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy",
+    "MMMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "EEE, d MMM yyyy", "EEEE, MMMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'+02:00'", "yyyy.MM.dd", "MM.dd.yyyy", "MM-dd-yyyy", "yyyy MMM dd",
+    "yyyy-MMM-dd", "MMM-dd-yyyy", "MMM dd yyyy", "MM/dd/yyyy hh:mm a", "MM/dd/yyyy h:mm:ss a", "MMM d yyyy HH:mm",
+    "yyyyMMddHHmmss", "yyyyMMdd'T'HHmmss", "M-d-yyyy", "M.d.yyyy", "yyyy-M-d", "yyyy/M/d", "MMM. d, yyyy", "ddMMMyyyy",
+    "yyyyMMMdd", "yyyy MM dd", "EEE MMM dd HH:mm:ss yyyy", "MM/dd/yy", "dd-MMM-yy", "d'th of' MMMM yyyy", "HH:mm dd MMM yyyy",
+)
+_DAY_FIRST_LAYOUTS = ("dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "d/M/yyyy", "dd/MM/yy", "d.M.yyyy HH:mm")
+_MONTH_LAYOUTS = ("yyyy-MM", "MMMM yyyy", "MM/yyyy", "MMM-yyyy")
+_LAYOUTS = (*_PLAIN_LAYOUTS, *_DAY_FIRST_LAYOUTS, *_MONTH_LAYOUTS)
+_NO_DATES = 3  # text that is no date: an impossible day, a foreign word, too many fields
+
+
+@query(
+    "x5_open_date_layouts",
+    f"""SELECT o_orderkey, CASE
+          WHEN n < {len(_PLAIN_LAYOUTS)} OR (n < {len(_PLAIN_LAYOUTS) + len(_DAY_FIRST_LAYOUTS)} AND day(o_orderdate) > 12) THEN strftime(o_orderdate, '%Y-%m-%d')
+          WHEN n < {len(_PLAIN_LAYOUTS) + len(_DAY_FIRST_LAYOUTS)} THEN strftime(o_orderdate, '%Y-%d-%m')
+          WHEN n < {len(_LAYOUTS)} THEN strftime(o_orderdate, '%Y-%m-01')
+          WHEN n = {len(_LAYOUTS)} THEN strftime(o_orderdate, '%Y-%m-32')
+          WHEN n = {len(_LAYOUTS) + 1} THEN 'week ' || strftime(o_orderdate, '%d %Y')
+          ELSE strftime(o_orderdate, '%Y-%m-%d-7') END AS day
+        FROM (SELECT o_orderkey, o_orderdate, o_orderkey % {len(_LAYOUTS) + _NO_DATES} AS n FROM orders)""",
+)
+def _(f):
+    n, day = F.col("o_orderkey") % (len(_LAYOUTS) + _NO_DATES), F.col("o_orderdate").cast("timestamp")
+    raw = F.when(n == len(_LAYOUTS), F.date_format(day, "yyyy-MM-'32'")).when(
+        n == len(_LAYOUTS) + 1, F.date_format(day, "'week 'dd yyyy")).when(n == len(_LAYOUTS) + 2, F.date_format(day, "yyyy-MM-dd'-7'"))
+    for i, layout in enumerate(_LAYOUTS):
+        text = F.date_format(day, layout)
+        # Every second use of a layout in capitals.
+        raw = raw.when(n == i, F.when(F.col("o_custkey") % 2 == 0, F.upper(text)).otherwise(text))
+    return f.table("orders").select("o_orderkey", clean.mixed_date_text(raw).alias("day"))
+
+
 @query(
     "x6_iso_date",
     "SELECT row_idx, CAST(try_strptime(claim_date, '%Y-%m-%d') AS DATE) AS day FROM batch_rows",

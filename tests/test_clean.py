@@ -76,3 +76,17 @@ def test_tiers_and_rounding(spark):
     assert values(spark, lambda c: scores.round_scaled(c, 2), [0.125, 0.375], "double") == [0.12, 0.38]
     argmax = lambda c: scores.argmax_label(F.array(c, c, F.lit(0.1)), ("LOW", "MEDIUM", "HIGH"))
     assert values(spark, argmax, [0.45, 0.05], "double") == ["LOW", "HIGH"]
+
+
+def test_open_dates_by_their_fields(spark):
+    cases = {
+        "3rd March 2021": "2021-03-03", "Sept. 5, 2020 at 10:15 p.m.": "2020-09-05", "SATURDAY 05 JUNE 1999": "1999-06-05",
+        "5/6/2020": "2020-05-06", "13/6/2020": "2020-06-13", "2020/25/03": None, "13/13/2020": None, "2020-02-30": None, "31.04.1999": None,
+        "1/2/68": "2068-01-02", "1/2/69": "1969-01-02", "99-Feb-01": "1999-02-01", "01-99-Feb": "1999-02-01", "200305": "2020-03-05",
+        "20200305T1011": "2020-03-05", "2020-03-05T10:11:12.5+02:00": "2020-03-05", "2020": "2020-01-01", "May 2020": "2020-05-01",
+        "45": None, "3/45": None, "may may 2020": None, "1 2 3 2020": None, "12:30": None, "on the": None, "2020年3月5日": None, "5 maybe 2020": None,
+        "x" * 50_000: None, "1-" * 5_000: None, "": None, "5/6": None, "2020-1-2-": "2020-01-02", "12345-01-02": None, "0000-01-01": None,
+    }
+    rows = spark.createDataFrame(list(cases.items()) + [(None, None)], "raw string, want string")
+    got = rows.select("raw", "want", clean.open_date(F.col("raw")).cast("string").alias("got"))
+    assert [(r.raw, r.got) for r in got.collect() if r.got != r.want] == []
