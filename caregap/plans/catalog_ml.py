@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from caregap.operators import extra_trees, gaps, hist_boosting, kernel, ml, ranking
@@ -153,6 +154,54 @@ def _labelled_suspects(f):
                                     .when(F.col("recency_score") > 0.4, " Medium ").otherwise("LOW"))
 
 
+# Each numeric column misses in every member whose number leaves another remainder by 7; each categorical one by 11.
+_GAPPED = (
+    "(SELECT * REPLACE ("
+    + ", ".join(f"CASE WHEN CAST(substr(bene_id, 2) AS BIGINT) % 7 <> {i % 7} THEN {c} END AS {c}" for i, c in enumerate(ml.PRIORITY_NUMERIC))
+    + "), CASE WHEN CAST(substr(bene_id, 2) AS BIGINT) % 11 <> 3 THEN latest_context END AS context FROM suspects_v2)"
+)
+_FILLED = (
+    "(SELECT bene_id, hcc_v28, gap_type, "
+    + ", ".join(f"CAST(coalesce({c}, (SELECT quantile_disc({c}, 0.5) FROM {_GAPPED})) AS DOUBLE) AS {c}" for c in ml.PRIORITY_NUMERIC)
+    + f", coalesce(context, (SELECT context FROM {_GAPPED} WHERE context IS NOT NULL GROUP BY context ORDER BY count(*) DESC, context LIMIT 1)) AS context"
+    + f" FROM {_GAPPED})"
+)
+
+
+def _position_sql(c: str) -> str:
+    return f"(SELECT {c} AS v, CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS DOUBLE) AS place FROM {_FILLED} GROUP BY {c})"
+
+
+@query(
+    "m7_prepared_features",
+    "SELECT bene_id, hcc_v28, gap_type, "
+    + ", ".join(f"{c} AS filled_{c}, round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0), 6) AS scaled_{c}"
+                for c in ml.PRIORITY_NUMERIC)
+    + ", h.place AS hcc_place, x.place AS context_place FROM "
+    + f"{_FILLED} r JOIN {_position_sql('hcc_v28')} h ON h.v = r.hcc_v28 JOIN {_position_sql('context')} x ON x.v = r.context",
+)
+def _(f):
+    """What the learner gets: medians and most frequent values for missing ones, scaled numbers, places of the categories in the one-hot vector."""
+    number = F.substring("bene_id", 2, 20).cast("bigint")
+    missing = {c: F.when(number % 7 != i % 7, F.col(c)) for i, c in enumerate(ml.PRIORITY_NUMERIC)}
+    gapped = _labelled_suspects(f).withColumns({**missing, "latest_context": F.when(number % 11 != 3, F.col("latest_context"))})
+    _, data = ml.prepared_priority(gapped)
+    scaled, features = vector_to_array("_scaled"), vector_to_array("features")
+    sizes = {c: data.schema[f"{c}_h"].metadata["ml_attr"]["num_attrs"] for c in ml.PRIORITY_CATEGORICAL}
+
+    def place(c: str):
+        """Where the one is in the column's part of the feature vector."""
+        start = len(ml.PRIORITY_NUMERIC) + sum(sizes[x] for x in ml.PRIORITY_CATEGORICAL[: ml.PRIORITY_CATEGORICAL.index(c)])
+        return (F.array_position(F.slice(features, start + 1, sizes[c]), F.lit(1.0)) - 1).cast("double")
+
+    return data.select(
+        *PAIR, "gap_type",
+        *[F.col(f"{c}_f").alias(f"filled_{c}") for c in ml.PRIORITY_NUMERIC],
+        *[F.round(F.get(scaled, F.lit(i)), 6).alias(f"scaled_{c}") for i, c in enumerate(ml.PRIORITY_NUMERIC)],
+        place("hcc_v28").alias("hcc_place"), place("latest_context").alias("context_place"),
+    )
+
+
 @query("m7_m8_priority_classifier")
 def _(f):
     rows = ml.materialize(_labelled_suspects(f))
