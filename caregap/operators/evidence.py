@@ -9,7 +9,7 @@ groups that are known to be small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caregap import schemas
@@ -216,9 +216,12 @@ def suspect_rows_v1(suspects: DataFrame, samples: DataFrame) -> DataFrame:
 # --- eight-signal suspects (v2) -------------------------------------------------
 
 
-def deduplicate_events(events: DataFrame) -> DataFrame:
-    """One row per (member, date, category, claim, code, event); copies are merged before the shuffle."""
-    return events.groupBy("bene_id", "event_date", "hcc_v28", "claim_id", "code", "event_id").agg(
+def deduplicate_events(events: DataFrame, *also: str) -> DataFrame:
+    """One row per (member, date, category, claim, code, event); copies are merged before the shuffle.
+
+    ``also`` names columns that follow from these.
+    """
+    return events.groupBy("bene_id", "event_date", "hcc_v28", "claim_id", "code", "event_id", *also).agg(
         F.min("source").alias("source"), F.max("is_principal").alias("is_principal")
     )
 
@@ -260,8 +263,46 @@ def with_day_counts(features: DataFrame) -> DataFrame:
     return features.withColumn("distinct_evidence_dates", F.size("evidence_days").cast("bigint"))
 
 
+def first_marks(events: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Mark one row of each distinct ``value`` per key, so that distinct counts become plain sums.
+
+    Rows are dealt by key and value, so one key's rows spread over many tasks. The
+    order takes in every column: equal runs of a task mark equal rows.
+    """
+    own = Window.partitionBy(*keys, value).orderBy(*[c for c in events.columns if c not in (*keys, value)])
+    return events.withColumn(name, (F.row_number().over(own) == 1) & F.col(value).isNotNull())
+
+
 def evidence_features(events: DataFrame, keys: list[str] = PAIR, blanks_count: bool = False) -> DataFrame:
-    return with_day_counts(events.groupBy(*keys).agg(*feature_columns(blanks_count=blanks_count)))
+    """The columns of ``feature_columns``, with every row in three shuffles whatever is counted.
+
+    Several true distinct counts in one aggregation send each row once per count, twice.
+    """
+    if blanks_count:
+        events = events.withColumns({c: F.coalesce(c, F.lit("")) for c in ("claim_id", "event_id", "source", "code")})
+    rows = events.select(*keys, "event_date", "claim_id", "event_id", "source", "code", "is_principal")
+    marked = first_marks(rows, keys, "event_id", "_new_event").drop("event_id")
+    marked = first_marks(marked, keys, "claim_id", "_new_claim").drop("claim_id")
+    day = F.col("event_date")
+    grouped = marked.groupBy(*keys).agg(
+        F.count("*").alias("diagnosis_count"),
+        F.count_if("_new_claim").alias("unique_claim_count"),
+        F.count_if("_new_event").alias("unique_event_count"),
+        distinct_small(F.col("source")).alias("distinct_sources"),
+        F.count_if("is_principal").alias("principal_diagnosis_count"),
+        F.array_sort(F.collect_set("code")).alias("supporting_diagnosis_codes"),
+        F.array_sort(F.collect_set(day)).alias("evidence_days"),
+    )
+    months = F.size(F.array_distinct(F.transform("evidence_days", lambda d: F.trunc(d, "MM")))).cast("bigint")
+    grouped = grouped.withColumns({
+        "first_evidence_date": F.array_min("evidence_days"), "last_evidence_date": F.array_max("evidence_days"),
+        "distinct_evidence_months": months,
+    })
+    names = [
+        "diagnosis_count", "unique_claim_count", "unique_event_count", "first_evidence_date", "last_evidence_date",
+        "distinct_evidence_months", "distinct_sources", "principal_diagnosis_count", "supporting_diagnosis_codes", "evidence_days",
+    ]
+    return with_day_counts(grouped.select(*keys, *names))
 
 
 def gap_events(timeline: DataFrame, found: DataFrame, periods: Periods) -> DataFrame:
@@ -273,19 +314,27 @@ def gap_events(timeline: DataFrame, found: DataFrame, periods: Periods) -> DataF
     return wanted.join(found.select(*GAP), GAP, "left_semi")
 
 
-def period_features(timeline: DataFrame, periods: Periods) -> DataFrame:
+def window_features(timeline: DataFrame, periods: Periods) -> DataFrame:
     """Features of every pair and window (as the gap side it would support) from one pass over the timeline.
 
     Also computes pairs that turn out to be no gap: that costs less than finding
-    the gaps first and joining all events to them. Stored, because presence,
-    scores and the prescription match all start from it.
+    the gaps first and joining all events to them.
     """
     day = F.col("event_date")
     side = F.when(clean.in_years(day, [periods.current]), EMERGING).when(
         clean.in_years(day, periods.historical), RECAPTURE
     ).otherwise("LATEST")
-    events = gaps.diagnoses(timeline).filter(clean.in_years(day, periods.loaded_years))
-    return materialize(evidence_features(deduplicate_events(events).withColumn("gap_type", side), GAP))
+    events = gaps.diagnoses(timeline).filter(clean.in_years(day, periods.loaded_years)).select(
+        *PAIR, "event_date", "claim_id", "code", "event_id", "source", "is_principal"
+    )
+    # Copies of a row meet where its event is counted, so that both need one shuffle.
+    dealt = events.withColumn("gap_type", side).repartition(*GAP, "event_id")
+    return evidence_features(deduplicate_events(dealt, "gap_type"), GAP)
+
+
+def period_features(timeline: DataFrame, periods: Periods) -> DataFrame:
+    """``window_features``, stored for uses that read them more than once."""
+    return materialize(window_features(timeline, periods))
 
 
 def presence_from_features(features: DataFrame) -> DataFrame:
@@ -297,12 +346,36 @@ def presence_from_features(features: DataFrame) -> DataFrame:
     )
 
 
-def score_gaps(found: DataFrame, features: DataFrame, prescriptions: DataFrame, reference_date) -> DataFrame:
-    """Gaps with features and the eight component scores; a gap without evidence rows scores zero."""
-    own = found.select(*GAP).join(features, GAP)
-    days = own.select(*GAP, F.explode("evidence_days").alias("event_date"))
+def with_features(found: DataFrame, features: DataFrame) -> DataFrame:
+    """Gaps with the features of their side; null where a gap has no evidence rows."""
+    return found.join(features, GAP, "left")
+
+
+def gaps_of_features(features: DataFrame, latest_is_current: bool = False) -> DataFrame:
+    """Gaps against the historical pairs with the features of their side, from one shuffle of the features by member.
+
+    The same rows as ``gaps.gaps_from_presence`` without a baseline and ``with_features``.
+    A member has at most one row per category and window here, so windows over a
+    member stay small. A row without a member has no features, as it meets none in a join.
+    """
+    pair, member = Window.partitionBy(*PAIR), Window.partitionBy("bene_id")
+    side = F.col("gap_type")
+    seen = {RECAPTURE: "in_base", EMERGING: "in_current", "LATEST": "in_latest"}
+    rows = features.repartition("bene_id").withColumns({flag: F.max(side == s).over(pair) for s, flag in seen.items()})
+    rows = rows.withColumn("_has_base", F.max("in_base").over(member))
+    wanted = F.when(F.col("in_current"), EMERGING).otherwise(RECAPTURE)
+    seen_latest = F.col("in_current") if latest_is_current else F.col("in_latest")
+    own = [F.when(F.col("bene_id").isNotNull(), F.col(c)).alias(c) for c in features.columns if c not in GAP]
+    return rows.filter("_has_base AND in_base <> in_current").filter(side == wanted).select(
+        *GAP, F.lit(schemas.PENDING).alias("status"), text.latest_context(side, seen_latest).alias("latest_context"), *own
+    )
+
+
+def score_gaps(found: DataFrame, prescriptions: DataFrame, reference_date) -> DataFrame:
+    """The eight component scores of stored gaps with features; a gap without evidence rows scores zero."""
+    days = found.filter(F.col("bene_id").isNotNull()).select(*GAP, F.explode("evidence_days").alias("event_date"))
     support = intervals.prescription_support(days, prescriptions, GAP)
-    rows = found.join(features, GAP, "left").join(support, GAP, "left").drop("evidence_days")
+    rows = found.join(support, GAP, "left").drop("evidence_days")
     counts = {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in (*FEATURES, "prescription_support_count")}
     rows = rows.withColumns(counts).withColumn(
         "supporting_diagnosis_codes", F.coalesce("supporting_diagnosis_codes", F.array().cast("array<string>"))
@@ -326,19 +399,26 @@ def suspects_v2(
     latest_is_current: bool = False,
 ) -> DataFrame:
     """Gaps against a baseline with evidence features, scores, context, flags and summary."""
-    return suspects_from_features(period_features(timeline, periods), prescriptions, baseline, mapping, periods, latest_is_current)
+    features = window_features(timeline, periods) if baseline is None else period_features(timeline, periods)
+    return suspects_from_features(features, prescriptions, baseline, mapping, periods, latest_is_current)
 
 
 def suspects_from_features(
     features: DataFrame, prescriptions: DataFrame, baseline: DataFrame | None, mapping: DataFrame, periods: Periods,
     latest_is_current: bool = False,
 ) -> DataFrame:
-    """The same from stored features of every pair and window."""
-    found = gaps.gaps_from_presence(presence_from_features(features), baseline, latest_is_current)
+    """The same from features of every pair and window, which are read once without a baseline and twice with one.
+
+    Gaps with features are stored, because scores and the prescription match both start from them.
+    """
+    if baseline is None:
+        found = gaps_of_features(features, latest_is_current)
+    else:
+        found = with_features(gaps.gaps_from_presence(presence_from_features(features), baseline, latest_is_current), features)
     rx = prescriptions if latest_is_current else prescriptions.filter(
         clean.in_years(F.col("event_date"), periods.loaded_years)
     )
-    scored = explain_gaps(score_gaps(found, features, rx, periods.reference_date))
+    scored = explain_gaps(score_gaps(materialize(found), rx, periods.reference_date))
     return lookup.with_description(scored, mapping).withColumn("suspect_type", F.col("gap_type"))
 
 

@@ -107,16 +107,17 @@ class Fixtures:
         orders = self.table("orders").select("o_orderkey", "o_custkey")
         lines = self.table("lineitem").filter(F.col("l_returnflag") == "R")
         pde = F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey")
+        # The event id follows from the fill id; it is added behind the shuffle.
         return (
             lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
                 member_id(F.col("o_custkey")).alias("bene_id"),
-                F.concat(F.lit("PDE_"), pde).alias("event_id"),
                 pde.alias("pde_id"),
                 F.col("l_shipdate").cast("date").alias("event_date"),
                 F.col("l_suppkey").cast("string").alias("drug_code"),
             )
             .distinct()
+            .select("bene_id", F.concat(F.lit("PDE_"), "pde_id").alias("event_id"), "pde_id", "event_date", "drug_code")
         )
 
     @cached_property
