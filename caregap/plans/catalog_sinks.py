@@ -16,8 +16,15 @@ from caregap.sources import files, reference, sinks
 from caregap.streaming.batches import ClaimsPipeline, History
 from caregap.streaming.store import TableStore
 
-# Claims of one file of the stream; a multiple of 50, so that both rows of a repeated claim id lie in one file.
+# Least claims of one file of the stream, and most files: each file is a run of its own with a fixed cost, so files grow with the table.
 FILE_ROWS = 5_000
+FILES = 20
+
+
+def _file_rows(first: int, last: int) -> int:
+    """Row numbers of one file; a multiple of 50, so that both rows of a repeated claim id lie in one file."""
+    share = -(-(last // 50 - first // 50 + 1) // FILES)
+    return max(FILE_ROWS, 50 * share)
 
 
 def _folder(f) -> str:
@@ -181,7 +188,8 @@ def _(f):
     half-way, without its end mark and its accepted claims (done again).
     """
     inbox, checkpoint = _folder(f), _folder(f)
-    part = F.floor(F.col("row_idx") / FILE_ROWS).alias("part")
+    first, last = f.batch_rows.agg(F.min("row_idx"), F.max("row_idx")).first()
+    part = F.floor(F.col("row_idx") / _file_rows(first or 0, last or 0)).alias("part")
     rows = f.batch_rows.select("*", part).repartition("part").sortWithinPartitions("part", "row_idx").drop("row_idx")
     rows.write.partitionBy("part").csv(inbox, header=True)
     pipeline = _pipeline(f, scoring=False)
