@@ -16,7 +16,7 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caregap.session import materialize
@@ -111,24 +111,38 @@ def class_shares(
 
 def root_cuts(train: DataFrame, classes: int, trees: int = TREES, seed: int = 42) -> DataFrame:
     """(tree, first_column, cut) of the root of each tree, null where the rows cannot be cut."""
-    each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    state = train.select(F.lit(None).cast("bigint").alias("id"), "x", "y", "w", F.lit("").alias("path"), each.alias("tree"))
+    train = materialize(train.select("x", "y", "w"))
     size = train.agg(F.max(F.size("x"))).first()[0]
-    splits = _splits(state.withColumn("trees", F.array("tree")).drop("tree"), size or 0, classes, seed, 0) if size else None
-    if splits is None:
+    if not size:
         return train.sparkSession.createDataFrame([], "tree int, first_column int, cut double")
+    # All trees have the same root, so its ranges are taken once.
+    root = train.agg(*_ranges(size, classes)).filter("n > 0").withColumn("path", F.lit(""))
+    nodes = root.withColumn("trees", F.explode(F.lit([[t] for t in range(trees)])))
+    cuts = _drawn(nodes, seed)
+    splits = _chosen(train.filter(F.col("y").isNotNull()).crossJoin(F.broadcast(cuts)), cuts, size, classes)
     return splits.select(F.get("trees", F.lit(0)).alias("tree"), F.col("column").alias("first_column"), "cut")
 
 
 def _splits(state: DataFrame, columns: int, classes: int, seed: int, local_rows: int) -> DataFrame:
     """The chosen cut of every node with more than ``local_rows`` rows, or its class shares if it cannot be cut."""
+    nodes = state.groupBy("trees", "path").agg(*_ranges(columns, classes)).filter(F.col("n") > local_rows)
+    cuts = _drawn(nodes, seed)
+    return _chosen(state.filter(F.col("y").isNotNull()).join(cuts, ["trees", "path"]), cuts, columns, classes)
+
+
+def _ranges(columns: int, classes: int) -> list[Column]:
+    """Rows of a node, the ends of its columns and its class weights."""
     learns = F.col("y").isNotNull()
     value = [F.when(learns, F.get("x", F.lit(f))) for f in range(columns)]
     weight = [F.coalesce(F.sum(F.when(F.col("y") == k, F.col("w"))), F.lit(0.0)) for k in range(classes)]
-    nodes = state.groupBy("trees", "path").agg(
+    return [
         F.count("*").alias("n"), F.array(*[F.min(v) for v in value]).alias("low"), F.array(*[F.max(v) for v in value]).alias("high"),
         F.array(*weight).alias("total"),
-    ).filter(F.col("n") > local_rows)
+    ]
+
+
+def _drawn(nodes: DataFrame, seed: int) -> DataFrame:
+    """The candidate cuts of each node, stored."""
 
     def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for node in filter(len, frames):
@@ -138,15 +152,19 @@ def _splits(state: DataFrame, columns: int, classes: int, seed: int, local_rows:
             ]
             yield node[["trees", "path", "total"]].assign(columns=[[f for f, _ in c] for c in cuts], cuts=[[v for _, v in c] for c in cuts])
 
-    cuts = materialize(nodes.mapInPandas(drawn, "trees array<int>, path string, total array<double>, columns array<int>, cuts array<double>"))
+    return materialize(nodes.mapInPandas(drawn, "trees array<int>, path string, total array<double>, columns array<int>, cuts array<double>"))
+
+
+def _chosen(sides: DataFrame, cuts: DataFrame, columns: int, classes: int) -> DataFrame:
+    """The best of the candidate cuts of each node; ``sides`` holds the learning rows of each node with its cuts."""
     most = max(1, int(columns**0.5))
-    sides = state.filter(learns).join(cuts, ["trees", "path"])
     left = [
         F.coalesce(F.sum(F.when((F.col("y") == k) & (F.get("x", F.get("columns", F.lit(c))) <= F.get("cuts", F.lit(c))), F.col("w"))), F.lit(0.0))
         for c in range(most)
         for k in range(classes)
     ]
-    summed = sides.groupBy("trees", "path", "total", "columns", "cuts").agg(F.array(*left).alias("left"))
+    # Grouped by the node alone: the cuts of a node would be a long key of every row.
+    summed = sides.groupBy("trees", "path").agg(F.array(*left).alias("left")).join(cuts, ["trees", "path"])
 
     def chosen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for node in filter(len, frames):

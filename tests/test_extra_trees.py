@@ -67,3 +67,17 @@ def test_no_rows(spark):
     asked = spark.createDataFrame([(1, [0.0] * 5)], "id bigint, x array<double>")
     assert extra_trees.class_shares(train.limit(0), asked, 3, trees=2).count() == 0
     assert extra_trees.class_shares(train, asked.limit(0), 3, trees=2).count() == 0
+
+
+def test_roots_compute_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = spark.createDataFrame([([float(i % 7), float(i % 3)], i % 2, 1.0) for i in range(50)], "x array<double>, y int, w double")
+    roots = extra_trees.root_cuts(rows.mapInPandas(counted, rows.schema), 2, 5)
+    assert sorted(r.tree for r in roots.collect()) == [0, 1, 2, 3, 4]
+    assert seen.value == 50
