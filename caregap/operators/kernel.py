@@ -34,7 +34,8 @@ FOLDS = 5
 GAP = 0.01
 # The same for the machines that only give decisions on their held-out fold to the sigmoids.
 FOLD_GAP = 0.05
-_STEPS = tuple(0.5**k for k in range(8))
+# Lengths of a step that are tried. Where the smoothing has just fallen, few rows bend the loss and a whole step is far too long.
+_STEPS = tuple(0.5**k for k in range(24))
 
 
 def _uniform(*key: object) -> float:
@@ -144,12 +145,13 @@ def _total(rows: DataFrame, work: Callable[[pd.DataFrame], Iterator[tuple[int, n
     return {r["key"]: r["total"].toArray() for r in total}
 
 
-def fit_machines(rows: DataFrame, fourier: FourierFeatures, machines: list[Machine], c: float, steps: int = 60) -> None:
+def fit_machines(rows: DataFrame, fourier: FourierFeatures, machines: list[Machine], c: float, steps: int = 200) -> None:
     """Newton steps on the smoothed hinge loss until each machine's duality gap is within its share of its loss.
 
     The smoothed loss gives each row a dual weight between 0 and its bound, so the gap
     to the hinge loss itself is known at every step. Smoothing falls once it makes up
-    most of that gap. A step is two passes: sums, then the loss at several step lengths.
+    most of that gap. A step is two passes: sums, then the loss at several step lengths;
+    weights move only where the smoothed loss falls. ``steps`` only ends a fit that stalls.
     """
     n = fourier.width + 1
     for m in machines:
@@ -166,7 +168,7 @@ def fit_machines(rows: DataFrame, fourier: FourierFeatures, machines: list[Machi
         return _total(rows, work)
 
     for _ in range(steps):
-        directions = {}
+        directions, values = {}, {}
         found = passed({k: machines[k].sums for k in active})
         for k in list(active):
             m, sums = machines[k], found.get(k)
@@ -181,14 +183,17 @@ def fit_machines(rows: DataFrame, fourier: FourierFeatures, machines: list[Machi
             elif own + smooth - (dual - m.smoothing * square / 2) <= 0.2 * m.gap:
                 m.smoothing /= 4
             else:
-                directions[k] = np.linalg.solve(curve + np.eye(n), pull - m.weights)
+                directions[k], values[k] = np.linalg.solve(curve + np.eye(n), pull - m.weights), own + smooth
         if not active:
             return
         found = passed({k: partial(machines[k].along, d) for k, d in directions.items()}) if directions else {}
         for k, losses in found.items():
             m, d = machines[k], directions[k]
             moved = [m.weights + t * d for t in _STEPS]
-            m.weights = moved[int(np.argmin([w @ w / 2 + loss for w, loss in zip(moved, losses, strict=True)]))]
+            reached = [w @ w / 2 + loss for w, loss in zip(moved, losses, strict=True)]
+            best = int(np.argmin(reached))
+            if reached[best] < values[k]:
+                m.weights = moved[best]
     raise RuntimeError(f"the duality gap of {len(active)} machines is too wide after {steps} steps")
 
 

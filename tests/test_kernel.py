@@ -57,6 +57,18 @@ def test_machines_reach_the_optimum(spark):
         assert loss - best <= m.gap + 1e-6 * loss
 
 
+def test_labels_that_hardly_depend_on_the_features_are_fitted(spark):
+    """All slacks lie near one, so that no row bends the loss once the smoothing is below it."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(500, 2)), rng.integers(0, 2, 500)
+    rows = spark.createDataFrame([(a.tolist(), int(b), 0, 50.0) for a, b in zip(x, y, strict=True)],
+                                 "x array<double>, y int, fold int, weight double").repartition(3)
+    machine = kernel.Machine(0, 1)
+    kernel.fit_machines(rows, kernel.FourierFeatures(2, 0.05, 16), [machine], 2.0, steps=60)
+    assert 0 <= machine.gap <= kernel.GAP * machine.loss
+    assert machine.loss < 2.0 * 50 * 500  # less than without weights
+
+
 def test_sigmoid_is_the_best_one(spark):
     rng = np.random.default_rng(4)
     f = rng.normal(size=300)
