@@ -11,7 +11,6 @@ from caregap.functions import clean, scores
 from caregap.operators import ranking
 from caregap.operators.quality import side_by_side
 from caregap.schemas import DECISIONS, EMERGING, PENDING, RECAPTURE, REVIEWED
-from caregap.session import materialize
 
 SUPPORTING_EVENTS = 50
 CONSOLE_PAGE = 15
@@ -186,31 +185,42 @@ def matching_events(timeline: DataFrame, suspects: DataFrame, claims: DataFrame)
     """Events of a suspect's member with the same category, a supporting code or a supporting claim.
 
     ``suspects`` has suspect_id, bene_id, hcc_v28 and diagnosis_codes (a bounded
-    list); ``claims`` has one row per suspect_id and claim_id. The timeline is cut
-    to members with suspects first and stored with a narrow row number. Each of the
-    three conditions is an equi-join on (member, value) of that number alone; a row that
-    meets several of them appears once, and only then are its columns joined back. Rows
-    of the timeline that are equal in every column stay apart by their ``row``.
+    list); ``claims`` has one row per suspect_id and claim_id, and the suspect's
+    bene_id where the caller has it. Claims go the way of the events, by member, so that
+    each event is sent once: a member's suspects are few and meet its rows as one list,
+    which also cuts the timeline to members with suspects; a window over member and claim
+    tells the suspects of the claim. A row that meets several conditions appears once.
+    Rows of the timeline that are equal in every column stay apart by their ``row``.
     """
     own = suspects.select("suspect_id", "bene_id", "hcc_v28", "diagnosis_codes")
     columns = list(schemas.TIMELINE_COLUMNS)
-    wanted = timeline.join(own.select("bene_id"), "bene_id", "left_semi").select(*columns)
-    events = materialize(wanted.withColumn("row", F.monotonically_increasing_id()))
-    keys = {
-        "hcc_v28": own.select("suspect_id", "bene_id", "hcc_v28"),
-        "code": own.select("suspect_id", "bene_id", F.explode("diagnosis_codes").alias("code")),
-        "claim_id": own.select("suspect_id", "bene_id").join(claims.select("suspect_id", "claim_id"), "suspect_id"),
-    }
-    parts = [events.select("bene_id", c, "row").join(k.distinct(), ["bene_id", c]).select("suspect_id", "row") for c, k in keys.items()]
-    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
-    return found.join(events, "row").select("suspect_id", *columns, "row")
-
-
-def supporting_events(timeline: DataFrame, suspects: DataFrame, claims: DataFrame, limit: int = SUPPORTING_EVENTS) -> DataFrame:
-    """Most recent matching events per suspect."""
+    events = timeline.select(*columns).withColumn("row", F.monotonically_increasing_id())
+    if "bene_id" not in claims.columns:
+        claims = claims.select("suspect_id", "claim_id").join(own.select("suspect_id", "bene_id").distinct(), "suspect_id")
+    of_member = own.groupBy("bene_id").agg(F.collect_list(F.struct("suspect_id", "hcc_v28", "diagnosis_codes")).alias("_own"))
+    marked = claims.filter("claim_id IS NOT NULL").select("bene_id", "claim_id", F.col("suspect_id").alias("_claimant"))
+    rows = events.unionByName(marked, allowMissingColumns=True).join(of_member, "bene_id")
+
+    def meets(s: Column) -> Column:
+        return (s["hcc_v28"] == F.col("hcc_v28")) | F.array_contains(s["diagnosis_codes"], F.col("code"))
+
+    by_value = F.transform(F.filter("_own", meets), lambda s: s["suspect_id"])
+    by_claim = F.collect_set("_claimant").over(Window.partitionBy("bene_id", "claim_id"))
+    met = rows.select(*columns, "row", "_claimant", by_value.alias("_by_value")).withColumn("_by_claim", by_claim)
+    both = F.array_distinct(F.concat("_by_value", "_by_claim"))
+    return met.filter(F.col("row").isNotNull()).select(F.explode(both).alias("suspect_id"), *columns, "row")
+
+
+def supporting_events(
+    timeline: DataFrame, suspects: DataFrame, claims: DataFrame, limit: int = SUPPORTING_EVENTS, group: tuple[str, ...] = ("suspect_id",)
+) -> DataFrame:
+    """Most recent matching events per suspect.
+
+    Where a suspect's id belongs to one member only, ``group`` may begin with bene_id: rows then stay where they met.
+    """
     found = matching_events(timeline, suspects, claims)
     order = [F.desc("event_date"), F.col("event_type"), F.col("event_id"), F.col("code"), F.col("claim_id"), F.col("row")]
-    return ranking.top_k_per_group(found, ["suspect_id"], order, limit)
+    return ranking.top_k_per_group(found, list(group), order, limit)
 
 
 def suspect_detail(suspects: DataFrame, members: DataFrame, baseline: DataFrame, reviews: DataFrame) -> DataFrame:

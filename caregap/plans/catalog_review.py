@@ -94,12 +94,7 @@ _MATCH_SQL = """(SELECT s.suspect_id, t.* FROM suspects s JOIN timeline t ON t.b
 def _matching(f):
     """Suspects with their codes, and their claims in long form."""
     f.stored_timeline().stored("suspects")
-    claims = (
-        gaps.diagnoses(f.dx_timeline)
-        .filter("year(event_date) BETWEEN 1998 AND 2000")
-        .select(*gaps.PAIR, "claim_id")
-        .distinct()
-    )
+    claims = gaps.diagnoses(f.dx_timeline).filter("year(event_date) BETWEEN 1998 AND 2000").select(*gaps.PAIR, "claim_id")
     suspects = f.suspects.withColumn("diagnosis_codes", F.split("supporting_diagnosis_codes", r"\|"))
     return f.timeline, suspects, suspects.select(*gaps.PAIR, "suspect_id").join(claims, gaps.PAIR)
 
@@ -116,7 +111,8 @@ def _(f):
           FROM {_MATCH_SQL}) WHERE position <= 50""",
 )
 def _(f):
-    return review.supporting_events(*_matching(f)).select("suspect_id", "event_id", "code", "event_date", "position")
+    # The suspect's id is made from its member's.
+    return review.supporting_events(*_matching(f), group=("bene_id", "suspect_id")).select("suspect_id", "event_id", "code", "event_date", "position")
 
 
 @query("j8_members_with_suspects", "SELECT bene_id, state FROM members WHERE bene_id IN (SELECT bene_id FROM suspects)")
