@@ -6,6 +6,9 @@ weights left of its candidate cuts. Smaller nodes are gathered, with the rows th
 ask for a prediction, and grown to their leaves in one task. Trees that still share a
 node's rows are grown together, so small data are sent once per block of trees. Every
 draw is a digest of seed, tree, path and column, so both ways give the same tree.
+
+Rows with equal columns reach the same leaf of every tree. They are one point: equal
+learning rows of a class with their weights added up, equal rows that ask with one answer.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 from caregap.session import materialize
 
 TREES = 400
-LOCAL_ROWS = 20_000
+# A block of trees on this many points takes minutes in one task and some 50 MB; a level by Spark writes them once per tree.
+LOCAL_ROWS = 200_000
 # Trees of one task while they share all rows.
 BLOCK = 10
 
@@ -76,8 +80,11 @@ def class_shares(
     ``x`` is an array of numbers without nulls, ``y`` a class from 0, ``w`` a weight above 0.
     Without rows to learn from the result is empty.
     """
-    rows = train.select(F.lit(None).cast("bigint").alias("id"), "x", F.col("y").cast("int").alias("y"), F.col("w").cast("double").alias("w"))
-    rows = materialize(rows.unionByName(asked.select("id", "x", F.lit(None).cast("int").alias("y"), F.lit(None).cast("double").alias("w"))))
+    asked = materialize(asked.select("id", "x"))
+    points = materialize(asked.select("x").distinct().withColumn("point", F.monotonically_increasing_id()))
+    rows = learning_points(train).withColumn("id", F.lit(None).cast("bigint"))
+    queries = points.select(F.col("point").alias("id"), "x", F.lit(None).cast("int").alias("y"), F.lit(None).cast("double").alias("w"))
+    rows = materialize(rows.unionByName(queries))
     total, first = rows.agg(F.count("*"), F.max(F.when(F.col("y").isNotNull(), F.size("x")))).first()
     if first is None:
         return asked.select("id", F.array().cast("array<double>").alias("probability")).limit(0)
@@ -106,7 +113,14 @@ def class_shares(
     done.append(state.groupBy("trees", "path").applyInPandas(finish, "id bigint, shares array<double>"))
     shares = reduce(DataFrame.unionByName, done)
     means = [F.sum(F.get("shares", F.lit(k))) / trees for k in range(classes)]
-    return shares.groupBy("id").agg(F.array(*means).alias("probability"))
+    found = shares.groupBy("id").agg(F.array(*means).alias("probability")).withColumnRenamed("id", "point")
+    return asked.join(points, "x").join(found, "point").select("id", "probability")
+
+
+def learning_points(train: DataFrame) -> DataFrame:
+    """Rows (x, y, w) that are equal as one, with their weights added up."""
+    rows = train.select("x", F.col("y").cast("int").alias("y"), F.col("w").cast("double").alias("w"))
+    return rows.groupBy("x", "y", "w").agg(F.count("*").alias("_n")).select("x", "y", (F.col("w") * F.col("_n")).alias("w"))
 
 
 def root_cuts(train: DataFrame, classes: int, trees: int = TREES, seed: int = 42) -> DataFrame:

@@ -81,3 +81,21 @@ def test_roots_compute_their_rows_once(spark):
     roots = extra_trees.root_cuts(rows.mapInPandas(counted, rows.schema), 2, 5)
     assert sorted(r.tree for r in roots.collect()) == [0, 1, 2, 3, 4]
     assert seen.value == 50
+
+
+def test_equal_rows_are_one_point(spark, monkeypatch):
+    """Copies of few points stay in one task and give the trees of the points with their weights added up."""
+    points, copies = sample(60), 6
+    few = [(x, y, w * copies) for x, y, w in points]
+    schema, queries = "x array<double>, y int, w double", [(i, x) for i, (x, _, _) in enumerate(sample(20, 2) * 3)]
+    asked = spark.createDataFrame(queries, "id bigint, x array<double>")
+    want = {r.id: r.probability for r in extra_trees.class_shares(spark.createDataFrame(few, schema), asked, 3, trees=3).collect()}
+
+    def split(*_):
+        raise AssertionError("80 points were split by Spark")
+
+    monkeypatch.setattr(extra_trees, "_splits", split)
+    train = spark.createDataFrame(points * copies, schema).repartition(3)
+    got = {r.id: r.probability for r in extra_trees.class_shares(train, asked, 3, trees=3, local_rows=100).collect()}
+    assert sorted(got) == [i for i, _ in queries]
+    assert all(np.allclose(got[i], want[i]) for i in got)

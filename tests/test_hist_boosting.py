@@ -134,3 +134,17 @@ def test_edges(spark):
     booster = hb.fit(spark.createDataFrame(rows, schema), 2, rounds=5)
     known = spark.createDataFrame([(1, [None]), (2, [3.0]), (3, [99.0])], "id bigint, x array<double>")
     assert [int(np.argmax(r.probability)) for r in booster.transform(known).orderBy("id").collect()] == [1, 0, 0]
+
+
+def test_equal_rows_are_one_point(spark, monkeypatch):
+    """Copies of few points stay in one task; passes over them grow the same trees."""
+    rows = [(i, x, y) for i, (_, x, y) in enumerate(sample(70) * 5)]
+    train = spark.createDataFrame(rows, "id bigint, x array<double>, y int").repartition(3)
+    passes = hb.fit(train, 3, rounds=3, local_rows=0, stop_from=100)
+
+    def by_passes(*_):
+        raise AssertionError("few points were fitted by passes")
+
+    monkeypatch.setattr(hb, "_fit_by_passes", by_passes)
+    one = hb.fit(train, 3, rounds=3, local_rows=150, stop_from=100)
+    assert one.rounds == passes.rounds and len(one.rounds) == 3
