@@ -263,6 +263,10 @@ def with_day_counts(features: DataFrame) -> DataFrame:
     return features.withColumn("distinct_evidence_dates", F.size("evidence_days").cast("bigint"))
 
 
+# A pair's rows meet as at most so many partial rows, by their claim.
+SHARES = 64
+
+
 def first_marks(events: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Mark one row of each distinct ``value`` per key, so that distinct counts become plain sums.
 
@@ -277,21 +281,34 @@ def evidence_features(events: DataFrame, keys: list[str] = PAIR, blanks_count: b
     """The columns of ``feature_columns``, with every row in three shuffles whatever is counted.
 
     Several true distinct counts in one aggregation send each row once per count, twice.
+    Rows are summed where their claim is counted, by key and share of the claims. What is
+    left, at most ``SHARES`` rows of a key, is dealt by the first key alone, so that a
+    member's pairs come out in one task and need no shuffle of their own.
     """
     if blanks_count:
         events = events.withColumns({c: F.coalesce(c, F.lit("")) for c in ("claim_id", "event_id", "source", "code")})
     rows = events.select(*keys, "event_date", "claim_id", "event_id", "source", "code", "is_principal")
     marked = first_marks(rows, keys, "event_id", "_new_event").drop("event_id")
-    marked = first_marks(marked, keys, "claim_id", "_new_claim").drop("claim_id")
-    day = F.col("event_date")
-    grouped = marked.groupBy(*keys).agg(
+    shared = [*keys, "_share"]
+    marked = marked.withColumn("_share", F.pmod(F.xxhash64("claim_id"), F.lit(SHARES)).cast("int")).repartition(*shared)
+    marked = first_marks(marked, shared, "claim_id", "_new_claim").drop("claim_id")
+    parts = marked.groupBy(*shared).agg(
         F.count("*").alias("diagnosis_count"),
         F.count_if("_new_claim").alias("unique_claim_count"),
         F.count_if("_new_event").alias("unique_event_count"),
-        distinct_small(F.col("source")).alias("distinct_sources"),
         F.count_if("is_principal").alias("principal_diagnosis_count"),
-        F.array_sort(F.collect_set("code")).alias("supporting_diagnosis_codes"),
-        F.array_sort(F.collect_set(day)).alias("evidence_days"),
+        *[F.collect_set(c).alias(c) for c in ("source", "code", "event_date")],
+    )
+
+    def union_of(c: str) -> Column:
+        return F.array_distinct(F.flatten(F.collect_list(c)))
+
+    counts = ("diagnosis_count", "unique_claim_count", "unique_event_count", "principal_diagnosis_count")
+    grouped = parts.drop("_share").repartition(keys[0]).groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in counts],
+        F.size(union_of("source")).cast("bigint").alias("distinct_sources"),
+        F.array_sort(union_of("code")).alias("supporting_diagnosis_codes"),
+        F.array_sort(union_of("event_date")).alias("evidence_days"),
     )
     months = F.size(F.array_distinct(F.transform("evidence_days", lambda d: F.trunc(d, "MM")))).cast("bigint")
     grouped = grouped.withColumns({
@@ -352,7 +369,7 @@ def with_features(found: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def gaps_of_features(features: DataFrame, latest_is_current: bool = False) -> DataFrame:
-    """Gaps against the historical pairs with the features of their side, from one shuffle of the features by member.
+    """Gaps against the historical pairs with the features of their side, where ``evidence_features`` put a member's pairs.
 
     The same rows as ``gaps.gaps_from_presence`` without a baseline and ``with_features``.
     A member has at most one row per category and window here, so windows over a
@@ -361,8 +378,8 @@ def gaps_of_features(features: DataFrame, latest_is_current: bool = False) -> Da
     pair, member = Window.partitionBy(*PAIR), Window.partitionBy("bene_id")
     side = F.col("gap_type")
     seen = {RECAPTURE: "in_base", EMERGING: "in_current", "LATEST": "in_latest"}
-    rows = features.repartition("bene_id").withColumns({flag: F.max(side == s).over(pair) for s, flag in seen.items()})
-    rows = rows.withColumn("_has_base", F.max("in_base").over(member))
+    rows = features.withColumn("_has_base", F.max(side == RECAPTURE).over(member))
+    rows = rows.withColumns({flag: F.max(side == s).over(pair) for s, flag in seen.items()})
     wanted = F.when(F.col("in_current"), EMERGING).otherwise(RECAPTURE)
     seen_latest = F.col("in_current") if latest_is_current else F.col("in_latest")
     own = [F.when(F.col("bene_id").isNotNull(), F.col(c)).alias(c) for c in features.columns if c not in GAP]

@@ -45,3 +45,10 @@ def test_gaps_of_features_equal_gaps_joined_to_features(spark, latest_is_current
     assert got.columns == joined.columns and got.count() > 0
     assert repr_set(got) == repr_set(joined)
     assert len(re.findall(r"\bExchange hashpartitioning", plan_of(got))) == 1
+
+
+def test_gaps_and_their_features_take_three_shuffles(spark):
+    """Events, claims, members: pairs need no shuffle between the claims and the members."""
+    rows = random_rows(spark, 8, 60)
+    plan = plan_of(evidence.gaps_of_features(evidence.window_features(rows, PERIODS)))
+    assert len(re.findall(r"\bExchange hashpartitioning", plan)) == 3
