@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from functools import lru_cache
 from unicodedata import is_normalized
@@ -23,27 +24,32 @@ PIECE = 512
 BATCH_WINDOWS = 256
 # Pieces that one run takes at most: each starts with two rows of numbers, one per window.
 BATCH_PIECES = 1 << 14
+# The memo holds at most two halves of so many words.
 MEMO_WORDS = 500_000
 MEMO_CHARS = 64
 _LATIN_END = 0x250
+# Letters, single digits and runs of other marks: the pre-tokens of an ASCII word without apostrophes.
+_ASCII_PARTS = re.compile("[A-Za-z]+|[0-9]|[^A-Za-z0-9]+").findall
 
 
 class WordIds(dict):
     """Memo from a word (no white space) to its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so the ids of a
-    text are those of its words in order. Two further splits are exact for its
+    text are those of its words in order. Further splits are exact for its
     pre-tokenizer: a comma or full stop behind letters is a pre-token of its own
-    (some letters become a letter and a mark, so the normalised word is asked), and
-    letters are lower-cased. A word of Latin letters is one pre-token, so the
-    library's merge model takes it directly, without normaliser and pre-tokenizer;
-    ``__init__`` compares both ways on samples.
+    (some letters become a letter and a mark, so the normalised word is asked),
+    letters, digits and marks of an ASCII word are pre-tokens of their own unless it
+    holds an apostrophe or an added token, and letters are lower-cased. A word of
+    Latin letters is one pre-token, so the library's merge model takes it directly,
+    without normaliser and pre-tokenizer; ``__init__`` compares both ways on samples.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         sample = "Ab, cd.\n<|endoftext|> E\t's"
         whole = self.library.encode(sample, add_special_tokens=False).ids
@@ -51,6 +57,9 @@ class WordIds(dict):
         if whole != parts:
             raise ValueError("this tokenizer does not treat white space as a border")
         self.merge = self.library.model.tokenize
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # An id as bytes: a lookup is cheaper than an array of a few numbers per word.
+        self.codes = [i.to_bytes(4, "little") for i in range(max(self.library.get_vocab().values()) + 1)]
         # The byte-level alphabet: visible Latin-1 characters stand for their byte, the others for 256, 257, ...
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
@@ -59,22 +68,42 @@ class WordIds(dict):
         for word in samples:
             if self._letters(word) != self._library(word):
                 raise ValueError(f"the merge model alone does not give the ids of {word!r}")
+        for word in ("a1b22c", "Ab#1", "x@y.z", "(a)--b", "1.2,3", "a\rb", "\x0b#a", "a<|endoftext|>b", "it's#"):
+            if self[word] != self._library(word):
+                raise ValueError(f"letters, digits and marks of {word!r} are not pre-tokens of their own")
 
     def __missing__(self, word: str) -> bytes:
-        stem = word[:-1]
-        if word[-1:] in (",", ".") and stem.isalpha() and (stem.isascii() or self._normal(stem).isalpha()):
-            ids = self[stem] + self[word[-1]]
-        elif word.isalpha() and ord(max(word)) < _LATIN_END and is_normalized("NFC", word):
-            lower = word.lower()
-            ids = self._letters(word) if lower == word else self[lower] if lower.isalpha() else self._library(word)
-        else:
-            ids = self._library(word)
+        ids = self.older.pop(word, None)
+        if ids is None:
+            ids = self._new(word)
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
+                # Frequent words come back from the older half; only the others are forgotten.
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def _new(self, word: str) -> bytes:
+        if word.isalpha():
+            lower = word.lower()
+            # ASCII letters are in normal form already.
+            if word.isascii():
+                ids = self._letters(word) if lower == word else self[lower]
+            elif ord(max(word)) < _LATIN_END and is_normalized("NFC", word):
+                ids = self._letters(word) if lower == word else self[lower] if lower.isalpha() else self._library(word)
+            else:
+                ids = self._library(word)
+        else:
+            stem = word[:-1]
+            if word[-1:] in (",", ".") and stem.isalpha() and (stem.isascii() or self._normal(stem).isalpha()):
+                ids = self[stem] + self[word[-1]]
+            elif word.isascii() and "'" not in word and len(parts := _ASCII_PARTS(word)) > 1 and not any(t in word for t in self.added):
+                ids = b"".join(map(self.__getitem__, parts))
+            else:
+                ids = self._library(word)
+        return ids
+
     def _normal(self, word: str) -> str:
         return self.library.normalizer.normalize_str(word) if self.library.normalizer else word
 
@@ -83,7 +112,8 @@ class WordIds(dict):
 
     def _letters(self, word: str) -> bytes:
         plain = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        return np.asarray([t.id for t in self.merge(plain)], "<u4").tobytes()
+        code = self.codes
+        return b"".join([code[t.id] for t in self.merge(plain)])
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
@@ -163,10 +193,11 @@ def differencing(lengths: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndar
         other_nodes = other_nodes[::-1]
         merged = sums + other_sums[::-1]
         joined = np.maximum(nodes, other_nodes)
-        for k in np.flatnonzero((nodes >= 0) & (other_nodes >= 0)):
-            joined[k] = len(left)
-            left.append(int(nodes[k]))
-            right.append(int(other_nodes[k]))
+        both = np.flatnonzero((nodes >= 0) & (other_nodes >= 0))
+        if len(both):
+            joined[both] = np.arange(len(left), len(left) + len(both))
+            left += nodes[both].tolist()
+            right += other_nodes[both].tolist()
         order = np.argsort(merged, kind="stable")
         merged, joined = merged[order], joined[order]
         heapq.heappush(heap, (int(merged[0] - merged[-1]), serial, merged, joined))
