@@ -91,9 +91,11 @@ class TableStore:
         return self._read_buckets(self._manifest(table, version)) if version else None
 
     def _read_buckets(self, manifest: dict, numbers: Iterable[int] | None = None) -> DataFrame:
-        schema = T.StructType.fromJson(manifest["schema"])
-        folders = [f for b, f in manifest["folders"].items() if numbers is None or int(b) in numbers]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return self._read_folders(manifest["schema"], [f for b, f in manifest["folders"].items() if numbers is None or int(b) in numbers])
+
+    def _read_folders(self, schema: dict, folders: list[str]) -> DataFrame:
+        fields = T.StructType.fromJson(schema)
+        return self.spark.read.schema(fields).parquet(*folders) if folders else self.spark.createDataFrame([], fields)
 
     @staticmethod
     def bucket_numbers(rows: DataFrame, key: str, count: int) -> set[int]:
