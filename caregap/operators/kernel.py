@@ -3,7 +3,10 @@
 A Gaussian kernel is replaced by ``width`` random features, so a machine is a vector of
 fixed length and training is a few passes over the rows. Each pass sums, inside the
 tasks, what Newton's step and the duality gap need; only these sums reach the driver
-(machines * width² numbers, whatever the rows). All machines of all folds share a pass.
+(machines * width² / 2 numbers, whatever the rows). All machines of all folds share a pass.
+
+Rows with equal columns and class are one point with their number. A pass takes the rows of
+a class and fold together, for all machines that learn from them.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -36,6 +40,8 @@ GAP = 0.01
 FOLD_GAP = 0.05
 # Lengths of a step that are tried. Where the smoothing has just fallen, few rows bend the loss and a whole step is far too long.
 _STEPS = tuple(0.5**k for k in range(24))
+# Rows whose features are held at once in a task.
+_BLOCK = 2048
 
 
 def _uniform(*key: object) -> float:
@@ -77,11 +83,11 @@ class FourierFeatures(Transformer):
         return dataset.withColumn(self.output_col, mapped(self.input_col))
 
 
-def scale_gamma(rows: DataFrame, column: str = "x") -> tuple[int, float]:
-    """Number of columns and 1 / (columns * variance of all entries)."""
-    entries = F.col(column)
-    total = lambda f: F.sum(F.aggregate(F.transform(entries, f), F.lit(0.0), lambda a, v: a + v))
-    n, size, first, second = rows.agg(F.count("*"), F.max(F.size(entries)), total(lambda v: v), total(lambda v: v * v)).first()
+def scale_gamma(rows: DataFrame, column: str = "x", count: Column | None = None) -> tuple[int, float]:
+    """Number of columns and 1 / (columns * variance of all entries); a row stands for ``count`` equal ones."""
+    entries, count = F.col(column), F.lit(1) if count is None else count
+    total = lambda f: F.sum(count * F.aggregate(F.transform(entries, f), F.lit(0.0), lambda a, v: a + v))
+    n, size, first, second = rows.agg(F.sum(count), F.max(F.size(entries)), total(lambda v: v), total(lambda v: v * v)).first()
     if not n:
         raise ValueError("a kernel classifier needs rows to learn from")
     variance = second / (n * size) - (first / (n * size)) ** 2
@@ -103,48 +109,88 @@ class Machine:
     loss: float = math.inf
     gap: float = math.inf
 
-    def _own(self, z: np.ndarray, y: np.ndarray, c: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, ...]:
-        rows = ((y == self.plus) | (y == self.minus)) & (True if self.fold is None else fold != self.fold)
-        return z[rows], c[rows], np.where(y[rows] == self.plus, 1.0, -1.0)
+    def learns_from(self, y: int, fold: int) -> bool:
+        return y in (self.plus, self.minus) and fold != self.fold
+
+
+def _slack(machines: list[Machine], y: int, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slack of each row (of class ``y``) for each machine, and the machines' signs of the class and smoothing."""
+    sign = np.where([m.plus == y for m in machines], 1.0, -1.0)
+    slack = 1 - sign * (z @ np.stack([m.weights for m in machines], axis=1))
+    return slack, sign, np.array([m.smoothing for m in machines])
+
+
+def _smooth(slack: np.ndarray, smoothing: np.ndarray) -> np.ndarray:
+    """The hinge loss with a parabola of width ``smoothing`` at its corner."""
+    return np.where(slack < smoothing, np.maximum(slack, 0) ** 2 / (2 * smoothing), slack - smoothing / 2)
+
+
+def _gram(z: np.ndarray, c: np.ndarray) -> np.ndarray:
+    scaled = z * np.sqrt(c)[:, None]
+    return scaled.T @ scaled
+
 
-    def _smooth(self, slack: np.ndarray) -> np.ndarray:
-        """The hinge loss with a parabola of width ``smoothing`` at its corner."""
-        return np.where(slack < self.smoothing, np.maximum(slack, 0) ** 2 / (2 * self.smoothing), slack - self.smoothing / 2)
+def _sums(machines: list[Machine], y: int, z: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """Per machine: curvature (upper half) and pull of the smoothed loss, its value, the hinge loss, and the two parts of the dual."""
+    slack, sign, smoothing = _slack(machines, y, z)
+    share = np.clip(slack / smoothing, 0, 1)
+    pull = z.T @ (c[:, None] * share * sign)
+    ends = np.array([c @ v for v in (_smooth(slack, smoothing), np.maximum(slack, 0), share, share**2)])
+    upper, every, found = np.triu_indices(z.shape[1]), None, []
+    for k, bent in enumerate(((slack > 0) & (slack < smoothing)).T):
+        if 2 * np.count_nonzero(bent) > len(z):  # the other rows are fewer
+            every = _gram(z, c) if every is None else every
+            curve = every if bent.all() else every - _gram(z[~bent], c[~bent])
+        else:
+            curve = _gram(z[bent], c[bent])
+        found.append(np.concatenate([curve[upper] / smoothing[k], pull[:, k], ends[:, k]]))
+    return found
 
-    def sums(self, *data: np.ndarray) -> np.ndarray:
-        """Curvature and pull of the smoothed loss, its value, the hinge loss, and the two parts of the dual."""
-        z, c, sign = self._own(*data)
-        slack = 1 - sign * (z @ self.weights)
-        share = np.clip(slack / self.smoothing, 0, 1)
-        bent = (slack > 0) & (slack < self.smoothing)
-        curved = z[bent] * (c[bent] / self.smoothing)[:, None]
-        ends = [c @ self._smooth(slack), c @ np.maximum(slack, 0), c @ share, c @ share**2]
-        return np.concatenate([(curved.T @ z[bent]).ravel(), z.T @ (c * share * sign), ends])
 
-    def along(self, direction: np.ndarray, *data: np.ndarray) -> np.ndarray:
-        """Smoothed loss of the rows at each of ``_STEPS`` in one direction."""
-        z, c, sign = self._own(*data)
-        slack, change = 1 - sign * (z @ self.weights), sign * (z @ direction)
-        return np.array([c @ self._smooth(slack - t * change) for t in _STEPS])
+def _along(directions: dict[int, np.ndarray], machines: dict[int, Machine], y: int, z: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """Per machine: smoothed loss of the rows at each of ``_STEPS`` in its direction."""
+    slack, sign, smoothing = _slack(list(machines.values()), y, z)
+    change = sign * (z @ np.stack([directions[k] for k in machines], axis=1))
+    return list(np.array([c @ _smooth(slack - t * change, smoothing) for t in _STEPS]).T)
 
 
-def _total(rows: DataFrame, work: Callable[[pd.DataFrame], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
-    """Sums over all rows of the arrays that ``work`` gives per key; folded per task, then by Spark."""
+def _total(
+    rows: DataFrame, fourier: FourierFeatures, c: float, machines: dict[int, Machine], work: Callable[..., list[np.ndarray]]
+) -> dict[int, np.ndarray]:
+    """Sums over all rows of the array that ``work`` gives per machine; folded per task, then by Spark."""
+    schema = pa.schema([("key", pa.int32()), ("values", pa.list_(pa.float64()))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for frame in frames:
-            if len(frame):
-                for key, values in work(frame):
-                    sums[key] = sums[key] + values if key in sums else values
+        for batch in batches:
+            for y, fold, x, bound in _cells(batch):
+                own = {k: m for k, m in machines.items() if m.learns_from(y, fold)}
+                if own:
+                    z = np.hstack([fourier.expand(x), np.ones((len(x), 1))])
+                    for k, values in zip(own, work(own, y, z, c * bound), strict=True):
+                        sums[k] = sums[k] + values if k in sums else values
         if sums:
-            yield pd.DataFrame({"key": list(sums), "values": list(sums.values())})
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], schema=schema)
 
-    parts = rows.mapInPandas(run, "key int, values array<double>")
+    parts = rows.select("x", "y", "fold", "weight").mapInArrow(run, "key int, values array<double>")
     total = parts.groupBy("key").agg(Summarizer.sum(array_to_vector("values")).alias("total")).collect()
     return {r["key"]: r["total"].toArray() for r in total}
 
 
+def _cells(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(class, fold, columns, weights) of the rows of a class and fold, some at a time."""
+    if not batch.num_rows:
+        return
+    x, y, fold, weight = (batch.column(c) for c in ("x", "y", "fold", "weight"))
+    x, y, fold, weight = x.flatten().to_numpy().reshape(len(x), -1), y.to_numpy(), fold.to_numpy(), weight.to_numpy()
+    order = np.lexsort((fold, y))
+    borders = np.flatnonzero(np.diff(y[order]) | np.diff(fold[order])) + 1
+    for cell in np.split(order, borders):
+        for start in range(0, len(cell), _BLOCK):
+            own = cell[start : start + _BLOCK]
+            yield int(y[own[0]]), int(fold[own[0]]), x[own], weight[own]
+
+
 def fit_machines(rows: DataFrame, fourier: FourierFeatures, machines: list[Machine], c: float, steps: int = 200) -> None:
     """Newton steps on the smoothed hinge loss until each machine's duality gap is within its share of its loss.
 
@@ -154,28 +200,22 @@ def fit_machines(rows: DataFrame, fourier: FourierFeatures, machines: list[Machi
     weights move only where the smoothed loss falls. ``steps`` only ends a fit that stalls.
     """
     n = fourier.width + 1
+    upper = np.triu_indices(n)
+    half = len(upper[0])
     for m in machines:
         m.weights = np.zeros(n)
     active = list(range(len(machines)))
 
-    def passed(per_machine: dict[int, Callable]) -> dict[int, np.ndarray]:
-        def work(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-            z = fourier.expand(np.stack(frame["x"]))
-            data = np.hstack([z, np.ones((len(z), 1))]), frame["y"].to_numpy(), c * frame["weight"].to_numpy(), frame["fold"].to_numpy()
-            for k, of in per_machine.items():
-                yield k, of(*data)
-
-        return _total(rows, work)
-
     for _ in range(steps):
         directions, values = {}, {}
-        found = passed({k: machines[k].sums for k in active})
+        found = _total(rows, fourier, c, {k: machines[k] for k in active}, lambda own, *data: _sums(list(own.values()), *data))
         for k in list(active):
             m, sums = machines[k], found.get(k)
             if sums is None:  # no rows at all
-                sums = np.zeros(n * n + n + 4)
-            curve, pull = sums[: n * n].reshape(n, n), sums[n * n : n * n + n]
-            smooth, hinge, linear, square = sums[n * n + n :]
+                sums = np.zeros(half + n + 4)
+            curve, pull = np.zeros((n, n)), sums[half : half + n]
+            curve[upper] = curve.T[upper] = sums[:half]
+            smooth, hinge, linear, square = sums[half + n :]
             own, dual = m.weights @ m.weights / 2, linear - pull @ pull / 2
             m.loss, m.gap = own + hinge, own + hinge - dual
             if m.gap <= (GAP if m.fold is None else FOLD_GAP) * m.loss:
@@ -186,7 +226,7 @@ def fit_machines(rows: DataFrame, fourier: FourierFeatures, machines: list[Machi
                 directions[k], values[k] = np.linalg.solve(curve + np.eye(n), pull - m.weights), own + smooth
         if not active:
             return
-        found = passed({k: partial(machines[k].along, d) for k, d in directions.items()}) if directions else {}
+        found = _total(rows, fourier, c, {k: machines[k] for k in directions}, partial(_along, directions)) if directions else {}
         for k, losses in found.items():
             m, d = machines[k], directions[k]
             moved = [m.weights + t * d for t in _STEPS]
@@ -200,9 +240,12 @@ def fit_machines(rows: DataFrame, fourier: FourierFeatures, machines: list[Machi
 # --- probabilities --------------------------------------------------------------------------
 
 
-def fit_sigmoid(decisions: DataFrame, decision: str, positive: Column, passes: int = 50) -> tuple[float, float]:
-    """(a, b) of 1 / (1 + exp(a f + b)) by Newton's method on smoothed targets, in JVM sums."""
-    n_pos, n_neg = decisions.agg(F.count_if(positive), F.count_if(~positive)).first()
+def fit_sigmoid(
+    decisions: DataFrame, decision: str, positive: Column, passes: int = 50, count: Column | None = None
+) -> tuple[float, float]:
+    """(a, b) of 1 / (1 + exp(a f + b)) by Newton's method on smoothed targets, in JVM sums; a row stands for ``count`` equal ones."""
+    count = F.lit(1) if count is None else count
+    n_pos, n_neg = (n or 0 for n in decisions.agg(F.sum(F.when(positive, count)), F.sum(F.when(~positive, count))).first())
     high, low = (n_pos + 1) / (n_pos + 2), 1 / (n_neg + 2)
     target, f = F.when(positive, high).otherwise(low), F.col(decision)
     point, value, step = np.array([0.0, math.log((n_neg + 1) / (n_pos + 1))]), math.inf, np.zeros(2)
@@ -213,7 +256,7 @@ def fit_sigmoid(decisions: DataFrame, decision: str, positive: Column, passes: i
         loss = F.when(s >= 0, target * s + F.log1p(F.exp(-s))).otherwise((target - 1) * s + F.log1p(F.exp(s)))
         g, h = target - p, p * (1 - p)
         total, g_a, g_b, h_aa, h_ab, h_bb = (
-            x or 0.0 for x in decisions.agg(*[F.sum(x) for x in (loss, g * f, g, h * f * f, h * f, h)]).first()
+            x or 0.0 for x in decisions.agg(*[F.sum(count * x) for x in (loss, g * f, g, h * f * f, h * f, h)]).first()
         )
         if total > value + 1e-12 * abs(value):
             step = step / 2
@@ -289,11 +332,8 @@ def fit_kernel(
     occur gets no weight; the intercept is penalised like every other weight.
     """
     prepared, data = ml.prepared_priority(rows, label_column)
-    data = materialize(
-        data.select(vector_to_array("features").alias("x"), F.col("target").cast("int").alias("y"), F.col("class_weight").alias("weight"))
-        .withColumn("fold", F.pmod(F.xxhash64("x", "y"), F.lit(folds)).cast("int"))
-    )
-    size, scaled = scale_gamma(data)
+    data = learning_points(prepared, data, folds)
+    size, scaled = scale_gamma(data, count=F.col("n"))
     fourier = FourierFeatures(size, scaled if gamma is None else gamma, width, seed)
     pairs = list(combinations(range(len(PRIORITY_LABELS)), 2))
     machines = [Machine(i, j) for i, j in pairs]
@@ -304,16 +344,27 @@ def fit_kernel(
         for frame in frames:
             for fold, part in frame.groupby("fold"):
                 found = decisions(fourier, held_out[fold], np.stack(part["x"]))
-                yield pd.DataFrame({"y": part["y"].to_numpy(), "f": list(found)})
+                yield pd.DataFrame({"y": part["y"].to_numpy(), "n": part["n"].to_numpy(), "f": list(found)})
 
-    scored = materialize(data.mapInPandas(unseen, "y int, f array<double>"))
+    scored = materialize(data.mapInPandas(unseen, "y int, n bigint, f array<double>"))
     sigmoids = [
-        fit_sigmoid(scored.filter(F.col("y").isin(i, j)).select("y", F.get("f", F.lit(k)).alias("f")), "f", F.col("y") == i)
+        fit_sigmoid(scored.filter(F.col("y").isin(i, j)).select("y", "n", F.get("f", F.lit(k)).alias("f")), "f", F.col("y") == i, count=F.col("n"))
         for k, (i, j) in enumerate(pairs)
     ]
     return KernelModel(prepared, fourier, machines, sigmoids)
 
 
+def learning_points(prepared: Transformer, data: DataFrame, folds: int) -> DataFrame:
+    """Labelled rows that are equal as one (x, y, weight, fold, n), with their weights added up; stored, as many files as tasks run at once."""
+    columns = [*ml.PRIORITY_NUMERIC, *ml.PRIORITY_CATEGORICAL, "target", "class_weight"]
+    equal = prepared.transform(data.groupBy(*columns).agg(F.count("*").alias("n")))
+    points = equal.select(
+        vector_to_array("features").alias("x"), F.col("target").cast("int").alias("y"), (F.col("class_weight") * F.col("n")).alias("weight"), "n"
+    ).withColumn("fold", F.pmod(F.xxhash64("x", "y"), F.lit(folds)).cast("int"))
+    tasks = data.sparkSession.sparkContext.defaultParallelism
+    return materialize(points.repartition(tasks).sortWithinPartitions("y", "fold"))
+
+
 def gap_report(spark, machines: list[Machine]) -> DataFrame:
     """One row per pair of classes: loss, duality gap, and whether the gap is within its bound."""
     rows = [(PRIORITY_LABELS[m.plus], PRIORITY_LABELS[m.minus], float(m.loss), float(m.gap), bool(-1e-9 <= m.gap <= GAP * m.loss)) for m in machines]

@@ -246,6 +246,12 @@ def _(f):
     return mapped.select(*PAIR, "gap_type", F.posexplode("z").alias("feature", "value")).withColumn("value", F.round("value", 6))
 
 
+def _classifier_rows(f):
+    """Stored suspects with their keys, label and what the kernel classifier reads."""
+    columns = dict.fromkeys([*PAIR, "gap_type", *ml.PRIORITY_NUMERIC, *ml.PRIORITY_CATEGORICAL, "disease_priority"])
+    return ml.materialize(_labelled_suspects(f).select(*columns))
+
+
 @query(
     "m8_duality_gap",
     """SELECT plus, minus, TRUE AS within_bound FROM (VALUES ('LOW', 'MEDIUM'), ('LOW', 'HIGH'), ('MEDIUM', 'HIGH')) t(plus, minus)
@@ -253,13 +259,13 @@ def _(f):
 )
 def _(f):
     """Certificate of the fitted machines: a loss within one percent of the optimum, by its dual."""
-    rows = ml.materialize(_labelled_suspects(f))
+    rows = _classifier_rows(f)
     return kernel.gap_report(rows.sparkSession, kernel.fit_kernel(rows).machines).drop("loss", "gap")
 
 
 @query("m8_kernel_classifier")
 def _(f):
-    rows = ml.materialize(_labelled_suspects(f))
+    rows = _classifier_rows(f)
     scored = ml.priority_columns(kernel.fit_kernel(rows).transform(rows))
     return scored.select(
         *PAIR, "gap_type", "ml_priority", "ml_priority_score", "ml_low_probability", "ml_medium_probability", "ml_high_probability"

@@ -120,6 +120,42 @@ def test_whole_classifier(spark):
     assert model.transform(new).count() == 300
 
 
+def test_equal_rows_are_one_point(spark, monkeypatch):
+    """Machines, gamma and sigmoids see each distinct row once, with its number; the model is that of the single rows."""
+    x, y, _, _ = training(120, 5)
+    names = ["LOW", "MEDIUM", "HIGH"]
+    few = spark.createDataFrame(
+        [(f"b{i}", "18", float(a), float(b), "G", "x", names[k]) for i, ((a, b), k) in enumerate(zip(x.round(1), y, strict=True))],
+        "bene_id string, hcc_v28 string, diagnosis_count double, unique_claim_count double, gap_type string, status string, disease_priority string",
+    )
+    few = ml.with_priority_columns(few.withColumns({c: F.lit(1.0) for c in ml.PRIORITY_NUMERIC[2:]}))
+    copies = F.when(F.col("disease_priority") == "LOW", 6).otherwise(2)
+    rows = few.withColumn("i", F.explode(F.sequence(F.lit(1), copies))).drop("i")
+    seen, fitted = [], kernel.fit_machines
+    monkeypatch.setattr(kernel, "fit_machines", lambda data, *a, **k: (seen.append(data), fitted(data, *a, **k)))
+    model = kernel.fit_kernel(rows, width=32, folds=3)
+    distinct = few.select(*ml.PRIORITY_NUMERIC, "status", "disease_priority").distinct().count()
+    assert seen[0].count() == distinct < rows.count()
+    assert seen[0].agg(F.sum("n")).first()[0] == rows.count()
+
+    # The same from single rows.
+    _, data = ml.prepared_priority(rows)
+    data = data.select(kernel.vector_to_array("features").alias("x"), F.col("target").cast("int").alias("y"), F.col("class_weight").alias("weight"))
+    data = kernel.materialize(data.withColumn("fold", F.pmod(F.xxhash64("x", "y"), F.lit(3)).cast("int")))
+    size, gamma = kernel.scale_gamma(data)
+    assert model.fourier.gamma == pytest.approx(gamma) and model.fourier.size == size
+    single = [kernel.Machine(0, 1), kernel.Machine(0, 2), kernel.Machine(1, 2)]
+    fitted(data, model.fourier, single, kernel.INVERSE_PENALTY)
+    assert all(np.allclose(a.weights, b.weights, atol=1e-6) for a, b in zip(model.machines, single, strict=True))
+
+
+def test_sigmoid_counts_equal_rows(spark):
+    rows = spark.createDataFrame([(0.5, 1, 3), (-0.2, 1, 1), (-1.0, 0, 4), (0.3, 0, 2)], "f double, y int, n bigint")
+    single = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    counted = kernel.fit_sigmoid(rows, "f", F.col("y") == 1, count=F.col("n"))
+    assert counted == pytest.approx(kernel.fit_sigmoid(single, "f", F.col("y") == 1))
+
+
 def test_nothing_to_learn_from(spark):
     with pytest.raises(ValueError):
         kernel.scale_gamma(spark.createDataFrame([], "x array<double>"))
