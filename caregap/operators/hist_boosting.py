@@ -313,10 +313,9 @@ def fit(
             bins = binned(part["x"], bounds)
             yield pd.DataFrame({"bins": [b.tobytes() for b in bins], "y": part["y"], "held": part["held"], "n": part["n"]})
 
-    # Binned first, so that also values of one bin are equal; the number of points does not depend on the rows' copies.
-    binned_rows = rows.select("x", "y", held.alias("held"), F.lit(1).cast("bigint").alias("n")).mapInPandas(
-        cut, "bins binary, y int, held boolean, n bigint"
-    )
+    # Equal rows are binned once, and summed again, so that also values of one bin are equal; the number of points does not depend on the rows' copies.
+    equal = rows.groupBy("x", "y", held.alias("held")).agg(F.count("*").alias("n"))
+    binned_rows = equal.mapInPandas(cut, "bins binary, y int, held boolean, n bigint")
     points = materialize(binned_rows.groupBy("bins", "y", "held").agg(F.sum("n").alias("n")))
     state = points.withColumn("raw", F.lit(base))
     sizes = (classes, columns, rounds, rate, leaves, min_leaf)
