@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -405,10 +405,10 @@ def compare_models(
     prepared = Pipeline(stages=stages).fit(train)
     points = [prepared.transform(part).withColumn("x", vector_to_array("features")) for part in (train, test)]
     learn = points[0].select("x", F.col("target").cast("int").alias("y"), F.col("class_weight").alias("w"))
-    # Equal rows as one with their number: the same sums for each learner that has no draws by row.
+    # Equal rows as one with their number: the same sums for the trees.
     equal = materialize(learn.groupBy("x", "y", "w").agg(F.count("*").alias("n")))
     weighed = equal.select("x", "y", (F.col("w") * F.col("n")).alias("w"))
-    regression = LogisticRegression(labelCol="y", weightCol="w", maxIter=iterations).fit(weighed.withColumn("features", array_to_vector("x")))
+    regression = LogisticRegression(labelCol="target", weightCol="class_weight", maxIter=iterations).fit(points[0])
     predictions = {"Logistic Regression": regression.transform(points[1])}
     grown = forest.fit(equal, len(PRIORITY_LABELS), trees, seed=seed)
     shares = extra_trees.class_shares(weighed, points[1].select(F.col("_row").alias("id"), "x"), len(PRIORITY_LABELS), trees, seed)
